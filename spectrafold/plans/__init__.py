@@ -1,6 +1,6 @@
 """Registered queries: import every plan module, then read the registry."""
 
-from . import conditioning, regions, sourcing, unmixing  # noqa: F401
+from . import conditioning, factorising, regions, sourcing, unmixing  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .unmixing import flagship
 
