@@ -12,6 +12,12 @@ def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; a name used inside a lambda would be recomputed
+    for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def finite_or_zero(v: Column) -> Column:
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
     return F.when(bad, F.lit(0.0)).otherwise(v)
@@ -59,10 +65,13 @@ def prepare_fixed(s, eps: float = EPS) -> Column:
 
     NULL when nothing exceeds ``eps``.
     """
-    clean = nan_to_zero(s)
-    low = F.array_min(clean)
-    lifted = F.transform(clean, lambda v: F.greatest(v - F.least(low, F.lit(0.0)), F.lit(0.0)))
-    return F.when(F.array_max(lifted) > eps, lifted)
+    def lift(clean):
+        return let(
+            F.least(F.array_min(clean), F.lit(0.0)),
+            lambda low: F.transform(clean, lambda v: F.greatest(v - low, F.lit(0.0))),
+        )
+
+    return let(let(nan_to_zero(s), lift), lambda h: F.when(F.array_max(h) > eps, h))
 
 
 def is_active(s, eps: float = EPS) -> Column:
@@ -80,23 +89,23 @@ def take(s, channels) -> Column:
 
 def peak_channel(s) -> Column:
     """Index of the first maximum."""
-    s = _c(s)
-    return (F.array_position(s, F.array_max(s)) - 1).cast("int")
+    return let(_c(s), lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def gradient(s) -> Column:
     """Central differences with one-sided ends, unit spacing."""
-    s = _c(s)
-    n = F.size(s)
-    at = lambda i: F.element_at(s, i + 1)
-    idx = F.sequence(F.lit(0), n - 1)
-    inner = F.transform(
-        idx,
-        lambda i: F.when(i == 0, at(F.lit(1)) - at(F.lit(0)))
-        .when(i == n - 1, at(n - 1) - at(n - 2))
-        .otherwise((at(F.least(i + 1, n - 1)) - at(F.greatest(i - 1, F.lit(0)))) / 2.0),
-    )
-    return F.when(n >= 2, inner).otherwise(F.transform(s, lambda v: F.lit(0.0)))
+
+    def inner(v):
+        n = F.size(v)
+        at = lambda i: F.element_at(v, i + 1)
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.when(i == 0, at(F.lit(1)) - at(F.lit(0)))
+            .when(i == n - 1, at(n - 1) - at(n - 2))
+            .otherwise((at(i + 1) - at(i - 1)) / 2.0),
+        )
+
+    return let(_c(s), lambda v: F.when(F.size(v) >= 2, inner(v)).otherwise(F.transform(v, lambda e: F.lit(0.0))))
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -123,21 +132,23 @@ def smooth(s, sigma: float) -> Column:
         return s
     kernel = gaussian_kernel(sigma)
     radius = (len(kernel) - 1) // 2
-    weights = constant(kernel)
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    n = F.size(s)
 
-    def at(i):
-        reach = F.transform(offsets, lambda o: F.element_at(s, reflect_index(i + o, n) + 1))
-        return dot(reach, weights)
+    def run(v):
+        n = F.size(v)
+
+        def at(i):
+            reach = F.transform(offsets, lambda o: F.element_at(v, reflect_index(i + o, n) + 1))
+            return dot(reach, constant(kernel))
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    return let(s, run)
 
 
 def unit_norm(s) -> Column:
-    s = _c(s)
-    norm = F.sqrt(sum_squares(s))
-    return F.when(norm > 0, F.transform(s, lambda v: v / norm))
+    scale = lambda v: let(F.sqrt(sum_squares(v)), lambda n: F.when(n > 0, F.transform(v, lambda e: e / n)))
+    return let(_c(s), scale)
 
 
 def cosine(a, b) -> Column:

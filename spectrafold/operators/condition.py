@@ -219,6 +219,9 @@ def resize_seed_set(seeds: DataFrame, k: int, n_channels: int) -> DataFrame:
 
 
 def scale_spectra_to_dtype(spectra: DataFrame, dtype_max: int = 65535, column: str = "spectrum") -> DataFrame:
-    top = F.array_max(column)
-    scaled = F.transform(column, lambda v: (v / top * F.lit(float(dtype_max))).cast("int"))
-    return spectra.withColumn(column, F.when(top > 0, scaled).otherwise(F.transform(column, lambda v: v.cast("int"))))
+    def convert(v):
+        whole = F.transform(v, lambda e: e.cast("int"))
+        return A.let(F.array_max(v), lambda top: F.when(
+            top > 0, F.transform(v, lambda e: (e / top * F.lit(float(dtype_max))).cast("int"))).otherwise(whole))
+
+    return spectra.withColumn(column, A.let(F.col(column), convert))

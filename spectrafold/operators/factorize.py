@@ -86,7 +86,7 @@ def _replay(x, w, steps, solver, update_w, eps):
     return w, violation
 
 
-def _run_pass(data: DataFrame, history: dict, solver: str, update_w: bool, eps: float) -> DataFrame:
+def _run_pass(data: DataFrame, history: dict, solver: str, update_w: bool, eps: float) -> dict:
     """One pass over the pixels: per field the sums WtW, WtX, column sums of W and the violation."""
     held = data.sparkSession.sparkContext.broadcast(history)
 
@@ -113,7 +113,9 @@ def _run_pass(data: DataFrame, history: dict, solver: str, update_w: bool, eps:
                 names=[*FIELD, "sums"],
             )
 
-    return data.mapInArrow(work, "image_id STRING, slice_id INT, sums ARRAY<DOUBLE>")
+    sums = _collect_sums(data.mapInArrow(work, "image_id STRING, slice_id INT, sums ARRAY<DOUBLE>"))
+    held.unpersist()
+    return sums
 
 
 def _collect_sums(parts: DataFrame) -> dict:
@@ -293,7 +295,7 @@ def _fit_batch(base, rows, spectra, k, solver, max_iter, tol, patience, every, e
             break
         for key in live:
             history[key].append((state[key].h, None))
-        sums = _collect_sums(_run_pass(data, {key: history[key] for key in live}, solver, update_w, eps))
+        sums = _run_pass(data, {key: history[key] for key in live}, solver, update_w, eps)
         for key in live:
             f, s = state[key], sums[key]
             c = f.h.shape[1]

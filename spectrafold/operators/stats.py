@@ -88,9 +88,13 @@ def band_mean_map(pixels: DataFrame, bands: DataFrame, column: str = "spectrum",
 
 def h_weights(h: Column, eps: float = A.EPS) -> Column:
     """Exponential weights of a spectrum, NULL when it is flat."""
-    rel = F.transform(h, lambda v: v - F.array_min(h))
-    top = F.array_max(rel)
-    return F.when(top > eps, F.transform(rel, lambda v: F.exp(v / top) - 1.0))
+    def weigh(v):
+        return A.let(F.array_min(v), lambda low: A.let(
+            F.array_max(v) - low,
+            lambda top: F.when(top > eps, F.transform(v, lambda e: F.exp((e - low) / top) - 1.0)),
+        ))
+
+    return A.let(h, weigh)
 
 
 def h_weighted_map(pixels: DataFrame, spectra: DataFrame, column: str = "spectrum") -> DataFrame:

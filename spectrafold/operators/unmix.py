@@ -128,16 +128,21 @@ def selective_score_map(pixels: DataFrame, spectra: DataFrame, column: str = "sp
     keys = basis_keys(spectra)
     usable = spectra.withColumn("spectrum", A.prepare_fixed("spectrum", eps)).filter("spectrum IS NOT NULL")
     packed = usable.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("component", "spectrum"))).alias("_hs"))
-    joined = join_dim(pixels.withColumn("_x", A.clamp_nonneg(column)), packed, keys)
-    strengths = F.transform(
-        "_hs", lambda h: F.struct(h["component"].alias("component"), A.dot(F.col("_x"), h["spectrum"]).alias("t"))
-    )
-    scored = joined.select(*PIXEL, strengths.alias("_t")).select(*PIXEL, "_t", F.explode("_t").alias("_me"))
-    rivals = F.filter("_t", lambda o: o["component"] != F.col("_me.component"))
-    rival = F.array_max(F.transform(rivals, lambda o: o["t"]))
-    t = F.greatest(F.col("_me.t"), F.lit(0.0))
-    score = F.when(rival.isNull(), t).otherwise(t * (t / (t + rival + eps)))
-    return scored.select(*PIXEL, F.col("_me.component").alias("component"), F.greatest(score, F.lit(eps)).alias("w"))
+    joined = join_dim(pixels, packed, keys)
+    strengths = lambda x: F.transform(
+        "_hs", lambda h: F.struct(h["component"].alias("component"), A.dot(x, h["spectrum"]).alias("t")))
+
+    def scores(ts):
+        def one(me, i):
+            rival = F.array_max(F.transform(F.filter(ts, lambda o, j: j != i), lambda o: o["t"]))
+            t = F.greatest(me["t"], F.lit(0.0))
+            value = F.when(rival.isNull(), t).otherwise(t * (t / (t + rival + eps)))
+            return F.struct(me["component"].alias("component"), F.greatest(value, F.lit(eps)).alias("w"))
+
+        return F.transform(ts, one)
+
+    scored = A.let(A.let(A.clamp_nonneg(column), strengths), scores)
+    return joined.select(*PIXEL, F.explode(scored).alias("_s")).select(*PIXEL, "_s.component", "_s.w")
 
 
 def reconstruct(abundance: DataFrame, spectra: DataFrame, out: str = "model") -> DataFrame:
