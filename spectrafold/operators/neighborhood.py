@@ -36,7 +36,8 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
         F.greatest(F.floor((F.col(p) - halo) / tile), F.lit(0)).cast("int"),
         F.least(F.floor((F.col(p) + halo) / tile), F.floor((F.col(n) - 1) / tile)).cast("int"),
     )
-    sized = join_dim(field.select(*keys, "y", "x", F.col(value).alias("value")), shape, keys)
+    on = [k for k in keys if k in shape.columns]
+    sized = join_dim(field.select(*keys, "y", "x", F.col(value).alias("value")), shape.select(*on, "ny", "nx"), on)
     placed = (
         sized.select("*", F.explode(reach("y", "ny")).alias("_ty"))
         .select("*", F.explode(reach("x", "nx")).alias("_tx"))

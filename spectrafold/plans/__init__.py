@@ -1,6 +1,6 @@
 """Registered queries: import every plan module, then read the registry."""
 
-from . import conditioning, factorising, regions, seeding, sourcing, spatial, suggesting, unmixing  # noqa: F401
+from . import conditioning, factorising, mosaicking, regions, seeding, sourcing, spatial, streamed, suggesting, unmixing  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .unmixing import flagship
 
