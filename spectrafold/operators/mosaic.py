@@ -190,11 +190,11 @@ def attach_columns(placed: DataFrame, origins: DataFrame, ny: int, nx: int, over
             "end", F.least("oy0", F.col("oy1") + F.col("dy")) + ny).filter("start < end")
         cols = ["mosaic_id", "cx", "ry", "start", "end", "dy", "oy0", "oy1"]
         left = join_dim(edge.filter(F.col("x") >= nx - overlap), spans.select(*cols), ["mosaic_id", "cx", "ry"])
-        left = left.withColumn("Y", F.col("y") + F.col("oy0")).withColumn("x", F.col("x") - (nx - overlap)).withColumn("side", F.lit(0))
+        left = left.withColumn("row", F.col("y") + F.col("oy0")).withColumn("x", F.col("x") - (nx - overlap)).withColumn("side", F.lit(0))
         right = join_dim(edge.filter(F.col("x") < overlap).withColumn("cx", F.col("cx") - 1), spans.select(*cols), ["mosaic_id", "cx", "ry"])
-        right = right.withColumn("Y", F.col("y") + F.col("oy1") + F.col("dy")).withColumn("side", F.lit(1))
-        strips = left.unionByName(right).filter("Y >= start AND Y < end").select(
-            "mosaic_id", "cx", "ry", "side", (F.col("Y") - F.col("start")).alias("y"), "x", "g")
+        right = right.withColumn("row", F.col("y") + F.col("oy1") + F.col("dy")).withColumn("side", F.lit(1))
+        strips = left.unionByName(right).filter("row >= start AND row < end").select(
+            "mosaic_id", "cx", "ry", "side", (F.col("row") - F.col("start")).alias("y"), "x", "g")
         measured = pair_offsets(strips, ["mosaic_id", "cx", "ry"]).join(pairs, ["mosaic_id", "cx", "ry"])
         measured = materialize(measured.withColumn("ox", F.col("ox") + F.col("ox1") - F.col("ox0")).select("mosaic_id", "cx", "ry", "oy", "ox"))
         clipped = sigma_clip(measured, ["mosaic_id", "cx"], ["oy", "ox"], sigma)
@@ -210,9 +210,9 @@ def tile_origins(origins: DataFrame, columns: DataFrame) -> DataFrame:
     ids = origins.select("mosaic_id", "cx").distinct().join(columns, ["mosaic_id", "cx"], "left")
     along = Window.partitionBy("mosaic_id").orderBy("cx").rowsBetween(Window.unboundedPreceding, 0)
     sums = ids.select("mosaic_id", "cx", F.sum(F.coalesce("dy", F.lit(0))).over(along).alias("_cy"), F.sum(F.coalesce("dx", F.lit(0))).over(along).alias("_cx"))
-    moved = origins.join(sums, ["mosaic_id", "cx"]).withColumn("Y", F.col("oy0") + F.col("_cy")).withColumn("X", F.col("ox0") + F.col("_cx"))
+    moved = origins.join(sums, ["mosaic_id", "cx"]).withColumn("top", F.col("oy0") + F.col("_cy")).withColumn("left", F.col("ox0") + F.col("_cx"))
     whole = Window.partitionBy("mosaic_id")
-    return moved.withColumn("Y", (F.col("Y") - F.min("Y").over(whole)).cast("int")).withColumn("X", (F.col("X") - F.min("X").over(whole)).cast("int")).drop("_cy", "_cx")
+    return moved.withColumn("top", (F.col("top") - F.min("top").over(whole)).cast("int")).withColumn("left", (F.col("left") - F.min("left").over(whole)).cast("int")).drop("_cy", "_cx")
 
 
 def _chain(ratios: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -242,12 +242,12 @@ def mosaic(tiles: DataFrame, ny: int, nx: int, overlap_y: int, overlap_x: int, n
     columns = attach_columns(placed, origins, ny, nx, overlap_x, sigma, channels)
     where = materialize(tile_origins(origins, columns))
     side = lambda dc, dr, tag: where.select("mosaic_id", (F.col("cx") - dc).alias("cx"), (F.col("ry") - dr).alias("ry"),
-                                            F.col("Y").alias(f"Y{tag}"), F.col("X").alias(f"X{tag}"), F.col("shift_y").alias(f"s{tag}"))
+                                            F.col("top").alias(f"top_{tag}"), F.col("left").alias(f"left_{tag}"), F.col("shift_y").alias(f"shift_{tag}"))
     full = where
     for tag, dc, dr in (("u", 0, -1), ("d", 0, 1), ("l", -1, 0), ("r", 1, 0)):
         full = full.join(side(dc, dr, tag), ["mosaic_id", "cx", "ry"], "left")
-    full = materialize(full.select("mosaic_id", "tx", "ty", "Y", "X", "cx", "ry", "shift_y", "Yu", "Yd", "Xl", "Xr", "sd"))
-    data = join_dim(tiles, full, ["mosaic_id", "tx", "ty"]).withColumn("gy", F.col("Y") + F.col("y")).withColumn("gx", F.col("X") + F.col("x"))
+    full = materialize(full.select("mosaic_id", "tx", "ty", "top", "left", "cx", "ry", "shift_y", "top_u", "top_d", "left_l", "left_r", "shift_d"))
+    data = join_dim(tiles, full, ["mosaic_id", "tx", "ty"]).withColumn("gy", F.col("top") + F.col("y")).withColumn("gx", F.col("left") + F.col("x"))
     if match_intensity:
         data = _matched(data, ny, nx, n_channels)
     ramp = linear_weight if profile == "linear" else cosine_weight
@@ -257,19 +257,19 @@ def mosaic(tiles: DataFrame, ny: int, nx: int, overlap_y: int, overlap_x: int, n
         t = F.greatest(trim, F.lit(0))
         return pos - (low + t), F.greatest(high - low - 2 * t, F.lit(0))
 
-    iu, nu = zone(F.col("gy"), F.col("Y"), F.col("Yu") + ny, F.col("shift_y"))
-    idn, nd = zone(F.col("gy"), F.col("Yd"), F.col("Y") + ny, F.col("sd"))
-    il, nl = zone(F.col("gx"), F.col("X"), F.col("Xl") + nx, F.lit(0))
-    ir, nr = zone(F.col("gx"), F.col("Xr"), F.col("X") + nx, F.lit(0))
+    iu, nu = zone(F.col("gy"), F.col("top"), F.col("top_u") + ny, F.col("shift_y"))
+    idn, nd = zone(F.col("gy"), F.col("top_d"), F.col("top") + ny, F.col("shift_d"))
+    il, nl = zone(F.col("gx"), F.col("left"), F.col("left_l") + nx, F.lit(0))
+    ir, nr = zone(F.col("gx"), F.col("left_r"), F.col("left") + nx, F.lit(0))
     rise = lambda has, i, n: F.when(has.isNull() | (n <= 0) & (i >= 0), 1.0).when(i < 0, 0.0).when(i >= n, 1.0).otherwise(1.0 - ramp(i, n))
     fall = lambda has, i, n: F.when(has.isNull(), 1.0).when(i < 0, 1.0).when(i >= n, 0.0).otherwise(ramp(i, n))
-    w = rise(F.col("Yu"), iu, nu) * fall(F.col("Yd"), idn, nd) * rise(F.col("Xl"), il, nl) * fall(F.col("Xr"), ir, nr)
+    w = rise(F.col("top_u"), iu, nu) * fall(F.col("top_d"), idn, nd) * rise(F.col("left_l"), il, nl) * fall(F.col("left_r"), ir, nr)
     near = lambda c: F.coalesce(c, F.lit(False))
     # a pixel may also meet a diagonal tile, so the test allows for the largest jitter between columns
     slack = where.groupBy("mosaic_id").agg((F.max(F.abs("shift_y")) + F.max(F.abs("ox0")) + 1).alias("_slack"))
     data = join_dim(data, materialize(slack), ["mosaic_id"])
-    shared = near(F.col("gy") < F.col("Yu") + ny + F.col("_slack")) | near(F.col("gy") >= F.col("Yd") - F.col("_slack"))
-    shared = shared | near(F.col("gx") < F.col("Xl") + nx + F.col("_slack")) | near(F.col("gx") >= F.col("Xr") - F.col("_slack"))
+    shared = near(F.col("gy") < F.col("top_u") + ny + F.col("_slack")) | near(F.col("gy") >= F.col("top_d") - F.col("_slack"))
+    shared = shared | near(F.col("gx") < F.col("left_l") + nx + F.col("_slack")) | near(F.col("gx") >= F.col("left_r") - F.col("_slack"))
     tiny = F.lit(1e-9)  # keeps a pixel that all its tiles would fade out
     moved = data.select("mosaic_id", F.col("gy").alias("y"), F.col("gx").alias("x"), "spectrum", F.greatest(w, tiny).alias("_w"), shared.alias("_shared"))
     out = _blend(moved, n_channels)
@@ -291,11 +291,11 @@ def _matched(data: DataFrame, ny: int, nx: int, n_channels: int) -> DataFrame:
 
     keys = ["mosaic_id", "cx", "ry"]
     up_down = ratios(data, {"cx": 0, "ry": 1}, {"cx": 0, "ry": 0},
-                     F.col("Yd").isNotNull() & (F.col("gy") >= F.col("Yd")), F.col("Yu").isNotNull() & (F.col("gy") < F.col("Yu") + ny), keys)
+                     F.col("top_d").isNotNull() & (F.col("gy") >= F.col("top_d")), F.col("top_u").isNotNull() & (F.col("gy") < F.col("top_u") + ny), keys)
     down = _chain(up_down, ["mosaic_id", "cx"], "ry")
     scaled = _scale_tiles(data, down, ["mosaic_id", "cx", "ry"], n_channels)
-    left_right = ratios(scaled, {"cx": 1}, {"cx": 0}, F.col("Xr").isNotNull() & (F.col("gx") >= F.col("Xr")),
-                        F.col("Xl").isNotNull() & (F.col("gx") < F.col("Xl") + nx), ["mosaic_id", "cx"])
+    left_right = ratios(scaled, {"cx": 1}, {"cx": 0}, F.col("left_r").isNotNull() & (F.col("gx") >= F.col("left_r")),
+                        F.col("left_l").isNotNull() & (F.col("gx") < F.col("left_l") + nx), ["mosaic_id", "cx"])
     return _scale_tiles(scaled, _chain(left_right, ["mosaic_id"], "cx"), ["mosaic_id", "cx"], n_channels)
 
 
