@@ -25,6 +25,10 @@ from ..tables import FIELD, PIXEL, FIT_REPORT, schema
 from ._dense import clean, groups, list_column, matrix
 
 
+# At most this many partial sums are fetched without adding them on the executors first.
+FEW_PARTIALS = 2_000_000
+
+
 @dataclass
 class Fit:
     abundance: DataFrame
@@ -72,6 +76,26 @@ def cd_h(h, wtw, wtx):
     return h, violation
 
 
+def _prepared(data: DataFrame) -> DataFrame:
+    """Spectra with NaN, infinities and negatives set to 0, done on whole batches."""
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            i = batch.schema.get_field_index("_x")
+            xs = batch.column(i)
+            flat = clean(xs.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+            lengths = np.concatenate(([0], np.cumsum(np.diff(xs.offsets.to_numpy())))).astype(np.int32)
+            if xs.null_count:
+                raise ValueError("NULL spectrum")
+            fixed = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))
+            cols = [fixed if j == i else batch.column(j) for j in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return data.mapInArrow(work, data.schema)
+
+
 def _replay(x, w, steps, solver, update_w, eps):
     """Bring start values through a list of (H, column scale) steps."""
     violation = 0.0
@@ -86,7 +110,7 @@ def _replay(x, w, steps, solver, update_w, eps):
     return w, violation
 
 
-def _run_pass(data: DataFrame, history: dict, solver: str, update_w: bool, eps: float) -> dict:
+def _run_pass(data: DataFrame, history: dict, solver: str, update_w: bool, eps: float, partials: int) -> dict:
     """One pass over the pixels: per field the sums WtW, WtX, column sums of W and the violation."""
     held = data.sparkSession.sparkContext.broadcast(history)
 
@@ -113,13 +137,20 @@ def _run_pass(data: DataFrame, history: dict, solver: str, update_w: bool, eps:
                 names=[*FIELD, "sums"],
             )
 
-    sums = _collect_sums(data.mapInArrow(work, "image_id STRING, slice_id INT, sums ARRAY<DOUBLE>"))
+    sums = _collect_sums(data.mapInArrow(work, "image_id STRING, slice_id INT, sums ARRAY<DOUBLE>"), partials)
     held.unpersist()
     return sums
 
 
-def _collect_sums(parts: DataFrame) -> dict:
-    """Add the partial sums of all partitions on the executors, then fetch one vector per field."""
+def _collect_sums(parts: DataFrame, partials: int = FEW_PARTIALS + 1) -> dict:
+    """One summed vector per field. ``partials`` bounds the numbers all partitions can send: few enough come
+    to the driver as they are, in one stage; otherwise they are added on the executors first."""
+    out: dict = {}
+    if partials <= FEW_PARTIALS:
+        for r in parts.collect():
+            key, v = (r["image_id"], r["slice_id"]), np.asarray(r["sums"])
+            out[key] = out[key] + v if key in out else v
+        return out
     rows = (
         parts.select(*FIELD, F.posexplode("sums").alias("i", "v")).groupBy(*FIELD, "i").agg(F.sum("v").alias("v"))
         .groupBy(*FIELD).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
@@ -220,13 +251,13 @@ def nmf(
         start = F.transform(A.clamp_nonneg(start), lambda v: F.greatest(v, F.lit(eps)))
     elif w0:
         start = A.clamp_nonneg(start)
-    base = pixels.select(*PIXEL, A.clamp_nonneg(column).alias("_x"), start.alias("_w"))
-    facts = base.groupBy(*FIELD).agg(
-        F.max(F.size("_x")).alias("c"), F.sum(A.sum_squares("_x")).alias("norm2"), F.count(F.lit(1)).alias("n"),
-        F.sum(A.total("_x")).alias("sum"), F.count_if(F.exists("_x", lambda v: v > eps)).alias("active"),
-        F.max(F.size("_w")).alias("k"),
-    )
-    facts = materialize(facts)
+    base = _prepared(pixels.select(*PIXEL, F.col(column).alias("_x"), start.alias("_w")))
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    shapes = base.groupBy(*FIELD).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_x")).alias("c"), F.max(F.size("_w")).alias("k"))
+    moments = _per_field(base, lambda key, x: np.array([(x * x).sum(), x.sum(), (x > eps).any(axis=1).sum()]), "_x")
+    sums = moments.groupBy(*FIELD).agg(*[
+        F.sum(F.element_at("sums", i + 1)).alias(n) for i, n in enumerate(("norm2", "sum", "active"))])
+    facts = materialize(shapes.join(sums, FIELD))
     count, width = facts.agg(F.count(F.lit(1)), F.max("c")).first()
     if not count:
         raise ValueError("no pixels")
@@ -286,16 +317,19 @@ def _fit_batch(base, rows, spectra, k, solver, max_iter, tol, patience, every, e
         (r["image_id"], r["slice_id"]): _Field(starts[(r["image_id"], r["slice_id"])], r["norm2"], r["n"], r["active"])
         for r in rows
     }
-    data = base.persist(StorageLevel.MEMORY_AND_DISK)
+    data = base
     history: dict = {key: [] for key in state}
     since = 0
+    width = max(r["c"] for r in rows)
+    bound = lambda d: d.rdd.getNumPartitions() * len(state) * (k * k + k * width + k + 1)
+    partials = bound(data)
     for iteration in range(1, max_iter + 1):
         live = [key for key, f in state.items() if not f.done]
         if not live:
             break
         for key in live:
             history[key].append((state[key].h, None))
-        sums = _run_pass(data, {key: history[key] for key in live}, solver, update_w, eps)
+        sums = _run_pass(data, {key: history[key] for key in live}, solver, update_w, eps, partials)
         for key in live:
             f, s = state[key], sums[key]
             c = f.h.shape[1]
@@ -327,6 +361,7 @@ def _fit_batch(base, rows, spectra, k, solver, max_iter, tol, patience, every, e
             fresh = materialize(_apply(data, history, solver, update_w, eps, out_x=True))
             data.unpersist()
             data, history, since = fresh, {key: [] for key in state}, 0
+            partials = bound(data)
     abundance = _apply(data, history, solver, update_w, eps, out_x=False)
     spectra_rows = [
         (key[0], key[1], i, [float(v) for v in f.h[i]]) for key, f in sorted(state.items()) for i in range(k)
@@ -481,8 +516,9 @@ def _pca_batch(pixels: DataFrame, k: int, column: str) -> Fit | None:
         values, vectors = np.linalg.eigh(s[:-1].reshape(c, c) / s[-1])
         order = np.argsort(values)[::-1]
         values, vectors = values[order], vectors[:, order]
-        flip = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(c)])
-        vectors = vectors * np.where(flip == 0, 1, flip)
+        size = np.abs(vectors)
+        lead = (size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0)  # first of equally large loadings
+        vectors = vectors * np.where(vectors[lead, np.arange(c)] < 0, -1.0, 1.0)
         basis[key] = vectors
         for i in range(min(k, c)):
             full = [None] * int(ch.max() + 1)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import arrays as A
-from ..scale import BROADCAST_CELLS, cell_count, join_dim
+from ..scale import BROADCAST_CELLS, cell_count, join_dim, materialize
 from ..tables import FIELD, PIXEL, ShapeError
 from ._dense import clean, groups, list_column, matrix, nnls_rows
 
@@ -34,7 +34,7 @@ def nnls_fixed_h(pixels: DataFrame, spectra: DataFrame, *, column: str = "spectr
     depends on its neighbours. ``require`` asks for that many usable components.
     """
     keep = keep or []
-    usable = spectra.withColumn("spectrum", A.prepare_fixed("spectrum", eps))
+    usable = materialize(spectra.withColumn("spectrum", A.prepare_fixed("spectrum", eps)))
     keys = basis_keys(spectra)
     if require is not None:
         count = usable.groupBy(*keys).agg(
@@ -43,10 +43,10 @@ def nnls_fixed_h(pixels: DataFrame, spectra: DataFrame, *, column: str = "spectr
         if count.take(1):
             raise ValueError("a component has no usable fixed spectrum")
         usable = usable.filter(F.col("component").between(0, require - 1))
-    usable = usable.filter("spectrum IS NOT NULL")
+    usable = materialize(usable.filter("spectrum IS NOT NULL"))
     basis = basis_rows(usable)
     names = [*PIXEL, *keep]
-    data = pixels.select(*names, A.clamp_nonneg(column).alias("_x"))
+    data = pixels.select(*names, F.col(column).alias("_x"))  # cleaned inside the tasks
     kept = [pixels.schema[c] for c in keep]
     schema = T.StructType([pixels.schema[c] for c in PIXEL] + kept + [T.StructField("w", T.ArrayType(T.DoubleType()))])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import stats as S
 from ..operators import unmix as U
+from ..scale import join_dim
 from ..tables import FIELD, PIXEL
 from . import fixtures as fx
 from .registry import query
@@ -36,6 +37,23 @@ query("unmix_by_class", """
 SELECT label, count(*) AS n_pixels, round(avg(w0), 6) AS mean_w0, round(avg(w1), 6) AS mean_w1 FROM w2 GROUP BY ALL""", NNLS2_SQL)(flagship)
 
 
+@query("unmix_corpus", """
+SELECT l_returnflag, CAST(l_linenumber AS INT) AS line, count(*) AS n_pixels, round(avg(l_quantity * w0), 6) AS mean_w0, round(avg(l_quantity * w1), 6) AS mean_w1
+FROM lineitem JOIN w2 ON w2.y * 25 + w2.x = l_orderkey % (SELECT count(*) FROM embeddings) GROUP BY ALL""", NNLS2_SQL)
+def _(spark, sf):
+    """Every order line is a pixel whose spectrum is an embedding scaled by its quantity."""
+    base = fx.pixels_emb(spark, sf).select((F.col("y") * 25 + F.col("x")).cast("bigint").alias("id"), "spectrum")
+    n = fx.table(spark, sf, "embeddings").count()
+    lines = fx.table(spark, sf, "lineitem").select(
+        F.lit("emb").alias("image_id"), F.lit(0).alias("slice_id"), F.expr("CAST(l_orderkey div 1024 AS INT)").alias("y"),
+        F.expr("CAST(l_orderkey % 1024 AS INT)").alias("x"), (F.col("l_orderkey") % n).alias("id"), "l_quantity", "l_returnflag",
+        F.col("l_linenumber").cast("int").alias("line"))
+    pixels = join_dim(lines, base, ["id"]).withColumn("spectrum", F.transform("spectrum", lambda v: v * F.col("l_quantity")))
+    w = U.nnls_fixed_h(pixels, fx.label_spectra(spark, sf, 2), keep=["l_returnflag", "line"])
+    return w.groupBy("l_returnflag", "line").agg(
+        F.count(F.lit(1)).alias("n_pixels"), rnd(F.avg(F.element_at("w", 1)), "mean_w0"), rnd(F.avg(F.element_at("w", 2)), "mean_w1"))
+
+
 @query("nnls_fixed_h", "SELECT image_id, slice_id, y, x, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM w2", NNLS2_SQL)
 def _(spark, sf):
     w = U.nnls_fixed_h(fx.pixels_emb(spark, sf), fx.label_spectra(spark, sf, 2), require=2)

@@ -32,9 +32,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors,
     and gives the planner the true size of the table."""
     spark = df.sparkSession
+    if getattr(df, "_written_once", False):
+        return df
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_once = True
+    return out
 
 
 def cell_count(df: DataFrame) -> int:
@@ -71,22 +75,22 @@ def join_dim(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inne
              limit: int | None = None) -> DataFrame:
     """Join a pixel-scale table to a table that is small in ordinary use.
 
-    The size of ``dim`` is measured; below the limit it is broadcast, beyond it the join is salted.
+    ``dim`` is often an aggregate of the big table itself, so it is written once rather than computed for
+    the size check and again for the join. Below the limit it is broadcast, beyond it the join is salted.
     """
+    dim = materialize(dim)
     if fits_broadcast(dim, limit):
         return big.join(F.broadcast(dim), list(on), how)
     return salted_join(big, dim, on, how)
 
 
-def join_stats(big: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner",
-               limit: int | None = None) -> DataFrame:
-    """``join_dim`` for an aggregate of the big table: it is written once, then measured."""
-    return join_dim(big, materialize(stats), on, how, limit)
+join_stats = join_dim
 
 
 def theta_join(big: DataFrame, dim: DataFrame, on: Sequence[str], condition: Column,
                limit: int | None = None, salts: int = SALTS) -> DataFrame:
     """Range join on equal keys plus ``condition``: broadcast when measured small, else salted."""
+    dim = materialize(dim)
     if fits_broadcast(dim, limit):
         joined = big.join(F.broadcast(dim), list(on), "inner")
     else:
