@@ -12,7 +12,7 @@ written to the shared folder beside its spectrum. A pass is one job without a wi
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,16 @@ FEW_PARTIALS = 2_000_000
 
 @dataclass
 class Fit:
+    """Maps, spectra and report of a fit. The maps read a cached table until ``release`` is called."""
+
     abundance: DataFrame
     spectra: DataFrame
     report: DataFrame
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 def random_w(k: int, seed: int) -> Column:
@@ -279,6 +286,7 @@ def nmf(
     for f in fits[1:]:
         out = Fit(out.abundance.unionByName(f.abundance), out.spectra.unionByName(f.spectra),
                   out.report.unionByName(f.report))
+    out.cached = [base]
     return out
 
 
@@ -359,7 +367,6 @@ def _fit_batch(base, rows, spectra, k, solver, max_iter, tol, patience, every, e
         since += 1
         if since >= replay and iteration < max_iter:
             fresh = materialize(_apply(data, history, solver, update_w, eps, out_x=True))
-            data.unpersist()
             data, history, since = fresh, {key: [] for key in state}, 0
             partials = bound(data)
     abundance = _apply(data, history, solver, update_w, eps, out_x=False)
