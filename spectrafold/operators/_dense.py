@@ -49,6 +49,42 @@ def groups(batch, keys: list[str]):
         yield key, (np.arange(n) if len(first) == 1 else np.flatnonzero(inverse == g))
 
 
+def partial_sums(data, keys: list[str], columns: list[str], fn, max_keys: int = 20_000):
+    """Rows (keys, sums) of ``fn(matrix, ...)`` added up per key inside each partition.
+
+    ``fn`` gets one matrix per array column and returns a vector. A task holds at most ``max_keys``
+    vectors before it sends them on, so the number of keys is not limited.
+    """
+    names = [*keys, "sums"]
+    from pyspark.sql import types as T
+
+    kinds = [data.schema[k] for k in keys]
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    types = [arrow[k.dataType.simpleString()] for k in kinds]
+
+    def flush(totals):
+        cols = [pa.array([k[i] for k in totals], type=t) for i, t in enumerate(types)]
+        cols.append(pa.array([v.tolist() for v in totals.values()], type=pa.list_(pa.float64())))
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def work(batches):
+        totals: dict = {}
+        for batch in batches:
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            for key, rows in groups(batch, keys):
+                pick = pa.array(rows)
+                part = fn(*[matrix(a.take(pick)) for a in arrays])
+                totals[key] = totals[key] + part if key in totals else part
+            if len(totals) > max_keys:
+                yield flush(totals)
+                totals = {}
+        if totals:
+            yield flush(totals)
+
+    schema = T.StructType([*kinds, T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    return data.select(*keys, *columns).mapInArrow(work, schema)
+
+
 def nnls_rows(x: np.ndarray, h: np.ndarray, max_sweeps: int = 10_000) -> np.ndarray:
     """Exact non-negative least squares of every row of ``x`` on the rows of ``h``.
 

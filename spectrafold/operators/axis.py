@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.units import CM_INV, normalize_spectral_unit
 from ..scale import join_dim
@@ -78,7 +78,8 @@ def nearest_channel(targets: DataFrame, axis: DataFrame, target: str = "target")
 
 def interpolate_to_axis(curves: DataFrame, axis: DataFrame, keys: list[str], value: str = "value",
                         position: str = "axis_value") -> DataFrame:
-    """Linear interpolation of long curves onto an axis; outside the curve its end value holds.
+    """Linear interpolation of long curves onto an axis; outside the curve its end value holds. The keys
+    include ``image_id``.
 
     Source points need no order. Each curve becomes segments, joined to the axis by range.
     """
@@ -90,7 +91,7 @@ def interpolate_to_axis(curves: DataFrame, axis: DataFrame, keys: list[str], val
         F.min(position).over(whole).alias("_first"), F.max(position).over(whole).alias("_last"),
     )
     side = axis.select("image_id", "channel", F.col("value").alias("_t"))
-    joined = segments.join(side, "image_id") if "image_id" in keys else segments.crossJoin(F.broadcast(side.drop("image_id")))
+    joined = segments.join(side, "image_id")
     last = F.col("_x0") == F.col("_last")
     hit = (
         ((F.col("_t") >= F.col("_x0")) & (F.col("_t") < F.col("_x1")))
@@ -110,7 +111,7 @@ def sort_axis(axis: DataFrame, key: str = "image_id") -> DataFrame:
     return axis.withColumn("sorted_channel", F.row_number().over(order) - 1)
 
 
-def default_resonances(axis: DataFrame, rows: int, spark: SparkSession) -> DataFrame:
+def default_resonances(axis: DataFrame, rows: int) -> DataFrame:
     """Default center and width of the first ``rows`` resonance rows of each image.
 
     Built-in rows apply on a wavenumber axis that contains them, otherwise positions are quantiles of
@@ -118,9 +119,6 @@ def default_resonances(axis: DataFrame, rows: int, spark: SparkSession) -> DataF
     """
     n_default = len(DEFAULT_RESONANCES)
     table = F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(float(w)).alias("w")) for c, w in DEFAULT_RESONANCES])
-    slot = spark.range(rows).select(
-        F.col("id").cast("int").alias("row"), (F.col("id") % n_default).cast("int").alias("_i")
-    )
     order = Window.partitionBy("image_id").orderBy("value")
     steps = axis.select("image_id", "value").distinct().withColumn("_d", F.col("value") - F.lag("value").over(order))
     spacing = steps.groupBy("image_id").agg(F.median("_d").alias("_spacing"))
@@ -132,7 +130,7 @@ def default_resonances(axis: DataFrame, rows: int, spark: SparkSession) -> DataF
         F.array(*quantiles).alias("_q"), F.first("unit").alias("_u"),
         F.bool_and(F.abs(F.col("value") - F.rint("value")) <= 1e-8 + 1e-5 * F.abs(F.rint("value"))).alias("_whole"),
     ).join(spacing, "image_id")
-    both = facts.crossJoin(F.broadcast(slot))
+    both = facts.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("_i", F.col("row") % n_default)
     pick = F.element_at(table, F.col("_i") + 1)
     unit = normalize_spectral_unit("_u")
     builtin = (unit == CM_INV) & pick["c"].between(F.col("_min"), F.col("_max"))

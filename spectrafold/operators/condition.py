@@ -208,8 +208,7 @@ def source_spectrum(source: Column) -> Column:
 
 def resize_seed_set(seeds: DataFrame, k: int, n_channels: int) -> DataFrame:
     """Exactly components 0..k-1 per image; new ones are zero spectra without the background flag."""
-    spark = seeds.sparkSession
-    slots = seeds.select("image_id").distinct().crossJoin(F.broadcast(spark.range(k).select(F.col("id").cast("int").alias("component"))))
+    slots = seeds.select("image_id").distinct().withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     zeros = F.array_repeat(F.lit(0.0), n_channels)
     return slots.join(seeds, ["image_id", "component"], "left").select(
         "image_id", "component",

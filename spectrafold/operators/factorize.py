@@ -280,8 +280,8 @@ def nmf(
             part_h = spectra.filter(here) if spectra is not None else None
         rows = part_facts.collect()
         if rows:
-            fits.append(_fit_batch(part, rows, part_h, k, solver, max_iter, tol, patience, track_error_every, eps,
-                                   update_w, update_h, normalize_w_columns, seed, replay))
+            fits.append(_settle(n_batches, _fit_batch(part, rows, part_h, k, solver, max_iter, tol, patience, track_error_every, eps,
+                                               update_w, update_h, normalize_w_columns, seed, replay)))
     out = fits[0]
     for f in fits[1:]:
         out = Fit(out.abundance.unionByName(f.abundance), out.spectra.unionByName(f.spectra),
@@ -290,6 +290,13 @@ def nmf(
     return out
 
 
+def _settle(n_batches: int, fit: Fit) -> Fit:
+    """With many batches each result is written, so the driver keeps none of them."""
+    if n_batches == 1:
+        return fit
+    return Fit(materialize(fit.abundance), materialize(fit.spectra), materialize(fit.report))
+
+
 def _start_h(rows, spectra, k, seed, solver, eps):
     given = {}
     if spectra is not None:
@@ -465,7 +472,7 @@ def pca(pixels: DataFrame, k: int, *, column: str = "spectrum", state_limit: int
         part = pixels if n_batches == 1 else pixels.filter(F.pmod(F.xxhash64(*FIELD), F.lit(n_batches)) == b)
         fit = _pca_batch(part, k, column)
         if fit is not None:
-            parts.append(fit)
+            parts.append(_settle(n_batches, fit))
     out = parts[0]
     for f in parts[1:]:
         out = Fit(out.abundance.unionByName(f.abundance), out.spectra.unionByName(f.spectra), out.report.unionByName(f.report))

@@ -36,7 +36,11 @@ def _scaled_model(model: DataFrame, shape: DataFrame, keys: list[str]) -> DataFr
     """Model centre and widths on the target shape; each axis stretches by its (N - 1) ratio."""
     ratio = lambda n, r: (F.col(n) - 1) / F.greatest(F.lit(1.0), F.col(r) - 1.0)
     rx, ry = ratio("nx", "ref_nx"), ratio("ny", "ref_ny")
-    both = shape.select(*keys, "ny", "nx").join(model, keys) if keys else shape.crossJoin(F.broadcast(model))
+    if keys:
+        both = shape.select(*keys, "ny", "nx").join(model, keys)
+    else:  # one model for every image: its row becomes constants
+        row = model.first()
+        both = shape.withColumns({c: F.lit(row[c]) for c in model.columns})
     out = both.select(
         *[c for c in FIELD if c in both.columns], "ny", "nx", "amp",
         F.least(F.greatest("offset", F.lit(0.0)), F.lit(0.999)).alias("floor"),
@@ -45,6 +49,18 @@ def _scaled_model(model: DataFrame, shape: DataFrame, keys: list[str]) -> DataFr
     return out
 
 
+def _with_target(rows: DataFrame, normalize_to: str) -> DataFrame:
+    """The level that gets gain 1: the mean of the field (a product of two line means) or its peak pixel."""
+    if normalize_to == "mean":
+        bell = lambda i, c, s: F.exp(-0.5 * ((i - F.col(c)) / F.col(s)) * ((i - F.col(c)) / F.col(s)))
+        line = lambda c, s, n: A.mean(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: bell(i, c, s)))
+        top = line("cx", "sx", "nx") * line("cy", "sy", "ny")
+    else:
+        nearest = lambda c, n: F.least(F.greatest(F.ceil(F.col(c) - 0.5), F.lit(0)), F.col(n) - 1)
+        top = _gauss_at(nearest("cx", "nx"), nearest("cy", "ny"))
+    return rows.withColumn("_t", F.col("floor") + (1 - F.col("floor")) * top)
+
+
 def _gauss_at(x, y) -> Column:
     u, v = (x - F.col("cx")) / F.col("sx"), (y - F.col("cy")) / F.col("sy")
     return F.exp(-0.5 * u * u - 0.5 * v * v)
@@ -68,17 +84,11 @@ def illum_gain(model: DataFrame, shape: DataFrame, normalize_to: str = "center",
         shape = shape.select(*[c for c in FIELD if c in shape.columns], "ny", "nx")
     rows = _scaled_model(model, shape, keys)
     on = [c for c in FIELD if c in rows.columns]
-    nearest = lambda c, n: F.least(F.greatest(F.ceil(F.col(c) - 0.5), F.lit(0)), F.col(n) - 1)
-    if normalize_to == "mean":
-        line = lambda c, s, n: A.total(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.exp(-0.5 * ((i - F.col(c)) / F.col(s)) * ((i - F.col(c)) / F.col(s))))) / F.col(n)
-        top = line("cx", "sx", "nx") * line("cy", "sy", "ny")
-    else:
-        top = _gauss_at(nearest("cx", "nx"), nearest("cy", "ny"))
-    rows = rows.withColumn("_t", F.col("floor") + (1 - F.col("floor")) * top)
+    rows = _with_target(rows, normalize_to)
     if positions is None:
         grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"))
     else:
-        grid = join_dim(positions.select(*on, "y", "x"), rows, on) if on else positions.crossJoin(F.broadcast(rows))
+        grid = join_dim(positions.select(*on, "y", "x"), rows, on)
     field = F.col("floor") + (1 - F.col("floor")) * _gauss_at(F.col("x"), F.col("y"))
     grid = grid.withColumn("_g", field)
     if normalize_to == "median":
@@ -199,15 +209,8 @@ def _apply_model(pixels, shape, model, normalize_to, max_gain, dtype_max, eps):
     if normalize_to == "median":
         return apply_gain(pixels, illum_gain(model, shape, normalize_to, max_gain, eps), dtype_max)
     keys = [c for c in FIELD if c in model.columns]
-    rows = _scaled_model(model, shape, keys)
+    rows = _with_target(_scaled_model(model, shape, keys), normalize_to)
     on = [c for c in FIELD if c in rows.columns]
-    nearest = lambda c, n: F.least(F.greatest(F.ceil(F.col(c) - 0.5), F.lit(0)), F.col(n) - 1)
-    if normalize_to == "mean":
-        line = lambda c, s, n: A.total(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.exp(-0.5 * ((i - F.col(c)) / F.col(s)) * ((i - F.col(c)) / F.col(s))))) / F.col(n)
-        top = line("cx", "sx", "nx") * line("cy", "sy", "ny")
-    else:
-        top = _gauss_at(nearest("cx", "nx"), nearest("cy", "ny"))
-    rows = materialize(rows.withColumn("_t", F.col("floor") + (1 - F.col("floor")) * top))
     joined = join_dim(pixels, rows, on)
     g = F.col("floor") + (1 - F.col("floor")) * _gauss_at(F.col("x"), F.col("y"))
     gain = _clip_gain(1.0 + F.col("amp") * (F.col("_t") / (g + eps) - 1.0), max_gain)

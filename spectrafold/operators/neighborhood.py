@@ -68,8 +68,12 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
 
 
 def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x: float | None = None, edge: str = "reflect",
-                     value: str = "value", tile: int = 128, keys: list[str] | None = None, fill: float = 0.0) -> DataFrame:
-    """Separable Gaussian blur; ``edge`` is ``reflect`` (half-sample symmetric) or ``nearest``."""
+                     value: str = "value", tile: int = 128, keys: list[str] | None = None, fill: float = 0.0,
+                     subtract: bool = False) -> DataFrame:
+    """Separable Gaussian blur; ``edge`` is ``reflect`` (half-sample symmetric) or ``nearest``.
+
+    ``subtract`` gives the field minus its blur, which saves joining the two.
+    """
     sigma_x = sigma_y if sigma_x is None else sigma_x
     ky = np.asarray(gaussian_kernel(sigma_y)) if sigma_y > 0 else np.ones(1)
     kx = np.asarray(gaussian_kernel(sigma_x)) if sigma_x > 0 else np.ones(1)
@@ -79,7 +83,8 @@ def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x
     def kernel(p):
         ny, nx = p.shape[0] - 2 * halo, p.shape[1] - 2 * halo
         rows = sum(w * p[halo - ry + i: halo - ry + i + ny, :] for i, w in enumerate(ky))
-        return sum(w * rows[:, halo - rx + i: halo - rx + i + nx] for i, w in enumerate(kx))
+        blurred = sum(w * rows[:, halo - rx + i: halo - rx + i + nx] for i, w in enumerate(kx))
+        return p[halo: halo + ny, halo: halo + nx] - blurred if subtract else blurred
 
     mode = {"reflect": "symmetric", "nearest": "edge"}[edge]
     return map_tiles(field, shape, halo, kernel, value, tile, keys, fill, mode)

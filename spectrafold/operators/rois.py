@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
-from ..scale import materialize, theta_join
+from ..scale import join_dim, theta_join
 from ..tables import FIELD, PIXEL
+from .stats import mean_spectrum
 
 
 def _trunc(v) -> Column:
@@ -88,7 +89,7 @@ def bilinear_samples(field: DataFrame, samples: DataFrame, keys: list[str], valu
         *keys, (F.floor("sy") + F.col("_c.dy")).cast("int").alias("y"),
         (F.floor("sx") + F.col("_c.dx")).cast("int").alias("x"), (wy * wx).alias("_w"),
     ).filter("_w > 0")
-    joined = field.join(near, ["image_id", "y", "x"])
+    joined = join_dim(field, near, ["image_id", "y", "x"])
     group = list(dict.fromkeys([*FIELD, *keys]))
     return joined.groupBy(*group).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("value"))
 
@@ -107,10 +108,9 @@ def roi_mean_spectrum(pixels: DataFrame, rois: DataFrame, clip_negative: bool =
     source = F.col("spectrum")
     if "spectrum_sub" in pixels.columns:
         source = F.when(F.col("background"), F.col("spectrum")).otherwise(F.coalesce("spectrum_sub", "spectrum"))
-    sums = (
-        hits.select(*FIELD, "roi_id", F.posexplode(source).alias("channel", "value"))
-        .groupBy(*FIELD, "roi_id", "channel").agg(F.avg("value").alias("value"))
-    )
+    keys = [*FIELD, "roi_id"]
+    means = mean_spectrum(hits.select(*keys, source.alias("spectrum")), keys)
+    sums = means.select(*keys, F.posexplode("spectrum").alias("channel", "value"))
     info = rois.select("image_id", "roi_id", "component", "background", "scale", "offset", "smooth_sigma")
     shifted = F.col("value") + F.coalesce("offset", F.lit(0.0))
     if clip_negative:
@@ -223,13 +223,12 @@ def rescale_rois(rois: DataFrame, old_bin: int, new_bin: int) -> DataFrame:
 
 def audit_seeds(rois: DataFrame, resonances: DataFrame, k: int) -> DataFrame:
     """Components 1..k without any region or resonance, and defined components beyond k (1-based)."""
-    spark = rois.sparkSession
     defined = (
         rois.select("image_id", "component").unionByName(resonances.select("image_id", "component")).distinct()
         .withColumn("component", F.col("component") + 1)
     )
     images = defined.select("image_id").distinct()
-    wanted = images.crossJoin(F.broadcast(spark.range(1, k + 1).select(F.col("id").cast("int").alias("component"))))
+    wanted = images.withColumn("component", F.explode(F.sequence(F.lit(1), F.lit(k))))
     w, d = wanted.withColumn("_w", F.lit(True)), defined.withColumn("_d", F.lit(True))
     status = F.when(F.col("_d").isNull(), "missing").when(F.col("_w").isNull(), "beyond")
     return w.join(d, ["image_id", "component"], "full").select("image_id", "component", status.alias("status")).filter("status IS NOT NULL")
@@ -237,11 +236,8 @@ def audit_seeds(rois: DataFrame, resonances: DataFrame, k: int) -> DataFrame:
 
 def next_free_component(rois: DataFrame, k: int) -> DataFrame:
     """First unused component index per image, k when all are taken."""
-    spark = rois.sparkSession
     used = rois.select("image_id", "component").distinct()
-    slots = used.select("image_id").distinct().crossJoin(
-        F.broadcast(spark.range(k + 1).select(F.col("id").cast("int").alias("component")))
-    )
+    slots = used.select("image_id").distinct().withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(k))))
     return slots.join(used.filter(F.col("component") < k), ["image_id", "component"], "left_anti").groupBy("image_id").agg(
         F.min("component").alias("component")
     )

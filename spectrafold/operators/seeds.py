@@ -81,7 +81,7 @@ def seed_pixels(pixels: DataFrame, bands: DataFrame, *, metric: str = "intensity
         b["component"].alias("component"), seed_metric(F.col(column), b["channels"], metric).alias("m")))
     narrow = join_dim(pixels, packed, ["image_id"]).select(*PIXEL, metrics.alias("_m"))
     if excluded is not None:
-        narrow = narrow.join(excluded.select("image_id", "y", "x").distinct(), ["image_id", "y", "x"], "left_anti")
+        narrow = join_dim(narrow, excluded.select("image_id", "y", "x").distinct(), ["image_id", "y", "x"], "left_anti")
     narrow = materialize(narrow)
     components = [r[0] for r in bands.select("component").distinct().orderBy("component").collect()]
     n_max = bands.agg(F.max("n_pixels")).first()[0] or 0
@@ -90,7 +90,7 @@ def seed_pixels(pixels: DataFrame, bands: DataFrame, *, metric: str = "intensity
         mine = narrow.select(*PIXEL, F.explode("_m").alias("_e")).filter(F.col("_e.component") == c).select(
             *PIXEL, F.col("_e.m").alias("metric"))
         if picked is not None and unique:
-            mine = mine.join(picked.select(*PIXEL), PIXEL, "left_anti")
+            mine = join_dim(mine, picked.select(*PIXEL), PIXEL, "left_anti")
         info = bands.filter(F.col("component") == c).select("image_id", "n_pixels", "threshold")
         mine = join_dim(mine, info, ["image_id"])
         wished = F.coalesce("n_pixels", F.lit(0)) > 0
@@ -106,7 +106,7 @@ def seed_pixels(pixels: DataFrame, bands: DataFrame, *, metric: str = "intensity
 
 def seed_pixel_spectra(pixels: DataFrame, picked: DataFrame, bands: DataFrame) -> DataFrame:
     """Mean spectrum of the seed pixels of each component, from its preferred source."""
-    joined = pixels.join(picked.select(*PIXEL, "component"), PIXEL)
+    joined = join_dim(pixels, picked.select(*PIXEL, "component"), PIXEL)
     joined = join_dim(joined, bands.select("image_id", "component", "use_subtracted"), ["image_id", "component"])
     source = F.col("spectrum")
     if "spectrum_sub" in pixels.columns:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
 from ..scale import exact_percentile, join_dim, join_stats
 from ..tables import FIELD, PIXEL
+from ._dense import partial_sums
 
 
 def project_spectral(pixels: DataFrame, mode: str = "avg", column: str = "spectrum") -> DataFrame:
@@ -62,11 +64,15 @@ def weighted_mean_spectrum(voxels: DataFrame, weight: str = "w", keys: list[str]
 
 
 def mean_spectrum(pixels: DataFrame, keys: list[str], column: str = "spectrum") -> DataFrame:
-    """Mean spectrum per key in wide form; sums per channel combine on the map side."""
-    long = pixels.select(*keys, F.posexplode(column).alias("channel", "value"))
-    mean = long.groupBy(*keys, "channel").agg(F.avg("value").alias("value"))
-    cells = F.array_sort(F.collect_list(F.struct("channel", "value")))
-    return mean.groupBy(*keys).agg(F.transform(cells, lambda s: s["value"]).alias(column))
+    """Mean spectrum per key in wide form. Each task adds up its own rows as matrices, so only one vector
+    per task and key is shuffled, however many pixels a key has."""
+    named = pixels.select(*keys, F.col(column).alias("_v"))
+    parts = partial_sums(named, keys, ["_v"], lambda x: np.append(x.sum(axis=0), len(x)))
+    cells = parts.select(*keys, F.posexplode("sums").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+    packed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))
+    count = F.element_at("_s", -1)["v"]
+    mean = A.let(count, lambda n: F.transform(F.slice("_s", 1, F.size("_s") - 1), lambda s: s["v"] / n))
+    return packed.select(*keys, mean.alias(column))
 
 
 def band_mean_map(pixels: DataFrame, bands: DataFrame, column: str = "spectrum", source: Column | None = None,
@@ -114,28 +120,38 @@ def percentiles(df: DataFrame, group: list[str], value: str, fractions: list[flo
 
 
 def gram(pixels: DataFrame, w: str = "w", column: str = "spectrum", keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Normal-equation sums WtW (k x k) and WtX (k x c) in long form, combined on the map side."""
+    """Normal-equation sums WtW (k x k) and WtX (k x c) in long form; one small matrix per task and key travels."""
     keys = keys or FIELD
-    rows = pixels.select(*keys, F.posexplode(w).alias("i", "_wi"), F.col(w).alias("_w"), F.col(column).alias("_x"))
-    wtw = rows.select(*keys, "i", "_wi", F.posexplode("_w").alias("j", "_wj")).groupBy(*keys, "i", "j").agg(
-        F.sum(F.col("_wi") * F.col("_wj")).alias("value")
-    )
-    wtx = rows.select(*keys, "i", "_wi", F.posexplode("_x").alias("channel", "_v")).groupBy(*keys, "i", "channel").agg(
-        F.sum(F.col("_wi") * F.col("_v")).alias("value")
-    )
-    return wtw, wtx
+    named = pixels.select(*keys, F.col(w).alias("_w"), F.col(column).alias("_x"))
+
+    def sums(a: str, b: str, second: str) -> DataFrame:
+        both = [a] if a == b else [a, b]
+        fn = (lambda x: np.append((x.T @ x).ravel(), x.shape[1] * len(x))) if a == b else (
+            lambda x, y: np.append((x.T @ y).ravel(), y.shape[1] * len(x)))
+        parts = partial_sums(named.withColumn("_n", F.size(b)), [*keys, "_n"], both, fn)
+        flat = parts.select(*keys, "_n", F.posexplode(F.slice("sums", 1, F.size("sums") - 1)).alias("p", "v"))
+        return flat.groupBy(*keys, F.floor(F.col("p") / F.col("_n")).cast("int").alias("i"),
+                            (F.col("p") % F.col("_n")).cast("int").alias(second)).agg(F.sum("v").alias("value"))
+
+    return sums("_w", "_w", "j"), sums("_w", "_x", "channel")
 
 
-def channel_covariance(voxels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Population covariance of every channel pair, from pair sums inside each pixel."""
+def channel_covariance(pixels: DataFrame, keys: list[str] | None = None, column: str = "spectrum") -> DataFrame:
+    """Population covariance of every channel pair (first channel <= second).
+
+    The spectra are centred on the mean of their key and multiplied as matrices inside the tasks.
+    """
     keys = keys or FIELD
-    cells = F.collect_list(F.struct("channel", "value"))
-    rows = voxels.groupBy(*keys, "y", "x").agg(cells.alias("_s"))
-    pairs = rows.select(*keys, F.explode("_s").alias("_a"), "_s").select(*keys, "_a", F.explode("_s").alias("_b"))
-    pairs = pairs.filter(F.col("_a.channel") <= F.col("_b.channel"))
-    return pairs.groupBy(*keys, F.col("_a.channel").alias("channel_a"), F.col("_b.channel").alias("channel_b")).agg(
-        F.covar_pop("_a.value", "_b.value").alias("covariance")
-    )
+    centre = mean_spectrum(pixels, keys, column).withColumnRenamed(column, "_m")
+    both = join_dim(pixels.select(*keys, F.col(column).alias("_x")), centre, keys)
+    both = both.withColumn("_n", F.size("_x"))
+    parts = partial_sums(both, [*keys, "_n"], ["_x", "_m"], lambda x, m: np.append(((x - m).T @ (x - m)).ravel(), len(x)))
+    sums = parts.select(*keys, "_n", F.posexplode("sums").alias("p", "v")).groupBy(*keys, "_n", "p").agg(F.sum("v").alias("v"))
+    count = sums.filter(F.col("p") == F.col("_n") * F.col("_n")).select(*keys, F.col("v").alias("_count"))
+    pairs = sums.filter(F.col("p") < F.col("_n") * F.col("_n")).select(
+        *keys, F.floor(F.col("p") / F.col("_n")).cast("int").alias("channel_a"), (F.col("p") % F.col("_n")).cast("int").alias("channel_b"), "v")
+    return pairs.filter("channel_a <= channel_b").join(count, keys).select(
+        *keys, "channel_a", "channel_b", (F.col("v") / F.col("_count")).alias("covariance"))
 
 
 def fit_error(fitted: DataFrame, keys: list[str] | None = None, algorithm: str = "fixed_h") -> DataFrame:

@@ -85,8 +85,7 @@ def response_map(field: DataFrame, shape: DataFrame, background_sigma: float = 8
     keys = keys or FIELD
     clean = field.select(*keys, "y", "x", A.finite_or_zero(F.col("value")).alias("value"))
     if background_sigma > 0:
-        blur = gaussian_blur_2d(clean, shape, background_sigma, keys=keys).withColumnRenamed("value", "_b")
-        clean = clean.join(blur, [*keys, "y", "x"]).withColumn("value", F.col("value") - F.col("_b")).drop("_b")
+        clean = gaussian_blur_2d(clean, shape, background_sigma, keys=keys, subtract=True)
     up = materialize(clean.withColumn("value", F.greatest("value", F.lit(0.0))))
     positive = up.filter("value > 0")
     top = positive.groupBy(*keys).agg(F.max("value").alias("_max"))

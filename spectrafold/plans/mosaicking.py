@@ -27,7 +27,7 @@ tl AS (SELECT t.range AS tx, u.range AS ty, CAST(y - 28 * u.range AS INT) AS y,
 def tiles(spark, sf, shift: int = 0):
     """2 x 2 tiles of 36 x 36 with overlap 8 cut from the folded image; the lower row sits ``shift`` rows higher."""
     cells = to_pixels(fx.voxels_li(spark, sf), 7).select("y", "x", "spectrum")
-    grid = spark.range(64).select(F.col("id").cast("int").alias("y")).crossJoin(spark.range(64).select(F.col("id").cast("int").alias("x")))
+    grid = spark.range(64).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
     image = grid.join(cells, ["y", "x"], "left").withColumn("spectrum", F.coalesce("spectrum", F.array_repeat(F.lit(0.0), 7)))
     cut = image.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("tx"))
     y0, x0 = F.col("ty") * (28 - shift), F.col("tx") * 28

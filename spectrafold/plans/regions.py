@@ -199,7 +199,7 @@ def _(spark, sf):
 SELECT a.image_id, a.slice_id, a.channel AS channel_a, b.channel AS channel_b, round(covar_pop(a.value, b.value), 6) AS covariance
 FROM ordvox a JOIN ordvox b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x AND a.channel <= b.channel GROUP BY ALL""")
 def _(spark, sf):
-    return S.channel_covariance(to_voxels(fx.pixels_ord(spark, sf))).withColumn("covariance", rnd("covariance"))
+    return S.channel_covariance(fx.pixels_ord(spark, sf)).withColumn("covariance", rnd("covariance"))
 
 
 @query("weighted_mean_spectrum", """

@@ -327,11 +327,11 @@ ax AS (SELECT 's' || s_suppkey AS image_id, s_suppkey % 3 AS m,
    FROM supplier CROSS JOIN range(11))""")
 def _(spark, sf):
     m = F.col("s_suppkey") % 3
-    axis = fx.table(spark, sf, "supplier").crossJoin(F.broadcast(spark.range(11))).select(
+    axis = fx.table(spark, sf, "supplier").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(10)))).select(
         F.concat(F.lit("s"), "s_suppkey").alias("image_id"),
         F.when(m == 0, 2800 + F.col("s_nationkey") + F.lit(25.5) * F.col("id"))
         .when(m == 1, 500 + F.col("s_nationkey") + F.lit(25.5) * F.col("id")).otherwise(F.col("id").cast("double")).alias("value"),
         F.when(m == 0, "cm-1").when(m == 1, "nm").otherwise("index").alias("unit"),
     )
-    out = X.default_resonances(axis, 8, spark)
+    out = X.default_resonances(axis, 8)
     return out.select("image_id", "row", rnd("center", "center"), rnd("width", "width"))

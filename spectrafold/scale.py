@@ -157,11 +157,14 @@ def exact_percentile(df: DataFrame, group: Sequence[str], value: str, fractions:
     if not distributed:
         aggs = [F.percentile(value, F.lit(float(p))).alias(n) for p, n in zip(fractions, names)]
         return df.groupBy(*group).agg(*aggs)
+    if not group:
+        one = exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions, names)
+        return one.drop("_all")
     freq = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(freq, group, [F.col(value)], F.col("_n"), "_upto")
     ranked = materialize(ranked)
     size = ranked.groupBy(*group).agg(F.max("_upto").alias("_size"))
-    wanted = join_dim(ranked, size, group) if group else ranked.crossJoin(F.broadcast(size))
+    wanted = join_dim(ranked, size, group)
     first = F.col("_upto") - F.col("_n")  # zero-based rank of the first copy
     aggs = []
     for p, n in zip(fractions, names):
