@@ -269,13 +269,13 @@ def nmf(
     if not count:
         raise ValueError("no pixels")
     per_field = k * (width + k) * (replay + 1)
-    n_batches = max(1, -(-count * per_field // state_limit))
+    n_batches = min(count, max(1, -(-count * per_field // state_limit)))
     fits = []
     for b in range(n_batches):
         if n_batches == 1:
             part, part_facts, part_h = base, facts, spectra
         else:
-            here = F.pmod(F.xxhash64("image_id"), F.lit(n_batches)) == b
+            here = F.pmod(F.xxhash64("image_id"), F.lit(n_batches)) == b  # seeds may lack the slice
             part, part_facts = base.filter(here), facts.filter(here)
             part_h = spectra.filter(here) if spectra is not None else None
         rows = part_facts.collect()
@@ -466,7 +466,7 @@ def pca(pixels: DataFrame, k: int, *, column: str = "spectrum", state_limit: int
     spark = pixels.sparkSession
     facts = pixels.groupBy(*FIELD).agg(F.max(F.size(column)).alias("c"))
     count, width = facts.agg(F.count(F.lit(1)), F.max("c")).first()
-    n_batches = max(1, -(-count * width * (width + 4) // state_limit))
+    n_batches = min(count, max(1, -(-count * width * (width + 4) // state_limit)))
     parts = []
     for b in range(n_batches):
         part = pixels if n_batches == 1 else pixels.filter(F.pmod(F.xxhash64(*FIELD), F.lit(n_batches)) == b)
