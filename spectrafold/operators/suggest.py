@@ -1,8 +1,7 @@
 """Automatic region suggestion: response maps, candidate boxes, grouping by spectrum.
 
-Response maps, their percentiles and their blurs are distributed. Boxes are placed one after the other
-because each depends on those before it; for an image whose binned map has at most ``max_cells`` cells
-that runs in one task per image, for a larger one over distributed connected regions.
+Response maps, their percentiles, blurs and connected regions are distributed over tiles. Boxes depend on those
+before them, so they are accepted in rounds over all images together.
 """
 
 from __future__ import annotations
@@ -14,17 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
-from ..scale import exact_percentile, join_dim, join_stats, materialize, theta_join
+from ..scale import exact_percentile, join_dim, join_stats, materialize, theta_join, top_n
 from ..tables import FIELD, PIXEL
 from . import stats as S
 from .condition import sub_band
 from .neighborhood import field_shape, gaussian_blur_2d, local_maxima
-from .rois import pixels_in_roi
+from .rois import bbox_iou, pixels_in_roi
 
 
 @dataclass
 class Settings:
-    """Defaults of the suggestion dialog."""
+    """Settings of the suggestion. The defaults are fixed values."""
 
     projection_mode: str = "average"
     background_sigma: float = 8.0
@@ -51,7 +50,7 @@ class Settings:
         return max(1, self.max_groups) * max(1, self.max_rois_per_group) * max(2, self.pool_factor)
 
     def levels(self) -> list[tuple[float, float]]:
-        """(share of the maximum, percentile floor) of the eight thresholds."""
+        """(share of the maximum, percentile floor) of the eight thresholds; a fixed rule."""
         high = min(max(self.threshold_ratio, 0.05), 0.99)
         low = max(0.05, high * 0.12)
         return list(zip(np.linspace(high, low, 8).tolist(), np.linspace(75.0, 15.0, 8).tolist()))
@@ -188,6 +187,8 @@ def connected_regions(mask: DataFrame, keys: list[str] | None = None, tile: int
     right = here.filter(F.col("x") % tile == tile - 1).join(there(0, 1), [*keys, "y", "x"])
     edges = down.unionByName(right).select(*keys, "a", "b").filter("a <> b").distinct()
     both = materialize(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    if not both.take(1):  # no region crosses a tile
+        return labelled.select(*keys, "y", "x", F.col("_r").alias("region"))
     names = materialize(both.select(*keys, F.col("a").alias("node")).distinct().withColumn("name", F.col("node")))
     while True:
         near = both.join(names.select(*keys, F.col("node").alias("b"), "name"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("name").alias("_n"))
@@ -205,20 +206,17 @@ def connected_regions(mask: DataFrame, keys: list[str] | None = None, tile: int
 
 # --- candidates ----------------------------------------------------------------------------------
 
-def _iou(a, b) -> float:
-    h = min(a[2], b[2]) - max(a[0], b[0])
-    w = min(a[3], b[3]) - max(a[1], b[1])
-    if h <= 0 or w <= 0:
-        return 0.0
-    both = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - h * w
-    return h * w / both if both > 0 else 0.0
+# Overlap from which a box counts as found already, and the percentiles under the eight thresholds.
+FOUND_ALREADY = 0.45
 
 
-def scale_box(box, factor: int, padding: int, ny: int, nx: int):
-    """Binned box (y0, x0, y1, x1) to (y, x, h, w) on the full grid, padded and clipped."""
-    y0, x0 = max(0, box[0] * factor - padding), max(0, box[1] * factor - padding)
-    y1, x1 = min(ny, box[2] * factor + padding), min(nx, box[3] * factor + padding)
-    return y0, x0, max(1, y1 - y0), max(1, x1 - x0)
+def overlap_with(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of one box (y, x, h, w) with each row of others."""
+    low = np.maximum(box[:2], others[:, :2])
+    high = np.minimum(box[:2] + box[2:], others[:, :2] + others[:, 2:])
+    both = np.prod(np.clip(high - low, 0, None), axis=1)
+    whole = np.prod(box[2:]) + np.prod(others[:, 2:], axis=1) - both
+    return np.divide(both, whole, out=np.zeros(len(others)), where=whole > 0)
 
 
 def scale_boxes(boxes: DataFrame, factor: int, padding: int) -> DataFrame:
@@ -231,184 +229,150 @@ def scale_boxes(boxes: DataFrame, factor: int, padding: int) -> DataFrame:
         {"_y": "y", "_x": "x", "_h": "h", "_w": "w"})
 
 
-class _Collector:
-    """Accepts boxes in order under the overlap and size rules until enough are found."""
-
-    def __init__(self, st: Settings, ny: int, nx: int):
-        self.st, self.ny, self.nx = st, ny, nx
-        self.seen, self.local, self.out = [], [], []
-
-    def new_region(self):
-        self.local = []
-
-    def offer(self, box, score) -> None:
-        if any(_iou(box, o) >= 0.60 for o in self.local) or any(_iou(box, o) >= 0.45 for o in self.seen):
-            return
-        full = scale_box(box, self.st.bin_factor, self.st.padding, self.ny, self.nx)
-        if self.st.min_diagonal > 0 and np.hypot(full[2], full[3]) < self.st.min_diagonal:
-            return
-        self.local.append(box)
-        self.seen.append(box)
-        self.out.append((*full, score))
-
-    @property
-    def full(self) -> bool:
-        return len(self.out) >= self.st.wanted
-
-
-def _flood(mask: np.ndarray, y: int, x: int):
-    """Bounding box of the 4-connected part of ``mask`` around one pixel."""
-    seen = {(y, x)}
-    stack = [(y, x)]
-    y0 = y1 = y
-    x0 = x1 = x
-    while stack:
-        cy, cx = stack.pop()
-        y0, y1, x0, x1 = min(y0, cy), max(y1, cy), min(x0, cx), max(x1, cx)
-        for q in ((cy - 1, cx), (cy + 1, cx), (cy, cx - 1), (cy, cx + 1)):
-            if 0 <= q[0] < mask.shape[0] and 0 <= q[1] < mask.shape[1] and mask[q] and q not in seen:
-                seen.add(q)
-                stack.append(q)
-    return y0, x0, y1 + 1, x1 + 1
-
-
-def candidates_of_map(grid: np.ndarray, st: Settings, ny: int, nx: int) -> list[tuple]:
-    """Candidate boxes (y, x, h, w, score) of one binned map, best first."""
-    positive = grid[grid > 0]
-    if not positive.size:
-        return []
-    top = positive.max()
-    r = max(3, st.peak_window | 1) // 2
-    padded = np.pad(grid, r, mode="edge")
-    rows = np.max([padded[:, i: i + grid.shape[1]] for i in range(2 * r + 1)], axis=0)
-    peaks = grid == np.max([rows[i: i + grid.shape[0]] for i in range(2 * r + 1)], axis=0)
-    found = _Collector(st, ny, nx)
-    for ratio, level in st.levels():
-        threshold = max(top * ratio, np.percentile(positive, level))
-        labels = _label(grid >= threshold)
-        flat = labels.ravel()
-        order = np.argsort(flat, kind="stable")
-        bounds = np.searchsorted(flat[order], np.arange(1, labels.max() + 2))
-        for n in range(labels.max()):
-            cells = order[bounds[n]: bounds[n + 1]]
-            if len(cells) < max(1, st.min_area):
-                continue
-            tops = cells[peaks.ravel()[cells]]
-            if not len(tops):
-                tops = cells[[grid.ravel()[cells].argmax()]]
-            tops = tops[np.argsort(-grid.ravel()[tops], kind="stable")]
-            found.new_region()
-            for cell in tops:
-                y, x = divmod(int(cell), grid.shape[1])
-                if grid[y, x] <= 0:
-                    continue
-                cut = max(threshold, grid[y, x] * st.peak_region_ratio)
-                found.offer(_flood((labels == n + 1) & (grid >= cut), y, x), float(grid[y, x]))
-                if found.full:
-                    break
-            if found.full:
-                break
-        if found.full:
-            break
-    return sorted(found.out, key=lambda c: -c[4])[: st.wanted]
-
-
-def _candidates_of_large_map(coarse: DataFrame, st: Settings, ny: int, nx: int, sy: int, sx: int) -> list[tuple]:
-    """The same boxes for one map too large for a task; regions and floods are Spark jobs and the driver
-    only sees one region summary or one box at a time."""
-    spark = coarse.sparkSession
-    grid = coarse.select(F.lit(0).alias("g"), "y", "x", "value")
-    positive = grid.filter("value > 0")
-    top = positive.agg(F.max("value")).first()[0]
-    if top is None:
-        return []
-    levels = st.levels()
-    floors = exact_percentile(positive, ["g"], "value", [p / 100 for _r, p in levels], [f"p{i}" for i in range(8)]).first()
-    shape = spark.createDataFrame([(0, sy, sx)], "g INT, ny INT, nx INT")
-    peaks = materialize(local_maxima(grid, shape, st.peak_window, keys=["g"]).select("y", "x", F.lit(True).alias("peak")))
-    found = _Collector(st, ny, nx)
-    for i, (ratio, _level) in enumerate(levels):
-        threshold = max(top * ratio, floors[f"p{i}"])
-        labelled = connected_regions(grid.filter(F.col("value") >= threshold), ["g"])
-        labelled = materialize(labelled.join(grid, ["g", "y", "x"]).join(peaks, ["y", "x"], "left"))
-        regions = labelled.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count("peak").alias("peaks"))
-        for reg in regions.filter(F.col("n") >= max(1, st.min_area)).orderBy("region").toLocalIterator():
-            mine = labelled.filter(F.col("region") == reg["region"])
-            tops = (mine.filter("peak") if reg["peaks"] else mine).orderBy(F.desc("value"), "y", "x")
-            tops = tops if reg["peaks"] else tops.limit(1)
-            found.new_region()
-            for p in tops.select("y", "x", "value").toLocalIterator():
-                cut = max(threshold, p["value"] * st.peak_region_ratio)
-                parts = connected_regions(mine.filter(F.col("value") >= cut), ["g"])
-                at = parts.filter((F.col("y") == p["y"]) & (F.col("x") == p["x"])).select("region")
-                box = parts.join(at, "region").agg(F.min("y"), F.min("x"), F.max("y") + 1, F.max("x") + 1).first()
-                found.offer(tuple(box), p["value"])
-                if found.full:
-                    break
-            if found.full:
-                break
-        if found.full:
-            break
-    return sorted(found.out, key=lambda c: -c[4])[: st.wanted]
-
-
-def extract_candidates(response: DataFrame, shape: DataFrame, settings: Settings, keys: list[str] | None = None,
-                       max_cells: int = 16_000_000) -> DataFrame:
-    """Candidate boxes of every response map: (keys, candidate, y, x, h, w, score)."""
-    keys = keys or FIELD
+def _binned(response: DataFrame, shape: DataFrame, settings: Settings, keys: list[str]) -> DataFrame:
+    """The response on the coarse grid, smoothed: (keys, y, x, value), nothing below zero."""
     on = [k for k in keys if k in shape.columns]
     f = max(1, settings.bin_factor)
     data = join_dim(response, shape.select(*on, "ny", "nx"), on)
     if f > 1:
         data = data.filter((F.col("y") < F.floor(F.col("ny") / f) * f) & (F.col("x") < F.floor(F.col("nx") / f) * f))
-        data = data.groupBy(*keys, (F.expr(f"CAST(y div {f} AS INT)")).alias("y"), F.expr(f"CAST(x div {f} AS INT)").alias("x"), "ny", "nx").agg(F.avg("value").alias("value"))
-    small_shape = data.groupBy(*keys).agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
+        data = data.groupBy(*keys, (F.expr(f"CAST(y div {f} AS INT)")).alias("y"), F.expr(f"CAST(x div {f} AS INT)").alias("x")).agg(F.avg("value").alias("value"))
     coarse = data.select(*keys, "y", "x", "value")
     if settings.smoothing_sigma > 0:
-        coarse = gaussian_blur_2d(coarse, small_shape, settings.smoothing_sigma, keys=keys)
-    coarse = coarse.withColumn("value", F.greatest(A.finite_or_zero(F.col("value")), F.lit(0.0)))
-    coarse = materialize(join_dim(coarse, shape.select(*on, "ny", "nx"), on))
-    sizes = materialize(coarse.groupBy(*keys, "ny", "nx").agg((F.max("y") + 1).alias("sy"), (F.max("x") + 1).alias("sx")))
-    area = F.col("sy").cast("bigint") * F.col("sx")
-    types = {k: response.schema[k].dataType.simpleString() for k in keys}
-    out = ", ".join(f"`{k}` {t}" for k, t in types.items()) + ", candidate INT, y INT, x INT, h INT, w INT, score DOUBLE"
+        coarse = gaussian_blur_2d(coarse, field_shape(coarse, keys), settings.smoothing_sigma, keys=keys)
+    return materialize(coarse.withColumn("value", F.greatest(A.finite_or_zero(F.col("value")), F.lit(0.0))))
+
+
+def _thresholds(coarse: DataFrame, settings: Settings, keys: list[str]) -> DataFrame:
+    """(keys, level, threshold): a share of the largest response, but not under a percentile of the positive ones."""
+    positive = coarse.filter("value > 0")
+    levels = settings.levels()
+    names = [f"p{i}" for i in range(len(levels))]
+    floors = exact_percentile(positive, keys, "value", [p / 100 for _, p in levels], names)
+    top = positive.groupBy(*keys).agg(F.max("value").alias("top"))
+    each = F.array(*[F.greatest(F.col("top") * share, F.col(n)) for (share, _), n in zip(levels, names)])
+    return floors.join(top, keys).select(*keys, F.posexplode(each).alias("level", "threshold"))
+
+
+def _ranked_peaks(cells: DataFrame, settings: Settings, keys: list[str]) -> DataFrame:
+    """The peaks of every region that is large enough, or its largest cell if none is a peak, with their place in
+    the order of trial: by level, region, falling value and position."""
+    region = [*keys, "level", "region"]
+    sizes = cells.groupBy(*region).agg(
+        F.count(F.lit(1)).alias("_n"), F.count("peak").alias("_peaks"),
+        F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("_best"))
+    sizes = materialize(sizes.filter(F.col("_n") >= max(1, settings.min_area)))
+    best = (F.col("value") == F.col("_best.value")) & (F.col("y") == -F.col("_best.y")) & (F.col("x") == -F.col("_best.x"))
+    tried = join_dim(cells, sizes, region).filter((F.col("value") > 0) & F.when(F.col("_peaks") > 0, F.col("peak").isNotNull()).otherwise(best))
+    return materialize(tried.select(*region, "y", "x", "value", F.greatest("threshold", F.col("value") * settings.peak_region_ratio).alias("cut"),
+                                    F.struct("level", "region", (-F.col("value")).alias("low"), "y", "x").alias("place")))
+
+
+def _boxes_around(cells: DataFrame, peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """For each peak the box (y, x, h, w) of the cells connected to it in its region at its cut or above."""
+    region = [*keys, "level", "region"]
+    near = peaks.select(*region, "rank", "cut", F.col("y").alias("_py"), F.col("x").alias("_px"))
+    around = theta_join(cells.select(*region, "y", "x", "value"), near, region, F.col("value") >= F.col("cut"))
+    around = materialize(around.select(*keys, "rank", "y", "x"))
+    on = [*keys, "rank"]
+    start = near.select(*on, F.col("_py").alias("y"), F.col("_px").alias("x"), F.lit(True).alias("_start"))
+    parts = connected_regions(around, on).join(start, [*on, "y", "x"], "left")
+    sides = parts.groupBy(*on, "region").agg(
+        F.min("y").alias("y"), F.min("x").alias("x"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"),
+        F.bool_or("_start").alias("_start"))
+    return sides.filter("_start").select(*on, "y", "x", "h", "w")
+
+
+def _accept(settings: Settings, keys: list[str], batch: int):
+    """Go through the boxes of one image in their order, from those taken in earlier rounds on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1))
-        grid[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["value"].to_numpy()
-        rows = candidates_of_map(grid, settings, int(pdf["ny"].iloc[0]), int(pdf["nx"].iloc[0]))
-        base = tuple(pdf[k].iloc[0] for k in keys)
-        return pd.DataFrame([(*base, i, *r) for i, r in enumerate(rows)], columns=[*keys, "candidate", "y", "x", "h", "w", "score"])
-
-    fitting = join_dim(coarse, sizes.filter(area <= max_cells).select(*keys), keys, "left_semi")
-    result = fitting.groupBy(*keys).applyInPandas(run, out)
-    rows = []
-    for r in sizes.filter(area > max_cells).toLocalIterator():
-        mine = coarse
-        for k in keys:
-            mine = mine.filter(F.col(k) == r[k])
-        boxes = _candidates_of_large_map(mine, settings, r["ny"], r["nx"], r["sy"], r["sx"])
-        rows += [(*[r[k] for k in keys], i, *[int(v) for v in b[:4]], float(b[4])) for i, b in enumerate(boxes)]
-    return result.unionByName(response.sparkSession.createDataFrame(rows, out)) if rows else result
-
-
-def greedy_nms(boxes: DataFrame, keys: list[str], threshold: float = 0.45, order: list[str] | None = None) -> DataFrame:
-    """Keep boxes in order unless they overlap a kept one. Box lists are candidate lists, whose length per
-    image is set by the suggestion settings."""
-    order = order or ["score"]
-    schema = boxes.schema
+        pdf = pdf.sort_values(["turn", "rank"], kind="stable")
+        boxes = pdf[["y", "x", "h", "w"]].to_numpy(dtype=float)
+        old = pdf["taken"].to_numpy(dtype=bool)
+        large = settings.min_diagonal <= 0 or np.hypot(pdf["full_h"], pdf["full_w"]).to_numpy() >= settings.min_diagonal
+        allowed = np.broadcast_to(large, len(pdf))
+        kept = np.flatnonzero(old).tolist()
+        for i in np.flatnonzero(~old & allowed):
+            if len(kept) == settings.wanted:
+                break
+            if not kept or overlap_with(boxes[i], boxes[kept]).max() < FOUND_ALREADY:
+                kept.append(int(i))
+        out = pdf.iloc[kept].assign(taken=True)
+        return out.assign(open=len(kept) < settings.wanted and int((~old).sum()) == batch)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values(order, ascending=[o != "score" for o in order], kind="stable")
-        kept, rows = [], []
-        for i, b in ranked.iterrows():
-            box = (b["y"], b["x"], b["y"] + b["h"], b["x"] + b["w"])
-            if all(_iou(box, o) < threshold for o in kept):
-                kept.append(box)
-                rows.append(i)
-        return ranked.loc[rows]
+    return run
 
-    return boxes.groupBy(*keys).applyInPandas(run, schema)
+
+def extract_candidates(response: DataFrame, shape: DataFrame, settings: Settings, keys: list[str] | None = None) -> DataFrame:
+    """Candidate boxes of every response map: (keys, candidate, y, x, h, w, score).
+
+    Regions of all levels are labelled at once, with the level as one more key. A box depends on those accepted
+    before it, so peaks are tried in rounds: each round takes the next few peaks of every image that still
+    wants boxes, labels their surroundings together, and accepts boxes in their order. What one task holds are
+    the boxes of a round and those already accepted, numbers that the settings fix.
+    """
+    keys = keys or FIELD
+    on = [k for k in keys if k in shape.columns]
+    f, batch = max(1, settings.bin_factor), 4 * settings.wanted
+    coarse = _binned(response, shape, settings, keys)
+    above = theta_join(coarse, _thresholds(coarse, settings, keys), keys, F.col("value") >= F.col("threshold"))
+    above = materialize(above.select(*keys, "level", "y", "x", "value", "threshold"))
+    tops = local_maxima(coarse, field_shape(coarse, keys), settings.peak_window, keys=keys).select(*keys, "y", "x", F.lit(True).alias("peak"))
+    named = connected_regions(above.select(*keys, "level", "y", "x"), [*keys, "level"])
+    cells = materialize(named.join(above, [*keys, "level", "y", "x"]).join(tops, [*keys, "y", "x"], "left"))
+    peaks = _ranked_peaks(cells, settings, keys)
+    rest, turn, state = peaks, 0, None
+    while True:
+        now = materialize(top_n(rest, keys, [F.col("place")], batch, batch))
+        if not now.take(1):
+            break
+        boxes = _boxes_around(cells, now, keys).join(shape.select(*on, "ny", "nx"), on)
+        full = scale_boxes(boxes, f, settings.padding).select(*keys, "rank", *[F.col(c).alias(f"full_{c}") for c in "yxhw"])
+        new = boxes.select(*keys, "rank", "y", "x", "h", "w").join(full, [*keys, "rank"]).join(
+            now.select(*keys, "rank", F.col("value").alias("score"), "place"), [*keys, "rank"])
+        new = new.select(*keys, F.lit(turn).alias("turn"), "rank", "y", "x", "h", "w", *[f"full_{c}" for c in "yxhw"], "score",
+                         F.lit(False).alias("taken"), F.lit(True).alias("open"))
+        both = new if state is None else state.unionByName(new)
+        state = materialize(both.groupBy(*keys).applyInPandas(_accept(settings, keys, batch), new.schema))
+        wanting = state.filter("open").select(*keys).distinct()
+        if not wanting.take(1):
+            break
+        last = now.groupBy(*keys).agg(F.max("place").alias("_last")).join(wanting, keys)
+        rest = materialize(join_dim(rest, last, keys).filter(F.col("place") > F.col("_last")).drop("_last"))
+        turn += 1
+    if state is None:
+        fields = [f"`{k}` {response.schema[k].dataType.simpleString()}" for k in keys]
+        return response.sparkSession.createDataFrame([], ", ".join(fields) + ", candidate INT, y INT, x INT, h INT, w INT, score DOUBLE")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "turn", "rank")
+    return state.select(*keys, (F.row_number().over(order) - 1).alias("candidate"), *[F.col(f"full_{c}").cast("int").alias(c) for c in "yxhw"], "score")
+
+
+def greedy_nms(boxes: DataFrame, keys: list[str], threshold: float = 0.45, order: list[str] | None = None, cell: int = 64) -> DataFrame:
+    """Keep boxes in order unless they overlap a kept one.
+
+    Overlapping pairs come from a join on grid cells. In each round the boxes without an undecided better
+    one beside them stay, and what they overlap goes; rounds end when all are decided.
+    """
+    by = [-F.col(c) if c == "score" else F.col(c) for c in (order or ["score"])]
+    placed = materialize(boxes.withColumn("_id", F.monotonically_increasing_id()))
+    span = lambda p, s: F.sequence(F.floor(F.col(p) / cell).cast("int"), F.floor((F.col(p) + F.col(s) - 1) / cell).cast("int"))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)], "_id")
+    spread = placed.select(*keys, "_id", place.alias("_o"), F.struct("y", "x", "h", "w").alias("_b"), F.explode(span("y", "h")).alias("_cy"), span("x", "w").alias("_cxs"))
+    spread = spread.select(*keys, "_id", "_o", "_b", "_cy", F.explode("_cxs").alias("_cx"))
+    left = spread.select(*keys, "_cy", "_cx", F.col("_id").alias("first"), F.col("_o").alias("_oa"), F.col("_b").alias("a"))
+    right = spread.select(*keys, "_cy", "_cx", F.col("_id").alias("second"), F.col("_o").alias("_ob"), F.col("_b").alias("b"))
+    pairs = left.join(right, [*keys, "_cy", "_cx"]).filter((F.col("_oa") < F.col("_ob")) & (bbox_iou() >= threshold))
+    pairs = materialize(pairs.select("first", "second").distinct())
+    undecided, kept = placed.select("_id"), None
+    while True:
+        live = pairs.join(undecided, pairs["first"] == undecided["_id"], "left_semi")
+        stay = materialize(undecided.join(live, undecided["_id"] == live["second"], "left_anti"))
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = pairs.join(stay, pairs["first"] == stay["_id"], "left_semi").select(F.col("second").alias("_id")).unionByName(stay)
+        undecided = materialize(undecided.join(gone, "_id", "left_anti"))
+        if not undecided.take(1):
+            return placed.join(kept, "_id", "left_semi").drop("_id")
 
 
 def multiband_candidates(pixels: DataFrame, shape: DataFrame, settings: Settings, n_bands: int | None = None,
@@ -481,31 +445,32 @@ def ward_labels(vectors: np.ndarray, k: int) -> np.ndarray:
     return member
 
 
-def greedy_labels(vectors: list, scores: np.ndarray, k: int, cap: int, threshold: float) -> np.ndarray:
-    """Join the most similar group at or above ``threshold``, else open a new one; -1 for left out."""
-    groups: list[dict] = []
+def greedy_labels(vectors: list, k: int, cap: int, threshold: float) -> np.ndarray:
+    """Groups of at most ``cap`` members for vectors in their order; -1 for those left out.
+
+    A group is the sum of its members. A vector belongs to the group of the most similar direction if that similarity
+    reaches ``threshold``, and is left out if the group is full; otherwise it founds a group while there are fewer than
+    k. One without a vector can only found a group, which nothing joins.
+    """
     label = np.full(len(vectors), -1)
+    width = next((len(v) for v in vectors if v is not None), 0)
+    sums, members, used = np.zeros((k, width)), np.zeros(k, dtype=int), 0
+    joinable = np.zeros(k, dtype=bool)
     for i, v in enumerate(vectors):
-        if v is None:
-            if len(groups) < k:
-                groups.append({"proto": None, "vectors": [], "n": 1})
-                label[i] = len(groups) - 1
+        home = used if used < k else -1
+        if v is not None and joinable.any():
+            length = np.linalg.norm(sums, axis=1)
+            likeness = np.where(joinable, sums @ v / np.where(length > 0, length, 1.0), -np.inf)
+            if likeness.max() >= threshold:
+                home = int(likeness.argmax())
+        if home < 0 or members[home] >= cap:
             continue
-        sims = [(-2.0 if g["proto"] is None else float(v @ g["proto"])) for g in groups]
-        best = int(np.argmax(sims)) if sims else -1
-        if best >= 0 and sims[best] > -1.0 and sims[best] >= threshold:
-            g = groups[best]
-            if g["n"] < cap:
-                g["n"] += 1
-                g["vectors"].append(v)
-                p = np.mean(g["vectors"], axis=0)
-                g["proto"] = p / np.linalg.norm(p) if np.linalg.norm(p) > 0 else p
-                label[i] = best
-        elif len(groups) < k:
-            groups.append({"proto": v, "vectors": [v], "n": 1})
-            label[i] = len(groups) - 1
-        if len(groups) >= k and all(g["n"] >= cap for g in groups):
-            break
+        label[i] = home
+        members[home] += 1
+        used = max(used, home + 1)
+        if v is not None:
+            sums[home] += v
+            joinable[home] = True
     return label
 
 
@@ -541,7 +506,7 @@ def group_candidates(boxes: DataFrame, spectra: DataFrame, settings: Settings, s
             largest = max(zip(counts, -first, names))[2]
             label[[i for i in range(len(pdf)) if vectors[i] is None]] = largest
         else:
-            label = greedy_labels(vectors, pdf["score"].to_numpy(), k, cap, min(max(st.similarity, 0.0), 1.0))
+            label = greedy_labels(vectors, k, cap, min(max(st.similarity, 0.0), 1.0))
         rows = []
         seen: dict = {}
         for i in range(len(pdf)):

@@ -56,17 +56,67 @@ def blobs():
     return a
 
 
-def test_planted_blobs_give_four_boxes_on_both_ways(spark):
+def parts(mask):
+    """4-connected parts of a mask by spreading the smallest cell number."""
+    name = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
+    while True:
+        wide = np.pad(name, 1, constant_values=mask.size)
+        low = np.min([wide[1:-1, 1:-1], wide[:-2, 1:-1], wide[2:, 1:-1], wide[1:-1, :-2], wide[1:-1, 2:]], axis=0)
+        low = np.where(mask, low, mask.size)
+        if (low == name).all():
+            return name
+        name = low
+
+
+def boxes_by_hand(a, st):
+    """Candidate boxes of one map without binning and smoothing, straight from the rules."""
+    wide = np.pad(a, 2, mode="edge")
+    peak = a == np.max([wide[i: i + a.shape[0], j: j + a.shape[1]] for i in range(5) for j in range(5)], axis=0)
+    taken = []
+    for share, floor in st.levels():
+        cut = max(a.max() * share, np.percentile(a[a > 0], floor))
+        regions = parts(a >= cut)
+        for r in np.unique(regions[regions < a.size]):
+            cells = [tuple(c) for c in np.argwhere(regions == r)]
+            if len(cells) < st.min_area:
+                continue
+            tried = [c for c in cells if peak[c]] or [max(cells, key=lambda c: (a[c], -c[0], -c[1]))]
+            for c in sorted(tried, key=lambda c: (-a[c], c)):
+                near = parts((regions == r) & (a >= max(cut, a[c] * st.peak_region_ratio)))
+                ys, xs = np.nonzero(near == near[c])
+                box = np.array([ys.min(), xs.min(), np.ptp(ys) + 1, np.ptp(xs) + 1], dtype=float)
+                if len(taken) < st.wanted and all(S.overlap_with(box, t[None, :4])[0] < 0.45 for t in taken):
+                    taken.append(np.append(box, a[c]))
+    return sorted((tuple(t) for t in taken), key=lambda t: -t[4])
+
+
+def test_planted_blobs_give_four_boxes(spark):
     f = field(spark, blobs())
-    shape = N.field_shape(f)
     st = S.Settings(max_groups=2, pool_factor=2, padding=0, smoothing_sigma=1.0)
-    small = S.extract_candidates(f, shape, st).orderBy("candidate").collect()
-    assert len(small) == 4
-    quadrants = {(r["y"] + r["h"] / 2 > 30, r["x"] + r["w"] / 2 > 35) for r in small}
-    assert len(quadrants) == 4
-    large = S.extract_candidates(f, shape, st, max_cells=10).orderBy("candidate").collect()
-    key = lambda rows: [(r["y"], r["x"], r["h"], r["w"], round(r["score"], 9)) for r in rows]
-    assert key(small) == key(large)
+    found = S.extract_candidates(f, N.field_shape(f), st).collect()
+    assert len({(r["y"] + r["h"] / 2 > 30, r["x"] + r["w"] / 2 > 35) for r in found}) == len(found) == 4
+
+
+def test_candidates_by_the_rules_in_several_rounds(spark):
+    a = np.round(np.random.default_rng(5).random((24, 30)), 3)
+    f = field(spark, a)
+    st = S.Settings(max_groups=1, max_rois_per_group=2, pool_factor=5, padding=0, smoothing_sigma=0.0, min_area=2)
+    found = S.extract_candidates(f, N.field_shape(f), st).orderBy("candidate").collect()
+    assert sorted((r["y"], r["x"], r["h"], r["w"], r["score"]) for r in found) == sorted(boxes_by_hand(a, st))
+
+
+def test_nms_keeps_the_first_of_overlapping_boxes(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", i % 2, i, int(y), int(x), int(h), int(w), float(s)) for i, (y, x, h, w, s) in enumerate(
+        zip(rng.integers(0, 150, 200), rng.integers(0, 150, 200), rng.integers(1, 60, 200), rng.integers(1, 60, 200), rng.permutation(200)))]
+    df = spark.createDataFrame(rows, "image_id STRING, slice_id INT, n INT, y INT, x INT, h INT, w INT, score DOUBLE")
+    got = {r["n"] for r in S.greedy_nms(df, ["image_id", "slice_id"], 0.3).collect()}
+    kept = []
+    for r in sorted(rows, key=lambda r: -r[7]):
+        box = np.array(r[3:7], dtype=float)
+        if all(k[1] != r[1] or S.overlap_with(box, np.array([k[3:7]], dtype=float))[0] < 0.3 for k in kept):
+            kept.append(r)
+    assert got == {r[2] for r in kept}
 
 
 def test_connected_regions_over_tiles(spark):
