@@ -100,7 +100,9 @@ def nnls_rows(x: np.ndarray, h: np.ndarray, max_sweeps: int = 10_000) -> np.ndar
     tol = 1e-12 * np.maximum(scale, 1.0)
     live = np.arange(n)
     blocked = np.zeros((n, k), dtype=bool)
-    for _ in range(max_sweeps):
+    for sweep in range(max_sweeps + 1):
+        if sweep == max_sweeps and len(live):
+            raise ArithmeticError(f"{len(live)} rows have no least-squares solution after {max_sweeps} sweeps")
         grad = b[live] - w[live] @ g
         grad[passive[live] | blocked[live]] = -np.inf
         best = grad.argmax(axis=1)

@@ -275,9 +275,11 @@ def nmf(
         if n_batches == 1:
             part, part_facts, part_h = base, facts, spectra
         else:
-            here = F.pmod(F.xxhash64("image_id"), F.lit(n_batches)) == b  # seeds may lack the slice
+            here = F.pmod(F.xxhash64(*FIELD), F.lit(n_batches)) == b
             part, part_facts = base.filter(here), facts.filter(here)
-            part_h = spectra.filter(here) if spectra is not None else None
+            part_h = spectra  # seeds may lack the slice, so they are chosen by the images of the batch
+            if spectra is not None:
+                part_h = spectra.join(part_facts.select("image_id").distinct(), "image_id", "left_semi")
         rows = part_facts.collect()
         if rows:
             fits.append(_settle(n_batches, _fit_batch(part, rows, part_h, k, solver, max_iter, tol, patience, track_error_every, eps,
@@ -464,15 +466,14 @@ def pca(pixels: DataFrame, k: int, *, column: str = "spectrum", state_limit: int
     largest of all scores is 65535. The sign of a component makes its largest loading positive.
     """
     spark = pixels.sparkSession
+    pixels = materialize(pixels.select(*PIXEL, column))
     facts = pixels.groupBy(*FIELD).agg(F.max(F.size(column)).alias("c"))
     count, width = facts.agg(F.count(F.lit(1)), F.max("c")).first()
     n_batches = min(count, max(1, -(-count * width * (width + 4) // state_limit)))
     parts = []
     for b in range(n_batches):
         part = pixels if n_batches == 1 else pixels.filter(F.pmod(F.xxhash64(*FIELD), F.lit(n_batches)) == b)
-        fit = _pca_batch(part, k, column)
-        if fit is not None:
-            parts.append(_settle(n_batches, fit))
+        parts.append(_settle(n_batches, _pca_batch(part, k, column)))
     out = parts[0]
     for f in parts[1:]:
         out = Fit(out.abundance.unionByName(f.abundance), out.spectra.unionByName(f.spectra), out.report.unionByName(f.report))
@@ -499,7 +500,7 @@ def _per_field(data: DataFrame, fn, column: str) -> DataFrame:
     return data.select(*FIELD, column).mapInArrow(work, "image_id STRING, slice_id INT, sums ARRAY<DOUBLE>")
 
 
-def _pca_batch(pixels: DataFrame, k: int, column: str) -> Fit | None:
+def _pca_batch(pixels: DataFrame, k: int, column: str) -> Fit:
     from .condition import channel_moments, kept_channels
 
     spark = pixels.sparkSession
@@ -507,8 +508,6 @@ def _pca_batch(pixels: DataFrame, k: int, column: str) -> Fit | None:
     moments: dict = {}
     for r in kept_channels(channel_moments(long)).collect():
         moments.setdefault((r["image_id"], r["slice_id"]), []).append((r["channel"], r["mean"], r["std"]))
-    if not moments:
-        return None
     moments = {key: tuple(np.asarray(col) for col in zip(*sorted(v))) for key, v in moments.items()}
     held = spark.sparkContext.broadcast(moments)
 
@@ -524,6 +523,9 @@ def _pca_batch(pixels: DataFrame, k: int, column: str) -> Fit | None:
 
     basis = {}
     spectra_rows, report_rows = [], []
+    for r in pixels.groupBy(*FIELD).count().collect():
+        if (r["image_id"], r["slice_id"]) not in moments:  # no channel varies: the field is reported and has no components
+            report_rows.append((r["image_id"], r["slice_id"], "pca", 0, 1, None, r["count"], 0, None, 0.0, None, [], "no usable channel"))
     for key, s in sorted(_collect_sums(_per_field(pixels, second, column)).items()):
         ch = moments[key][0].astype(int)
         c = len(ch)

@@ -39,7 +39,10 @@ def _scaled_model(model: DataFrame, shape: DataFrame, keys: list[str]) -> DataFr
     if keys:
         both = shape.select(*keys, "ny", "nx").join(model, keys)
     else:  # one model for every image: its row becomes constants
-        row = model.first()
+        rows = model.take(2)
+        if len(rows) != 1:
+            raise ValueError("a model without an image key must have exactly one row")
+        row = rows[0]
         both = shape.withColumns({c: F.lit(row[c]) for c in model.columns})
     out = both.select(
         *[c for c in FIELD if c in both.columns], "ny", "nx", "amp",
@@ -109,7 +112,10 @@ def blur_field(pixels: DataFrame, shape: DataFrame, sigma_y: float, sigma_x: flo
 
 
 def fit_profile(x: np.ndarray, p: np.ndarray, start: tuple, rounds: int = 200) -> tuple:
-    """Least squares of a exp(-((x - x0) / s)^2 / 2) + c by damped Gauss-Newton steps."""
+    """Least squares of a exp(-((x - x0) / s)^2 / 2) + c by damped Gauss-Newton steps.
+
+    None if a step cannot be solved or the steps have not settled within ``rounds``; callers then fall back on moments.
+    """
     a, x0, s, c = (float(v) for v in start)
     damp = 1e-3
     model = lambda q: q[0] * np.exp(-0.5 * ((x - q[1]) / q[2]) ** 2) + q[3]
@@ -136,8 +142,10 @@ def fit_profile(x: np.ndarray, p: np.ndarray, start: tuple, rounds: int = 200) -
                 break
         else:
             damp *= 5
-            if damp > 1e12:
+            if damp > 1e12:  # no step of any size improves the fit
                 break
+    else:
+        return None
     return tuple(q)
 
 
@@ -265,12 +273,13 @@ def fit_quadratic(field: DataFrame, value: str = "value", keys: list[str] | None
 def fit_radial(field: DataFrame, kind: str = "linear", value: str = "value", keys: list[str] | None = None, rounds: int = 30) -> DataFrame:
     """Fit of the ``linear`` cone or the ``gaussian`` hill by Gauss-Newton steps whose sums are aggregated.
 
-    Each step is one pass over the pixels; the parameters of a field are one row and are joined back.
+    The pixels are saved once; each step is one pass over them, and the parameters of a field are one row and are joined
+    back. ``converged`` says whether the last step of a field was small; at most ``rounds`` steps are made.
     """
     keys = keys or FIELD
+    field = materialize(field.select(*keys, "y", "x", value))
     n_par = 4 if kind == "linear" else 5
     start = fit_quadratic(field, value, keys)
-    start = start.withColumns({"xc": F.col("xc"), "yc": F.col("yc")})
     size = field.groupBy(*keys).agg(F.max("x").alias("_nx"), F.max("y").alias("_ny"), F.max(value).alias("_vmax"))
     params = start.join(size, keys)
     inside = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0.0)), F.col(n).cast("double"))
@@ -320,7 +329,7 @@ def fit_radial(field: DataFrame, kind: str = "linear", value: str = "value", key
         if (params.agg(F.max("moved")).first()[0] or 0.0) < 1e-8:
             break
     names_out = ["xc", "yc", "peak", "slope"] if kind == "linear" else ["xc", "yc", "a", "b", "amplitude"]
-    return params.select(*keys, *[F.col(n).alias(o) for n, o in zip(names, names_out)])
+    return params.select(*keys, *[F.col(n).alias(o) for n, o in zip(names, names_out)], (F.col("moved") < 1e-8).alias("converged"))
 
 
 def binned_correction(field: DataFrame, shape: DataFrame, size: int = 64, keys: list[str] | None = None) -> DataFrame:

@@ -37,9 +37,18 @@ def inside_roi(shape: Column, x: Column, y: Column) -> Column:
 
 
 def pixels_in_roi(pixels: DataFrame, rois: DataFrame) -> DataFrame:
-    """Every pixel with every region that contains it; each pixel at most once per region."""
-    drawn = rois.filter(F.col("shape") != "LineROI")
-    return theta_join(pixels, drawn, ["image_id"], inside_roi(F.col("shape"), F.col("x"), F.col("y")))
+    """Every pixel with every region that contains it; each pixel at most once per region.
+
+    A line contains the pixels nearest to its unit-step samples. A region without a shape is a rectangle.
+    """
+    line = F.col("shape").eqNullSafe(F.lit("LineROI"))
+    hits = theta_join(pixels, rois.filter(~line), ["image_id"], inside_roi(F.col("shape"), F.col("x"), F.col("y")))
+    lines = rois.filter(line)
+    if not lines.take(1):
+        return hits
+    nearest = lambda c: F.floor(F.col(c) + 0.5).cast("int")
+    on_line = line_samples(lines).select("image_id", "roi_id", nearest("sy").alias("y"), nearest("sx").alias("x")).distinct()
+    return hits.unionByName(join_dim(pixels, on_line.join(lines, ["image_id", "roi_id"]), ["image_id", "y", "x"]).select(hits.columns))
 
 
 def roi_pixel_copies(meta: DataFrame, rois: DataFrame) -> DataFrame:
@@ -74,8 +83,8 @@ def line_samples(rois: DataFrame) -> DataFrame:
     )
 
 
-def bilinear_samples(field: DataFrame, samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Bilinear value of a field (image_id, slice_id, y, x, value) at sample points."""
+def _corner_weights(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """The pixels around each sample point with their bilinear weights."""
     corners = samples.select(
         "*",
         F.explode(F.array(*[
@@ -85,10 +94,15 @@ def bilinear_samples(field: DataFrame, samples: DataFrame, keys: list[str], valu
     fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
     wy = F.when(F.col("_c.dy") == 1, fy).otherwise(1 - fy)
     wx = F.when(F.col("_c.dx") == 1, fx).otherwise(1 - fx)
-    near = corners.select(
+    return corners.select(
         *keys, (F.floor("sy") + F.col("_c.dy")).cast("int").alias("y"),
         (F.floor("sx") + F.col("_c.dx")).cast("int").alias("x"), (wy * wx).alias("_w"),
     ).filter("_w > 0")
+
+
+def bilinear_samples(field: DataFrame, samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Bilinear value of a field (image_id, slice_id, y, x, value) at sample points."""
+    near = _corner_weights(samples, keys)
     joined = join_dim(field, near, ["image_id", "y", "x"])
     group = list(dict.fromkeys([*FIELD, *keys]))
     return joined.groupBy(*group).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("value"))
@@ -102,15 +116,24 @@ def roi_mean_spectrum(pixels: DataFrame, rois: DataFrame, clip_negative: bool =
     """Mean spectrum of every region: offset, clip at 0, scale, then smoothing, in this order.
 
     Background regions and images without a subtracted stack read the raw spectrum. Only per-region
-    channel sums are shuffled, so a region may cover any share of an image.
+    channel sums are shuffled, so a region may cover any share of an image. A line is the mean of its samples, each
+    interpolated between the pixels around it.
     """
-    hits = pixels_in_roi(pixels, rois)
+    line = F.col("shape").eqNullSafe(F.lit("LineROI"))
+    lines, areas = rois.filter(line), rois.filter(~line)
+    hits = pixels_in_roi(pixels, areas)
     source = F.col("spectrum")
     if "spectrum_sub" in pixels.columns:
         source = F.when(F.col("background"), F.col("spectrum")).otherwise(F.coalesce("spectrum_sub", "spectrum"))
     keys = [*FIELD, "roi_id"]
     means = mean_spectrum(hits.select(*keys, source.alias("spectrum")), keys)
     sums = means.select(*keys, F.posexplode("spectrum").alias("channel", "value"))
+    if lines.take(1):
+        near = _corner_weights(line_samples(lines), ["image_id", "roi_id"]).groupBy("image_id", "roi_id", "y", "x").agg(F.sum("_w").alias("_w"))
+        flags = lines.select("image_id", "roi_id", "background")
+        along = join_dim(pixels, near.join(flags, ["image_id", "roi_id"]), ["image_id", "y", "x"])
+        long = along.select(*keys, "_w", F.posexplode(source).alias("channel", "value"))
+        sums = sums.unionByName(long.groupBy(*keys, "channel").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value")))
     info = rois.select("image_id", "roi_id", "component", "background", "scale", "offset", "smooth_sigma")
     shifted = F.col("value") + F.coalesce("offset", F.lit(0.0))
     if clip_negative:

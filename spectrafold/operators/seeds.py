@@ -285,8 +285,8 @@ def fixed_w_mean(maps: DataFrame, order: str = "map_id", eps: float = A.EPS) ->
     current = unit.filter("_n = 1").drop("_n")
     for n in range(2, (numbered.agg(F.max("_n")).first()[0] or 1) + 1):
         nxt = unit.filter(F.col("_n") == n).select(*key, "y", "x", F.col("w").alias("_new"))
-        joined = current.join(nxt, [*key, "y", "x"], "left")
-        mixed = joined.withColumn("w", F.when(F.col("_new").isNull(), F.col("w")).otherwise((F.col("w") * (n - 1) + F.col("_new")) / n)).drop("_new")
+        joined = current.join(nxt, [*key, "y", "x"], "full")  # a pixel that only one side has keeps its value
+        mixed = joined.withColumn("w", F.coalesce((F.col("w") * (n - 1) + F.col("_new")) / n, "w", "_new")).drop("_new")
         touched = nxt.select(*key).distinct()
         scaled = unity_scale(mixed.join(touched, key, "left_semi"), "w", key, eps)
         current = materialize(scaled.unionByName(mixed.join(touched, key, "left_anti").select(scaled.columns)))

@@ -83,9 +83,9 @@ def _(spark, sf):
 
 @query("tile_neighbours", """
 SELECT mosaic_id, tx, ty, lead(ty) OVER (PARTITION BY mosaic_id, tx ORDER BY ty) AS below, lead(tx) OVER (PARTITION BY mosaic_id, ty ORDER BY tx) AS "right"
-FROM (SELECT DISTINCT 'm' || (l_suppkey % 3) AS mosaic_id, CAST(l_linenumber AS INT) AS tx, CAST(l_orderkey % 11 AS INT) AS ty FROM lineitem WHERE l_quantity > 30)""")
+FROM (SELECT DISTINCT 'm' || (l_suppkey % 3) AS mosaic_id, CAST(l_linenumber AS INT) AS tx, CAST(l_orderkey % 101 + 3 * (l_orderkey // 1000) AS INT) AS ty FROM lineitem)""")
 def _(spark, sf):
-    t = fx.table(spark, sf, "lineitem").filter("l_quantity > 30").selectExpr("concat('m', l_suppkey % 3) AS mosaic_id", "l_linenumber AS tx", "CAST(l_orderkey % 11 AS INT) AS ty")
+    t = fx.table(spark, sf, "lineitem").selectExpr("concat('m', l_suppkey % 3) AS mosaic_id", "l_linenumber AS tx", "CAST(l_orderkey % 101 + 3 * (l_orderkey div 1000) AS INT) AS ty")
     return M.tile_neighbours(t)
 
 
@@ -110,7 +110,7 @@ def _(spark, sf):
 @query("trim_null_edges")
 def _(spark, sf):
     p = fx.pixels_ord(spark, sf).select(F.col("image_id").alias("mosaic_id"), "y", "x", "spectrum")
-    whole = tiles(spark, sf).filter("tx = 0 AND ty = 0").select("mosaic_id", "y", "x", "spectrum").filter("NOT (y = 0 AND x > 3) AND NOT (x = 17 AND y = 9)")
+    whole = tiles(spark, sf).select(F.concat("mosaic_id", F.lit("_"), "tx", F.lit("_"), "ty").alias("mosaic_id"), "y", "x", "spectrum").filter("NOT (y = 0 AND x > 3) AND NOT (x = 17 AND y = 9)")
     return M.trim_null_edges(p.unionByName(whole)).groupBy("mosaic_id").agg(
         F.min("y").alias("y0"), F.max("y").alias("y1"), F.count_distinct("x").alias("n_cols"), F.count(F.lit(1)).alias("n"))
 
@@ -154,11 +154,9 @@ def _(spark, sf):
 
 @query("illum_fit")
 def _(spark, sf):
-    """A planted hill times the data level of each image; the fit must find its centre and widths."""
+    """The mean image, lit by a planted hill, of every image."""
     p, shape, m = model(spark, sf)
-    level = p.groupBy(*FIELD).agg(F.avg(A.mean("spectrum")).alias("lv"))
-    grid = shape.select(*FIELD, "ny", "nx", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"))
-    field = grid.join(level, FIELD).select(*PIXEL, (F.col("lv") * F.exp(
+    field = p.join(F.broadcast(shape.select(*FIELD, "ny", "nx")), FIELD).select(*PIXEL, ((A.mean("spectrum") + 1) * F.exp(
         -0.5 * F.pow((F.col("x") - F.col("nx") * 0.6) / (F.col("nx") * 0.3), F.lit(2)) - 0.5 * F.pow((F.col("y") - F.col("ny") * 0.45) / (F.col("ny") * 0.25), F.lit(2)))).alias("value"))
     fit = L.illum_fit(field, shape)
     return fit.select(*FIELD, *[F.round(c, 4).alias(c) for c in ("dx", "dy", "sigma_x", "sigma_y")])
@@ -185,7 +183,7 @@ def _(spark, sf):
 
 @query("fit_quadratic")
 def _(spark, sf):
-    f = fx.pixels_ord(spark, sf).select(*PIXEL, (A.total("spectrum") * 0 + 500 - 0.1 * ((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25))).alias("value"))
+    f = fx.pixels_ord(spark, sf).select(*PIXEL, (A.total("spectrum") + 500 - 0.1 * ((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25))).alias("value"))
     out = L.fit_quadratic(f)
     return out.select(*FIELD, *[F.round(c, 4).alias(c) for c in ("xc", "yc", "peak", "slope")])
 
@@ -194,7 +192,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = fx.pixels_ord(spark, sf)
     r = F.sqrt(F.pow(F.col("x") - 30.3, F.lit(2)) + F.pow(F.col("y") - 25.2, F.lit(2)))
-    out = L.fit_radial(p.select(*PIXEL, (500 - 2 * r + A.total("spectrum") * 0).alias("value")), "linear")
+    out = L.fit_radial(p.select(*PIXEL, (500 - 2 * r + A.total("spectrum")).alias("value")), "linear")
     return out.select(*FIELD, *[F.round(c, 2).alias(c) for c in ("xc", "yc", "peak", "slope")])
 
 

@@ -115,8 +115,8 @@ def _(spark, sf):
 
 
 BOXES_SQL = """
-boxes AS (SELECT 'b' || (l_suppkey % 5) AS image_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS box_id, CAST(l_partkey % 700 AS INT) AS y, CAST(l_orderkey % 900 AS INT) AS x,
-  CAST(4 + l_quantity % 16 AS INT) AS h, CAST(4 + l_linenumber * 3 AS INT) AS w FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount > 0.06)"""
+boxes AS (SELECT 'b' || (l_orderkey // 64) AS image_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS box_id, CAST(l_partkey % 700 AS INT) AS y, CAST(l_orderkey % 900 AS INT) AS x,
+  CAST(4 + l_quantity % 16 AS INT) AS h, CAST(4 + l_linenumber * 3 AS INT) AS w FROM lineitem)"""
 
 
 @query("bbox_iou", """
@@ -125,8 +125,8 @@ SELECT image_id, a_id, b_id, round(inter / (ah * aw + bh * bw - inter), 6) AS io
     CAST(greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS DOUBLE) * greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) AS inter
   FROM (SELECT DISTINCT * FROM boxes) a JOIN (SELECT DISTINCT * FROM boxes) b ON a.image_id = b.image_id AND a.box_id < b.box_id) WHERE inter / (ah * aw + bh * bw - inter) > 0.2::DOUBLE""", BOXES_SQL)
 def _(spark, sf):
-    boxes = fx.table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount > 0.06D").selectExpr(
-        "concat('b', l_suppkey % 5) AS image_id", "l_orderkey * 8 + l_linenumber AS box_id", "CAST(l_partkey % 700 AS INT) AS y",
+    boxes = fx.table(spark, sf, "lineitem").selectExpr(
+        "concat('b', l_orderkey div 64) AS image_id", "l_orderkey * 8 + l_linenumber AS box_id", "CAST(l_partkey % 700 AS INT) AS y",
         "CAST(l_orderkey % 900 AS INT) AS x", "CAST(4 + l_quantity % 16 AS INT) AS h", "CAST(4 + l_linenumber * 3 AS INT) AS w").distinct()
     out = R.overlapping_boxes(boxes, 0.2)
     return out.withColumn("iou", rnd("iou"))
@@ -139,12 +139,12 @@ def _(spark, sf):
 
 
 AUDIT_SQL = """
-used AS (SELECT DISTINCT 'o' || CAST(l_orderkey // 4096 AS VARCHAR) AS image_id, CAST(l_suppkey % 9 + (l_orderkey // 4096) % 3 AS INT) AS component FROM lineitem WHERE l_quantity > 49)"""
+used AS (SELECT DISTINCT 'o' || CAST(l_orderkey // 16 AS VARCHAR) AS image_id, CAST(l_suppkey % 9 + (l_orderkey // 16) % 3 AS INT) AS component FROM lineitem)"""
 
 
 def _used(spark, sf):
-    return fx.table(spark, sf, "lineitem").filter("l_quantity > 49").selectExpr(
-        "concat('o', CAST(l_orderkey div 4096 AS STRING)) AS image_id", "CAST(l_suppkey % 9 + (l_orderkey div 4096) % 3 AS INT) AS component")
+    return fx.table(spark, sf, "lineitem").selectExpr(
+        "concat('o', CAST(l_orderkey div 16 AS STRING)) AS image_id", "CAST(l_suppkey % 9 + (l_orderkey div 16) % 3 AS INT) AS component")
 
 
 @query("audit_seeds", """

@@ -199,11 +199,11 @@ def _(spark, sf):
 
 @query("fixed_w_mean", """
 SELECT image_id, component, y, x, round(greatest(w, 1e-8) / max(greatest(w, 1e-8)) OVER (PARTITION BY image_id, component), 6) AS w FROM (
-  SELECT image_id, component, y, x, (max(u) FILTER (map_id = 0) + max(u) FILTER (map_id = 1)) / 2 AS w FROM (
-    SELECT image_id, channel % 2 AS component, channel // 2 AS map_id, y, x, greatest(value, 1e-8) / max(greatest(value, 1e-8)) OVER (PARTITION BY image_id, channel) AS u FROM ordvox WHERE channel < 4) GROUP BY ALL)""")
+  SELECT image_id, component, y, x, (max(u) FILTER (map_id = 0) + coalesce(max(u) FILTER (map_id = 1), max(u) FILTER (map_id = 0))) / 2 AS w FROM (
+    SELECT image_id, channel % 4 AS component, channel // 4 AS map_id, y, x, greatest(value, 1e-8) / max(greatest(value, 1e-8)) OVER (PARTITION BY image_id, channel) AS u FROM ordvox) GROUP BY ALL)""")
 def _(spark, sf):
-    m = fx.pixels_ord(spark, sf).select(*PIXEL, F.posexplode("spectrum").alias("channel", "w")).filter("channel < 4")
-    maps = m.select("image_id", (F.col("channel") % 2).alias("component"), F.expr("CAST(channel div 2 AS INT)").alias("map_id"), "y", "x", "w")
+    m = fx.pixels_ord(spark, sf).select(*PIXEL, F.posexplode("spectrum").alias("channel", "w"))
+    maps = m.select("image_id", (F.col("channel") % 4).alias("component"), F.expr("CAST(channel div 4 AS INT)").alias("map_id"), "y", "x", "w")
     return G.fixed_w_mean(maps).select("image_id", "component", "y", "x", rnd("w", "w"))
 
 

@@ -89,13 +89,12 @@ named AS (
 
 
 def _named(spark, sf):
-    paths = _paths(spark, sf)
-    return paths.join(R.parse_tile_names(paths), "path").select("page_id", "mosaic_id", "path", "tx", "ty")
+    return R.parse_tile_names(_paths(spark, sf)).select("page_id", "mosaic_id", "path", "tx", "ty")
 
 
 @query("tile_catalog", "SELECT path, tx, ty FROM named WHERE tx IS NOT NULL", TILE_SQL)
 def _(spark, sf):
-    return R.parse_tile_names(_paths(spark, sf)).filter("tx IS NOT NULL")
+    return R.parse_tile_names(_paths(spark, sf)).filter("tx IS NOT NULL").select("path", "tx", "ty")
 
 
 @query("parse_tile_position", """

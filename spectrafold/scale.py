@@ -41,15 +41,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def _leaves(value: Column, kind: T.DataType) -> Column:
+    """Number of scalar values inside a value, at least one; a string counts as many as its eight-byte words."""
+    one = F.lit(1).cast("bigint")
+    if isinstance(kind, T.StructType):
+        total = F.lit(0).cast("bigint")
+        for f in kind.fields:
+            total = total + _leaves(value.getField(f.name), f.dataType)
+        return F.greatest(total, one)
+    if isinstance(kind, T.MapType):
+        return _leaves(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType, T.StringType, T.BinaryType)):
+            inner = F.aggregate(value, F.lit(0).cast("bigint"), lambda n, e: n + _leaves(e, kind.elementType))
+        else:
+            inner = F.size(value).cast("bigint")
+        return F.greatest(F.coalesce(inner, one), one)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.greatest(F.coalesce(F.ceil(F.octet_length(value) / 8).cast("bigint"), one), one)
+    return one
+
+
 def cell_count(df: DataFrame) -> int:
-    """Number of scalar cells of a table, array elements included."""
-    width = F.lit(0)
+    """Number of scalar cells of a table: everything inside nested arrays, maps and structs is counted."""
+    width = F.lit(0).cast("bigint")
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.ArrayType):
-            width = width + F.greatest(F.coalesce(F.size(f.name), F.lit(1)), F.lit(1))
-        else:
-            width = width + F.lit(1)
-    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+        width = width + _leaves(F.col(f"`{f.name}`"), f.dataType)
+    return df.agg(F.sum(width)).first()[0] or 0
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:

@@ -22,10 +22,10 @@ def file_stem(path) -> Column:
 
 
 def parse_tile_names(paths: DataFrame, path: str = "path", regex: str = TILE_REGEX) -> DataFrame:
-    """Tile position of every path; names that do not match keep NULL positions."""
+    """Tile position of every path, beside the other columns; names that do not match keep NULL positions."""
     name = file_name(path)
     return paths.select(
-        F.col(path).alias("path"),
+        *[c for c in paths.columns if c not in (path, "path", "tx", "ty")], F.col(path).alias("path"),
         F.regexp_extract(name, regex, 1).try_cast("int").alias("tx"),
         F.regexp_extract(name, regex, 2).try_cast("int").alias("ty"),
     )
@@ -95,28 +95,27 @@ def grid_summary(tiles: DataFrame, on: str = "mosaic_id") -> DataFrame:
 
 
 def read_spectra_csv(spark: SparkSession, path: str) -> DataFrame:
-    """First column is the axis, every further column a spectrum; unnamed columns get generic names."""
-    raw = spark.read.csv(path, header=False)
-    width = len(raw.columns)
-    lines = raw.select(
-        F.input_file_name().alias("path"),
-        F.array(*[F.regexp_replace(F.trim(F.col(c)), '"', "") for c in raw.columns]).alias("cells"),
-    )
-    heads = lines.filter(F.element_at(F.col("cells"), 1).try_cast("double").isNull()).select(
-        "path", F.col("cells").alias("head")
-    )
-    body = lines.filter(F.element_at(F.col("cells"), 1).try_cast("double").isNotNull())
-    joined = body.join(heads.groupBy("path").agg(F.first("head").alias("head")), "path", "left")
-    index = F.explode(F.sequence(F.lit(2), F.lit(width))).alias("i")
-    cells = joined.select("path", "cells", "head", index)
-    name = F.try_element_at(F.col("head"), F.col("i"))
-    return cells.select(
-        "path",
-        (F.col("i") - 2).alias("component"),
+    """First column is the axis, every further column a spectrum; unnamed columns get generic names.
+
+    Files of one folder may have different widths and headers. The header is the first line that is not blank, if
+    its first cell is no number; other lines without a number in front are skipped.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.filter(F.split(F.regexp_replace("value", "^\\ufeff", ""), "\\r\\n|\\r|\\n"), lambda t: F.trim(t) != "").alias("lines"))
+    cells = lambda t: F.transform(F.split(t, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(F.trim(c), '"', ""))
+    first = cells(F.try_element_at("lines", F.lit(1)))
+    named = F.when(F.try_element_at(first, F.lit(1)).try_cast("double").isNull(), first)
+    body = files.select("path", named.alias("head"), F.explode("lines").alias("line")).select("path", "head", cells(F.col("line")).alias("cells"))
+    body = body.filter(F.element_at("cells", 1).try_cast("double").isNotNull())
+    values = body.select("path", "head", F.element_at("cells", 1).cast("double").alias("axis_value"),
+                         F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))).alias("component", "cell"))
+    name = F.try_element_at(F.col("head"), F.col("component") + 2)
+    return values.select(
+        "path", "component",
         F.when(name.isNotNull() & (name != ""), name)
-        .otherwise(F.concat(F.lit("Component "), (F.col("i") - 1).cast("string"))).alias("name"),
-        F.element_at("cells", 1).cast("double").alias("axis_value"),
-        F.element_at("cells", F.col("i")).try_cast("double").alias("value"),
+        .otherwise(F.concat(F.lit("Component "), (F.col("component") + 1).cast("string"))).alias("name"),
+        "axis_value", F.col("cell").try_cast("double").alias("value"),
     )
 
 
@@ -135,14 +134,41 @@ def parse_two_columns(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_spectra_text(spark: SparkSession, path: str) -> DataFrame:
-    """Two-column .txt / .asc spectra, named after their file; a file without data is an error."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    rows = parse_two_columns(lines)
-    empty = lines.select("path").distinct().join(rows.select("path").distinct(), "path", "left_anti")
-    fail = F.raise_error(F.concat(F.lit("no numeric two-column data in "), F.col("path"))).cast("double")
-    checked = empty.select("path", fail.alias("axis_value"), fail.alias("value"))
-    both = rows.unionByName(checked)
-    return both.select("path", file_stem("path").alias("name"), "axis_value", "value")
+    """Two-column .txt / .asc spectra, named after their file; a file without data is an error.
+
+    A file is one row until its lines are known to hold data, so the error does not depend on the columns that are read.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\\r\\n|\\r|\\n").alias("lines"))
+    number = lambda t, i: F.try_element_at(F.split(F.trim(F.regexp_replace(t, "^\\ufeff", "")), "\\s+"), F.lit(i)).try_cast("double")
+    good = F.filter("lines", lambda t: number(t, 1).isNotNull() & number(t, 2).isNotNull())
+    fail = F.raise_error(F.concat(F.lit("no numeric two-column data in "), F.col("path"))).cast("array<string>")
+    found = files.select("path", F.explode(F.when(F.size(good) > 0, good).otherwise(fail)).alias("value"))
+    return parse_two_columns(found).select("path", file_stem("path").alias("name"), "axis_value", "value")
+
+
+def map_tiles(tiles: DataFrame, fn: Callable, schema: str, keys: list[str] | None = None, crop: int = 0, bin_factor: int = 1) -> DataFrame:
+    """Apply a user function ``fn(key, cube) -> pandas.DataFrame`` to every tile.
+
+    ``tiles`` has one row per pixel (keys, y, x, spectrum); the cube is (y, x, channel), its border of ``crop`` pixels cut
+    off and then averaged over blocks of ``bin_factor`` (an incomplete last block is dropped). Missing pixels are 0.
+    """
+    import numpy as np
+
+    keys = keys or ["mosaic_id", "tx", "ty"]
+
+    def run(pdf):
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        spectra = np.stack(pdf["spectrum"].to_numpy())
+        cube = np.zeros((y.max() + 1, x.max() + 1, spectra.shape[1]))
+        cube[y, x] = spectra
+        if crop:
+            cube = cube[crop:-crop, crop:-crop]
+        f = max(1, int(bin_factor))
+        ny, nx = cube.shape[0] // f * f, cube.shape[1] // f * f
+        cube = cube[:ny, :nx].reshape(ny // f, f, nx // f, f, -1).mean(axis=(1, 3))
+        return fn(tuple(pdf[k].iloc[0] for k in keys), cube)
+
+    return tiles.select(*keys, "y", "x", "spectrum").groupBy(*keys).applyInPandas(run, schema)
 
 
 AXIS_JSON = (

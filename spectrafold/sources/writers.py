@@ -22,19 +22,20 @@ def spectra_table(spectra: DataFrame, n_components: int, keys: list[str] | None
 def write_spectra_csv(spectra: DataFrame, axis: DataFrame, path: str, n_components: int) -> None:
     """One CSV folder per image with the axis (or its labels) first and a column per component.
 
-    The header names the axis; a spectra table has one row per channel, so one file is enough.
+    The header names each image's own axis, so it is written as the first line of the image's only file; a spectra
+    table has one row per channel, so one file is enough.
     """
     table = spectra_table(spectra, n_components).join(axis, ["image_id", "channel"])
-    first = axis.select(
-        F.col("label").isNotNull().alias("has"),
-        spectral_csv_header("unit", F.col("label").isNotNull()).alias("header"),
-    ).first()
-    shown = F.coalesce("label", F.col("value").cast("string")) if first["has"] else F.col("value")
-    names = [f"Component {c}" for c in range(n_components)]
+    labelled = axis.groupBy("image_id").agg(F.bool_or(F.col("label").isNotNull()).alias("_has"), F.min("unit").alias("_unit"))
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
+    shown = F.when(F.col("_has"), quoted(F.coalesce("label", F.col("value").cast("string")))).otherwise(F.col("value").cast("string"))
+    cells = [F.coalesce(F.col(f"Component {c}").cast("string"), F.lit("")) for c in range(n_components)]
+    body = table.join(labelled, "image_id").select("image_id", "channel", F.concat_ws(",", shown, *cells).alias("line"))
+    heads = labelled.select("image_id", F.lit(-1).alias("channel"), F.concat_ws(
+        ",", quoted(spectral_csv_header("_unit", F.col("_has"))), *[F.lit(f"Component {c}") for c in range(n_components)]).alias("line"))
     (
-        table.repartition("image_id").sortWithinPartitions("image_id", "channel")
-        .select("image_id", shown.alias(first["header"]), *names)
-        .write.partitionBy("image_id").option("header", True).mode("overwrite").csv(path)
+        body.unionByName(heads).repartition("image_id").sortWithinPartitions("image_id", "channel")
+        .select("image_id", F.col("line").alias("value")).write.partitionBy("image_id").mode("overwrite").text(path)
     )
 
 

@@ -57,3 +57,61 @@ def test_theta_join_large_side(rows, spark):
     cond = (F.col("y") >= F.col("a")) & (F.col("y") < F.col("b"))
     n = [scale.theta_join(df, spans, ["image_id"], cond, limit=lim).count() for lim in (None, 0)]
     assert n[0] == n[1] > 0
+
+
+def test_cells_of_nested_columns_are_counted(spark):
+    rows = [(i, [([1.0] * 1000, j, "x" * 16) for j in range(5)], {"k": 1.0}, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "a INT, b ARRAY<STRUCT<s: ARRAY<DOUBLE>, j: INT, t: STRING>>, c MAP<STRING, DOUBLE>, d ARRAY<ARRAY<DOUBLE>>")
+    assert scale.cell_count(df) == 3 * (1 + 5 * (1000 + 1 + 2) + 2 + 1)
+
+
+def test_line_regions_have_members_and_spectra(spark):
+    from spectrafold.operators import rois as R
+
+    px = spark.createDataFrame([("a", 0, y, x, [float(x), 1.0]) for y in range(6) for x in range(6)],
+                               "image_id STRING, slice_id INT, y INT, x INT, spectrum ARRAY<DOUBLE>")
+    roi = spark.createDataFrame([("a", 0, "LineROI", 1.0, 2.0, 3.0, 0.0, 0.0, 0, False, 1.0, 0.0, 0), ("a", 1, None, 0.0, 0.0, 2.0, 2.0, 0.0, 0, False, 1.0, 0.0, 0)],
+                                "image_id STRING, roi_id INT, shape STRING, x0 DOUBLE, y0 DOUBLE, w DOUBLE, h DOUBLE, angle DOUBLE, component INT, background BOOLEAN, scale DOUBLE, offset DOUBLE, smooth_sigma INT")
+    hits = R.pixels_in_roi(px, roi).select("roi_id", "y", "x").collect()
+    assert sorted((r["y"], r["x"]) for r in hits if r["roi_id"] == 0) == [(2, 1), (2, 2), (2, 3), (2, 4)]
+    assert sum(r["roi_id"] == 1 for r in hits) == 4
+    mean = {(r["roi_id"], r["channel"]): r["value"] for r in R.roi_mean_spectrum(px, roi, smooth=False).collect()}
+    assert mean == {(0, 0): 2.5, (0, 1): 1.0, (1, 0): 0.5, (1, 1): 1.0}
+
+
+def test_fixed_maps_keep_pixels_of_later_maps(spark):
+    from spectrafold.operators.seeds import fixed_w_mean
+
+    rows = [("a", 0, 0, 0, 0, 1.0), ("a", 0, 0, 0, 1, 0.5), ("a", 0, 1, 0, 1, 1.0), ("a", 0, 1, 0, 2, 0.5)]
+    maps = spark.createDataFrame(rows, "image_id STRING, component INT, map_id INT, y INT, x INT, w DOUBLE")
+    got = {r["x"]: round(r["w"], 6) for r in fixed_w_mean(maps).collect()}
+    assert got == {0: 1.0, 1: 0.75, 2: 0.5}
+
+
+def test_one_model_row_without_image_key(spark):
+    from spectrafold.operators import illumination as L
+
+    shape = spark.createDataFrame([("a", 0, 8, 8)], "image_id STRING, slice_id INT, ny INT, nx INT")
+    model = L.default_model(shape).drop("image_id", "slice_id")
+    with pytest.raises(ValueError, match="exactly one row"):
+        L.illum_gain(model.union(model), shape).count()
+
+
+def test_python_stage_from_another_folder(tmp_path):
+    """The package reaches the workers although only the driver can import it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+print("ROWS", e.queries()["nnls_fixed_h"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]

@@ -27,6 +27,39 @@ def test_csv_spectra(spark, tmp_path):
         (0, "lipid", 1.0), (0, "lipid", 3.0), (1, "Component 2", 2.0), (1, "Component 2", 4.0)]
 
 
+def test_csv_files_of_different_width_and_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("nm,one\n1,10\n2,20\n")
+    (tmp_path / "b.csv").write_text('nm,"x, y",two,three\r\n1,1,2,3\r\nnote,,\r\n2,4,,6\r\n')
+    (tmp_path / "c.csv").write_text("5,7\n6,8\n")
+    got = sorted((r["path"][-5:], r["component"], r["name"], r["axis_value"], r["value"]) for r in R.read_spectra_csv(spark, str(tmp_path)).filter("value IS NOT NULL").collect())
+    assert got == [("a.csv", 0, "one", 1.0, 10.0), ("a.csv", 0, "one", 2.0, 20.0), ("b.csv", 0, "x, y", 1.0, 1.0), ("b.csv", 0, "x, y", 2.0, 4.0),
+                   ("b.csv", 1, "two", 1.0, 2.0), ("b.csv", 2, "three", 1.0, 3.0), ("b.csv", 2, "three", 2.0, 6.0),
+                   ("c.csv", 0, "Component 1", 5.0, 7.0), ("c.csv", 0, "Component 1", 6.0, 8.0)]
+
+
+def test_written_csv_names_each_images_own_axis(spark, tmp_path):
+    spectra = spark.createDataFrame([(i, c, ch, float(10 * c + ch)) for i in ("a", "b", "l") for c in range(2) for ch in range(3)],
+                                    "image_id STRING, component INT, channel INT, value DOUBLE")
+    axis = spark.createDataFrame([(i, ch, 100.0 + ch, None if i != "l" else f"L{ch}", u) for i, u in (("a", "nm"), ("b", "cm⁻¹"), ("l", "index")) for ch in range(3)],
+                                 "image_id STRING, channel INT, value DOUBLE, label STRING, unit STRING")
+    W.write_spectra_csv(spectra, axis, str(tmp_path / "out"), 2)
+    text = {i: next((tmp_path / "out" / f"image_id={i}").glob("*.txt")).read_text().split("\n") for i in ("a", "b", "l")}
+    assert len({t[0] for t in text.values()}) == 3 and "nm" in text["a"][0] and "cm" in text["b"][0]
+    assert text["a"][1:4] == ["100.0,0.0,10.0", "101.0,1.0,11.0", "102.0,2.0,12.0"] and text["l"][1] == '"L0",0.0,10.0'
+    back = R.read_spectra_csv(spark, str(tmp_path / "out" / "image_id=b")).orderBy("component", "axis_value").collect()
+    assert [r["value"] for r in back] == [0.0, 1.0, 2.0, 10.0, 11.0, 12.0] and back[0]["name"] == "Component 0"
+
+
+def test_user_function_per_tile(spark):
+    import pandas as pd
+
+    rows = [("m", t, 0, y, x, [float(y * 6 + x + t), 1.0]) for t in range(2) for y in range(6) for x in range(6)]
+    tiles = spark.createDataFrame(rows, "mosaic_id STRING, tx INT, ty INT, y INT, x INT, spectrum ARRAY<DOUBLE>")
+    fn = lambda key, cube: pd.DataFrame({"tx": [key[1]], "n": [cube.shape[0] * cube.shape[1]], "first": [cube[0, 0, 0]]})
+    got = sorted(map(tuple, R.map_tiles(tiles, fn, "tx INT, n INT, first DOUBLE", crop=1, bin_factor=2).collect()))
+    assert got == [(0, 4, 10.5), (1, 4, 11.5)]
+
+
 def test_axis_json(spark, tmp_path):
     f = tmp_path / "axis.json"
     f.write_text(json.dumps({"custom_points": [1, 2], "labels": ["a", "b"], "unit": "nm"}, indent=1))
