@@ -10,49 +10,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..scale import materialize
-from .blocks import batch_of, blocks, mixed, widened, words
+from .blocks import batch_of, blocks, mixed, ranges, widened, words
 
-RARITY_BUCKETS = 1 << 18
+BUCKET_BITS = 18
+RARITY_BUCKETS = 1 << BUCKET_BITS
 FILTER_BITS = 1 << 23
 HASH20 = (1 << 20) - 1
 HOT_LIST = 20_000
-FIRST_CANDIDATES = 4
+FIRST_CANDIDATES = 16
+LIKELY_BITS = 12
 
 
 # -- lines as sets of tokens ----------------------------------------------------------------------------------------
 
 
 class Lines:
-    """The lines of a block of texts as sets of token hashes, tokens of a line together and rarest first."""
+    """The lines of a block of texts as sets of token hashes, tokens of a line together and rarest first.
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, rarity: np.ndarray | None):
-        known = ids.is_valid()
+    ``rarity`` gives each hash bucket its place in the order of rarity. ``wanted(doc, line)`` may choose the lines that
+    are looked into at all.
+    """
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, rarity: np.ndarray | None, wanted=None):
         if ids.null_count:  # documents without an id take no part
+            known = ids.is_valid()
             ids, texts = ids.filter(known), texts.filter(known)
         lists = pc.split_pattern(texts, "\n")
+        every = lists.flatten()
         per_text = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        row, code, distinct = words(lists.flatten(), lower=True)
+        text_of = np.repeat(np.arange(len(texts)), per_text)
+        number = ranges(per_text)
+        doc = ids.to_numpy(zero_copy_only=False).astype(np.int64)[text_of]
+        # a line is known by its number, then by its text's hash, which tells rows of one id apart
+        line = (number << 20) | (_hashes(texts) & np.uint64(HASH20)).astype(np.int64)[text_of]
+        if wanted is not None:
+            at = np.flatnonzero(wanted(doc, line))
+            every, doc, line = every.take(pa.array(at)), doc[at], line[at]
+        row, code, distinct = words(every, lower=True)
         word_hash = _hashes(distinct)
-        token = word_hash[code] if len(code) else np.zeros(0, np.uint64)
+        # one sort by line, then rarity, then hash
+        row_bits = max(1, len(every)).bit_length()
+        place = word_hash >> np.uint64(64 - BUCKET_BITS)
         if rarity is not None:
-            rank = rarity[token & np.uint64(RARITY_BUCKETS - 1)]
-            order = np.lexsort((token, rank, row))
-        else:
-            order = np.lexsort((token, row))
-        row, token = row[order], token[order]
+            place = rarity[place.astype(np.int64)].astype(np.uint64)
+        rest = np.uint64(64 - BUCKET_BITS - row_bits)
+        tail = (word_hash << np.uint64(BUCKET_BITS)) >> np.uint64(BUCKET_BITS + row_bits)
+        key = ((place << rest) | tail)[code] | (row.astype(np.uint64) << np.uint64(64 - row_bits))
+        order = np.argsort(key)
+        row, token = row[order], word_hash[code[order]]
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
         row, self.token = row[new], token[new]
-        size = np.bincount(row, minlength=int(per_text.sum())).astype(np.int64)
+        size = np.bincount(row, minlength=len(every)).astype(np.int64)
         full = np.flatnonzero(size)  # lines with a word
-        text_of = np.repeat(np.arange(len(texts)), per_text)
-        number = np.arange(len(text_of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        own = _hashes(texts) & np.uint64(HASH20)
-        self.size = size[full]
+        self.size, self.doc, self.line = size[full], doc[full], line[full]
         self.start = np.cumsum(self.size) - self.size
-        self.doc = ids.to_numpy(zero_copy_only=False).astype(np.int64)[text_of[full]]
-        # a line is known by its number, then by its text's hash, which tells rows of one id apart
-        self.line = (number[full] << 20) | own[text_of[full]].astype(np.int64)
         self.of_token = np.repeat(np.arange(len(full)), self.size)
 
 
@@ -71,13 +83,16 @@ def _summed(lines: Lines, values: np.ndarray) -> np.ndarray:
 
 
 def rarities(docs: DataFrame) -> np.ndarray:
-    """How often the tokens of each hash bucket occur in all lines: a table of fixed size, whatever the corpus."""
+    """How often the tokens of each hash bucket occur in all lines: a table of fixed size, whatever the corpus.
+
+    A bucket is the leading bits of a token's hash.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for part in blocks(batches):
             _, code, distinct = words(part.column(0), lower=True)
-            bucket = (_hashes(distinct) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)
+            bucket = (_hashes(distinct) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             count += np.bincount(bucket, np.bincount(code, minlength=len(distinct)), RARITY_BUCKETS).astype(np.int64)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["bucket", "n"])
@@ -94,15 +109,16 @@ def rarities(docs: DataFrame) -> np.ndarray:
 _FIELDS = (("key", "<u4"), ("doc", "<i8"), ("line", "<i8"), ("size", "<u4"), ("at", "<u4"), ("parity", "<u8"), ("whole", "<u4"))
 
 
-def _planes(columns: list[np.ndarray]) -> bytes:
-    """Columns as bytes, the first byte of all values together, then the second, so that the shuffle compresses them."""
-    return b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, (_, t) in zip(columns, _FIELDS))
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns as bytes, the first byte of all values together, then the second, and compressed."""
+    raw = b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, (_, t) in zip(columns, _FIELDS))
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _from_planes(data: bytes, n: int) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(data, dtype=np.uint8), [], 0
-    for _, t in _FIELDS:
-        width = np.dtype(t).itemsize
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for _, t in _FIELDS]
+    raw, out, at = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), dtype=np.uint8), [], 0
+    for width, (_, t) in zip(widths, _FIELDS):
         out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).view(t).ravel())
         at += n * width
     return out
@@ -115,12 +131,12 @@ def _postings(rarity, parts: int, num: int, den: int):
     """For each block of texts and each part: the prefix tokens of its lines, with what the filters need."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = rarity.value
+        common, places = rarity.value
         for block in blocks(batches):
-            lines = Lines(block.column(0), block.column(1), common)
+            lines = Lines(block.column(0), block.column(1), places)
             if not len(lines.size):
                 continue
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.token >> np.uint64(58)), lines.start)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.token & np.uint64(63)), lines.start)
             whole = _summed(lines, mixed(lines.token))
             # of equal sets in this block only the first line is posted; the others are settled here
             order = np.lexsort((lines.line, lines.doc, lines.size, whole))
@@ -134,7 +150,7 @@ def _postings(rarity, parts: int, num: int, den: int):
             used = np.flatnonzero((place < prefix[lines.of_token]) & first[lines.of_token])
             token, line, at = lines.token[used], lines.of_token[used], place[used]
             # lists of tokens that are everywhere are cut into a triangle of cells
-            cells = -(-common[token & np.uint64(RARITY_BUCKETS - 1)] // HOT_LIST)
+            cells = -(-common[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] // HOT_LIST)
             hot = cells > 1
             keys, kept_line, kept_at = [mixed(token[~hot])], [line[~hot]], [at[~hot]]
             if hot.any():
@@ -152,7 +168,7 @@ def _postings(rarity, parts: int, num: int, den: int):
             key, line, at, part = key[order], line[order], at[order], part[order]
             size_mark = whole & np.uint64(0xFFFFFFFF)
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            copies = _planes([np.full(len(copy), 0), lines.doc[copy], lines.line[copy], np.zeros(len(copy)), np.zeros(len(copy)),
+            copies = _packed([np.full(len(copy), 0), lines.doc[copy], lines.line[copy], np.zeros(len(copy)), np.zeros(len(copy)),
                               np.zeros(len(copy)), np.zeros(len(copy))]) if len(copy) else b""
             out: list[list] = [[], [], []]
             for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -160,7 +176,7 @@ def _postings(rarity, parts: int, num: int, den: int):
                 ln = line[s]
                 out[0].append(p)
                 out[1].append(len(ln))
-                out[2].append(_planes([key[s] >> np.uint64(32), lines.doc[ln], lines.line[ln], lines.size[ln], at[s], parity[ln], size_mark[ln]]))
+                out[2].append(_packed([key[s] >> np.uint64(32), lines.doc[ln], lines.line[ln], lines.size[ln], at[s], parity[ln], size_mark[ln]]))
             if len(copy):
                 out[0].append(int(copy[0]) % parts)
                 out[1].append(-len(copy))
@@ -185,7 +201,7 @@ def candidates_of(key, doc, line, size, at, parity, whole, most: int, num: int,
     In the list of a token, lines stand in their order and each later one is held against the first, the second and so
     on. A pair passes if its sizes allow the similarity, if the tokens from the shared one on suffice for the overlap
     that is needed, and if not more bits of the parities differ than tokens may. A line that has got ``most`` candidates,
-    or with ``trust`` one that looks like a copy, leaves the list and is marked as having more.
+    or with ``trust`` one that looks very much like a match, leaves the list and is marked as having more.
     """
     order = np.lexsort((line, doc, key))
     key, size, at, parity, whole = key[order], size[order].astype(np.int64), at[order].astype(np.int64), parity[order], whole[order]
@@ -206,7 +222,8 @@ def candidates_of(key, doc, line, size, at, parity, whole, most: int, num: int,
         need = -(-num * (x + y) // (num + den))  # the least overlap of this similarity
         good = (num * x <= den * y) & (num * y <= den * x)
         good &= np.minimum(x - at[alive], y - at[to]) >= need  # holds at the first shared token of every match
-        good &= np.bitwise_count(parity[alive] ^ parity[to]) <= x + y - 2 * need
+        apart = np.bitwise_count(parity[alive] ^ parity[to])
+        good &= apart <= x + y - 2 * need
         hit = alive[good]
         full = got[hit] >= most
         more.append(hit[full])
@@ -216,7 +233,9 @@ def candidates_of(key, doc, line, size, at, parity, whole, most: int, num: int,
         got[hit] += 1
         finished[more[-1]] = True
         if trust:
-            same = hit[(whole[hit] == whole[target]) & (size[hit] == size[target]) & (parity[hit] == parity[target])]
+            likely = np.minimum((x + y - 2 * need) // 3, LIKELY_BITS)
+            same = ((whole[alive] == whole[to]) & (x == y) & (apart == 0)) | (apart.astype(np.int64) <= likely) & (x + y > 2 * need + 2)
+            same = alive[good & same]
             finished[same] = True
             more.append(same)
         step += 1
@@ -232,9 +251,9 @@ def _candidates(most: int, num: int, den: int, trust: bool):
     def solve(pile: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         for n, data in pile:
             if n < 0:
-                _, doc, line, *_ = _from_planes(data, -n)
+                _, doc, line, *_ = _unpacked(data, -n)
                 yield _settled(doc, line)
-        loaded = [_from_planes(data, n) for n, data in pile if n > 0]
+        loaded = [_unpacked(data, n) for n, data in pile if n > 0]
         if loaded:
             columns = [np.concatenate(c) for c in zip(*loaded)]
             _, doc, line, *_ = columns
@@ -259,50 +278,46 @@ def _candidates(most: int, num: int, den: int, trust: bool):
 # -- verification and removal ---------------------------------------------------------------------------------------
 
 
-def _filter_of(wanted: DataFrame):
-    """A hashed bit table of fixed size in which every (doc, line) of ``wanted`` is marked."""
-    bit = F.pmod(F.xxhash64("doc", "line"), F.lit(FILTER_BITS))
-    word = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc, line), {FILTER_BITS}) & 63 as int))")).alias("bits"))
-    got = word.toArrow()
+def _bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc.view(np.uint64)) ^ line.view(np.uint64)) & np.uint64(FILTER_BITS - 1)
+
+
+def _marked(keys: DataFrame):
+    """A hashed bit table of fixed size in which every (doc, line) of ``keys`` is marked, sent to the tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        for batch in batches:
+            bit = _bit(*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns))
+            np.bitwise_or.at(table, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at].view(np.int64), pa.int64())], names=["word", "bits"])
+
+    got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return wanted.sparkSession.sparkContext.broadcast(out)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def _is_marked(table: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    bit = _bit(doc, line)
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, line, tokens) of the lines in ``wanted``; few others pass the bit table and fall out of the join."""
-    sent = _filter_of(wanted)
+    sent = _marked(wanted)
 
-    def of_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            lines = Lines(block.column(0), block.column(1), None)
+            lines = Lines(block.column(0), block.column(1), None, lambda doc, line: _is_marked(sent.value, doc, line))
             bounds = np.concatenate((lines.start, [len(lines.token)])).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.token.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(lines.doc), pa.array(lines.line), tokens], names=["doc", "line", "tokens"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        marked = sent.value
-        for batch in of_lines(batches):
-            doc, line = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for d, x in zip(doc, line):
-                # the hash that Spark's xxhash64(doc, line) gives
-                h = xxh64_intdigest((x & _U64).to_bytes(8, "little"), xxh64_intdigest((d & _U64).to_bytes(8, "little"), 42))
-                bit = h & (FILTER_BITS - 1)
-                keep.append(bool(int(marked[bit >> 6]) >> (bit & 63) & 1))
-            batch = batch.filter(pa.array(keep, pa.bool_()))
-            if batch.num_rows:
-                yield batch
-
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc long, line long, tokens array<long>")
 
 
-_U64 = (1 << 64) - 1
-
-
 def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc, line) of every line whose token set has at least this Jaccard similarity to that of an earlier line.
 
@@ -317,7 +332,10 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     """
     num, den = similarity
     spark = docs.sparkSession
-    rarity = spark.sparkContext.broadcast(rarities(docs))
+    common = rarities(docs)
+    places = np.empty(RARITY_BUCKETS, dtype=np.int64)
+    places[np.argsort(common, kind="stable")] = np.arange(RARITY_BUCKETS)
+    rarity = spark.sparkContext.broadcast((common, places))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     most, settled, open_lines = FIRST_CANDIDATES, None, None
@@ -360,10 +378,19 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
     Columns of these three names are replaced. An empty table gives no rows.
     """
     extra = ("n_lines", "n_removed", "removed")
-    gone = matched_lines(docs, similarity)
+    gone = materialize(matched_lines(docs, similarity))
     per_doc = gone.groupBy("doc").agg(F.collect_list("line").alias("gone"))
+    sent = _marked(gone.select("doc", F.lit(0).cast("long").alias("zero")).distinct())
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("text"))
-    joined = row.join(per_doc, "doc", "left").select("row", "text", "gone")
+
+    def some(marked: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc = pc.fill_null(batch.column(1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = _is_marked(sent.value, doc, np.zeros(len(doc), np.int64)) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == marked))
+
+        return run
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +411,12 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
                  pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))],
                 names=["row", "text", *extra])
 
-    schema = widened(joined.select("row", "text").schema, "n_lines long, n_removed long, removed array<int>")
-    done = joined.mapInArrow(run, schema)
+    # only documents that the bit table marks travel to their lines; the others are given out where they are read
+    joined = row.mapInArrow(some(True), row.schema).join(per_doc, "doc", "left").select("row", "text", "gone")
+    done = joined.mapInArrow(run, widened(joined.select("row", "text").schema, "n_lines long, n_removed long, removed array<int>"))
+    whole = row.mapInArrow(some(False), row.schema).select(
+        "row", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast("array<int>").alias("removed"))
+    both = done.unionByName(whole)
     kept = [c for c in docs.columns if c not in extra]
-    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept], *extra)
+    return both.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept], *extra)
