@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..scale import materialize
 from .blocks import batch_of, blocks, mixed, ranges, widened, words
 
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+RARITY_PARTS = 64
 RARITY_BUCKETS = 1 << BUCKET_BITS
 FILTER_BITS = 1 << 23
 HASH20 = (1 << 20) - 1
 HOT_LIST = 20_000
-FIRST_CANDIDATES = 16
-LIKELY_BITS = 12
+FIRST_CANDIDATES = 64
+LIKELY_BITS = 24
 
 
 # -- lines as sets of tokens ----------------------------------------------------------------------------------------
@@ -76,6 +77,15 @@ def _hashes(strings: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, dtype=">u8").astype(np.uint64)
 
 
+def _parities(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each line: how many of its tokens fall on each, odd or even."""
+    bit = lines.token & np.uint64(63)
+    side = (lines.token >> np.uint64(6) & np.uint64(1)).astype(bool)
+    one = np.uint64(1) << bit
+    return (np.bitwise_xor.reduceat(np.where(side, np.uint64(0), one), lines.start),
+            np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), lines.start))
+
+
 def _summed(lines: Lines, values: np.ndarray) -> np.ndarray:
     """The wrapped sum of values over the tokens of each line."""
     upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
@@ -88,25 +98,44 @@ def rarities(docs: DataFrame) -> np.ndarray:
     A bucket is the leading bits of a token's hash.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+    width = RARITY_BUCKETS // RARITY_PARTS
+    schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+
+    def given(part: int, counts: np.ndarray):
+        return part, pa.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+    def taken(data: bytes) -> np.ndarray:
+        raw = np.frombuffer(pa.decompress(data, 8 * width, codec="zstd"), dtype=np.uint8)
+        return np.ascontiguousarray(raw.reshape(8, width).T).view("<i8").ravel()
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for part in blocks(batches):
             _, code, distinct = words(part.column(0), lower=True)
             bucket = (_hashes(distinct) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            count += np.bincount(bucket, np.bincount(code, minlength=len(distinct)), RARITY_BUCKETS).astype(np.int64)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["bucket", "n"])
+            np.add.at(total, bucket, np.bincount(code, minlength=len(distinct)))
+        yield batch_of(schema, *zip(*[given(i, total[i * width:(i + 1) * width]) for i in range(RARITY_PARTS)]))
 
-    sums = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[part] = sums[part] + taken(data) if part in sums else taken(data)
+        if sums:
+            yield batch_of(schema, *zip(*[given(i, c) for i, c in sums.items()]))
+
+    ddl = "part int, data binary"
+    counts = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(count, ddl)
+    got = counts.repartition(RARITY_PARTS, "part").mapInArrow(add, ddl).toArrow()
     out = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    for part, data in zip(got["part"].to_pylist(), got["data"].to_pylist()):
+        out[part * width:(part + 1) * width] += taken(data)
     return out
 
 
 # -- candidates -----------------------------------------------------------------------------------------------------
 
-_FIELDS = (("key", "<u4"), ("doc", "<i8"), ("line", "<i8"), ("size", "<u4"), ("at", "<u4"), ("parity", "<u8"), ("whole", "<u4"))
+_FIELDS = (("key", "<u4"), ("doc", "<i8"), ("line", "<i8"), ("size", "<u4"), ("at", "<u4"), ("low", "<u8"), ("high", "<u8"))
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -136,7 +165,7 @@ def _postings(rarity, parts: int, num: int, den: int):
             lines = Lines(block.column(0), block.column(1), places)
             if not len(lines.size):
                 continue
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.token & np.uint64(63)), lines.start)
+            low, high = _parities(lines)
             whole = _summed(lines, mixed(lines.token))
             # of equal sets in this block only the first line is posted; the others are settled here
             order = np.lexsort((lines.line, lines.doc, lines.size, whole))
@@ -158,15 +187,14 @@ def _postings(rarity, parts: int, num: int, den: int):
                 mine = (mixed(lines.doc[ln].astype(np.uint64) * np.uint64(31) + lines.line[ln].astype(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(g)), g)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(g) - g, g)
-                low, high = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
-                keys.append(mixed(mixed(t[rep]) ^ mixed((low << 32 | high).astype(np.uint64))))
+                one, two = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
+                keys.append(mixed(mixed(t[rep]) ^ mixed((one << 32 | two).astype(np.uint64))))
                 kept_line.append(ln[rep])
                 kept_at.append(at[hot][rep])
             key, line, at = np.concatenate(keys), np.concatenate(kept_line), np.concatenate(kept_at)
             part = (key % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((lines.line[line], lines.doc[line], part))
             key, line, at, part = key[order], line[order], at[order], part[order]
-            size_mark = whole & np.uint64(0xFFFFFFFF)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             copies = _packed([np.full(len(copy), 0), lines.doc[copy], lines.line[copy], np.zeros(len(copy)), np.zeros(len(copy)),
                               np.zeros(len(copy)), np.zeros(len(copy))]) if len(copy) else b""
@@ -176,7 +204,7 @@ def _postings(rarity, parts: int, num: int, den: int):
                 ln = line[s]
                 out[0].append(p)
                 out[1].append(len(ln))
-                out[2].append(_packed([key[s] >> np.uint64(32), lines.doc[ln], lines.line[ln], lines.size[ln], at[s], parity[ln], size_mark[ln]]))
+                out[2].append(_packed([key[s] >> np.uint64(32), lines.doc[ln], lines.line[ln], lines.size[ln], at[s], low[ln], high[ln]]))
             if len(copy):
                 out[0].append(int(copy[0]) % parts)
                 out[1].append(-len(copy))
@@ -195,56 +223,55 @@ def _settled(doc, line) -> pa.RecordBatch:
     return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool))
 
 
-def candidates_of(key, doc, line, size, at, parity, whole, most: int, num: int, den: int, trust: bool = False):
+def candidates_of(key, doc, line, size, at, low, high, most: int, num: int, den: int, trust: bool = False):
     """(later line, earlier line, whether the later has more than ``most``) of postings, as positions in them.
 
-    In the list of a token, lines stand in their order and each later one is held against the first, the second and so
-    on. A pair passes if its sizes allow the similarity, if the tokens from the shared one on suffice for the overlap
-    that is needed, and if not more bits of the parities differ than tokens may. A line that has got ``most`` candidates,
-    or with ``trust`` one that looks very much like a match, leaves the list and is marked as having more.
+    In the list of a token lines stand in the order of their sizes, and each is held against those before it as long
+    as their sizes allow the similarity. A pair passes if the tokens from the shared one on suffice for the overlap that is needed,
+    and if not more bits of the parities differ than tokens may. The candidate belongs to the later line of the two. A line
+    that has got ``most`` candidates, or with ``trust`` one that looks very much like a match, gets no more and is marked
+    as having more.
     """
-    order = np.lexsort((line, doc, key))
-    key, size, at, parity, whole = key[order], size[order].astype(np.int64), at[order].astype(np.int64), parity[order], whole[order]
+    size = size.astype(np.int64)
+    order = np.lexsort((size, key))
+    key, doc, line, size, at, low, high = (c[order] for c in (key, doc, line, size, at.astype(np.int64), low, high))
     head = np.ones(len(key), dtype=bool)
     head[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(head)
-    lengths = np.diff(np.concatenate((starts, [len(key)])))
-    start = np.repeat(starts, lengths)
-    place = np.arange(len(key)) - start
-    got = np.zeros(len(key), dtype=np.int64)
-    alive = np.flatnonzero(place > 0)
-    later, earlier, more = [], [], []
-    finished = np.zeros(len(key), dtype=bool)
-    step = 0
+    room = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(key)]))))
+    left, got = size - at, np.zeros(len(key), dtype=np.int64)
+    finished, unsure = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    later, earlier = [], []
+    alive, step = np.flatnonzero(room > 0), 1
     while len(alive):
-        to = start[alive] + step
-        x, y = size[alive], size[to]
+        x, y = size[alive], size[alive - step]
+        fits = num * x <= den * y  # y is not the larger
+        alive, x, y = alive[fits], x[fits], y[fits]
+        to = alive - step
         need = -(-num * (x + y) // (num + den))  # the least overlap of this similarity
-        good = (num * x <= den * y) & (num * y <= den * x)
-        good &= np.minimum(x - at[alive], y - at[to]) >= need  # holds at the first shared token of every match
-        apart = np.bitwise_count(parity[alive] ^ parity[to])
-        good &= apart <= x + y - 2 * need
-        hit = alive[good]
-        full = got[hit] >= most
-        more.append(hit[full])
-        hit, target = hit[~full], to[good][~full]
-        later.append(hit)
-        earlier.append(target)
-        got[hit] += 1
-        finished[more[-1]] = True
-        if trust:
-            likely = np.minimum((x + y - 2 * need) // 3, LIKELY_BITS)
-            same = ((whole[alive] == whole[to]) & (x == y) & (apart == 0)) | (apart.astype(np.int64) <= likely) & (x + y > 2 * need + 2)
-            same = alive[good & same]
-            finished[same] = True
-            more.append(same)
+        apart = np.bitwise_count(low[alive] ^ low[to]).astype(np.int64) + np.bitwise_count(high[alive] ^ high[to])
+        good = (apart <= x + y - 2 * need) & (np.minimum(left[alive], left[to]) >= need)  # holds at the first shared token of every match
+        if good.any():
+            a, b = alive[good], to[good]
+            swap = (doc[a] < doc[b]) | (doc[a] == doc[b]) & (line[a] < line[b])
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            if trust:
+                likely = apart[good] <= np.minimum((x + y - 2 * need)[good] // 2, LIKELY_BITS)
+            open_ = ~finished[a] & ((doc[a] != doc[b]) | (line[a] != line[b]))
+            unsure[a[finished[a]]] = True
+            later.append(a[open_])
+            earlier.append(b[open_])
+            np.add.at(got, a[open_], 1)
+            full = a[got[a] >= most]
+            finished[full] = True
+            if trust:
+                sure = a[likely & open_]
+                finished[sure] = unsure[sure] = True
         step += 1
-        alive = alive[(place[alive] > step) & ~finished[alive]]
-    later, earlier, more = np.concatenate([*later, []]), np.concatenate([*earlier, []]), np.concatenate([*more, []])
-    unsure = np.zeros(len(key), dtype=bool)
-    unsure[more.astype(np.int64)] = True
-    later = later.astype(np.int64)
-    return order[later], order[earlier.astype(np.int64)], unsure[later]
+        alive = alive[room[alive] >= step]
+    later = np.concatenate([*later, np.zeros(0, np.int64)]).astype(np.int64)
+    earlier = np.concatenate([*earlier, np.zeros(0, np.int64)]).astype(np.int64)
+    return order[later], order[earlier], unsure[later]
 
 
 def _candidates(most: int, num: int, den: int, trust: bool):

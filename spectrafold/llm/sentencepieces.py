@@ -13,10 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .blocks import batch_of, blocks, ranges, widened
+from .blocks import batch_of, blocks, counted, ranges, widened
 
 MARK = "▁"
-CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 200_000
+DECODE_IDS = 1 << 20
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -41,18 +42,36 @@ class Pieces:
         self.unknown = m.unk_id()
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.fallback = all(m.is_byte(i) for i in self.bytes)
-        self.value = {i: b for b, i in enumerate(self.bytes)} if self.fallback else {}
-        self.control = {i for i in range(n) if m.is_control(i)}
         self.longest = max(map(len, self.id), default=1)
         if kind == "auto":
             ranks = [s for s in self.score.values() if s != 0]
             kind = "bpe" if ranks and all(s == int(s) for s in ranks) else "unigram"
         self.merges = kind == "bpe"
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.id)
+        self.ends = self._free_ends()
         self.tails = {p[i:] for p in self.id for i in range(len(p))}
         self.follows: dict[tuple[str, str], bool] = {}
         self.low = min(self.score.values(), default=0.0) - 10.0
 
+    def _free_ends(self) -> dict[str, set[str]]:
+        """Marks of punctuation, each with the letters and digits behind which some piece holds it."""
+        bonds = {(a, b) for p in self.id for a, b in zip(p, p[1:])}
+        self.free_lines = not any("\n" in pair for pair in bonds)
+        return {mark: {a for a, b in bonds if b == mark} for mark in ".,;:!?|*#$%&"}
+
+    def cut(self, word: str) -> tuple[str, ...] | list[str]:
+        """Parts of a word that can be segmented by themselves, as no piece reaches from one into the next: lines, and a last
+        mark of punctuation behind a letter or digit."""
+        if "\n" in word and self.free_lines:
+            out: list[str] = []
+            for i, line in enumerate(word.split("\n")):
+                out += ["\n"] * (i > 0)
+                out += self.cut(line) if line else ()
+            return out
+        if len(word) > 1 and word[-1] in self.ends and word[-2].isalnum() and word[-2] not in self.ends[word[-1]]:
+            return word[:-1], word[-1]
+        return (word,)
+
     # -- merge models ---------------------------------------------------------------------------------------------
 
     def merged(self, text: str) -> list[str]:
@@ -139,21 +158,46 @@ class Pieces:
             gap = i is None
         return out
 
-    def decoded(self, ids: Sequence[int]) -> str:
-        """The text of ids: marks become spaces but for the one in front, byte pieces are joined to characters."""
-        if not self.fallback or not any(i in self.value for i in ids):
-            text = "".join([self.text[i] for i in ids if i not in self.control])
-        else:
-            parts: list[bytes] = []
-            for i in ids:
-                b = self.value.get(i)
-                if b is not None:
-                    parts.append(bytes((b,)))
-                elif i not in self.control:
-                    parts.append(self.text[i].encode("utf-8"))
-            text = b"".join(parts).decode("utf-8", errors="replace")
-        text = text.replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+
+class Spelling:
+    """What each id of a model spells."""
+
+    def __init__(self, model_proto: bytes):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_proto=model_proto)
+        n = m.get_piece_size()
+        self.raw = []
+        for i in range(n):
+            if m.is_control(i):
+                self.raw.append(b"")
+            elif m.is_byte(i):
+                self.raw.append(bytes((int(m.id_to_piece(i)[3:5], 16),)))
+            else:
+                self.raw.append(m.id_to_piece(i).replace(MARK, " ").encode("utf-8"))
+        # bytes above 127 are parts of characters: texts that hold any are joined as bytes
+        self.partial = np.array([m.is_byte(i) and self.raw[i] > b"\x7f" for i in range(n)])
+        self.text = pa.array([b"" if p else r for r, p in zip(self.raw, self.partial)], type=pa.binary()).cast(pa.string())
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids without nulls: the space in front is left out, wrong bytes become the replacement character."""
+        ids, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        spelled = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), self.text.take(ids))
+        out = pc.binary_join(spelled, "")
+        flat = ids.to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(counted(self.partial[flat], bounds))
+        if len(odd):
+            texts = [b"".join([self.raw[i] for i in flat[bounds[r]:bounds[r + 1]]]).decode("utf-8", errors="replace") for r in odd.tolist()]
+            mask = np.zeros(len(lists), dtype=bool)
+            mask[odd] = True
+            out = pc.replace_with_mask(out, pa.array(mask), pa.array(texts, type=pa.string()))
+        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out)
+
+
+@lru_cache(maxsize=2)
+def _spelling(model_proto: bytes) -> Spelling:
+    return Spelling(model_proto)
 
 
 @lru_cache(maxsize=2)
@@ -193,11 +237,13 @@ def _encode_block(pieces: Pieces, known: dict[str, tuple[int, ...]], texts: pa.A
         found = _marked_words(normal)
     lists, order = [], []
     for taken, row, code, distinct in found:
-        new = sorted({w for w in distinct if w not in known})
+        cut = [(w,) if w in known else pieces.cut(w) for w in distinct]
+        new = sorted({p for parts in cut for p in parts if p not in known})
         fresh = {w: tuple(pieces.ids_of(p)) for w, p in zip(new, pieces.segment(new))}
-        own = [fresh[w] if w in fresh else known[w] for w in distinct]
         room = CACHE_WORDS - len(known)
         known.update(islice(((w, ids) for w, ids in fresh.items() if len(w) <= 64), max(0, room)))
+        of = lambda p: fresh[p] if p in fresh else known[p]
+        own = [of(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(of, parts))) for parts in cut]
         size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
         table = np.fromiter(chain.from_iterable(own), dtype=np.int32, count=int(size.sum()))
         start = np.cumsum(size) - size
@@ -232,6 +278,7 @@ def encode(docs: DataFrame, model_file: str, kind: str = "auto") -> DataFrame:
         pieces, known = _pieces(sent.value, kind), {}
         for part in blocks(batches):
             ids = _encode_block(pieces, known, part.column(1))
+            pa.default_memory_pool().release_unused()
             crc = [zlib.crc32(t.encode("utf-8")) for t in part.column(1).to_pylist()]
             yield batch_of(ENCODED, part.column(0), crc, pc.cast(pc.list_value_length(ids), pa.int64()), ids)
 
@@ -246,11 +293,19 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     at = columns.index("ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(sent.value, "auto")
+        spelling = _spelling(sent.value)
         for batch in batches:
-            texts = [pieces.decoded(ids.as_py() or ()) for ids in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())],
-                                             names=[*batch.schema.names, "text"])
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + DECODE_IDS, side="right")))
+                part = batch.slice(start, end - start)
+                lists = part.column(at)
+                if lists.null_count:
+                    lists = pa.array([x or [] for x in lists.to_pylist()], type=lists.type)
+                yield pa.RecordBatch.from_arrays([*part.columns, spelling.decode(lists)], names=[*batch.schema.names, "text"])
+                start = end
+            pa.default_memory_pool().release_unused()
 
     plain = encoded.select(*columns)
     return plain.mapInArrow(run, widened(plain.schema, "text string"))
