@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..scale import materialize
-from .blocks import batch_of, blocks, mixed, ranges, widened, words
+from .blocks import batch_of, blocks, hashes, mixed, ranges, widened, words
 
 BUCKET_BITS = 20
 RARITY_PARTS = 64
@@ -19,7 +19,8 @@ FILTER_BITS = 1 << 23
 HASH20 = (1 << 20) - 1
 HOT_LIST = 20_000
 FIRST_CANDIDATES = 64
-LIKELY_BITS = 24
+LIKELY_FROM, LIKELY_BITS = 6, 24
+LINE_BLOCK = 4 << 20
 
 
 # -- lines as sets of tokens ----------------------------------------------------------------------------------------
@@ -43,12 +44,12 @@ class Lines:
         number = ranges(per_text)
         doc = ids.to_numpy(zero_copy_only=False).astype(np.int64)[text_of]
         # a line is known by its number, then by its text's hash, which tells rows of one id apart
-        line = (number << 20) | (_hashes(texts) & np.uint64(HASH20)).astype(np.int64)[text_of]
+        line = (number << 20) | (hashes(texts) & np.uint64(HASH20)).astype(np.int64)[text_of]
         if wanted is not None:
             at = np.flatnonzero(wanted(doc, line))
             every, doc, line = every.take(pa.array(at)), doc[at], line[at]
         row, code, distinct = words(every, lower=True)
-        word_hash = _hashes(distinct)
+        word_hash = hashes(distinct)
         # one sort by line, then rarity, then hash
         row_bits = max(1, len(every)).bit_length()
         place = word_hash >> np.uint64(64 - BUCKET_BITS)
@@ -69,12 +70,11 @@ class Lines:
         self.of_token = np.repeat(np.arange(len(full)), self.size)
 
 
-def _hashes(strings: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, the same in every task."""
-    from xxhash import xxh64_digest
-
-    joined = b"".join([xxh64_digest(s.encode("utf-8")) for s in strings.to_pylist()])
-    return np.frombuffer(joined, dtype=">u8").astype(np.uint64)
+def _lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small blocks, with what Arrow no longer needs given back after each."""
+    for block in blocks(batches, limit=LINE_BLOCK):
+        yield block
+        pa.default_memory_pool().release_unused()
 
 
 def _parities(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +110,9 @@ def rarities(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-        for part in blocks(batches):
+        for part in _lean(batches):
             _, code, distinct = words(part.column(0), lower=True)
-            bucket = (_hashes(distinct) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            bucket = (hashes(distinct) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             np.add.at(total, bucket, np.bincount(code, minlength=len(distinct)))
         yield batch_of(schema, *zip(*[given(i, total[i * width:(i + 1) * width]) for i in range(RARITY_PARTS)]))
 
@@ -135,7 +135,7 @@ def rarities(docs: DataFrame) -> np.ndarray:
 
 # -- candidates -----------------------------------------------------------------------------------------------------
 
-_FIELDS = (("key", "<u4"), ("doc", "<i8"), ("line", "<i8"), ("size", "<u4"), ("at", "<u4"), ("low", "<u8"), ("high", "<u8"))
+_FIELDS = (("key", "<u4"), ("doc", "<i8"), ("line", "<i8"), ("size", "<u4"), ("at", "<u4"), ("low", "<u8"), ("high", "<u8"), ("whole", "<u4"))
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -161,7 +161,7 @@ def _postings(rarity, parts: int, num: int, den: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, places = rarity.value
-        for block in blocks(batches):
+        for block in _lean(batches):
             lines = Lines(block.column(0), block.column(1), places)
             if not len(lines.size):
                 continue
@@ -197,14 +197,14 @@ def _postings(rarity, parts: int, num: int, den: int):
             key, line, at, part = key[order], line[order], at[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             copies = _packed([np.full(len(copy), 0), lines.doc[copy], lines.line[copy], np.zeros(len(copy)), np.zeros(len(copy)),
-                              np.zeros(len(copy)), np.zeros(len(copy))]) if len(copy) else b""
+                              np.zeros(len(copy)), np.zeros(len(copy)), np.zeros(len(copy))]) if len(copy) else b""
             out: list[list] = [[], [], []]
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 s = slice(cuts[p], cuts[p + 1])
                 ln = line[s]
                 out[0].append(p)
                 out[1].append(len(ln))
-                out[2].append(_packed([key[s] >> np.uint64(32), lines.doc[ln], lines.line[ln], lines.size[ln], at[s], low[ln], high[ln]]))
+                out[2].append(_packed([key[s] >> np.uint64(32), lines.doc[ln], lines.line[ln], lines.size[ln], at[s], low[ln], high[ln], whole[ln] >> np.uint64(32)]))
             if len(copy):
                 out[0].append(int(copy[0]) % parts)
                 out[1].append(-len(copy))
@@ -223,7 +223,7 @@ def _settled(doc, line) -> pa.RecordBatch:
     return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool))
 
 
-def candidates_of(key, doc, line, size, at, low, high, most: int, num: int, den: int, trust: bool = False):
+def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: int, den: int, trust: bool = False):
     """(later line, earlier line, whether the later has more than ``most``) of postings, as positions in them.
 
     In the list of a token lines stand in the order of their sizes, and each is held against those before it as long
@@ -234,7 +234,7 @@ def candidates_of(key, doc, line, size, at, low, high, most: int, num: int, den:
     """
     size = size.astype(np.int64)
     order = np.lexsort((size, key))
-    key, doc, line, size, at, low, high = (c[order] for c in (key, doc, line, size, at.astype(np.int64), low, high))
+    key, doc, line, size, at, low, high, whole = (c[order] for c in (key, doc, line, size, at.astype(np.int64), low, high, whole))
     head = np.ones(len(key), dtype=bool)
     head[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(head)
@@ -256,9 +256,15 @@ def candidates_of(key, doc, line, size, at, low, high, most: int, num: int, den:
             swap = (doc[a] < doc[b]) | (doc[a] == doc[b]) & (line[a] < line[b])
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             if trust:
-                likely = apart[good] <= np.minimum((x + y - 2 * need)[good] // 2, LIKELY_BITS)
+                room_left = (x + y - 2 * need)[good]
+                copy = (apart[good] == 0) & (whole[a] == whole[b]) & (size[a] == size[b])
+                likely = copy | (room_left >= LIKELY_FROM) & (apart[good] <= np.minimum(room_left // 3, LIKELY_BITS))
             open_ = ~finished[a] & ((doc[a] != doc[b]) | (line[a] != line[b]))
             unsure[a[finished[a]]] = True
+            if trust:
+                away = copy & (at[a] > 0)  # two equal sets meet in the list of their rarest token, and are told there
+                finished[a[away & open_]] = True
+                open_ &= ~away
             later.append(a[open_])
             earlier.append(b[open_])
             np.add.at(got, a[open_], 1)
@@ -336,7 +342,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = _marked(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in _lean(batches):
             lines = Lines(block.column(0), block.column(1), None, lambda doc, line: _is_marked(sent.value, doc, line))
             bounds = np.concatenate((lines.start, [len(lines.token)])).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.token.view(np.int64)))
@@ -408,7 +414,8 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
     gone = materialize(matched_lines(docs, similarity))
     per_doc = gone.groupBy("doc").agg(F.collect_list("line").alias("gone"))
     sent = _marked(gone.select("doc", F.lit(0).cast("long").alias("zero")).distinct())
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("text"))
+    others = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*others).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("text"))
 
     def some(marked: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +433,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
             for i, (text, lines) in enumerate(zip(texts, touched)):
                 own: list[int] = []
                 if lines:
-                    mark = int(_hashes(pa.array([text or ""]))[0]) & HASH20
+                    mark = int(hashes(pa.array([text or ""]))[0]) & HASH20
                     own = sorted(x >> 20 for x in lines if x & HASH20 == mark)
                 n_lines.append(0 if text is None else text.count("\n") + 1)
                 if own:
