@@ -18,8 +18,8 @@ RARITY_BUCKETS = 1 << BUCKET_BITS
 FILTER_BITS = 1 << 23
 HASH20 = (1 << 20) - 1
 HOT_LIST = 20_000
-FIRST_CANDIDATES = 64
-LIKELY_FROM, LIKELY_BITS = 6, 24
+FIRST_CANDIDATES = 256
+LIKELY_FROM, LIKELY_BITS, LIKELY_ENOUGH = 6, 24, 2
 LINE_BLOCK = 4 << 20
 
 
@@ -223,14 +223,15 @@ def _settled(doc, line) -> pa.RecordBatch:
     return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool))
 
 
-def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: int, den: int, trust: bool = False):
+def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: int, den: int, trust: bool = False,
+                  only=None):
     """(later line, earlier line, whether the later has more than ``most``) of postings, as positions in them.
 
     In the list of a token lines stand in the order of their sizes, and each is held against those before it as long
     as their sizes allow the similarity. A pair passes if the tokens from the shared one on suffice for the overlap that is needed,
     and if not more bits of the parities differ than tokens may. The candidate belongs to the later line of the two. A line
-    that has got ``most`` candidates, or with ``trust`` one that looks very much like a match, gets no more and is marked
-    as having more.
+    that has got ``most`` candidates, or with ``trust`` a few that look very much like matches, gets no more and is marked
+    as having more. With ``only(doc, line)`` the other lines get none at all.
     """
     size = size.astype(np.int64)
     order = np.lexsort((size, key))
@@ -241,6 +242,9 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
     room = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(key)]))))
     left, got = size - at, np.zeros(len(key), dtype=np.int64)
     finished, unsure = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    alike = np.zeros(len(key), dtype=np.int64)
+    if only is not None:
+        finished |= ~only(doc, line)
     later, earlier = [], []
     alive, step = np.flatnonzero(room > 0), 1
     while len(alive):
@@ -271,7 +275,8 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
             full = a[got[a] >= most]
             finished[full] = True
             if trust:
-                sure = a[likely & open_]
+                np.add.at(alike, a[open_ & likely], 1)
+                sure = a[open_ & (copy | (alike[a] >= LIKELY_ENOUGH))]
                 finished[sure] = unsure[sure] = True
         step += 1
         alive = alive[room[alive] >= step]
@@ -280,7 +285,7 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
     return order[later], order[earlier], unsure[later]
 
 
-def _candidates(most: int, num: int, den: int, trust: bool):
+def _candidates(most: int, num: int, den: int, trust: bool, open_marks=None):
     def solve(pile: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         for n, data in pile:
             if n < 0:
@@ -290,7 +295,8 @@ def _candidates(most: int, num: int, den: int, trust: bool):
         if loaded:
             columns = [np.concatenate(c) for c in zip(*loaded)]
             _, doc, line, *_ = columns
-            later, earlier, more = candidates_of(*columns, most, num, den, trust)
+            only = None if open_marks is None else lambda d, x: _is_marked(open_marks.value, d, x)
+            later, earlier, more = candidates_of(*columns, most, num, den, trust, only)
             for i in range(0, len(later), 50_000):
                 x, y, m = later[i:i + 50_000], earlier[i:i + 50_000], more[i:i + 50_000]
                 yield batch_of(CANDIDATES, doc[x], line[x], doc[y], line[y], np.zeros(len(x), bool), m)
@@ -371,25 +377,22 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     rarity = spark.sparkContext.broadcast((common, places))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    most, settled, open_lines = FIRST_CANDIDATES, None, None
+    most, settled, open_lines, marks = FIRST_CANDIDATES, None, None, None
     while True:
         posted = plain.mapInArrow(_postings(rarity, parts, num, den), "part int, n long, data binary")
         dealt = posted.repartition(parts, "part").sortWithinPartitions("part")
-        found = dealt.mapInArrow(_candidates(most, num, den, settled is None), CANDIDATES_DDL)
+        found = dealt.mapInArrow(_candidates(most, num, den, settled is None, marks), CANDIDATES_DDL)
         if open_lines is not None:
             found = found.where(~F.col("sure")).join(open_lines, ["doc", "line"], "left_semi")
-        found = materialize(found)
-        pairs = found.where(~F.col("sure")).groupBy("doc", "line", "to_doc", "to_line").agg(F.max("more").alias("more"))
-        pairs = materialize(pairs)
+        found = materialize(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("sure").alias("sure"), F.max("more").alias("more")))
+        pairs = found.where(~F.col("sure"))
         wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
-        sets = _wanted_lines(docs, wanted).dropDuplicates(["doc", "line"])
-        sets = materialize(sets)
+        sets = materialize(_wanted_lines(docs, wanted).dropDuplicates(["doc", "line"]))
         target = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
         both = pairs.join(sets, ["doc", "line"]).join(target, ["to_doc", "to_line"])
         shared = F.size(F.array_intersect("tokens", "to_tokens"))
         holds = shared * (num + den) >= num * (F.size("tokens") + F.size("to_tokens"))
-        checked = both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more"))
-        checked = materialize(checked)
+        checked = materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more")))
         now = checked.where("matched").select("doc", "line")
         if settled is None:
             now = now.unionByName(found.where("sure").select("doc", "line"))
@@ -397,7 +400,7 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
         open_lines = checked.where("more and not matched").select("doc", "line")
         if not open_lines.take(1):
             return settled.distinct()
-        most *= 16
+        most, marks = most * 16, _marked(open_lines)
 
 
 def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -413,18 +416,14 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
     extra = ("n_lines", "n_removed", "removed")
     gone = materialize(matched_lines(docs, similarity))
     per_doc = gone.groupBy("doc").agg(F.collect_list("line").alias("gone"))
-    sent = _marked(gone.select("doc", F.lit(0).cast("long").alias("zero")).distinct())
+    # a bit table of fixed size says which documents may have lost lines; the others do not travel
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    table = gone.select(bit("doc").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     others = [c for c in docs.columns if c != "text"]
-    row = docs.select(F.struct(*others).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("text"))
-
-    def some(marked: bool):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                doc = pc.fill_null(batch.column(1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                hit = _is_marked(sent.value, doc, np.zeros(len(doc), np.int64)) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(hit == marked))
-
-        return run
+    row = docs.select(F.struct(*others).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("text"), bit("doc_id").alias("bit"))
+    seen = row.join(F.broadcast(materialize(table)), F.shiftright("bit", 6) == F.col("word"), "left")
+    hit = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(bit & 63 as int)) & 1) = 1"), F.lit(False)) & F.col("doc").isNotNull()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,10 +444,9 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
                  pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))],
                 names=["row", "text", *extra])
 
-    # only documents that the bit table marks travel to their lines; the others are given out where they are read
-    joined = row.mapInArrow(some(True), row.schema).join(per_doc, "doc", "left").select("row", "text", "gone")
+    joined = seen.where(hit).join(per_doc, "doc", "left").select("row", "text", "gone")
     done = joined.mapInArrow(run, widened(joined.select("row", "text").schema, "n_lines long, n_removed long, removed array<int>"))
-    whole = row.mapInArrow(some(False), row.schema).select(
+    whole = seen.where(~hit).select(
         "row", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"),
         F.array().cast("array<int>").alias("removed"))
     both = done.unionByName(whole)

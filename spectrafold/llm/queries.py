@@ -73,7 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(_table(spark, sf_dir, "documents"))
+    return rules.apply_rules(_table(spark, sf_dir, "documents")).drop("dup_gram_chars")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -97,4 +97,33 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
 """,
+    "op10_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+words AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+sums AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY r),
+grams AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (3), @SIZES@) s(n))),
+marked AS (SELECT r, n, i FROM (
+  SELECT r, n, i, count(*) OVER (PARTITION BY r, n, g) AS c, row_number() OVER (PARTITION BY r, n, g ORDER BY i) AS k FROM grams)
+  WHERE CASE WHEN n = 3 THEN c > 1 ELSE k > 1 END),
+inside AS (SELECT DISTINCT r, n, i + unnest(range(0, n)) AS p FROM marked),
+cover AS (SELECT r, count(*) FILTER (n = 3) AS n_repeat_words,
+    bool_or(chars > CASE n @LIMITS@ END::DOUBLE * word_chars) FILTER (n > 3) AS over FROM (
+  SELECT r, n, p, sum(length(word)) OVER (PARTITION BY r, n) AS chars, word_chars FROM inside JOIN words USING (r, p) JOIN sums USING (r)) GROUP BY r),
+lines AS (SELECT r, line, p, regexp_matches(line, '[^\x20\x09-\x0D]') AS has FROM (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d)),
+dup AS (SELECT r, count(*) FILTER (k > 1 AND has) AS n_dup_lines, coalesce(sum(length(line)) FILTER (k > 1 AND has), 0) AS dup_line_chars, sum(length(line)) AS line_chars
+  FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY p) AS k FROM lines) GROUP BY r),
+base AS (SELECT d.r, doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(over, false) AS over,
+    coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(line_chars, 0) AS line_chars
+  FROM d LEFT JOIN sums USING (r) LEFT JOIN cover USING (r) LEFT JOIN dup USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR over OR dup_line_chars > @LINE@::DOUBLE * line_chars) AS kept,
+  CAST(dup_line_chars AS BIGINT) AS dup_line_chars, CAST(line_chars AS BIGINT) AS line_chars
+FROM base
+""".replace("@SIZES@", ", ".join(f"({n})" for n in rules.GRAM_LIMITS)).replace(
+        "@LIMITS@", " ".join(f"WHEN {n} THEN {limit}" for n, limit in rules.GRAM_LIMITS.items())).replace("@LINE@", str(rules.LINE_LIMIT)),
 }
