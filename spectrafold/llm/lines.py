@@ -214,24 +214,26 @@ def _postings(rarity, parts: int, num: int, den: int):
     return run
 
 
-CANDIDATES = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("to_doc", pa.int64()), ("to_line", pa.int64()), ("sure", pa.bool_()), ("more", pa.bool_())])
-CANDIDATES_DDL = "doc long, line long, to_doc long, to_line long, sure boolean, more boolean"
+CANDIDATES = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("to_doc", pa.int64()), ("to_line", pa.int64()), ("sure", pa.bool_()), ("more", pa.bool_()), ("list", pa.int64()), ("n", pa.int64())])
+# Three kinds of rows: candidates; lines settled in their block (sure); members of the lists in which a line got no further than its
+# first candidates (with their list, their size n, and their parities in to_doc and to_line).
+CANDIDATES_DDL = "doc long, line long, to_doc long, to_line long, sure boolean, more boolean, list long, n long"
 
 
 def _settled(doc, line) -> pa.RecordBatch:
     n = len(doc)
-    return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool))
+    return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
 
 
 def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: int, den: int, trust: bool = False,
                   only=None):
-    """(later line, earlier line, whether the later has more than ``most``) of postings, as positions in them.
+    """(later line, earlier line, whether the later was stopped by likeness) of postings, as positions in them, and the
+    positions of all postings in lists where a line was stopped by ``most``.
 
     In the list of a token lines stand in the order of their sizes, and each is held against those before it as long
     as their sizes allow the similarity. A pair passes if the tokens from the shared one on suffice for the overlap that is needed,
     and if not more bits of the parities differ than tokens may. The candidate belongs to the later line of the two. A line
-    that has got ``most`` candidates, or with ``trust`` a few that look very much like matches, gets no more and is marked
-    as having more. With ``only(doc, line)`` the other lines get none at all.
+    that has got ``most`` candidates, or with ``trust`` a few that look very much like matches, gets no more. With ``only(doc, line)`` the other lines get none at all.
     """
     size = size.astype(np.int64)
     order = np.lexsort((size, key))
@@ -242,7 +244,7 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
     room = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(key)]))))
     left, got = size - at, np.zeros(len(key), dtype=np.int64)
     finished, unsure = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
-    alike = np.zeros(len(key), dtype=np.int64)
+    alike, capped = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
     if only is not None:
         finished |= ~only(doc, line)
     later, earlier = [], []
@@ -264,7 +266,7 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
                 copy = (apart[good] == 0) & (whole[a] == whole[b]) & (size[a] == size[b])
                 likely = copy | (room_left >= LIKELY_FROM) & (apart[good] <= np.minimum(room_left // 3, LIKELY_BITS))
             open_ = ~finished[a] & ((doc[a] != doc[b]) | (line[a] != line[b]))
-            unsure[a[finished[a]]] = True
+            capped[a[got[a] >= most]] = True
             if trust:
                 away = copy & (at[a] > 0)  # two equal sets meet in the list of their rarest token, and are told there
                 finished[a[away & open_]] = True
@@ -282,11 +284,13 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
         alive = alive[room[alive] >= step]
     later = np.concatenate([*later, np.zeros(0, np.int64)]).astype(np.int64)
     earlier = np.concatenate([*earlier, np.zeros(0, np.int64)]).astype(np.int64)
-    return order[later], order[earlier], unsure[later]
+    group = np.cumsum(head) - 1
+    over = np.flatnonzero((np.bincount(group, capped, len(starts)) > 0)[group]) if len(key) else np.zeros(0, np.int64)
+    return order[later], order[earlier], unsure[later], order[over]
 
 
 def _candidates(most: int, num: int, den: int, trust: bool, open_marks=None):
-    def solve(pile: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def solve(part: int | None, pile: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         for n, data in pile:
             if n < 0:
                 _, doc, line, *_ = _unpacked(data, -n)
@@ -296,20 +300,26 @@ def _candidates(most: int, num: int, den: int, trust: bool, open_marks=None):
             columns = [np.concatenate(c) for c in zip(*loaded)]
             _, doc, line, *_ = columns
             only = None if open_marks is None else lambda d, x: _is_marked(open_marks.value, d, x)
-            later, earlier, more = candidates_of(*columns, most, num, den, trust, only)
+            later, earlier, more, over = candidates_of(*columns, most, num, den, trust, only)
             for i in range(0, len(later), 50_000):
                 x, y, m = later[i:i + 50_000], earlier[i:i + 50_000], more[i:i + 50_000]
-                yield batch_of(CANDIDATES, doc[x], line[x], doc[y], line[y], np.zeros(len(x), bool), m)
+                yield batch_of(CANDIDATES, doc[x], line[x], doc[y], line[y], np.zeros(len(x), bool), m, pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()))
+            key, _, _, size, _, low, high, _ = columns
+            for i in range(0, len(over), 50_000):
+                x = over[i:i + 50_000]
+                name = key[x].astype(np.int64) << 24 | part  # lists of one part have different keys
+                yield batch_of(CANDIDATES, doc[x], line[x], low[x].view(np.int64), high[x].view(np.int64), np.zeros(len(x), bool),
+                               np.zeros(len(x), bool), name, size[x].astype(np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pile = None, []
         for batch in batches:
             for p, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
-                    yield from solve(pile)
+                    yield from solve(part, pile)
                     part, pile = p, []
                 pile.append((n, data))
-        yield from solve(pile)
+        yield from solve(part, pile)
 
     return run
 
@@ -364,10 +374,10 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     2 ** 20 plus a hash of the whole text.
 
     Tokens are ordered by the corpus count of their hash bucket, rarest first, so the prefixes of lines meet on rare
-    tokens. Later lines meet earlier ones in the lists of their prefix tokens and get their first few candidates; the
-    sets of candidates are fetched and compared exactly. Lines for which none of these held although they had more
-    go into another round with sixteen times as many, until none is left, so nothing is lost and a group of
-    copies never makes all its pairs.
+    tokens. Later lines meet earlier ones in the lists of their prefix tokens and get their first candidates; the
+    sets of candidates are fetched and compared exactly. A line for which none holds then meets the rest of the lists in which
+    it got no further. A line that was stopped by candidates that looked like matches, but were none, goes through
+    the lists again without being stopped. So nothing is lost, and a group of copies never makes all its pairs.
     """
     num, den = similarity
     spark = docs.sparkSession
@@ -377,30 +387,48 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     rarity = spark.sparkContext.broadcast((common, places))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    most, settled, open_lines, marks = FIRST_CANDIDATES, None, None, None
-    while True:
-        posted = plain.mapInArrow(_postings(rarity, parts, num, den), "part int, n long, data binary")
-        dealt = posted.repartition(parts, "part").sortWithinPartitions("part")
-        found = dealt.mapInArrow(_candidates(most, num, den, settled is None, marks), CANDIDATES_DDL)
-        if open_lines is not None:
-            found = found.where(~F.col("sure")).join(open_lines, ["doc", "line"], "left_semi")
-        found = materialize(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("sure").alias("sure"), F.max("more").alias("more")))
-        pairs = found.where(~F.col("sure"))
+    settled, open_lines, marks = None, None, None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(doc, line, matched, more) of the later lines of pairs, their sets of tokens compared exactly."""
         wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
         sets = materialize(_wanted_lines(docs, wanted).dropDuplicates(["doc", "line"]))
         target = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
         both = pairs.join(sets, ["doc", "line"]).join(target, ["to_doc", "to_line"])
         shared = F.size(F.array_intersect("tokens", "to_tokens"))
         holds = shared * (num + den) >= num * (F.size("tokens") + F.size("to_tokens"))
-        checked = materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more")))
+        return materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more")))
+
+    while True:
+        posted = plain.mapInArrow(_postings(rarity, parts, num, den), "part int, n long, data binary")
+        dealt = posted.repartition(parts, "part").sortWithinPartitions("part")
+        raw = materialize(dealt.mapInArrow(_candidates(FIRST_CANDIDATES, num, den, settled is None, marks), CANDIDATES_DDL))
+        found, members = raw.where("list IS NULL AND NOT sure"), raw.where("list IS NOT NULL")
+        if open_lines is not None:
+            found = found.join(open_lines, ["doc", "line"], "left_semi")
+        pairs = materialize(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("more").alias("more")))
+        checked = verified(pairs)
         now = checked.where("matched").select("doc", "line")
         if settled is None:
-            now = now.unionByName(found.where("sure").select("doc", "line"))
+            now = now.unionByName(raw.where("sure").select("doc", "line"))
         settled = now if settled is None else settled.unionByName(now)
-        open_lines = checked.where("more and not matched").select("doc", "line")
+        if members.take(1):
+            # lines that nothing matched so far meet the rest of their long lists
+            left = members.join(checked.where("NOT matched"), ["doc", "line"], "left_semi") if open_lines is None else members.join(
+                open_lines, ["doc", "line"], "left_semi").join(checked.where("matched"), ["doc", "line"], "left_anti")
+            other = members.select("list", F.col("doc").alias("d"), F.col("line").alias("x"), F.col("to_doc").alias("low"), F.col("to_line").alias("high"), F.col("n").alias("m"))
+            need = F.ceil((F.col("n") + F.col("m")) * num / F.lit(num + den))
+            apart = F.bit_count(F.col("to_doc").bitwiseXOR(F.col("low"))) + F.bit_count(F.col("to_line").bitwiseXOR(F.col("high")))
+            meet = left.join(other, "list").where((F.struct("d", "x") < F.struct(F.col("doc").alias("d"), F.col("line").alias("x"))) & (
+                apart <= F.col("n") + F.col("m") - 2 * need))
+            rest = meet.select("doc", "line", F.col("d").alias("to_doc"), F.col("x").alias("to_line")).distinct()
+            rest = rest.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti").withColumn("more", F.lit(False))
+            settled = settled.unionByName(verified(materialize(rest)).where("matched").select("doc", "line"))
+        open_lines = checked.where("more AND NOT matched").select("doc", "line").join(settled, ["doc", "line"], "left_anti")
+        open_lines = materialize(open_lines)
         if not open_lines.take(1):
             return settled.distinct()
-        most, marks = most * 16, _marked(open_lines)
+        marks = _marked(open_lines)
 
 
 def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
