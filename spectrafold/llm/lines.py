@@ -27,16 +27,14 @@ LINE_BLOCK = 4 << 20
 
 
 class Lines:
-    """The lines of a block of texts as sets of token hashes, tokens of a line together and rarest first.
+    """The lines of a block of documents (see ``_numbered``) as sets of token hashes, tokens of a line together and rarest first.
 
     ``rarity`` gives each hash bucket its place in the order of rarity. ``wanted(doc, line)`` may choose the lines that
     are looked into at all.
     """
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, rarity: np.ndarray | None, wanted=None):
-        if ids.null_count:  # documents without an id take no part
-            known = ids.is_valid()
-            ids, texts = ids.filter(known), texts.filter(known)
+    def __init__(self, block: pa.RecordBatch, rarity: np.ndarray | None, wanted=None):
+        ids, texts, own = block.columns
         lists = pc.split_pattern(texts, "\n")
         every = lists.flatten()
         per_text = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -44,7 +42,7 @@ class Lines:
         number = ranges(per_text)
         doc = ids.to_numpy(zero_copy_only=False).astype(np.int64)[text_of]
         # a line is known by its number, then by its text's hash, which tells rows of one id apart
-        line = (number << 20) | (hashes(texts) & np.uint64(HASH20)).astype(np.int64)[text_of]
+        line = (number << 20) | own.to_numpy(zero_copy_only=False)[text_of]
         if wanted is not None:
             at = np.flatnonzero(wanted(doc, line))
             every, doc, line = every.take(pa.array(at)), doc[at], line[at]
@@ -70,6 +68,11 @@ class Lines:
         self.of_token = np.repeat(np.arange(len(full)), self.size)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents that have an id, with 20 bits of their text's hash."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit(HASH20)).alias("own"))
+
+
 def _lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small blocks, with what Arrow no longer needs given back after each."""
     for block in blocks(batches, limit=LINE_BLOCK):
@@ -162,7 +165,7 @@ def _postings(rarity, parts: int, num: int, den: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, places = rarity.value
         for block in _lean(batches):
-            lines = Lines(block.column(0), block.column(1), places)
+            lines = Lines(block, places)
             if not len(lines.size):
                 continue
             low, high = _parities(lines)
@@ -359,12 +362,12 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _lean(batches):
-            lines = Lines(block.column(0), block.column(1), None, lambda doc, line: _is_marked(sent.value, doc, line))
+            lines = Lines(block, None, lambda doc, line: _is_marked(sent.value, doc, line))
             bounds = np.concatenate((lines.start, [len(lines.token)])).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.token.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(lines.doc), pa.array(lines.line), tokens], names=["doc", "line", "tokens"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc long, line long, tokens array<long>")
+    return _numbered(docs).mapInArrow(run, "doc long, line long, tokens array<long>")
 
 
 def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -386,7 +389,7 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     places[np.argsort(common, kind="stable")] = np.arange(RARITY_BUCKETS)
     rarity = spark.sparkContext.broadcast((common, places))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    plain = _numbered(docs)
     settled, open_lines, marks = None, None, None
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -454,13 +457,15 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFr
     hit = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(bit & 63 as int)) & 1) = 1"), F.lit(False)) & F.col("doc").isNotNull()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             texts, n_lines, removed = batch.column(1).to_pylist(), [], []
             touched = batch.column(2).to_pylist()
             for i, (text, lines) in enumerate(zip(texts, touched)):
                 own: list[int] = []
                 if lines:
-                    mark = int(hashes(pa.array([text or ""]))[0]) & HASH20
+                    mark = xxh64_intdigest((text or "").encode("utf-8"), 42) & HASH20  # as xxhash64 gives it
                     own = sorted(x >> 20 for x in lines if x & HASH20 == mark)
                 n_lines.append(0 if text is None else text.count("\n") + 1)
                 if own:

@@ -5,11 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import pyarrow as pa
 import xxhash
 
-from spectrafold.llm.blocks import hashes
-
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -57,7 +54,7 @@ def dedup_lines(rows):
     """{(doc_id, text): removed line numbers} of (doc_id, text) rows."""
     every = []
     for doc, text in {r for r in rows if r[0] is not None and r[1] is not None}:
-        own = int(hashes(pa.array([text]))[0]) & ((1 << 20) - 1)
+        own = xxhash.xxh64_intdigest(text.encode(), 42) & ((1 << 20) - 1)
         for n, line in enumerate(text.split("\n")):
             tokens = frozenset(words(lower(line)))
             if tokens:
