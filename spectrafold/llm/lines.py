@@ -170,13 +170,15 @@ def _postings(rarity, parts: int, num: int, den: int):
                 continue
             low, high = _parities(lines)
             whole = _summed(lines, mixed(lines.token))
-            # of equal sets in this block only the first line is posted; the others are settled here
+            # of equal sets in this block only the first line is posted; the others are settled here, but not the
+            # first line itself where its row is repeated
             order = np.lexsort((lines.line, lines.doc, lines.size, whole))
             again = np.zeros(len(order), dtype=bool)
             again[1:] = (whole[order][1:] == whole[order][:-1]) & (lines.size[order][1:] == lines.size[order][:-1])
-            copy = order[again]
+            head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+            copy = order[again & ((lines.doc[order] != lines.doc[head]) | (lines.line[order] != lines.line[head]))]
             first = np.ones(len(order), dtype=bool)
-            first[copy] = False
+            first[order[again]] = False
             prefix = lines.size - -(-num * lines.size // den) + 1
             place = np.arange(len(lines.token)) - lines.start[lines.of_token]
             used = np.flatnonzero((place < prefix[lines.of_token]) & first[lines.of_token])

@@ -113,6 +113,16 @@ def test_line_dedup(spark, docs, pairs, table, monkeypatch):
         assert sum(r[3] for r in ours) > 20
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_repeated_rows_keep_their_first_lines(spark, slices):
+    row = (7, "first line of a clean text\nsecond line of the same one\nfirst line of a clean text")
+    rows = [row, row, row, (9, "something else of its own"), (9, "something else of its own")]
+    got = lines.dedup_lines(awkward(spark, rows, slices)).collect()
+    want = brute.dedup_lines(rows)
+    assert want[row] == [2]
+    assert sorted((r["doc_id"], r["removed"]) for r in got) == sorted((d, want[d, t]) for d, t in rows)
+
+
 def test_quality_rules(spark, docs, pairs):
     for rows, df in ((pairs, docs), (ROWS, awkward(spark, ROWS))):
         got = sorted((tuple(r) for r in rules.apply_rules(df).collect()), key=key)
