@@ -89,19 +89,25 @@ def best_fit(sizes: list[int], counts: list[int], capacity: int, most_bins: int
     return out
 
 
-def level(sizes: list[int], counts: list[int], bins: int) -> list[tuple[int, int, int]]:
-    """The least capacity, found by halving, for which best-fit decreasing needs no more than ``bins`` bins."""
+def least(sizes: list[int], counts: list[int], bins: int, known: tuple[int, list] | None = None) -> tuple[int, list[tuple[int, int, int]]]:
+    """The least capacity, found by halving, for which best-fit decreasing needs no more than ``bins`` bins, and its packing.
+
+    ``known`` is a capacity that is known to do, with its packing.
+    """
     total = sum(s * c for s, c in zip(sizes, counts))
     if not total:
-        return []
-    low = max(-(-total // bins), sizes[0])
+        return 0, []
+    low = max(-(-total // bins), next(s for s, c in zip(sizes, counts) if c))
     best = best_fit(sizes, counts, low, bins)
     if best is not None:
-        return best
-    high = low
-    while best is None:
-        high += max(1, (high - low) or sizes[0])
-        best = best_fit(sizes, counts, high, bins)
+        return low, best
+    if known:
+        high, best = known
+    else:
+        high = low
+        while best is None:
+            high += max(1, (high - low) or low)
+            best = best_fit(sizes, counts, high, bins)
     while high - low > 1:
         middle = (low + high) // 2
         found = best_fit(sizes, counts, middle, bins)
@@ -109,7 +115,44 @@ def level(sizes: list[int], counts: list[int], bins: int) -> list[tuple[int, int
             low = middle
         else:
             high, best = middle, found
-    return best
+    return high, best
+
+
+def level(sizes: list[int], counts: list[int], bins: int) -> list[tuple[int, int, int]]:
+    """Best-fit decreasing into at most ``bins`` bins of near-equal load: (class, bin, how many) in the order of classes.
+
+    A group above the mean of what is left gets a bin of its own. The others share the remaining bins at the least
+    capacity that does. Where loads still differ by more than a hundredth of the mean and the smallest group, best fit has
+    filled some bins at the expense of others: the fullest one is settled, and what is left is packed anew into the rest, at
+    a capacity that is never larger.
+    """
+    counts, out, used = list(counts), [], 0
+    left = sum(s * c for s, c in zip(sizes, counts))
+    for c, size in enumerate(sizes):
+        while counts[c] and size * (bins - used) > left:
+            out.append((c, used, 1))
+            counts[c], left, used = counts[c] - 1, left - size, used + 1
+    if not left:
+        return out
+    capacity, runs = least(sizes, counts, bins - used)
+    while bins - used > 1:
+        load = [0] * (bins - used)
+        for c, b, k in runs:
+            load[b] += k * sizes[c]
+        smallest = next(s for s, c in zip(reversed(sizes), reversed(counts)) if c)
+        if max(load) - min(load) <= max(smallest, sum(load) // (100 * len(load))):
+            break
+        top = load.index(max(load))
+        rest = []
+        for c, b, k in runs:
+            if b == top:
+                out.append((c, used, k))
+                counts[c] -= k
+            else:
+                rest.append((c, b - (b > top), k))
+        used += 1
+        capacity, runs = least(sizes, counts, bins - used, (capacity, rest))
+    return sorted(out + [(c, used + b, k) for c, b, k in runs], key=lambda r: r[0])
 
 
 def _numbered(rows: DataFrame, *by: str) -> DataFrame:
@@ -150,8 +193,8 @@ def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = Non
     A size is the UTF-8 bytes of the text plus one. Documents of equal texts are one indivisible group (null texts
     are empty ones), told apart by SHA-256. Groups enter by falling size the shard with the least room that suffices.
     With ``capacity`` there are as few shards of that many bytes as this gives, and a larger group is a shard by
-    itself; with ``shards`` the least capacity is taken that needs no more than so many, so that bytes are near
-    equal unless one group alone is larger. Slots number each shard without a gap. Rows that repeat are numbered each; null ids are
+    itself. With ``shards`` a group above the mean of what is left has a shard to itself, and the others are levelled over the
+    remaining shards (see ``level``), so that bytes are as near equal as whole groups allow best fit. Slots number each shard without a gap. Rows that repeat are numbered each; null ids are
     sharded like others; other columns are ignored; an empty table gives no rows.
 
     The driver gets one row for each distinct group size (fewer than the root of twice the bytes), and packs these

@@ -200,6 +200,26 @@ def test_best_fit_places_like_one_by_one():
             max(capacity, s0) - r for r, s0 in zip(room, [0] * len(room))) or max(sizes) > capacity
 
 
+def test_shards_are_level_beside_large_groups(spark):
+    # sizes, counts and the loads that whole groups allow
+    for sizes, counts, want in (
+            ([1000, 1], [1, 2000], [1000] + [286] * 5 + [285] * 2), ([900, 500, 1], [1, 1, 600], [900, 500] + [100] * 6),
+            ([10], [9], [20] + [10] * 7), ([10], [3], [10] * 3), ([10, 1], [1, 4], [10, 1, 1, 1, 1])):
+        load = {}
+        placed = [0] * len(sizes)
+        runs = shards.level(sizes, counts, 8)
+        for c, b, k in runs:
+            load[b] = load.get(b, 0) + k * sizes[c]
+            placed[c] += k
+        assert placed == counts and [r[0] for r in runs] == sorted(r[0] for r in runs)
+        assert len(load) == len(want) and max(load) < 8 and max(load.values()) == max(want)
+        assert max(abs(a - b) for a, b in zip(sorted(load.values()), sorted(want))) <= 2
+    rows = [(i, "the same text in a third of all rows") for i in range(500)] + [(1000 + i, f"a text of its own, number {i:06}") for i in range(1000)]
+    got = shards.shard(awkward(spark, rows), shards=8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    load = sorted(r["n"] for r in got)
+    assert len(load) == 8 and load[-2] - load[0] <= 0.02 * load[0]
+
+
 def check_pieces(rows, pieces, encoder, sequence):
     """Every id of every document in one piece, sequences without gaps, digests right."""
     want = sorted(((d, tuple([*encoder.encode(t or "", add_special_tokens=False).ids, 0])) for d, t in rows), key=key)
