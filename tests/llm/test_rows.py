@@ -294,6 +294,15 @@ def test_encoder_agrees_with_tokenizers():
         assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n"])
+def test_encoder_takes_long_white_space(space):
+    files = queries.packing_files()
+    encoder = packing.Encoder(open(files[0], "rb").read(), open(files[1], "rb").read(), files[2])
+    text = "before" + space * (2_000_000 // len(space)) + "behind it"
+    ids = encoder.ids(text)
+    assert ids == encoder.slow.encode(text, add_special_tokens=False).ids and encoder.slow.decode(ids, skip_special_tokens=False) == text
+
+
 def test_sentencepieces(spark, docs, pairs):
     import sentencepiece
 
