@@ -1,5 +1,7 @@
 """Each stage of the pipeline against its brute-force version, on what its predecessor kept."""
 
+import random
+
 import brute
 import pytest
 from test_rows import awkward, check_pieces, key
@@ -55,6 +57,31 @@ def test_one_of_each_near_duplicate_group(steps):
     assert pairs(steps[3]) == [(d, t) for d, t in rows if d in keep]
 
 
+def test_near_duplicates_of_five_words(spark, sf):
+    rng, rows = random.Random(11), [(900, None), (901, " "), (902, "three short words"), (903, "Three  SHORT words")]
+    for g in range(12):
+        text = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([40, 300, 500]))]
+        for c in range(12):
+            own = list(text)
+            for _ in range(rng.randrange(1 + len(own) // 30)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9000)}"
+            rows.append((rng.randrange(800), " ".join(own)))
+    rows = sorted({d: t for d, t in rows}.items())
+
+    def grams(text):
+        w = brute.words(brute.lower(text or ""))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets, want, close = [grams(t) for _, t in rows], [], 0
+    for i, (d, t) in enumerate(rows):
+        like = [j for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        close += bool(like)
+        if not like:
+            want.append((d, t))
+    assert 20 < close < len(rows) - 20
+    assert pairs(C.simhash_near_dedup(spark, awkward(spark, rows), sf)) == want
+
+
 def test_secrets_are_gone_and_documents_stay(steps):
     before, after = dict(pairs(steps[3])), dict(pairs(steps[4]))
     assert before.keys() == after.keys()
