@@ -22,13 +22,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of HEX that are long enough
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
+_HEX_PART = re.compile(r"(?:0x)?([0-9a-f]{32,}|[0-9A-F]{32,})")
+# Base64 over several lines: full ones of one length, then a last one that is not longer. Each may be indented or quoted.
+_FULL_LINE = re.compile(r"[A-Za-z0-9+/_-]{24,}")
+_LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]*={0,2}")
+_BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\n)[\x20\t>]*")
 
 # Texts without any of these hold no span; they are not looked at by Python.
-_WORTH = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{24}|-----BEGIN"
+_WORTH = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{24}|-----BEGIN|eyJ"
 
 _SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -159,7 +164,7 @@ def confirmed(data: bytes | None, depth: int = 2) -> str | None:
         return "nested"
     if _PEM.search(text):
         return "nested"
-    inner = text.strip()
+    inner = "".join(text.split())
     if depth > 1 and _RUN.fullmatch(inner):
         return "nested" if confirmed(_decoded(inner), depth - 1) or confirmed(from_base64(inner), depth - 1) else None
     return None
@@ -171,6 +176,25 @@ def _decoded(run: str) -> bytes | None:
     return None
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined) of the base64 or hex bodies that go over several lines, all but the last of one length."""
+    at = 0
+    while m := _FULL_LINE.search(text, at):
+        at, lines, width = m.end(), [m[0]], len(m[0])
+        while gap := _BREAK.match(text, at):
+            full = _FULL_LINE.match(text, gap.end())
+            if full and len(full[0]) == width and not text.startswith("=", full.end()):
+                lines.append(full[0])
+                at = full.end()
+                continue
+            last = _LAST_LINE.match(text, gap.end())
+            if last[0] and len(last[0]) <= width:
+                yield m.start(), last.end(), "".join(lines) + last[0]
+            break
+        if len(lines) > 1:  # what follows a body that ends with a full line may be a word
+            yield m.start(), at, "".join(lines)
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) as (start, end, kind) in code points, in order."""
     rank = {k: i for i, k in enumerate(KINDS)}
@@ -186,12 +210,23 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
         if is_signed_token(m[0]):
             more.append((m.start(), m.end(), "jwt"))
             taken.append((m.start(), m.end()))
+    for start, end, body in _wrapped(text):
+        kind = None if any(s <= start < e for s, e in taken) else confirmed(_decoded(body)) or confirmed(from_base64(body))
+        if kind:
+            more.append((start, end, kind))
+            taken.append((start, end))
     for m in _RUN.finditer(text):
         if any(s <= m.start() < e for s, e in taken):
             continue
         kind = confirmed(_decoded(m[0])) or confirmed(from_base64(m[0]))
         if kind:
             more.append((m.start(), m.end(), kind))
+            continue
+        for h in _HEX_PART.finditer(m[0]):  # hex behind 0x or between other characters of the run
+            odd = len(h[1]) % 2
+            kind = confirmed(bytes.fromhex(h[1][odd:]))
+            if kind:
+                more.append((m.start() + (h.start(1) + 1 if odd else h.start()), m.start() + h.end(), kind))
     return base, sorted(base + more, key=lambda s: (s[0], rank[s[2]], s[1]))
 
 
@@ -211,7 +246,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A span is ``kind:start:end`` in code points of the whole match. Besides the plain kinds there are private keys
     in PEM (``pem``), DER (``der``) or OpenSSH form (``ssh``), signed tokens (``jwt``), and base64 or hex runs
-    that decode to a text which itself holds a secret (``nested``, two layers deep). A null text counts as empty; a text without a
+    that decode to a text which itself holds a secret (``nested``, two layers deep). A run may be wrapped at one
+    length, and hex may stand behind ``0x``. A null text counts as empty; a text without a
     secret has counts of 0, the digest of nothing and an empty list; repeated rows and null ids come out as they
     went in; other columns are ignored. One pass, no shuffle.
     """

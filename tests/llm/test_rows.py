@@ -1,5 +1,6 @@
 """Every text operator against its brute-force version, on the small tables and on awkward rows."""
 
+import base64
 import random
 import zlib
 
@@ -153,6 +154,43 @@ def test_secrets(spark, docs, pairs):
         assert len(clean) == len(rows) and not any(any(brute.base_secrets(t)[:2]) for _, t in clean)
 
 
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def wrapped(data, width, end="\n"):
+    body = base64.b64encode(data).decode()
+    return end.join(body[i:i + width] for i in range(0, len(body), width))
+
+
+def test_keys_and_tokens_in_every_form(spark):
+    rng = random.Random(12)
+    key = der(0x30, der(2, b"\0"), *[der(2, rng.randbytes(n)) for n in (129, 3, 128, 65, 65, 64, 64, 64)])
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + text(b"none") + text(b"none") + text(b"") + (1).to_bytes(4, "big") + text(rng.randbytes(51)) + text(rng.randbytes(152))
+    b64 = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    short = f"{b64(b'{"alg":"none"}')}.{b64(b'{"a":1}')}."
+    forms = [
+        ("pem", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n" + wrapped(rng.randbytes(320), 64)
+         + "\n-----END RSA PRIVATE KEY-----"),
+        ("pem", "-----BEGIN PRIVATE KEY-----\n" + wrapped(key, 64) + "\n-----END PRIVATE KEY-----"),
+        ("der", "0x" + key.hex()), ("der", "0x" + key.hex().upper()), ("der", key.hex().upper()), ("der", wrapped(key, 64)), ("der", wrapped(key, 76)),
+        ("der", wrapped(key, 76, "\r\n")), ("der", wrapped(key, 64, "\n    ")), ("ssh", wrapped(ssh, 64)), ("ssh", wrapped(ssh, 70)), ("der", wrapped(key, 4000)), ("jwt", short),
+        ("nested", wrapped(b"the password = hunter22x, with more words around it so that it is long", 32)),
+    ]
+    rows = [(i, f"see below:\n{form}\nplain words follow") for i, (_, form) in enumerate(forms)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(awkward(spark, rows)).collect()}
+    clean = dict(tuple(r) for r in secrets.redact(awkward(spark, rows)).select("doc_id", "text").collect())
+    for i, (kind, form) in enumerate(forms):
+        assert f"{kind}:11:{11 + len(form)}" in got[i], (i, kind, got[i])
+        assert clean[i].endswith(f"<{kind}>\nplain words follow"), (i, clean[i])
+    noise = base64.b64encode(rng.randbytes(300)).decode()
+    for plain in ("0x" + rng.randbytes(40).hex().upper(), noise, "\n".join(noise[i:i + 64] for i in range(0, 400, 64)), "eyJ.eyJ.", "-----BEGIN PRIVATE KEY-----\nnot-a-key\n-----END PRIVATE KEY-----"):
+        assert all(k in ("hex", "") for _, _, k in secrets.spans_of(plain)[1]), plain
+
+
 def test_sharding(spark, docs, pairs, empty):
     for rows, df in ((pairs, docs), (ROWS, awkward(spark, ROWS))):
         got = [r.asDict() for r in shards.shard(df, shards=8).collect()]
