@@ -82,6 +82,14 @@ def test_near_duplicates_of_five_words(spark, sf):
     assert pairs(C.simhash_near_dedup(spark, awkward(spark, rows), sf)) == want
 
 
+def test_rows_of_one_id_are_kept_by_their_texts(spark, sf):
+    one, other = "alpha beta gamma delta epsilon zeta", "an unrelated text that carries the same id by mistake"
+    rows = [(4, one), (4, other), (4, one), (4, one.replace(" ", "  ")), (9, other.upper()), (3, "a third text of six words")]
+    want = sorted([(3, rows[5][1]), (4, one.replace(" ", "  ")), (4, other)])
+    for slices in (1, 3, 6):
+        assert pairs(C.simhash_near_dedup(spark, awkward(spark, rows, slices), sf)) == want
+
+
 def test_secrets_are_gone_and_documents_stay(steps):
     before, after = dict(pairs(steps[3])), dict(pairs(steps[4]))
     assert before.keys() == after.keys()
