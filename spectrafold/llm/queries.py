@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, packing, quality, rules, secrets, sentencepieces, shards, simhash, topk, wordpieces
+from . import lines, packing, quality, rules, secrets, sentencepieces, shards, simhash, topk, whitening, wordpieces
 
 # Folder of the public tokenizer files; every executor's tasks get what they need from the driver.
 TOKENIZERS = os.environ.get("SPECTRAFOLD_TOKENIZERS", "/opt/tokenizers")
@@ -76,9 +76,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_table(spark, sf_dir, "documents")).drop("dup_gram_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_token_counts, op3_topk, op4_line_dedup, op5_simhash, op6_quality, op7_secrets, op8_sharding,
-    op9_packing, op10_quality_rules)}
+    op9_packing, op10_quality_rules, op11_whitening)}
 
 ORACLES = {
     "op3_topk": """
