@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, packing, quality, rules, secrets, sentencepieces, shards, simhash, topk, whitening, wordpieces
+from . import language, lines, packing, quality, rules, search, secrets, sentencepieces, shards, simhash, topk, whitening, wordpieces
 
 # Folder of the public tokenizer files; every executor's tasks get what they need from the driver.
 TOKENIZERS = os.environ.get("SPECTRAFOLD_TOKENIZERS", "/opt/tokenizers")
@@ -80,9 +80,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_token_counts, op3_topk, op4_line_dedup, op5_simhash, op6_quality, op7_secrets, op8_sharding,
-    op9_packing, op10_quality_rules, op11_whitening)}
+    op9_packing, op10_quality_rules, op11_whitening, op12_search, op13_language)}
 
 ORACLES = {
     "op3_topk": """
@@ -100,6 +109,27 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
+""",
+    "op12_search": r"""
+WITH spelled AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', NULL, item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), cut AS (
+  SELECT side, r, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM spelled
+), asked AS (SELECT DISTINCT id AS item_id, unnest(ts) AS term FROM cut WHERE side = 'i'),
+docs AS (SELECT r, id AS doc_id, ts, CAST(coalesce(len(ts), 0) AS BIGINT) AS n FROM cut WHERE side = 'd'),
+totals AS (SELECT count(*) FILTER (n > 0) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM docs),
+tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term, big_n),
+impacts AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))) AS impact
+  FROM tfs JOIN docs USING (r) JOIN weights USING (term), totals),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM impacts JOIN asked USING (term)
+  WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
 """,
     "op10_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
