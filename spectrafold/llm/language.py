@@ -24,10 +24,11 @@ TEXT_BLOCK = 2 << 20
 
 @dataclass
 class Cell:
-    """One direction: what each byte adds to the gates (update, reset, candidate), the recurrent weights, the candidate's bias."""
+    """One direction: what each byte adds to update gate, reset gate and candidate, their recurrent weights, and the bias of the
+    candidate's recurrent part."""
 
-    byte: np.ndarray     # (256, 3 * hidden)
-    state: np.ndarray    # (hidden, 3 * hidden)
+    byte: np.ndarray     # (3, 256, hidden)
+    state: np.ndarray    # (3, hidden, hidden)
     bias: np.ndarray     # (hidden,)
 
 
@@ -37,121 +38,135 @@ class Network:
 
     languages: list[str]
     cells: tuple[Cell, Cell]
-    out: np.ndarray      # (2 * hidden, languages)
+    out: np.ndarray      # (2, hidden, languages)
     out_bias: np.ndarray
 
     def parameters(self) -> list[np.ndarray]:
         return [p for c in self.cells for p in (c.byte, c.state, c.bias)] + [self.out, self.out_bias]
 
 
-def _logistic(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _bent(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: the bounded curve of gates and candidates, a fraction of the cost of a hyperbolic tangent."""
+    below = np.abs(x)
+    below += 1
+    x /= below
+    return x
 
 
-def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray, backwards: bool) -> np.ndarray:
-    """Bytes of windows, (step, window); windows stand by falling length, a window's steps beyond its end are of no use."""
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The same curve between 0 and 1, in place."""
+    _bent(x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes (step, window), how many windows are at least that long). Windows stand by falling length."""
     step = np.arange(int(length[0]))[:, None]
-    at = start + (length - 1 - step if backwards else step)
-    return data[np.clip(at, 0, len(data) - 1)]
-
-
-def _run(cell: Cell, x: np.ndarray, active: np.ndarray, kept: list | None = None) -> np.ndarray:
-    """States after each step, (step, window, hidden). At step t the first ``active[t]`` windows go on."""
-    hidden = len(cell.bias)
-    h = np.zeros((x.shape[1], hidden), dtype=np.float32)
-    states = np.zeros((*x.shape, hidden), dtype=np.float32)
-    for t, a in enumerate(active):
-        before = h[:a]
-        g = cell.byte[x[t, :a]]
-        c = before @ cell.state
-        c[:, 2 * hidden:] += cell.bias
-        gates = _logistic(g[:, :2 * hidden] + c[:, :2 * hidden])
-        update, reset = gates[:, :hidden], gates[:, hidden:]
-        new = np.tanh(g[:, 2 * hidden:] + reset * c[:, 2 * hidden:])
-        after = new + update * (before - new)
-        if kept is not None:
-            kept.append((before.copy(), c[:, 2 * hidden:].copy(), update, reset, new))
-        h[:a] = after
-        states[t, :a] = after
-    return states
+    return data[np.minimum(start + step, len(data) - 1)], (step < length).sum(axis=1)
 
 
-def _back(cell: Cell, x: np.ndarray, active: np.ndarray, kept: list, d_states: np.ndarray) -> list[np.ndarray]:
+def _run(cell: Cell, x: np.ndarray, active: np.ndarray, backwards: bool, kept: dict | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """The state at each position, (step, window, hidden), or with ``out`` what it adds to the logits, (step, language, window).
+
+    Zero beyond the end of a window. At step t the first ``active[t]`` windows go on; backwards, each begins at its own last byte.
+    """
+    lanes, hidden = x.shape[1], len(cell.bias)
+    result = np.zeros((len(x), lanes, hidden) if out is None else (len(x), out.shape[1], lanes), dtype=np.float32)
+    h = np.zeros((lanes, hidden), dtype=np.float32)
+    for t in range(len(active))[::-1 if backwards else 1]:
+        a = active[t]
+        before, at = h[:a], x[t, :a]
+        update, reset, new = (cell.byte[i].take(at, axis=0) for i in range(3))
+        update += before @ cell.state[0]
+        reset += before @ cell.state[1]
+        through = before @ cell.state[2]
+        through += cell.bias
+        _gate(update)
+        _gate(reset)
+        if kept is not None:
+            kept[t] = (before.copy(), update, reset, new, through)
+            new += reset * through
+        else:
+            through *= reset
+            new += through
+        _bent(new)
+        before -= new
+        before *= update
+        before += new
+        if out is None:
+            result[t, :a] = before
+        else:
+            np.matmul(out.T, before.T, out=result[t, :, :a])
+    return result
+
+
+def _back(cell: Cell, x: np.ndarray, active: np.ndarray, backwards: bool, kept: dict, d_states: np.ndarray) -> list[np.ndarray]:
     """Gradients of a cell's parameters from those of its states, back through all steps."""
-    hidden = len(cell.bias)
     d_byte, d_state, d_bias = np.zeros_like(cell.byte), np.zeros_like(cell.state), np.zeros_like(cell.bias)
-    dh = np.zeros((x.shape[1], hidden), dtype=np.float32)
-    for t in range(len(active) - 1, -1, -1):
+    dh = np.zeros(d_states.shape[1:], dtype=np.float32)
+    for t in range(len(active))[::1 if backwards else -1]:
         a = active[t]
-        before, c_new, update, reset, new = kept[t]
+        before, update, reset, new, through = kept[t]
         d = dh[:a] + d_states[t, :a]
-        d_new = d * (1 - update) * (1 - new * new)
-        d_update = d * (before - new) * update * (1 - update)
-        d_reset = d_new * c_new * reset * (1 - reset)
-        through = d_new * reset
-        dc = np.concatenate((d_update, d_reset, through), axis=1)
-        dh[:a] = d * update + dc @ cell.state.T
-        d_state += before.T @ dc
-        d_bias += through.sum(axis=0)
-        np.add.at(d_byte, x[t, :a], np.concatenate((d_update, d_reset, d_new), axis=1))
+        d_new = d * (1 - update) * (1 - np.abs(new)) ** 2
+        d_update = d * (before - new) * 0.5 * (1 - np.abs(2 * update - 1)) ** 2
+        d_reset = d_new * through * 0.5 * (1 - np.abs(2 * reset - 1)) ** 2
+        d_through = d_new * reset
+        dh[:a] = d * update
+        for i, (by_byte, by_state) in enumerate(((d_update, d_update), (d_reset, d_reset), (d_new, d_through))):
+            np.add.at(d_byte[i], x[t, :a], by_byte)
+            d_state[i] += before.T @ by_state
+            dh[:a] += by_state @ cell.state[i].T
+        d_bias += d_through.sum(axis=0)
     return [d_byte, d_state, d_bias]
 
 
-def _positions(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(active windows at each step, mask of real positions (step, window), where the backward state of a position stands)."""
-    step = np.arange(int(length[0]))[:, None]
-    mask = step < length
-    return mask.sum(axis=1), mask, np.where(mask, length - 1 - step, 0)
+def _softmax(logits: np.ndarray, axis: int) -> np.ndarray:
+    """In place."""
+    logits -= logits.max(axis=axis, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=axis, keepdims=True)
+    return logits
 
 
 def position_probabilities(net: Network, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities (step, window, language), mask) of every byte of the windows, which stand by falling length."""
-    active, mask, behind = _positions(length)
-    hidden = len(net.cells[0].bias)
-    logits = _run(net.cells[0], gathered(data, start, length, False), active) @ net.out[:hidden]
-    back = _run(net.cells[1], gathered(data, start, length, True), active) @ net.out[hidden:]
-    logits += back[behind, np.arange(len(length))] + net.out_bias
-    logits -= logits.max(axis=2, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=2, keepdims=True)
-    return logits, mask
+    """(probabilities (step, language, window), mask of real positions (step, window)) of every byte of windows, which stand by falling length."""
+    x, active = gathered(data, start, length)
+    logits = _run(net.cells[0], x, active, False, out=net.out[0])
+    logits += _run(net.cells[1], x, active, True, out=net.out[1])
+    logits += net.out_bias[:, None]
+    return _softmax(logits, 1), np.arange(len(x))[:, None] < length
 
 
 def loss_and_gradients(net: Network, data: np.ndarray, start: np.ndarray, length: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy of all positions against their window's label, and its gradients, by backpropagation through time."""
-    active, mask, behind = _positions(length)
-    hidden = len(net.cells[0].bias)
-    lane = np.arange(len(length))
-    xs, kept = [gathered(data, start, length, b) for b in (False, True)], ([], [])
-    states = [_run(c, x, active, k) for c, x, k in zip(net.cells, xs, kept)]
-    both = np.concatenate((states[0], states[1][behind, lane]), axis=2)
-    logits = both @ net.out + net.out_bias
-    logits -= logits.max(axis=2, keepdims=True)
-    prob = np.exp(logits)
-    prob /= prob.sum(axis=2, keepdims=True)
-    total = mask.sum()
-    true = prob[:, lane, label]
-    loss = float(-(np.log(np.maximum(true, 1e-30)) * mask).sum() / total)
-    d = prob
-    d[:, lane, label] -= 1
-    d *= (mask / np.float32(total)).astype(np.float32)[:, :, None]
-    flat = d.reshape(-1, d.shape[2])
-    d_out, d_bias = both.reshape(-1, 2 * hidden).T @ flat, flat.sum(axis=0)
-    d_both = d @ net.out.T
-    d_back = np.zeros_like(states[1])
-    d_back[behind[mask], np.broadcast_to(lane, mask.shape)[mask]] = d_both[:, :, hidden:][mask]
-    grads = _back(net.cells[0], xs[0], active, kept[0], d_both[:, :, :hidden]) + _back(net.cells[1], xs[1], active, kept[1], d_back)
-    return loss, [*grads, d_out, d_bias]
+    x, active = gathered(data, start, length)
+    mask = (np.arange(len(x))[:, None] < length).astype(np.float32)
+    lane, kept = np.arange(len(length)), ({}, {})
+    states = [_run(cell, x, active, back, k) for cell, back, k in zip(net.cells, (False, True), kept)]
+    flat = sum(w.T @ h.reshape(-1, h.shape[2]).T for w, h in zip(net.out, states)) + net.out_bias[:, None]
+    d = _softmax(flat.reshape(-1, *x.shape), 0)
+    loss = float(-(np.log(np.maximum(d[label, :, lane].T, 1e-30)) * mask).sum() / mask.sum())
+    d[label, :, lane] -= 1
+    d *= mask / mask.sum()
+    flat = d.reshape(len(d), -1)
+    d_out = np.stack([h.reshape(-1, h.shape[2]).T @ flat.T for h in states])
+    grads: list[np.ndarray] = []
+    for cell, back, k, w, h in zip(net.cells, (False, True), kept, net.out, states):
+        grads += _back(cell, x, active, back, k, (w @ flat).T.reshape(h.shape))
+    return loss, [*grads, d_out, flat.sum(axis=1)]
 
 
 def fresh(languages: list[str], hidden: int, seed: int = 0) -> Network:
     rng = np.random.default_rng(seed)
     make = lambda *shape, s: (s * rng.standard_normal(shape)).astype(np.float32)
-    cells = tuple(Cell(make(256, 3 * hidden, s=0.3), make(hidden, 3 * hidden, s=hidden ** -0.5), np.zeros(hidden, np.float32)) for _ in range(2))
-    return Network(languages, cells, make(2 * hidden, len(languages), s=0.3), np.zeros(len(languages), np.float32))
+    cells = tuple(Cell(make(3, 256, hidden, s=0.5), make(3, hidden, hidden, s=hidden ** -0.5), np.zeros(hidden, np.float32)) for _ in range(2))
+    return Network(languages, cells, make(2, hidden, len(languages), s=0.5), np.zeros(len(languages), np.float32))
 
 
-def fit(windows: list[bytes], labels: list[str], hidden: int = 16, steps: int = 300, lanes: int = 96, rate: float = 0.02) -> Network:
+def fit(windows: list[bytes], labels: list[str], hidden: int = 12, steps: int = 300, lanes: int = 96, rate: float = 0.02) -> Network:
     """Train on labelled windows: each step draws the same number from every language, and rates adapt to the gradients' moments."""
     languages = sorted(set(labels))
     net = fresh(languages, hidden)
@@ -202,8 +217,8 @@ def document_probabilities(net: Network, texts: pa.Array) -> np.ndarray:
     for i in range(0, len(order), LANES):
         at = order[i:i + LANES]
         prob, mask = position_probabilities(net, data, start[at], length[at])
-        prob[~mask] = 0
-        np.add.at(total, text[at], prob.sum(axis=0, dtype=np.float64))
+        prob *= mask[:, None]
+        np.add.at(total, text[at], prob.sum(axis=0).T)
     return total / np.maximum(1, size)[:, None]
 
 
