@@ -231,30 +231,28 @@ def train(docs: DataFrame, per_language: int = 400, max_rows: int = 8000, window
     """Fit on a bounded sample of the documents with an id and a language that are not held out.
 
     Of each language the ``per_language`` first in the order of a hash of their id are taken, ``max_rows`` in all, and of each text ``windows`` evenly
-    spaced windows of ``size`` bytes, cut by the tasks. The driver gets these bytes and nothing else. Languages that
-    are in no sampled row are not learned.
+    spaced windows of ``size`` bytes, cut by the tasks; an id with several texts in a language gives one of them. The driver gets these bytes
+    and nothing else. Languages that are in no sampled row are not learned.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
     some = top_n(ids, ["lang"], [F.asc("h"), F.asc("doc_id")], per_language, per_language, spread=("doc_id",))
     picked = materialize(some.orderBy("rank", "h", "doc_id", "lang").limit(max_rows).select("doc_id", "lang"))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("piece", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("pieces", pa.list_(pa.binary()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, limit=TEXT_BLOCK):
             data, bounds = text_bytes(part.column(1))
-            rows, pieces = [], []
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            pieces = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 step = max(size, (b - a) // windows)
-                for s in list(range(a, b, step))[:windows]:
-                    rows.append(i)
-                    pieces.append(data[s:min(s + size, b)].tobytes())
-            at = pa.array(rows, pa.int64())
-            yield batch_of(schema, part.column(0).take(at), part.column(2).take(at), pieces)
+                pieces.append([data[s:min(s + size, b)].tobytes() for s in list(range(a, b, step))[:windows]])
+            yield batch_of(schema, part.column(0), part.column(2), pieces)
 
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"])
-    cut_ = texts.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, piece binary")
-    got = cut_.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "piece").limit(max_rows * windows).toArrow()
+    cut_ = texts.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, pieces array<binary>")
+    one = cut_.groupBy("doc_id", "lang").agg(F.max("pieces").alias("pieces")).select("doc_id", "lang", F.explode("pieces").alias("piece"))
+    got = one.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "piece").limit(max_rows * windows).toArrow()
     return fit(got["piece"].to_pylist(), got["lang"].to_pylist(), **settings)
 
 
