@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrays import let
 from ..functions.units import CM_INV, normalize_spectral_unit
-from ..scale import join_dim
+from ..scale import join_dim, running_total
 
 # Default resonance rows (center, width) on a wavenumber axis.
 DEFAULT_RESONANCES = [(2850, 20), (2930, 15), (3000, 15), (3060, 15), (3120, 15), (3180, 15)]
@@ -66,14 +67,38 @@ def resonance_channels(resonances: DataFrame, axis: DataFrame, row_id: str = "re
     return marked.filter(keep).drop("_inside", "_any", "_nearest", "axis_value")
 
 
+def at_or_below(ordered: Column, t: Column) -> Column:
+    """How many of the ascending values are at or below ``t``, found by halving inside one expression."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
+
+    def halve(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"] + 1, 1)
+        return F.when(F.get(ordered, mid - 1) <= t, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), F.greatest(s["lo"], mid - 1).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(ordered)))), start, halve, lambda s: s["lo"])
+
+
 def nearest_channel(targets: DataFrame, axis: DataFrame, target: str = "target") -> DataFrame:
-    """The channel whose axis value is closest, the first one on ties."""
-    keys = targets.columns
-    pairs = targets.join(axis.select("image_id", "channel", F.col("value").alias("axis_value")), "image_id")
-    best = F.min(F.struct(F.abs(F.col("axis_value") - F.col(target)).alias("d"), "channel", "axis_value"))
-    return pairs.groupBy(*keys).agg(best.alias("_b")).select(
-        *keys, F.col("_b.channel").alias("channel"), F.col("_b.axis_value").alias("axis_value")
-    )
+    """The channel whose axis value is closest, the first one on ties; one row per target row.
+
+    The axis of an image travels as one sorted array, in which each target is searched by halving, so no target meets
+    all channels. Axis points without a value are no candidates; a target without a value has no channel.
+    """
+    points = axis.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("image_id", "value").agg(F.min("channel").alias("channel"))
+    packed = points.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("value", "channel"))).alias("_a"))
+    side = packed.select("image_id", F.col("_a.value").alias("_v"), F.col("_a.channel").alias("_c"))
+    t = F.col(target).cast("double")
+
+    def best(n):
+        low, high = F.get("_v", n - 1), F.get("_v", n)
+        down, up = F.abs(low - t), F.abs(high - t)
+        above = low.isNull() | (up < down) | ((up == down) & (F.get("_c", n) < F.get("_c", n - 1)))
+        i = F.when(F.coalesce(above, F.lit(False)), n).otherwise(n - 1)
+        return F.when(t.isNotNull() & ~F.isnan(t), F.struct(F.get("_c", i).alias("channel"), F.get("_v", i).alias("axis_value")))
+
+    found = join_dim(targets, side, ["image_id"]).withColumn("_b", let(at_or_below(F.col("_v"), t), best))
+    return found.select(*targets.columns, F.col("_b.channel").alias("channel"), F.col("_b.axis_value").alias("axis_value"))
 
 
 def interpolate_to_axis(curves: DataFrame, axis: DataFrame, keys: list[str], value: str = "value",
@@ -81,34 +106,36 @@ def interpolate_to_axis(curves: DataFrame, axis: DataFrame, keys: list[str], val
     """Linear interpolation of long curves onto an axis; outside the curve its end value holds. The keys
     include ``image_id``.
 
-    Source points need no order. Each curve becomes segments, joined to the axis by range.
+    Source points need no order; of equal positions the one with the largest value counts from there on. A curve
+    meets the axis of its image as one row, both as sorted arrays, and each axis value is searched by halving. Points
+    without a position and axis values that are null are left out.
     """
-    order = Window.partitionBy(*keys).orderBy(position)
-    whole = Window.partitionBy(*keys)
-    segments = curves.select(
-        *keys, F.col(position).alias("_x0"), F.col(value).alias("_v0"),
-        F.lead(position).over(order).alias("_x1"), F.lead(value).over(order).alias("_v1"),
-        F.min(position).over(whole).alias("_first"), F.max(position).over(whole).alias("_last"),
-    )
-    side = axis.select("image_id", "channel", F.col("value").alias("_t"))
-    joined = segments.join(side, "image_id")
-    last = F.col("_x0") == F.col("_last")
-    hit = (
-        ((F.col("_t") >= F.col("_x0")) & (F.col("_t") < F.col("_x1")))
-        | (last & (F.col("_t") >= F.col("_x0")))
-        | ((F.col("_x0") == F.col("_first")) & (F.col("_t") < F.col("_x0")))
-    )
-    part = (F.col("_t") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
-    out = F.when(last | (F.col("_t") < F.col("_x0")), F.col("_v0")).otherwise(
-        F.col("_v0") + part * (F.col("_v1") - F.col("_v0"))
-    )
-    return joined.filter(hit).select(*keys, "channel", F.col("_t").alias("axis_value"), out.alias("value"))
+    points = curves.filter(F.col(position).isNotNull() & ~F.isnan(position))
+    sorted_points = F.array_sort(F.collect_list(F.struct(F.col(position).cast("double").alias("x"), F.col(value).cast("double").alias("v"))))
+    packed = points.groupBy(*keys).agg(sorted_points.alias("_p")).select(*keys, F.col("_p.x").alias("_x"), F.col("_p.v").alias("_v"))
+    goals = axis.filter(F.col("value").isNotNull()).groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("channel", F.col("value").alias("t")))).alias("_t"))
+
+    def at(goal):
+        def between(n):
+            x0, x1, v0, v1 = F.get("_x", n - 1), F.get("_x", n), F.get("_v", n - 1), F.get("_v", n)
+            part = (goal["t"] - x0) / (x1 - x0)
+            return F.when(n == 0, v1).when(n == F.size("_x"), v0).otherwise(v0 + part * (v1 - v0))
+
+        return F.struct(goal["channel"].alias("channel"), goal["t"].alias("axis_value"), let(at_or_below(F.col("_x"), goal["t"]), between).alias("value"))
+
+    hits = join_dim(packed, goals, ["image_id"]).select(*keys, F.explode(F.transform("_t", at)).alias("_o"))
+    return hits.select(*keys, "_o.channel", "_o.axis_value", "_o.value")
 
 
 def sort_axis(axis: DataFrame, key: str = "image_id") -> DataFrame:
-    """New channel numbers in ascending order of the axis value, old ones kept beside them."""
-    order = Window.partitionBy(key).orderBy("value", "channel")
-    return axis.withColumn("sorted_channel", F.row_number().over(order) - 1)
+    """New channel numbers in ascending order of the axis value, old ones kept beside them.
+
+    Rows are numbered inside ranges of key and value, and the ranges are shifted by what lies before them, so one axis
+    may fill many tasks.
+    """
+    counted = running_total(axis, [key], [F.col("value"), F.col("channel")], F.lit(1), "sorted_channel")
+    return counted.select(*axis.columns, (F.col("sorted_channel") - 1).cast("int").alias("sorted_channel"))
 
 
 def default_resonances(axis: DataFrame, rows: int) -> DataFrame:

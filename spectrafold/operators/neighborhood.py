@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import gaussian_kernel
-from ..scale import join_dim
+from ..scale import join_dim, materialize
 from ..tables import FIELD, PIXEL
 
 
@@ -172,14 +172,26 @@ def local_maxima(field: DataFrame, shape: DataFrame, window: int, value: str = "
     return peaks.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def consecutive_runs(df: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """Runs of consecutive integers per key: first, last and length."""
-    distinct = df.select(*keys, index).distinct()
-    order = Window.partitionBy(*keys).orderBy(index)
-    tagged = distinct.withColumn("_g", F.col(index) - F.row_number().over(order))
-    return tagged.groupBy(*keys, "_g").agg(
-        F.min(index).alias("first"), F.max(index).alias("last"), F.count(F.lit(1)).alias("length")
-    ).drop("_g")
+def consecutive_runs(df: DataFrame, keys: list[str], index: str, partitions: int | None = None) -> DataFrame:
+    """Runs of consecutive integers per key: first, last and length. Null indices belong to no run.
+
+    Indices are cut into ranges of key and value, so one key may fill many tasks. Runs are found inside each range; only
+    the first and last one of a key in a range can go on beyond it, and these few are joined across ranges.
+    """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = df.select(*keys, index).filter(F.col(index).isNotNull()).distinct()
+    placed = materialize(distinct.repartitionByRange(parts, *keys, index).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part")
+    tagged = placed.withColumn("_g", F.col(index) - F.row_number().over(inside.orderBy(index)))
+    runs = tagged.groupBy(*keys, "_part", "_g").agg(F.min(index).alias("first"), F.max(index).alias("last"))
+    outer = (F.col("first") == F.min("first").over(inside)) | (F.col("last") == F.max("last").over(inside))
+    marked = runs.withColumn("_outer", outer).select(*keys, "first", "last", "_outer")
+    along = Window.partitionBy(*keys).orderBy("first")
+    new = F.coalesce((F.lag("last").over(along) + 1 < F.col("first")).cast("int"), F.lit(0))
+    border = marked.filter("_outer").withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    joined = border.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    both = marked.filter("NOT _outer").drop("_outer").unionByName(joined)
+    return both.withColumn("length", (F.col("last") - F.col("first") + 1).cast("bigint"))
 
 
 def find_slices(spectrum: Column | str, threshold: float) -> Column:

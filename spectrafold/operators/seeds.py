@@ -123,7 +123,7 @@ def legacy_resonance_seeds(pixels: DataFrame, resonances: DataFrame, axis: DataF
     """
     from .axis import nearest_channel
 
-    near = nearest_channel(resonances.select("image_id", "component", F.col("center").alias("target")), axis)
+    near = nearest_channel(resonances.select("image_id", "component", F.col("center").alias("target")).distinct(), axis)
     packed = near.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("component", "channel"))).alias("_b"))
     at = lambda c: F.element_at("spectrum", c + 1)
 

@@ -132,14 +132,17 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     )
     totals = placed.groupBy(*group, "_part").agg(F.sum("_weight").alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select(*group, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    shift = totals.select(*[F.col(g).alias(f"_key{i}") for i, g in enumerate(group)], F.col("_part").alias("_of"),
+                          F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
     inside = (
         Window.partitionBy(*group, "_part").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = placed.withColumn("_inside", F.sum("_weight").over(inside))
-    joined = summed.join(shift, [*group, "_part"])
-    return joined.withColumn(name, F.col("_inside") + F.col("_shift")).drop("_part", "_weight", "_inside", "_shift")
+    same = F.col("_part") == F.col("_of")
+    for i, g in enumerate(group):  # null keys are a group as well
+        same = same & F.col(g).eqNullSafe(F.col(f"_key{i}"))
+    return summed.join(shift, same).withColumn(name, F.col("_inside") + F.col("_shift")).select(*df.columns, name)
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: Column | int,
