@@ -154,3 +154,15 @@ def unit_norm(s) -> Column:
 def cosine(a, b) -> Column:
     """Cosine similarity of two unit vectors, clipped to [-1, 1]."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
+
+
+def smooth_by(s, sigma: Column) -> Column:
+    """Gaussian smoothing as ``smooth``, with the sigma of the row; none where it is not above 0."""
+    s = _c(s)
+    radius = F.when(sigma > 0, F.floor(4.0 * sigma + 0.5)).otherwise(F.lit(0)).cast("int")
+    offsets = F.sequence(-radius, radius)
+    weight = lambda k: F.when(sigma > 0, F.exp(-0.5 * (k / sigma) * (k / sigma))).otherwise(F.lit(1.0))
+    add = lambda term: F.aggregate(offsets, F.lit(0.0), lambda a, k: a + term(k))
+    n = F.size(s)
+    at = lambda i: add(lambda k: weight(k) * F.get(s, reflect_index(i + k, n).cast("int")))
+    return let(add(weight), lambda norm: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i) / norm))

@@ -100,6 +100,12 @@ def _corner_weights(samples: DataFrame, keys: list[str]) -> DataFrame:
     ).filter("_w > 0")
 
 
+def line_weights(lines: DataFrame) -> DataFrame:
+    """How much each pixel counts in the mean over a line's samples."""
+    near = _corner_weights(line_samples(lines), ["image_id", "roi_id"])
+    return near.groupBy("image_id", "roi_id", "y", "x").agg(F.sum("_w").alias("_w"))
+
+
 def bilinear_samples(field: DataFrame, samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Bilinear value of a field (image_id, slice_id, y, x, value) at sample points."""
     near = _corner_weights(samples, keys)
@@ -129,7 +135,7 @@ def roi_mean_spectrum(pixels: DataFrame, rois: DataFrame, clip_negative: bool =
     means = mean_spectrum(hits.select(*keys, source.alias("spectrum")), keys)
     sums = means.select(*keys, F.posexplode("spectrum").alias("channel", "value"))
     if lines.take(1):
-        near = _corner_weights(line_samples(lines), ["image_id", "roi_id"]).groupBy("image_id", "roi_id", "y", "x").agg(F.sum("_w").alias("_w"))
+        near = line_weights(lines)
         flags = lines.select("image_id", "roi_id", "background")
         along = join_dim(pixels, near.join(flags, ["image_id", "roi_id"]), ["image_id", "y", "x"])
         long = along.select(*keys, "_w", F.posexplode(source).alias("channel", "value"))

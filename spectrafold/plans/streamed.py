@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import unmix as U
 from ..scale import shared_dir
 from ..streaming import streams as M
@@ -84,3 +85,21 @@ def _(spark, sf):
     out = spark.read.parquet(f"{base}/out")
     total = F.aggregate("spectrum_sub", F.lit(0.0), lambda a, v: a + v)
     return out.select(*PIXEL, rnd(total, "total"))
+
+
+@query("stream_subtract_slices", """
+SELECT image_id, slice_id, y, x, round(sum(CASE WHEN value - b <= 0 THEN 2.220446049250313e-16 ELSE value - b END), 6) AS total
+FROM vox4 JOIN back USING (slice_id, channel) WHERE slice_id < 4 GROUP BY ALL""", """
+back AS (SELECT slice_id, channel, avg(m) AS b FROM (
+  SELECT slice_id, roi, channel, greatest(avg(value) + off, 0) * sc AS m FROM vox4
+  JOIN (VALUES (0, 0, 3, 0.1::DOUBLE, 2::DOUBLE), (1, 4, 6, -0.01, 1)) r(roi, xa, xb, off, sc) ON x >= xa AND x < xb AND y < 2 GROUP BY slice_id, roi, channel, off, sc) GROUP BY ALL)""")
+def _(spark, sf):
+    wide = spark.createDataFrame([(0, 0.0, 3.0, 0.1, 2.0), (1, 4.0, 2.0, -0.01, 1.0)], "roi_id INT, x0 DOUBLE, w DOUBLE, offset DOUBLE, scale DOUBLE")
+    regions = wide.selectExpr("'emb' AS image_id", "roi_id", "'RectROI' AS shape", "x0", "CAST(0 AS DOUBLE) AS y0", "w", "CAST(2 AS DOUBLE) AS h", "0 AS component", "true AS background",
+                              "scale", "offset", "CAST(0 AS DOUBLE) AS smooth_sigma", "true AS subtract", "CAST(0 AS DOUBLE) AS angle")
+    stream = read_stream(spark, sf, "embeddings").select(
+        F.lit("emb").alias("image_id"), F.expr("CAST(vec_id % 5 AS INT)").alias("slice_id"), F.expr("CAST((vec_id div 5) div 10 AS INT)").alias("y"),
+        F.expr("CAST((vec_id div 5) % 10 AS INT)").alias("x"), F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("spectrum"),
+        F.expr("timestamp_seconds(1704067200 + (vec_id % 5) * 86400)").alias("ts"))
+    out = drain(M.stream_subtract_slices(stream, regions, 64), spark)
+    return out.select(*PIXEL, rnd(A.total("spectrum_sub"), "total"))
