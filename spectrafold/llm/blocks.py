@@ -33,6 +33,16 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             start = end
 
 
+def blocks_of_rows(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The slices of ``blocks`` as (rows as they came, their texts without nulls). Memory of a block goes back before the next one."""
+    for batch in batches:
+        start = 0
+        for part in blocks([batch], column, limit):
+            yield batch.slice(start, part.num_rows), part.column(part.schema.get_field_index(column))
+            start += part.num_rows
+            pa.default_memory_pool().release_unused()
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text: (row of each word, code of each word, the distinct words)."""
     if lower:

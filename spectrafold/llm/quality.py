@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import batch_of, blocks, counted, lengths, tally, text_bytes, words
+from .blocks import batch_of, blocks, blocks_of_rows, counted, lengths, tally, text_bytes, words
 from .rules import covered, line_table
 
 FEATURES = [
@@ -19,6 +19,8 @@ FEATURES = [
     "ends_marked",
 ]
 
+ROW_BLOCK = 2 << 20  # bytes of text that are taken at a time where whole rows travel
+
 _UPPER, _DIGIT, _SYMBOL, _MARK, _STOP, _BAR, _SPACE, _LETTER = 1, 2, 3, 4, 5, 6, 7, 8
 
 
@@ -191,10 +193,7 @@ def accepted(docs: DataFrame, forest: Forest) -> DataFrame:
     """The documents, all columns, that the classifier predicts to be of quality 1."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
-            keep = forest.scores(statistics(part.column(part.schema.get_field_index("text")))) >= 0.5
-            yield part.filter(pa.array(keep)).select(["row"])
+        for rows, texts in blocks_of_rows(batches, limit=ROW_BLOCK):
+            yield rows.filter(pa.array(forest.scores(statistics(texts)) >= 0.5))
 
-    one = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    kept = one.mapInArrow(run, one.select("row").schema)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return docs.mapInArrow(run, docs.schema)
