@@ -100,6 +100,6 @@ def _(spark, sf):
     stream = read_stream(spark, sf, "embeddings").select(
         F.lit("emb").alias("image_id"), F.expr("CAST(vec_id % 5 AS INT)").alias("slice_id"), F.expr("CAST((vec_id div 5) div 10 AS INT)").alias("y"),
         F.expr("CAST((vec_id div 5) % 10 AS INT)").alias("x"), F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("spectrum"),
-        F.expr("timestamp_seconds(1704067200 + (vec_id % 5) * 86400)").alias("ts"))
+        F.expr("timestamp_seconds(1704074400 + (vec_id % 5) * 86400)").alias("ts"))
     out = drain(M.stream_subtract_slices(stream, regions, 64), spark)
     return out.select(*PIXEL, rnd(A.total("spectrum_sub"), "total"))
