@@ -29,6 +29,18 @@ def list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
 
 
+def scattered(n: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """A list column of n rows from (row numbers, matrix) parts, whose widths may differ; a row of no part is null."""
+    width, there = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for rows, w in parts:
+        width[rows], there[rows] = w.shape[1], True
+    offsets = np.concatenate(([0], np.cumsum(width)))
+    values = np.empty(offsets[-1])
+    for rows, w in parts:
+        values[offsets[rows][:, None] + np.arange(w.shape[1])] = w
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array(~there))
+
+
 def clean(x: np.ndarray) -> np.ndarray:
     """NaN and infinities to 0, negatives to 0."""
     return np.maximum(np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
@@ -44,9 +56,11 @@ def groups(batch, keys: list[str]):
         enc = batch.column(batch.schema.get_field_index(k)).dictionary_encode()
         code = code * (len(enc.dictionary) + 1) + enc.indices.to_numpy(zero_copy_only=False)
     _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-    for g, f in enumerate(first):
+    order = np.argsort(inverse, kind="stable")
+    ends = np.cumsum(np.bincount(inverse, minlength=len(first)))
+    for f, start, end in zip(first, np.concatenate(([0], ends[:-1])), ends):
         key = tuple(batch.column(batch.schema.get_field_index(k))[int(f)].as_py() for k in keys)
-        yield key, (np.arange(n) if len(first) == 1 else np.flatnonzero(inverse == g))
+        yield key, order[start:end]
 
 
 def partial_sums(data, keys: list[str], columns: list[str], fn, max_keys: int = 20_000):

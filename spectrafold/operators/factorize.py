@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import arrays as A
 from ..scale import BROADCAST_CELLS, materialize
 from ..tables import FIELD, PIXEL, FIT_REPORT, schema
-from ._dense import clean, groups, list_column, matrix
+from ._dense import clean, groups, list_column, matrix, scattered
 
 
 # At most this many partial sums are fetched without adding them on the executors first.
@@ -186,14 +186,7 @@ def _apply(data: DataFrame, history: dict, solver: str, update_w: bool, eps: flo
                 if steps:
                     w, _ = _replay(matrix(xs.take(pick)), w, steps, solver, update_w, eps)
                 parts.append((rows, w))
-            if len(parts) == 1:
-                col = list_column(parts[0][1])
-            else:
-                filled = [None] * batch.num_rows
-                for rows, w in parts:
-                    for r, v in zip(rows, w.tolist()):
-                        filled[int(r)] = v
-                col = pa.array(filled, type=pa.list_(pa.float64()))
+            col = scattered(batch.num_rows, parts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)) for n in names] + [col], names=[*names, out]
             )

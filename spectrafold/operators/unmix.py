@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import arrays as A
 from ..scale import BROADCAST_CELLS, cell_count, join_dim, materialize
 from ..tables import FIELD, PIXEL, ShapeError
-from ._dense import clean, groups, list_column, matrix, nnls_rows
+from ._dense import clean, groups, matrix, nnls_rows, scattered
 
 
 def basis_keys(spectra: DataFrame) -> list[str]:
@@ -67,7 +67,6 @@ def nnls_fixed_h(pixels: DataFrame, spectra: DataFrame, *, column: str = "spectr
             if n == 0:
                 continue
             xs = batch.column(batch.schema.get_field_index("_x"))
-            w_rows: list = [None] * n
             blocks = []
             for key, rows in groups(batch, keys):
                 if held is not None:
@@ -89,13 +88,7 @@ def nnls_fixed_h(pixels: DataFrame, spectra: DataFrame, *, column: str = "spectr
                 elif active.any():
                     w[active] = nnls_rows(x[active], h)
                 blocks.append((rows, w))
-            if len(blocks) == 1 and len(blocks[0][0]) == n:
-                out = list_column(blocks[0][1])
-            else:
-                for rows, w in blocks:
-                    for r, v in zip(rows, w.tolist()):
-                        w_rows[int(r)] = v
-                out = pa.array(w_rows, type=pa.list_(pa.float64()))
+            out = scattered(n, blocks)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names] + [out], names=[*names, "w"]
             )

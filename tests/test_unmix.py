@@ -175,3 +175,20 @@ def test_fill_missing_h_uses_background_and_residual(spark):
     assert set(out) == {0, 1, 2}
     assert abs(out[1].argmax() - 28) <= 1
     assert np.allclose(out[2], x.mean(axis=0))
+
+
+def test_parts_of_a_batch_come_back_in_place():
+    import pyarrow as pa
+
+    from spectrafold.operators._dense import groups, scattered
+
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 9, 400)
+    batch = pa.RecordBatch.from_pydict({"a": [None if k == 8 else f"k{k}" for k in keys], "b": (keys % 2).tolist()})
+    found = dict(groups(batch, ["a", "b"]))
+    assert {k: v.tolist() for k, v in found.items()} == {
+        (None if k == 8 else f"k{k}", int(k % 2)): np.flatnonzero(keys == k).tolist() for k in set(keys.tolist())}
+    parts = [(rows, rows[:, None] * 10.0 + np.arange(1 + key[1])) for key, rows in found.items() if key[0] != "k3"]
+    want = [None if k == 3 else [i * 10.0 + c for c in range(1 + k % 2)] for i, k in enumerate(keys.tolist())]
+    assert scattered(400, parts).to_pylist() == want
+    assert scattered(2, []).to_pylist() == [None, None]
