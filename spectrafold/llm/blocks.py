@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,22 @@ BLOCK_BYTES = 8 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers are used again, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``, one row at least.
 
@@ -31,6 +48,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             text = pc.fill_null(pc.cast(part.column(at), pa.string()), "")
             yield part.set_column(at, column, text)
             start = end
+        give_back()
 
 
 def blocks_of_rows(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -40,7 +58,7 @@ def blocks_of_rows(batches: Iterable[pa.RecordBatch], column: str = "text", limi
         for part in blocks([batch], column, limit):
             yield batch.slice(start, part.num_rows), part.column(part.schema.get_field_index(column))
             start += part.num_rows
-            pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
