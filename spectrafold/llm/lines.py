@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..scale import materialize
-from .blocks import batch_of, blocks, hashes, mixed, ranges, widened, words
+from .blocks import batch_of, blocks, give_back, hashes, mixed, ranges, widened, words
 
 BUCKET_BITS = 20
 RARITY_PARTS = 64
@@ -18,9 +18,10 @@ RARITY_BUCKETS = 1 << BUCKET_BITS
 FILTER_BITS = 1 << 23
 HASH20 = (1 << 20) - 1
 HOT_LIST = 20_000
-FIRST_CANDIDATES = 256
-LIKELY_FROM, LIKELY_BITS, LIKELY_ENOUGH = 6, 24, 2
-LINE_BLOCK = 4 << 20
+FIRST_CANDIDATES, MORE_CANDIDATES = 2, 8
+TOKENS_A_PART = 1_500_000
+MOST_TASKS = 20_000
+LINE_BLOCK = 2 << 20
 
 
 # -- lines as sets of tokens ----------------------------------------------------------------------------------------
@@ -77,7 +78,7 @@ def _lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small blocks, with what Arrow no longer needs given back after each."""
     for block in blocks(batches, limit=LINE_BLOCK):
         yield block
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _parities(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +160,11 @@ def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
 POSTINGS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
-def _postings(rarity, parts: int, num: int, den: int):
-    """For each block of texts and each part: the prefix tokens of its lines, with what the filters need."""
+def _postings(rarity, parts: int, num: int, den: int, listed=None):
+    """For each block of texts and each part: the prefix tokens of its lines, with what the filters need.
+
+    With ``listed``, a bit table of tokens, only their lists are made.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, places = rarity.value
@@ -181,7 +185,11 @@ def _postings(rarity, parts: int, num: int, den: int):
             first[order[again]] = False
             prefix = lines.size - -(-num * lines.size // den) + 1
             place = np.arange(len(lines.token)) - lines.start[lines.of_token]
-            used = np.flatnonzero((place < prefix[lines.of_token]) & first[lines.of_token])
+            used = (place < prefix[lines.of_token]) & first[lines.of_token]
+            if listed is not None:
+                used &= _is_marked(listed.value, lines.token.view(np.int64), np.zeros(len(used), np.int64))
+                copy = copy[:0]  # told in the first wave
+            used = np.flatnonzero(used)
             token, line, at = lines.token[used], lines.of_token[used], place[used]
             # lists of tokens that are everywhere are cut into a triangle of cells
             cells = -(-common[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] // HOT_LIST)
@@ -219,112 +227,105 @@ def _postings(rarity, parts: int, num: int, den: int):
     return run
 
 
-CANDIDATES = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("to_doc", pa.int64()), ("to_line", pa.int64()), ("sure", pa.bool_()), ("more", pa.bool_()), ("list", pa.int64()), ("n", pa.int64())])
-# Three kinds of rows: candidates; lines settled in their block (sure); members of the lists in which a line got no further than its
-# first candidates (with their list, their size n, and their parities in to_doc and to_line).
-CANDIDATES_DDL = "doc long, line long, to_doc long, to_line long, sure boolean, more boolean, list long, n long"
+CANDIDATES = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("to_doc", pa.int64()), ("to_line", pa.int64()), ("sure", pa.bool_()), ("more", pa.bool_())])
+# Candidates, and lines settled in their block (sure). ``more``: the line has seen only a part of a list.
+CANDIDATES_DDL = "doc long, line long, to_doc long, to_line long, sure boolean, more boolean"
 
 
 def _settled(doc, line) -> pa.RecordBatch:
     n = len(doc)
-    return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
+    return batch_of(CANDIDATES, doc, line, doc, line, np.ones(n, bool), np.zeros(n, bool))
 
 
-def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: int, den: int, trust: bool = False,
-                  only=None):
-    """(later line, earlier line, whether the later was stopped by likeness) of postings, as positions in them, and the
-    positions of all postings in lists where a line was stopped by ``most``.
+def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: int, den: int, trust: bool = False, only=None):
+    """(later line, earlier line, whether the later one was stopped) of postings, as positions in them.
 
-    In the list of a token lines stand in the order of their sizes, and each is held against those before it as long
-    as their sizes allow the similarity. A pair passes if the tokens from the shared one on suffice for the overlap that is needed,
-    and if not more bits of the parities differ than tokens may. The candidate belongs to the later line of the two. A line
-    that has got ``most`` candidates, or with ``trust`` a few that look very much like matches, gets no more. With ``only(doc, line)`` the other lines get none at all.
+    In the list of a token lines stand in the order of size, document and number. Each looks for earlier lines: from its
+    own place down to the least size that allows the similarity, then at larger ones up to the greatest. A pair passes if the
+    tokens from the shared one on suffice for the overlap that is needed, and if not more bits of the parities differ
+    than tokens may. A line stops at its ``most``-th candidate, or with ``trust`` at one that looks like an equal set, and
+    then leaves the list, so that a group of near copies costs its length and not its pairs. With ``only(doc, line)``
+    the other lines look for none.
     """
     size = size.astype(np.int64)
-    order = np.lexsort((size, key))
+    order = np.lexsort((line, doc, size, key))
     key, doc, line, size, at, low, high, whole = (c[order] for c in (key, doc, line, size, at.astype(np.int64), low, high, whole))
-    head = np.ones(len(key), dtype=bool)
+    n = len(key)
+    head = np.ones(n, dtype=bool)
     head[1:] = key[1:] != key[:-1]
-    starts = np.flatnonzero(head)
-    room = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(key)]))))
-    left, got = size - at, np.zeros(len(key), dtype=np.int64)
-    finished, unsure = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
-    alike, capped = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+    width = int(size.max()) * den // num + 2 if n else 1
+    base = (np.cumsum(head) - 1) * width
+    place = base + size
+    lowest = np.searchsorted(place, base - (-num * size // den), side="left")
+    larger = np.searchsorted(place, place, side="right")
+    down, up = np.arange(n) - lowest, np.searchsorted(place, base + den * size // num, side="right") - larger
+    left, got = size - at, np.zeros(n, dtype=np.int64)
+    finished, stopped = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     if only is not None:
         finished |= ~only(doc, line)
     later, earlier = [], []
-    alive, step = np.flatnonzero(room > 0), 1
-    while len(alive):
-        x, y = size[alive], size[alive - step]
-        fits = num * x <= den * y  # y is not the larger
-        alive, x, y = alive[fits], x[fits], y[fits]
-        to = alive - step
-        need = -(-num * (x + y) // (num + den))  # the least overlap of this similarity
-        apart = np.bitwise_count(low[alive] ^ low[to]).astype(np.int64) + np.bitwise_count(high[alive] ^ high[to])
-        good = (apart <= x + y - 2 * need) & (np.minimum(left[alive], left[to]) >= need)  # holds at the first shared token of every match
-        if good.any():
-            a, b = alive[good], to[good]
-            swap = (doc[a] < doc[b]) | (doc[a] == doc[b]) & (line[a] < line[b])
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if trust:
-                room_left = (x + y - 2 * need)[good]
-                copy = (apart[good] == 0) & (whole[a] == whole[b]) & (size[a] == size[b])
-                likely = copy | (room_left >= LIKELY_FROM) & (apart[good] <= np.minimum(room_left // 3, LIKELY_BITS))
-            open_ = ~finished[a] & ((doc[a] != doc[b]) | (line[a] != line[b]))
-            capped[a[got[a] >= most]] = True
-            if trust:
-                away = copy & (at[a] > 0)  # two equal sets meet in the list of their rarest token, and are told there
-                finished[a[away & open_]] = True
-                open_ &= ~away
-            later.append(a[open_])
-            earlier.append(b[open_])
-            np.add.at(got, a[open_], 1)
-            full = a[got[a] >= most]
-            finished[full] = True
-            if trust:
-                np.add.at(alike, a[open_ & likely], 1)
-                sure = a[open_ & (copy | (alike[a] >= LIKELY_ENOUGH))]
-                finished[sure] = unsure[sure] = True
-        step += 1
-        alive = alive[room[alive] >= step]
+
+    def look(begin: np.ndarray, sign: int, count: np.ndarray, behind: np.ndarray):
+        step, alive = 0, np.flatnonzero(~finished & (count > 0))
+        while len(alive):
+            to = begin[alive] + sign * step
+            before = (doc[to] < doc[alive]) | (doc[to] == doc[alive]) & (line[to] < line[alive])
+            a, b = (alive, to) if before.all() else (alive[before], to[before])
+            x, y = size[a], size[b]
+            need = -(-num * (x + y) // (num + den))  # the least overlap of this similarity
+            good = np.minimum(left[a], left[b]) >= need  # holds at the first shared token of every match
+            a, b, room = a[good], b[good], (x + y - 2 * need)[good]
+            apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+            good = apart <= room
+            if good.any():
+                a, b, apart = a[good], b[good], apart[good]
+                got[a] += 1
+                full = got[a] >= most
+                copy = (apart == 0) & (whole[a] == whole[b]) & (size[a] == size[b]) & trust
+                told = ~copy | (at[a] == 0)  # two equal sets meet in the list of their rarest token, and are told there
+                later.append(a[told])
+                earlier.append(b[told])
+                finished[a[full | copy]] = True
+                stopped[a[copy | full & ((count[a] > step + 1) | (behind[a] > 0))]] = True
+            step += 1
+            alive = alive[(count[alive] > step) & ~finished[alive]]
+
+    look(np.arange(n) - 1, -1, down, up)
+    look(larger, 1, up, np.zeros(n, dtype=np.int64))
     later = np.concatenate([*later, np.zeros(0, np.int64)]).astype(np.int64)
     earlier = np.concatenate([*earlier, np.zeros(0, np.int64)]).astype(np.int64)
-    group = np.cumsum(head) - 1
-    over = np.flatnonzero((np.bincount(group, capped, len(starts)) > 0)[group]) if len(key) else np.zeros(0, np.int64)
-    return order[later], order[earlier], unsure[later], order[over]
+    return order[later], order[earlier], stopped[later]
 
 
 def _candidates(most: int, num: int, den: int, trust: bool, open_marks=None):
-    def solve(part: int | None, pile: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def solve(pile: list) -> Iterator[pa.RecordBatch]:
         for n, data in pile:
             if n < 0:
                 _, doc, line, *_ = _unpacked(data, -n)
                 yield _settled(doc, line)
         loaded = [_unpacked(data, n) for n, data in pile if n > 0]
+        pile.clear()
         if loaded:
             columns = [np.concatenate(c) for c in zip(*loaded)]
+            del loaded
             _, doc, line, *_ = columns
             only = None if open_marks is None else lambda d, x: _is_marked(open_marks.value, d, x)
-            later, earlier, more, over = candidates_of(*columns, most, num, den, trust, only)
+            later, earlier, more = candidates_of(*columns, most, num, den, trust, only)
             for i in range(0, len(later), 50_000):
-                x, y, m = later[i:i + 50_000], earlier[i:i + 50_000], more[i:i + 50_000]
-                yield batch_of(CANDIDATES, doc[x], line[x], doc[y], line[y], np.zeros(len(x), bool), m, pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()))
-            key, _, _, size, _, low, high, _ = columns
-            for i in range(0, len(over), 50_000):
-                x = over[i:i + 50_000]
-                name = key[x].astype(np.int64) << 24 | part  # lists of one part have different keys
-                yield batch_of(CANDIDATES, doc[x], line[x], low[x].view(np.int64), high[x].view(np.int64), np.zeros(len(x), bool),
-                               np.zeros(len(x), bool), name, size[x].astype(np.int64))
+                x, y = later[i:i + 50_000], earlier[i:i + 50_000]
+                yield batch_of(CANDIDATES, doc[x], line[x], doc[y], line[y], np.zeros(len(x), bool), more[i:i + 50_000])
+        give_back()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pile = None, []
         for batch in batches:
-            for p, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+            named, n, data = batch.columns
+            for i, (p, k) in enumerate(zip(named.to_pylist(), n.to_pylist())):
                 if p != part:
-                    yield from solve(part, pile)
-                    part, pile = p, []
-                pile.append((n, data))
-        yield from solve(part, pile)
+                    yield from solve(pile)
+                    part = p
+                pile.append((k, data[i].as_buffer()))
+        yield from solve(pile)
 
     return run
 
@@ -372,6 +373,24 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _numbered(docs).mapInArrow(run, "doc long, line long, tokens array<long>")
 
 
+def _prefixes(rarity, num: int, den: int):
+    """(token, 0) of the prefix tokens of (doc, line, tokens), those of equal rarity with the last one included."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = rarity.value[1]
+        for batch in batches:
+            lists = batch.column(2)
+            token = lists.flatten().to_numpy().view(np.uint64)
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            line = np.repeat(np.arange(len(size)), size)
+            place = places[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+            last = np.lexsort((place, line))[np.cumsum(size) - size + size - -(-num * size // den)]
+            token = np.unique(token[place <= place[last][line]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.zeros(len(token), np.int64))], names=["doc", "line"])
+
+    return run
+
+
 def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc, line) of every line whose token set has at least this Jaccard similarity to that of an earlier line.
 
@@ -379,10 +398,10 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     2 ** 20 plus a hash of the whole text.
 
     Tokens are ordered by the corpus count of their hash bucket, rarest first, so the prefixes of lines meet on rare
-    tokens. Later lines meet earlier ones in the lists of their prefix tokens and get their first candidates; the
-    sets of candidates are fetched and compared exactly. A line for which none holds then meets the rest of the lists in which
-    it got no further. A line that was stopped by candidates that looked like matches, but were none, goes through
-    the lists again without being stopped. So nothing is lost, and a group of copies never makes all its pairs.
+    tokens. Later lines meet earlier ones in the lists of their prefix tokens, in waves: the first wave gives each two
+    candidates of a list, whose sets are fetched and compared exactly. Lines for which none holds and that have not
+    seen the whole of a list go into the next wave, which makes only their lists and gives eight times as many; the waves
+    end when no such line is left. So nothing is lost, and a group of copies or near copies never makes all its pairs.
     """
     num, den = similarity
     spark = docs.sparkSession
@@ -390,50 +409,37 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     places = np.empty(RARITY_BUCKETS, dtype=np.int64)
     places[np.argsort(common, kind="stable")] = np.arange(RARITY_BUCKETS)
     rarity = spark.sparkContext.broadcast((common, places))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a part holds a bounded number of postings, whatever the corpus
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(common.sum()) // TOKENS_A_PART)
     plain = _numbered(docs)
-    settled, open_lines, marks = None, None, None
+    settled, open_lines, marks, listed, most = None, None, None, None, FIRST_CANDIDATES
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(doc, line, matched, more) of the later lines of pairs, their sets of tokens compared exactly."""
+    while True:
+        posted = plain.mapInArrow(_postings(rarity, parts, num, den, listed), "part int, n long, data binary")
+        dealt = posted.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
+        raw = materialize(dealt.mapInArrow(_candidates(most, num, den, settled is None, marks), CANDIDATES_DDL))
+        found = raw.where("NOT sure")
+        if open_lines is not None:
+            found = found.join(open_lines, ["doc", "line"], "left_semi")
+        pairs = materialize(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("more").alias("more")))
         wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
         sets = materialize(_wanted_lines(docs, wanted).dropDuplicates(["doc", "line"]))
         target = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
         both = pairs.join(sets, ["doc", "line"]).join(target, ["to_doc", "to_line"])
         shared = F.size(F.array_intersect("tokens", "to_tokens"))
         holds = shared * (num + den) >= num * (F.size("tokens") + F.size("to_tokens"))
-        return materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more")))
-
-    while True:
-        posted = plain.mapInArrow(_postings(rarity, parts, num, den), "part int, n long, data binary")
-        dealt = posted.repartition(parts, "part").sortWithinPartitions("part")
-        raw = materialize(dealt.mapInArrow(_candidates(FIRST_CANDIDATES, num, den, settled is None, marks), CANDIDATES_DDL))
-        found, members = raw.where("list IS NULL AND NOT sure"), raw.where("list IS NOT NULL")
-        if open_lines is not None:
-            found = found.join(open_lines, ["doc", "line"], "left_semi")
-        pairs = materialize(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("more").alias("more")))
-        checked = verified(pairs)
+        checked = materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more")))
         now = checked.where("matched").select("doc", "line")
         if settled is None:
             now = now.unionByName(raw.where("sure").select("doc", "line"))
         settled = now if settled is None else settled.unionByName(now)
-        if members.take(1):
-            # lines that nothing matched so far meet the rest of their long lists
-            left = members.join(checked.where("NOT matched"), ["doc", "line"], "left_semi") if open_lines is None else members.join(
-                open_lines, ["doc", "line"], "left_semi").join(checked.where("matched"), ["doc", "line"], "left_anti")
-            other = members.select("list", F.col("doc").alias("d"), F.col("line").alias("x"), F.col("to_doc").alias("low"), F.col("to_line").alias("high"), F.col("n").alias("m"))
-            need = F.ceil((F.col("n") + F.col("m")) * num / F.lit(num + den))
-            apart = F.bit_count(F.col("to_doc").bitwiseXOR(F.col("low"))) + F.bit_count(F.col("to_line").bitwiseXOR(F.col("high")))
-            meet = left.join(other, "list").where((F.struct("d", "x") < F.struct(F.col("doc").alias("d"), F.col("line").alias("x"))) & (
-                apart <= F.col("n") + F.col("m") - 2 * need))
-            rest = meet.select("doc", "line", F.col("d").alias("to_doc"), F.col("x").alias("to_line")).distinct()
-            rest = rest.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti").withColumn("more", F.lit(False))
-            settled = settled.unionByName(verified(materialize(rest)).where("matched").select("doc", "line"))
         open_lines = checked.where("more AND NOT matched").select("doc", "line").join(settled, ["doc", "line"], "left_anti")
         open_lines = materialize(open_lines)
         if not open_lines.take(1):
             return settled.distinct()
         marks = _marked(open_lines)
+        listed = _marked(sets.join(open_lines, ["doc", "line"], "left_semi").mapInArrow(_prefixes(rarity, num, den), "doc long, line long"))
+        most *= MORE_CANDIDATES
 
 
 def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,38 @@ def test_line_dedup(spark, docs, pairs, table, monkeypatch):
         assert sum(r[3] for r in ours) > 20
 
 
+@pytest.mark.parametrize("words", [10, 20, 40])
+def test_candidates_of_near_copies_grow_with_the_group(words):
+    """Lines of one group differ in one word each: a line's candidates must not grow with the group."""
+    made = {}
+    for group in (50, 100, 200, 400, 800):
+        rng = np.random.default_rng(group)
+        base = [f"w{i}" for i in range(words)]
+        texts = []
+        for i in range(group):
+            own = list(base)
+            own[rng.integers(words)] = f"own{i}"
+            texts.append(" ".join(own))
+        block = pa.RecordBatch.from_arrays([pa.array(range(group)), pa.array(texts), pa.array([0] * group)], names=["doc_id", "text", "own"])
+        got = lines.Lines(block, np.zeros(lines.RARITY_BUCKETS, np.int64))
+        low, high = lines._parities(got)
+        whole = lines._summed(got, lines.mixed(got.token))
+        at = np.arange(len(got.token)) - got.start[got.of_token]
+        prefix = got.size - -(-4 * got.size // 5) + 1
+        used = np.flatnonzero(at < prefix[got.of_token])
+        ln = got.of_token[used]
+        later, earlier, _ = lines.candidates_of(got.token[used], got.doc[ln], got.line[ln], got.size[ln], at[used], low[ln], high[ln],
+                                                whole[ln], lines.FIRST_CANDIDATES, 4, 5, True)
+        made[group] = len({(int(a), int(b)) for a, b in zip(got.doc[ln][later], got.doc[ln][earlier])})
+        sets = [set(t.split()) for t in texts]
+        alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+        held = {a for a, b in zip(got.doc[ln][later].tolist(), got.doc[ln][earlier].tolist()) if alike(a, b)}
+        true = {a for a in range(group) if any(alike(a, b) for b in range(a))}
+        assert held <= true and len(held) > 0.9 * len(true)  # what is left goes into the next wave
+    assert all(n <= made[50] / 50 * g * 1.6 for g, n in made.items()), made
+    assert made[800] <= 800 * 2 * (words // 5 + 1)
+
+
 @pytest.mark.parametrize("slices", [1, 3])
 def test_repeated_rows_keep_their_first_lines(spark, slices):
     row = (7, "first line of a clean text\nsecond line of the same one\nfirst line of a clean text")
