@@ -18,10 +18,10 @@ RARITY_BUCKETS = 1 << BUCKET_BITS
 FILTER_BITS = 1 << 23
 HASH20 = (1 << 20) - 1
 HOT_LIST = 20_000
-FIRST_CANDIDATES, MORE_CANDIDATES = 2, 8
-TOKENS_A_PART = 1_500_000
+FIRST_CANDIDATES, MORE_CANDIDATES, LOOKED_AT = 2, 64, 16
+TOKENS_A_PART = 3_000_000
 MOST_TASKS = 20_000
-LINE_BLOCK = 2 << 20
+LINE_BLOCK = 4 << 20
 
 
 # -- lines as sets of tokens ----------------------------------------------------------------------------------------
@@ -31,10 +31,10 @@ class Lines:
     """The lines of a block of documents (see ``_numbered``) as sets of token hashes, tokens of a line together and rarest first.
 
     ``rarity`` gives each hash bucket its place in the order of rarity. ``wanted(doc, line)`` may choose the lines that
-    are looked into at all.
+    are looked into at all, ``listed(token)`` the tokens of which a line has to hold one.
     """
 
-    def __init__(self, block: pa.RecordBatch, rarity: np.ndarray | None, wanted=None):
+    def __init__(self, block: pa.RecordBatch, rarity: np.ndarray | None, wanted=None, listed=None):
         ids, texts, own = block.columns
         lists = pc.split_pattern(texts, "\n")
         every = lists.flatten()
@@ -49,8 +49,14 @@ class Lines:
             every, doc, line = every.take(pa.array(at)), doc[at], line[at]
         row, code, distinct = words(every, lower=True)
         word_hash = hashes(distinct)
+        if listed is not None:
+            held = np.zeros(len(every), dtype=bool)
+            held[row[listed(word_hash)[code]]] = True
+            kept, number = np.flatnonzero(held[row]), np.cumsum(held) - 1
+            row, code, doc, line = number[row[kept]], code[kept], doc[held], line[held]
+        n_lines = len(doc)
         # one sort by line, then rarity, then hash
-        row_bits = max(1, len(every)).bit_length()
+        row_bits = max(1, n_lines).bit_length()
         place = word_hash >> np.uint64(64 - BUCKET_BITS)
         if rarity is not None:
             place = rarity[place.astype(np.int64)].astype(np.uint64)
@@ -62,7 +68,7 @@ class Lines:
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
         row, self.token = row[new], token[new]
-        size = np.bincount(row, minlength=len(every)).astype(np.int64)
+        size = np.bincount(row, minlength=n_lines).astype(np.int64)
         full = np.flatnonzero(size)  # lines with a word
         self.size, self.doc, self.line = size[full], doc[full], line[full]
         self.start = np.cumsum(self.size) - self.size
@@ -78,7 +84,7 @@ def _lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small blocks, with what Arrow no longer needs given back after each."""
     for block in blocks(batches, limit=LINE_BLOCK):
         yield block
-        give_back()
+        pa.default_memory_pool().release_unused()
 
 
 def _parities(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +174,9 @@ def _postings(rarity, parts: int, num: int, den: int, listed=None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, places = rarity.value
+        held = None if listed is None else lambda t: _is_marked(listed.value, t.view(np.int64), np.zeros(len(t), np.int64))
         for block in _lean(batches):
-            lines = Lines(block, places)
+            lines = Lines(block, places, listed=held)
             if not len(lines.size):
                 continue
             low, high = _parities(lines)
@@ -187,7 +194,7 @@ def _postings(rarity, parts: int, num: int, den: int, listed=None):
             place = np.arange(len(lines.token)) - lines.start[lines.of_token]
             used = (place < prefix[lines.of_token]) & first[lines.of_token]
             if listed is not None:
-                used &= _is_marked(listed.value, lines.token.view(np.int64), np.zeros(len(used), np.int64))
+                used &= held(lines.token)
                 copy = copy[:0]  # told in the first wave
             used = np.flatnonzero(used)
             token, line, at = lines.token[used], lines.of_token[used], place[used]
@@ -243,9 +250,9 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
     In the list of a token lines stand in the order of size, document and number. Each looks for earlier lines: from its
     own place down to the least size that allows the similarity, then at larger ones up to the greatest. A pair passes if the
     tokens from the shared one on suffice for the overlap that is needed, and if not more bits of the parities differ
-    than tokens may. A line stops at its ``most``-th candidate, or with ``trust`` at one that looks like an equal set, and
-    then leaves the list, so that a group of near copies costs its length and not its pairs. With ``only(doc, line)``
-    the other lines look for none.
+    than tokens may. A line leaves the list at its ``most``-th candidate, so that a group of near copies costs its length
+    and not its pairs. With ``trust`` it looks at more of them and takes the ``most`` nearest, and leaves at one that is very
+    near. With ``only(doc, line)`` the other lines look for none.
     """
     size = size.astype(np.int64)
     order = np.lexsort((line, doc, size, key))
@@ -263,7 +270,8 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
     finished, stopped = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     if only is not None:
         finished |= ~only(doc, line)
-    later, earlier = [], []
+    later, earlier, distance = [], [], []
+    enough = most * LOOKED_AT if trust else most
 
     def look(begin: np.ndarray, sign: int, count: np.ndarray, behind: np.ndarray):
         step, alive = 0, np.flatnonzero(~finished & (count > 0))
@@ -278,22 +286,30 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
             apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
             good = apart <= room
             if good.any():
-                a, b, apart = a[good], b[good], apart[good]
+                a, b, apart, room = a[good], b[good], apart[good], room[good]
                 got[a] += 1
-                full = got[a] >= most
                 copy = (apart == 0) & (whole[a] == whole[b]) & (size[a] == size[b]) & trust
+                likely = copy | (2 * apart <= room) & (room > 2) & trust
                 told = ~copy | (at[a] == 0)  # two equal sets meet in the list of their rarest token, and are told there
                 later.append(a[told])
                 earlier.append(b[told])
-                finished[a[full | copy]] = True
+                distance.append(apart[told])
+                full = likely | (got[a] >= enough)
+                finished[a[full]] = True
                 stopped[a[copy | full & ((count[a] > step + 1) | (behind[a] > 0))]] = True
             step += 1
             alive = alive[(count[alive] > step) & ~finished[alive]]
 
     look(np.arange(n) - 1, -1, down, up)
     look(larger, 1, up, np.zeros(n, dtype=np.int64))
-    later = np.concatenate([*later, np.zeros(0, np.int64)]).astype(np.int64)
-    earlier = np.concatenate([*earlier, np.zeros(0, np.int64)]).astype(np.int64)
+    later, earlier, distance = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (later, earlier, distance))
+    # the nearest candidates of each line
+    rank = np.lexsort((np.arange(len(later)), distance, later))
+    later, earlier = later[rank], earlier[rank]
+    begins = np.searchsorted(later, later, side="left")
+    near = np.arange(len(later)) - begins < most
+    stopped[later[~near]] = True
+    later, earlier = later[near], earlier[near]
     return order[later], order[earlier], stopped[later]
 
 
@@ -398,9 +414,9 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     2 ** 20 plus a hash of the whole text.
 
     Tokens are ordered by the corpus count of their hash bucket, rarest first, so the prefixes of lines meet on rare
-    tokens. Later lines meet earlier ones in the lists of their prefix tokens, in waves: the first wave gives each two
-    candidates of a list, whose sets are fetched and compared exactly. Lines for which none holds and that have not
-    seen the whole of a list go into the next wave, which makes only their lists and gives eight times as many; the waves
+    tokens. Later lines meet earlier ones in the lists of their prefix tokens, in waves: the first wave gives each the two
+    nearest of the first candidates of a list, whose sets are fetched and compared exactly. Lines for which none holds and that have not
+    seen the whole of a list go into the next wave, which makes only their lists and gives 64 times as many; the waves
     end when no such line is left. So nothing is lost, and a group of copies or near copies never makes all its pairs.
     """
     num, den = similarity
