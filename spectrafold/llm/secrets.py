@@ -7,7 +7,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +25,7 @@ HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of HEX that are long enough
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.?")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 _HEX_PART = re.compile(r"(?:0x)?([0-9a-f]{32,}|[0-9A-F]{32,})")
@@ -195,6 +197,35 @@ def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), at, "".join(lines)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Where ``eyJ..., a dot, eyJ..., a dot, anything`` stands: dotted runs are read once each, from their first ``eyJ``."""
+    at = text.find("eyJ")
+    while at >= 0:
+        run = _DOTTED.match(text, at)
+        parts, i = run[0].split("."), 0
+        while i + 2 < len(parts):
+            head = parts[i].find("eyJ")
+            if head >= 0 and head + 3 < len(parts[i]) and len(parts[i + 1]) > 3 and parts[i + 1].startswith("eyJ"):
+                whole = sum(len(x) + 1 for x in parts[i:i + 3]) - 1
+                yield at + head, at + whole
+                at, i = at + whole + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+        at = text.find("eyJ", run.end())
+
+
+def _inside(spans: list[tuple[int, int]]):
+    """Whether a place lies inside any of the spans, by halving."""
+    spans = sorted(spans)
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def told(place: int) -> bool:
+        i = bisect_right(starts, place)
+        return i > 0 and place < ends[i - 1]
+
+    return told
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) as (start, end, kind) in code points, in order."""
     rank = {k: i for i, k in enumerate(KINDS)}
@@ -206,17 +237,20 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
         if data and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in m[2]):
             more.append((m.start(), m.end(), "pem"))
             taken.append((m.start(), m.end()))
-    for m in _JWT.finditer(text):
-        if is_signed_token(m[0]):
-            more.append((m.start(), m.end(), "jwt"))
-            taken.append((m.start(), m.end()))
+    for start, end in _tokens(text):
+        if is_signed_token(text[start:end]):
+            more.append((start, end, "jwt"))
+            taken.append((start, end))
+    inside, reached = _inside(taken), -1
     for start, end, body in _wrapped(text):
-        kind = None if any(s <= start < e for s, e in taken) else confirmed(_decoded(body)) or confirmed(from_base64(body))
+        kind = None if start < reached or inside(start) else confirmed(_decoded(body)) or confirmed(from_base64(body))
         if kind:
             more.append((start, end, kind))
             taken.append((start, end))
+            reached = max(reached, end)
+    inside = _inside(taken)
     for m in _RUN.finditer(text):
-        if any(s <= m.start() < e for s, e in taken):
+        if inside(m.start()):
             continue
         kind = confirmed(_decoded(m[0])) or confirmed(from_base64(m[0]))
         if kind:

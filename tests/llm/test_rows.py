@@ -2,6 +2,8 @@
 
 import base64
 import random
+import re
+import time
 import zlib
 
 import brute
@@ -224,6 +226,17 @@ def test_keys_and_tokens_in_every_form(spark):
         assert all(k in ("hex", "") for _, _, k in secrets.spans_of(plain)[1]), plain
 
 
+def test_token_runs_are_read_once():
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJa", ".", "x", " ", "-", "eyJb.eyJc.", ".eyJ"]) for _ in range(rng.randrange(16)))
+        assert list(secrets._tokens(text)) == [m.span() for m in plain.finditer(text)], text
+    began = time.process_time()
+    assert list(secrets._tokens("eyJ" * 1_000_000)) == [] and secrets.spans_of("eyJ." * 300_000)[1] == []
+    assert time.process_time() - began < 5
+
+
 def test_sharding(spark, docs, pairs, empty):
     for rows, df in ((pairs, docs), (ROWS, awkward(spark, ROWS))):
         got = [r.asDict() for r in shards.shard(df, shards=8).collect()]
