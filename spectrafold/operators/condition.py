@@ -72,13 +72,16 @@ def normalize_dynamic_range(pixels: DataFrame, dtype_max: float = UINT16_MAX, co
 
 
 def channel_moments(voxels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """NaN-aware mean and a population deviation that NaN poisons, per channel."""
+    """NaN-aware mean and a population deviation that NaN poisons, per channel.
+
+    Merging partial moments rounds, so equal values are known by their ends: their deviation is 0 exactly.
+    """
     keys = keys or FIELD
     v = F.col("value")
     real = F.when(~F.isnan(v), v)
     return voxels.groupBy(*keys, "channel").agg(
         F.avg(real).alias("mean"),
-        F.stddev_pop(real).alias("std"),
+        F.when(F.min(real) == F.max(real), F.lit(0.0)).otherwise(F.stddev_pop(real)).alias("std"),
         (F.count_if(F.isnan(v) | v.isNull()) > 0).alias("has_nan"),
     )
 

@@ -115,3 +115,13 @@ print("ROWS", e.queries()["nnls_fixed_h"](spark, "/root/testdata/sf0.001").count
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_equal_values_have_no_deviation(spark):
+    """Merging the moments of 49 and 49 equal values rounds to a deviation above 0; such a channel does not survive."""
+    from spectrafold.operators.condition import channel_moments, kept_channels, standardize_channels
+
+    flat = spark.range(0, 98, 1, 2).select(F.lit("a").alias("image_id"), F.lit(0).alias("slice_id"), F.lit(2).alias("channel"), F.lit(4.0).alias("value"))
+    assert flat.groupBy("channel").agg(F.stddev_pop("value").alias("s")).first()["s"] > 0
+    assert channel_moments(flat).first()["std"] == 0
+    assert kept_channels(channel_moments(flat)).count() == 0 and standardize_channels(flat).count() == 0
