@@ -24,9 +24,11 @@ def field_shape(field: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, value: str = "value", tile: int = 128,
-              keys: list[str] | None = None, fill: float = 0.0, pad: str = "symmetric") -> DataFrame:
+              keys: list[str] | None = None, fill: float = 0.0, pad: str = "symmetric", there: bool = False) -> DataFrame:
     """Apply ``kernel(padded) -> core`` to every tile of a long field (keys, y, x, value).
 
+    A missing pixel counts as ``fill`` and gets a row, unless ``there`` asks for rows of the field's own pixels alone.
+
     ``padded`` is the tile with ``halo`` pixels on each side; outside the image it is padded by the
     NumPy mode ``pad`` (``constant`` pads with infinity, for minima).
     """
@@ -51,7 +53,8 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
         x0, x1 = tx * tile, min((tx + 1) * tile, nx)
         ya, yb, xa, xb = max(y0 - halo, 0), min(y1 + halo, ny), max(x0 - halo, 0), min(x1 + halo, nx)
         patch = np.full((yb - ya, xb - xa), fill)
-        patch[pdf["y"].to_numpy() - ya, pdf["x"].to_numpy() - xa] = pdf["value"].to_numpy(dtype=float)
+        at = pdf["y"].to_numpy() - ya, pdf["x"].to_numpy() - xa
+        patch[at] = pdf["value"].to_numpy(dtype=float)
         widths = ((halo - (y0 - ya), halo - (yb - y1)), (halo - (x0 - xa), halo - (xb - x1)))
         if pad == "constant":
             padded = np.pad(patch, widths, mode="constant", constant_values=np.inf)
@@ -61,6 +64,10 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
         yy, xx = np.mgrid[y0:y1, x0:x1]
         out = {k: pdf[k].iloc[0] for k in keys}
         frame = pd.DataFrame({"y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), "value": core.ravel()})
+        if there:
+            known = np.zeros(patch.shape, dtype=bool)
+            known[at] = True
+            frame = frame[known[y0 - ya: y1 - ya, x0 - xa: x1 - xa].ravel()]
         return frame.assign(**out)[[*keys, "y", "x", "value"]]
 
     fields = ", ".join(f"`{k}` {field.schema[k].dataType.simpleString()}" for k in keys)
@@ -69,10 +76,10 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
 
 def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x: float | None = None, edge: str = "reflect",
                      value: str = "value", tile: int = 128, keys: list[str] | None = None, fill: float = 0.0,
-                     subtract: bool = False) -> DataFrame:
+                     subtract: bool = False, there: bool = False) -> DataFrame:
     """Separable Gaussian blur; ``edge`` is ``reflect`` (half-sample symmetric) or ``nearest``.
 
-    ``subtract`` gives the field minus its blur, which saves joining the two.
+    ``subtract`` gives the field minus its blur, which saves joining the two; ``there`` gives no rows to missing pixels.
     """
     sigma_x = sigma_y if sigma_x is None else sigma_x
     ky = np.asarray(gaussian_kernel(sigma_y)) if sigma_y > 0 else np.ones(1)
@@ -87,12 +94,15 @@ def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x
         return p[halo: halo + ny, halo: halo + nx] - blurred if subtract else blurred
 
     mode = {"reflect": "symmetric", "nearest": "edge"}[edge]
-    return map_tiles(field, shape, halo, kernel, value, tile, keys, fill, mode)
+    return map_tiles(field, shape, halo, kernel, value, tile, keys, fill, mode, there)
 
 
 def rolling_ball_background(field: DataFrame, shape: DataFrame, radius: int, value: str = "value", tile: int = 128,
                             keys: list[str] | None = None) -> DataFrame:
-    """Height of a ball of ``radius`` rolled under the field: min over the ball of v + r - sqrt(r^2 - d^2)."""
+    """Height of a ball of ``radius`` rolled under the field: min over the ball of v + r - sqrt(r^2 - d^2).
+
+    A missing pixel does not hold the ball back and has no height itself.
+    """
     r = int(radius)
     offsets = [(dy, dx, r - float(np.sqrt(r * r - dy * dy - dx * dx)))
                for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
@@ -104,7 +114,7 @@ def rolling_ball_background(field: DataFrame, shape: DataFrame, radius: int, val
             np.minimum(out, p[r + dy: r + dy + ny, r + dx: r + dx + nx] + lift, out=out)
         return out
 
-    return map_tiles(field, shape, r, kernel, value, tile, keys, 0.0, "constant")
+    return map_tiles(field, shape, r, kernel, value, tile, keys, np.inf, "constant", there=True)
 
 
 def stride_downsample(field: DataFrame, n: int) -> DataFrame:

@@ -207,3 +207,20 @@ def test_radial_fits(spark):
     q = 500 - 0.2 * ((xx - 10.5) ** 2 + (yy - 8) ** 2)
     r = L.fit_quadratic(field(spark, q)).first()
     assert (r["xc"], r["yc"], r["peak"], r["slope"]) == pytest.approx((10.5, 8, 500, -0.2), abs=1e-6)
+
+
+def test_missing_pixels_of_the_last_row_get_no_rows(spark):
+    """A 5 x 4 image that ends within its last row: blur, ball and zoom against sums over the pixels that are there."""
+    a = np.random.default_rng(5).random((5, 4))
+    a[4, 2:] = np.nan
+    f = field(spark, a).filter("NOT isnan(value)")
+    shape = N.field_shape(f)
+    hole = ~np.isnan(a)
+    blurred = grid(N.gaussian_blur_2d(f, shape, 0.8, tile=16, there=True), a.shape)
+    assert np.allclose(blurred, np.where(hole, numpy_blur(np.nan_to_num(a), 0.8), np.nan), equal_nan=True)
+    ball = grid(N.rolling_ball_background(f, shape, 1, tile=16), a.shape)
+    for y, x in np.argwhere(hole):
+        near = [(y, x, 0.0), *[(y + i, x + j, 1.0) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]]
+        want = min(a[p, q] + up for p, q, up in near if 0 <= p < 5 and 0 <= q < 4 and hole[p, q])
+        assert ball[y, x] == pytest.approx(want)
+    assert np.isnan(ball[~hole]).all()
