@@ -174,19 +174,20 @@ def _align(column: str, have: str, k: int) -> Column:
 
 
 def w_seed(pixels: DataFrame, spectra: DataFrame, k: int, mode: str = "nnls", *, normalize: bool = True,
-           use_subtracted: DataFrame | None = None, downsample: int = 1, eps: float = A.EPS) -> DataFrame:
+           use_subtracted: DataFrame | None = None, downsample: int = 1, whole: bool = False, eps: float = A.EPS) -> DataFrame:
     """Seed maps of all components from their spectra, as a wide column ``w`` beside the spectrum.
 
     Modes: ``nnls``, ``selective_score``, ``h_weighted``, ``average``, ``empty`` and ``peak``. A component
     without a usable spectrum gets NULL, except in the modes that need none. ``use_subtracted`` lists
     (image_id, component, use_subtracted); components that want the subtracted stack are solved on it.
-    ``downsample`` solves on block means and zooms back, an approximation for quick previews.
+    ``downsample`` solves on block means and zooms back, an approximation for quick previews. With ``whole`` the zoomed
+    maps cover missing pixels too, whose other columns are null.
     """
     mode = {"selective score": "selective_score", "score": "selective_score", "h weighted": "h_weighted",
             "avg": "average", "full": "empty"}.get(mode, mode)
     has_sub = "spectrum_sub" in pixels.columns
     if downsample > 1:
-        return _w_seed_small(pixels, spectra, k, mode, normalize, use_subtracted, downsample, eps)
+        return _w_seed_small(pixels, spectra, k, mode, normalize, use_subtracted, downsample, whole, eps)
     usable = spectra.filter(F.col("component") < k).withColumn("_h", A.prepare_fixed("spectrum", eps)).filter("_h IS NOT NULL")
     usable = usable.select("image_id", "component", F.col("_h").alias("spectrum"))
     packed = usable.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("component", "spectrum"))).alias("_hs"))
@@ -242,7 +243,7 @@ def w_seed(pixels: DataFrame, spectra: DataFrame, k: int, mode: str = "nnls", *,
     return unity_scale_wide(out, k, "w", eps) if normalize else out
 
 
-def _w_seed_small(pixels, spectra, k, mode, normalize, use_subtracted, factor, eps):
+def _w_seed_small(pixels, spectra, k, mode, normalize, use_subtracted, factor, whole, eps):
     """Solve on block means and zoom the maps back; images smaller than a block are solved in full."""
     from .neighborhood import field_shape
 
@@ -262,7 +263,7 @@ def _w_seed_small(pixels, spectra, k, mode, normalize, use_subtracted, factor, e
     zoom = big.withColumn("sy", F.floor(F.col("ny") / factor).cast("int")).withColumn("sx", F.floor(F.col("nx") / factor).cast("int"))
     fine = upsample_bilinear(maps, zoom, [*FIELD, "component"])
     wide = fine.groupBy(*PIXEL).agg(F.array(*[F.max(F.when(F.col("component") == j, F.col("value"))) for j in range(k)]).alias("w"))
-    back = large.join(wide, PIXEL)
+    back = large.join(wide, PIXEL, "right" if whole else "inner")
     rest = w_seed(tiny, spectra, k, mode, normalize=False, use_subtracted=use_subtracted, eps=eps)
     out = back.unionByName(rest.select(back.columns))
     return unity_scale_wide(out, k, "w", eps) if normalize else out

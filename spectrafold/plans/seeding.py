@@ -131,7 +131,7 @@ sh AS (SELECT image_id, ny, nx, ny // 4 AS sy, nx // 4 AS sx FROM meta),
 cv AS (SELECT image_id, slice_id, CAST(y // 4 AS INT) AS y, CAST(x // 4 AS INT) AS x, channel, avg(value) AS value FROM vox JOIN meta USING (image_id) WHERE y < ny // 4 * 4 AND x < nx // 4 * 4 GROUP BY ALL),
 co AS (SELECT image_id, slice_id, y, x, greatest(sum(cv.value * h.value) / (any_value(hh) + 1e-8), 1e-8) AS value FROM cv JOIN (SELECT channel, value, sum(value * value) OVER () AS hh FROM hk WHERE component = 0) h USING (channel) GROUP BY ALL)""")
 def _(spark, sf):
-    out = G.w_seed(fx.pixels_emb(spark, sf), fx.label_spectra(spark, sf, 1), 1, "nnls", downsample=4)
+    out = G.w_seed(fx.pixels_emb(spark, sf), fx.label_spectra(spark, sf, 1), 1, "nnls", downsample=4, whole=True)
     return out.select(*PIXEL, rnd(F.element_at("w", 1), "w"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 
 NAMES = ["stream_unmix", "stream_background_subtract", "stream_subtract_slices", "gaussian_blur_2d", "gaussian_blur_2d_nearest",
-         "rolling_ball_background", "upsample_nearest"]
+         "rolling_ball_background", "upsample_nearest", "w_seed_downsampled"]
 
 
 @pytest.fixture(scope="module")
