@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
 from ..functions.curves import elliptic_gaussian, radial_model
-from ..scale import exact_percentile, join_dim, join_stats, materialize
+from ..scale import exact_percentile, join_dim, join_stats, join_wide, materialize
 from ..tables import FIELD, PIXEL
 from . import neighborhood as N
 from . import stats as S
@@ -181,7 +181,7 @@ def illum_fit(field: DataFrame, shape: DataFrame, value: str = "value") -> DataF
 def apply_gain(pixels: DataFrame, gain: DataFrame, dtype_max: float | None = 65535.0, truncate: bool = False) -> DataFrame:
     """Multiply all channels of a pixel by its gain, clip to the value range."""
     on = [c for c in FIELD if c in gain.columns] + ["y", "x"]
-    joined = pixels.join(gain, on)
+    joined = join_wide(pixels, gain, on)
     top = (lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(dtype_max)))) if dtype_max else (lambda v: v)
     cast = (lambda v: v.cast("int")) if truncate else (lambda v: v)
     return joined.withColumn("spectrum", F.transform("spectrum", lambda v: cast(top(v * F.col("gain"))))).drop("gain")
@@ -381,6 +381,6 @@ def mask(shape: DataFrame, kind: str, strength: float, offset_x: int = 0, offset
 def apply_mask(correction: DataFrame, masked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Correction times mask, scaled to a maximum of 1."""
     keys = keys or FIELD
-    both = correction.join(masked.withColumnRenamed("value", "_mask"), [*keys, "y", "x"]).withColumn("correction", F.col("correction") * F.col("_mask")).drop("_mask")
+    both = join_wide(correction, masked.withColumnRenamed("value", "_mask"), [*keys, "y", "x"]).withColumn("correction", F.col("correction") * F.col("_mask")).drop("_mask")
     top = both.groupBy(*keys).agg(F.max("correction").alias("_top"))
     return join_stats(both, top, keys).withColumn("correction", F.col("correction") / F.col("_top")).drop("_top")

@@ -11,6 +11,7 @@ from ..operators import mosaic as M
 from ..operators import neighborhood as N
 from ..operators import stats as S
 from ..operators import unmix as U
+from ..scale import join_dim, join_wide, materialize
 from ..tables import FIELD, PIXEL, to_pixels
 from . import fixtures as fx
 from .registry import query
@@ -210,10 +211,10 @@ SELECT image_id, slice_id, CAST(b.range AS INT) AS y, CAST(a.range AS INT) AS x,
   round((CASE WHEN a.range < nx // 2 THEN (1 - sqrt(0.5)) / (nx // 2) * a.range + sqrt(0.5) ELSE 2 - sqrt(0.5) - (1 - sqrt(0.5)) / (nx // 2) * a.range END) * (CASE WHEN b.range < ny // 2 THEN (1 - sqrt(0.5)) / (ny // 2) * b.range + sqrt(0.5) ELSE 2 - sqrt(0.5) - (1 - sqrt(0.5)) / (ny // 2) * b.range END), 6) AS pyramid
 FROM shp, range(64) a, range(64) b WHERE a.range < nx AND b.range < ny""", GAIN_SQL)
 def _(spark, sf):
-    shape = N.field_shape(fx.pixels_ord(spark, sf))
+    shape = materialize(N.field_shape(fx.pixels_ord(spark, sf)))
     out = L.mask(shape, "lorentzian", 0.5, 2, -1).withColumn("lorentzian", rnd("value")).drop("value")
     for kind in ("diamond", "pyramid"):
-        out = out.join(L.mask(shape, kind, 0.5).withColumn(kind, rnd("value")).drop("value"), PIXEL)
+        out = join_wide(out, L.mask(shape, kind, 0.5).withColumn(kind, rnd("value")).drop("value"), PIXEL)
     return out
 
 
@@ -223,9 +224,9 @@ SELECT image_id, slice_id, y, x, round(c * m / max(c * m) OVER (PARTITION BY ima
   WHERE NOT (nx % 2 = 1 AND x = (ny + nx) // 4 AND y = (ny + nx) // 4))""", GAIN_SQL)
 def _(spark, sf):
     p = fx.pixels_ord(spark, sf)
-    shape = N.field_shape(p)
+    shape = materialize(N.field_shape(p))
     centre = (F.col("nx") % 2 == 1) & (F.col("x") == F.expr("(ny + nx) div 4")) & (F.col("y") == F.expr("(ny + nx) div 4"))
-    c = p.join(F.broadcast(shape), FIELD).filter(~centre).select(*PIXEL, (1 + F.col("x") / 64).alias("correction"))
+    c = join_dim(p, shape, FIELD).filter(~centre).select(*PIXEL, (1 + F.col("x") / 64).alias("correction"))
     return L.apply_mask(c, L.mask(shape, "diamond", 0.5)).withColumn("correction", rnd("correction"))
 
 

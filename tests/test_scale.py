@@ -125,3 +125,21 @@ def test_equal_values_have_no_deviation(spark):
     assert flat.groupBy("channel").agg(F.stddev_pop("value").alias("s")).first()["s"] > 0
     assert channel_moments(flat).first()["std"] == 0
     assert kept_channels(channel_moments(flat)).count() == 0 and standardize_channels(flat).count() == 0
+
+
+def test_exploded_grids_are_not_broadcast(spark):
+    """The mask of a few large images looks small to the planner; its join with the pixels is merged."""
+    from spectrafold.operators import illumination as L
+
+    shape = spark.createDataFrame([("a", 0, 300, 300)], "image_id STRING, slice_id INT, ny INT, nx INT")
+    made = L.mask(shape, "diamond", 0.5)
+    out = L.apply_mask(made.withColumnRenamed("value", "correction"), made)
+    assert out.count() == 90_000
+    first = out._jdf.queryExecution().optimizedPlan().toString().split("Join ")
+    assert sum("strategy=merge" in p for p in first) == 1
+
+
+def test_a_row_of_a_broadcast_weighs_more_than_its_numbers(spark):
+    df = spark.range(1000)
+    assert scale.cell_count(df) == 1000
+    assert scale.fits_broadcast(df, 9000) and not scale.fits_broadcast(df, 8999)
