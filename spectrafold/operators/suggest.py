@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
-from ..scale import exact_percentile, join_dim, join_stats, materialize, theta_join, top_n
+from ..scale import exact_percentile, join_dim, join_stats, join_wide, materialize, theta_join, top_n
 from ..tables import FIELD, PIXEL
 from . import stats as S
 from .condition import sub_band
@@ -183,8 +183,9 @@ def connected_regions(mask: DataFrame, keys: list[str] | None = None, tile: int
     labelled = materialize(tiles.groupBy(*keys, "_ty", "_tx").applyInPandas(local, f"{cols}, y INT, x INT, _r BIGINT"))
     here = labelled.select(*keys, "y", "x", F.col("_r").alias("a"))
     there = lambda dy, dx: labelled.select(*keys, (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("_r").alias("b"))
-    down = here.filter(F.col("y") % tile == tile - 1).join(there(1, 0), [*keys, "y", "x"])
-    right = here.filter(F.col("x") % tile == tile - 1).join(there(0, 1), [*keys, "y", "x"])
+    border = lambda df, p: df.filter(F.col(p) % tile == tile - 1)
+    down = join_wide(border(here, "y"), border(there(1, 0), "y"), [*keys, "y", "x"])
+    right = join_wide(border(here, "x"), border(there(0, 1), "x"), [*keys, "y", "x"])
     edges = down.unionByName(right).select(*keys, "a", "b").filter("a <> b").distinct()
     both = materialize(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     if not both.take(1):  # no region crosses a tile
@@ -201,7 +202,7 @@ def connected_regions(mask: DataFrame, keys: list[str] | None = None, tile: int
         if not changed:
             break
     final = names.select(*keys, F.col("node").alias("_r"), "name")
-    return labelled.join(final, [*keys, "_r"], "left").select(*keys, "y", "x", F.coalesce("name", "_r").alias("region"))
+    return join_wide(labelled, final, [*keys, "_r"], "left").select(*keys, "y", "x", F.coalesce("name", "_r").alias("region"))
 
 
 # --- candidates ----------------------------------------------------------------------------------
@@ -263,7 +264,7 @@ def _ranked_peaks(cells: DataFrame, settings: Settings, keys: list[str]) -> Data
         F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("_best"))
     sizes = materialize(sizes.filter(F.col("_n") >= max(1, settings.min_area)))
     best = (F.col("value") == F.col("_best.value")) & (F.col("y") == -F.col("_best.y")) & (F.col("x") == -F.col("_best.x"))
-    tried = join_dim(cells, sizes, region).filter((F.col("value") > 0) & F.when(F.col("_peaks") > 0, F.col("peak").isNotNull()).otherwise(best))
+    tried = join_wide(cells, sizes, region).filter((F.col("value") > 0) & F.when(F.col("_peaks") > 0, F.col("peak").isNotNull()).otherwise(best))
     return materialize(tried.select(*region, "y", "x", "value", F.greatest("threshold", F.col("value") * settings.peak_region_ratio).alias("cut"),
                                     F.struct("level", "region", (-F.col("value")).alias("low"), "y", "x").alias("place")))
 
@@ -276,7 +277,7 @@ def _boxes_around(cells: DataFrame, peaks: DataFrame, keys: list[str]) -> DataFr
     around = materialize(around.select(*keys, "rank", "y", "x"))
     on = [*keys, "rank"]
     start = near.select(*on, F.col("_py").alias("y"), F.col("_px").alias("x"), F.lit(True).alias("_start"))
-    parts = connected_regions(around, on).join(start, [*on, "y", "x"], "left")
+    parts = join_wide(connected_regions(around, on), start, [*on, "y", "x"], "left")
     sides = parts.groupBy(*on, "region").agg(
         F.min("y").alias("y"), F.min("x").alias("x"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"),
         F.bool_or("_start").alias("_start"))
@@ -320,7 +321,7 @@ def extract_candidates(response: DataFrame, shape: DataFrame, settings: Settings
     above = materialize(above.select(*keys, "level", "y", "x", "value", "threshold"))
     tops = local_maxima(coarse, field_shape(coarse, keys), settings.peak_window, keys=keys).select(*keys, "y", "x", F.lit(True).alias("peak"))
     named = connected_regions(above.select(*keys, "level", "y", "x"), [*keys, "level"])
-    cells = materialize(named.join(above, [*keys, "level", "y", "x"]).join(tops, [*keys, "y", "x"], "left"))
+    cells = materialize(join_wide(join_wide(named, above, [*keys, "level", "y", "x"]), tops, [*keys, "y", "x"], "left"))
     peaks = _ranked_peaks(cells, settings, keys)
     rest, turn, state = peaks, 0, None
     while True:

@@ -224,3 +224,11 @@ def test_missing_pixels_of_the_last_row_get_no_rows(spark):
         want = min(a[p, q] + up for p, q, up in near if 0 <= p < 5 and 0 <= q < 4 and hole[p, q])
         assert ball[y, x] == pytest.approx(want)
     assert np.isnan(ball[~hole]).all()
+
+
+def test_tables_of_pixels_are_merged_not_broadcast(spark):
+    """Labelled pixels pack into small files; regions over tile borders must not send them through the driver."""
+    a = np.ones((40, 40))
+    out = S.connected_regions(field(spark, a).filter("value > 0"), tile=16)
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.select("region").distinct().count() == 1 and out.count() == 1600
