@@ -143,3 +143,16 @@ def test_a_row_of_a_broadcast_weighs_more_than_its_numbers(spark):
     df = spark.range(1000)
     assert scale.cell_count(df) == 1000
     assert scale.fits_broadcast(df, 9000) and not scale.fits_broadcast(df, 8999)
+
+
+def test_clustered_rows_meet_few_keys_in_a_task(spark):
+    """40 fields of 200 pixels that arrive mixed: a task of the factorisation meets a range of them, not all."""
+    from spectrafold.operators.factorize import nmf_mu
+
+    rows = spark.range(8000).selectExpr("concat('i', id % 40) AS image_id", "0 AS slice_id", "CAST(id div 200 AS INT) AS y", "CAST(id % 200 AS INT) AS x",
+                                        "array(1.0D + id % 7, 2.0D, 1.0D + id % 3) AS spectrum")
+    met = lambda df: df.select("image_id", F.spark_partition_id().alias("p")).distinct().count()
+    mixed = rows.repartition(8, "y", "x")
+    assert met(mixed) == 320
+    for df in (scale.clustered(mixed, ["image_id", "slice_id"], ["y", "x"]), nmf_mu(mixed, 2, max_iter=1).cached[0]):
+        assert df.count() == 8000 and met(df) < 48
