@@ -33,20 +33,21 @@ def give_back() -> None:
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``, one row at least.
 
-    Null texts come out as empty ones.
+    Null texts come out as empty ones; a list of numbers has eight bytes for each.
     """
     for batch in batches:
         at = batch.schema.get_field_index(column)
         whole = batch.column(at)
-        size = pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers = pa.types.is_list(whole.type)
+        size = pc.multiply(pc.list_value_length(whole), 8) if numbers else pc.binary_length(whole)
+        size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.cumsum(size)
         start = 0
         while start < batch.num_rows:
             base = upto[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(upto, base + limit, side="right")))
             part = batch.slice(start, end - start)
-            text = pc.fill_null(pc.cast(part.column(at), pa.string()), "")
-            yield part.set_column(at, column, text)
+            yield part if numbers else part.set_column(at, column, pc.fill_null(pc.cast(part.column(at), pa.string()), ""))
             start = end
         give_back()
 
@@ -97,28 +98,94 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _ODD_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_SPAN = 1 << 15
+_BYTES = mixed(np.arange(256))
+_LENGTHS = mixed(np.arange(256))
+_MASKS = np.array([256 ** k - 1 for k in range(9)], dtype=np.uint64)
+_LONG = 255
+_PIECE = 1 << 19
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """n powers of the base at least, and those of its inverse. Tables for the usual span are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for base in (_ODD, _ODD_INVERSE):
+        table = np.full(max(n, _SPAN + (_SPAN >> 2)), base, dtype=np.uint64)
+        table[0] = 1
+        made.append(np.multiply.accumulate(table))
+    if n <= _SPAN + (_SPAN >> 2):
+        _POWERS[:] = made
+    return made
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end; spans stand in order and do not overlap.
+
+    A polynomial over mixed bytes, modulo 2 ** 64: differences of running sums, shifted to where each span begins by the
+    inverse of the base. The sums are taken over pieces of some 32 kB, so that they need little memory.
+    """
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(start, base + _SPAN)))
+        n = int(end[j - 1] - base)
+        power, back = _powers(n + 1)
+        upto = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data[base:base + n].astype(np.intp)] * power[:n], out=upto[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        out[i:j] = (upto[b] - upto[a]) * back[a]
+        i = j
+    size = end - start
+    return mixed(out ^ (_LENGTHS[size] if len(size) and size.max() < len(_LENGTHS) else mixed(size)))
 
 
 def hashes(strings: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings without nulls, the same in every task.
-
-    A polynomial over mixed bytes, modulo 2 ** 64, for all strings at once: differences of running sums, shifted to where each
-    string begins by the inverse of the base.
-    """
+    """64-bit hashes of strings without nulls, the same in every task."""
     data, bounds = text_bytes(strings)
-    upto = np.zeros(len(data) + 1, dtype=np.uint64)
-    power = np.full(len(data) + 1, _ODD, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.cumsum(_BYTES[data] * power[:-1], out=upto[1:])
-    back = np.full(len(data) + 1, _ODD_INVERSE, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    value = (upto[bounds[1:]] - upto[bounds[:-1]]) * back[bounds[:-1]]
-    return mixed(value ^ mixed(np.diff(bounds)))
+    return _span_hashes(data, bounds[:-1], bounds[1:])
 
 
-_BYTES = mixed(np.arange(256))
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where it begins, 64-bit hash) of every word ``[^\\x20\\x09-\\x0D]+`` of the texts that lie between the bounds in ``data``, A-Z lower-cased.
+
+    Words are read eight bytes at a time, very long ones as ``hashes`` reads them.
+    """
+    # whole texts of some 512 kB at a time: what is made along the way stays small
+    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, len(data), _PIECE)), len(bounds) - 1))
+    parts = [_word_hashes(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i]) for i, j in zip(cuts[:-1], cuts[1:])]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts = [start + bounds[i] for i, (start, _) in zip(cuts, parts)]
+    return np.concatenate(starts), np.concatenate([h for _, h in parts])
+
+
+def _word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
+    lowered = np.zeros(n + 8, dtype=np.uint8)
+    np.add(data, (data - np.uint8(0x41) < 26).view(np.uint8) << 5, out=lowered[:n])
+    inside = np.zeros(n + 2, dtype=bool)
+    np.logical_and(data != 0x20, data - np.uint8(0x09) > 4, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    cut = np.unique(bounds[1:-1])
+    cut = cut[inside[cut] & inside[cut + 1]]  # a text ends and the next one begins within a run of word bytes
+    if len(cut):
+        edge = np.sort(np.concatenate((edge, cut, cut)))
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    eight = np.ndarray(n + 1, dtype="<u8", buffer=lowered, strides=(1,))
+    out = mixed((eight[start] & _MASKS[np.minimum(size, 8)]) ^ _LENGTHS[np.minimum(size, 255)])
+    at, far = np.flatnonzero((size > 8) & (size < _LONG)), 8
+    while len(at):
+        out[at] = mixed(out[at] ^ (eight[start[at] + far] & _MASKS[np.minimum(size[at] - far, 8)]))
+        far += 8
+        at = at[size[at] > far]
+    at = np.flatnonzero(size >= _LONG)
+    out[at] = _span_hashes(lowered, start[at], end[at])
+    return start, out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,11 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..scale import materialize
-from .blocks import batch_of, blocks, give_back, hashes, mixed, ranges, widened, words
+from .blocks import batch_of, blocks, give_back, mixed, ranges, text_bytes, widened, word_hashes
 
 BUCKET_BITS = 20
 RARITY_PARTS = 64
@@ -21,6 +20,8 @@ HOT_LIST = 20_000
 FIRST_CANDIDATES, MORE_CANDIDATES, LOOKED_AT = 2, 64, 16
 TOKENS_A_PART = 3_000_000
 MOST_TASKS = 20_000
+OPEN_TOKENS = 1_000_000
+PAIRS_AT_ONCE = 1_000_000
 LINE_BLOCK = 4 << 20
 
 
@@ -35,36 +36,23 @@ class Lines:
     """
 
     def __init__(self, block: pa.RecordBatch, rarity: np.ndarray | None, wanted=None, listed=None):
-        ids, texts, own = block.columns
-        lists = pc.split_pattern(texts, "\n")
-        every = lists.flatten()
-        per_text = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        text_of = np.repeat(np.arange(len(texts)), per_text)
-        number = ranges(per_text)
-        doc = ids.to_numpy(zero_copy_only=False).astype(np.int64)[text_of]
-        # a line is known by its number, then by its text's hash, which tells rows of one id apart
-        line = (number << 20) | own.to_numpy(zero_copy_only=False)[text_of]
-        if wanted is not None:
-            at = np.flatnonzero(wanted(doc, line))
-            every, doc, line = every.take(pa.array(at)), doc[at], line[at]
-        row, code, distinct = words(every, lower=True)
-        word_hash = hashes(distinct)
+        doc, line, row, token = _tokens(block, wanted)
         if listed is not None:
-            held = np.zeros(len(every), dtype=bool)
-            held[row[listed(word_hash)[code]]] = True
-            kept, number = np.flatnonzero(held[row]), np.cumsum(held) - 1
-            row, code, doc, line = number[row[kept]], code[kept], doc[held], line[held]
+            held = np.zeros(len(doc), dtype=bool)
+            held[row[listed(token)]] = True
+            kept, number = held[row], np.cumsum(held) - 1
+            row, token, doc, line = number[row[kept]], token[kept], doc[held], line[held]
         n_lines = len(doc)
         # one sort by line, then rarity, then hash
         row_bits = max(1, n_lines).bit_length()
-        place = word_hash >> np.uint64(64 - BUCKET_BITS)
+        place = token >> np.uint64(64 - BUCKET_BITS)
         if rarity is not None:
             place = rarity[place.astype(np.int64)].astype(np.uint64)
         rest = np.uint64(64 - BUCKET_BITS - row_bits)
-        tail = (word_hash << np.uint64(BUCKET_BITS)) >> np.uint64(BUCKET_BITS + row_bits)
-        key = ((place << rest) | tail)[code] | (row.astype(np.uint64) << np.uint64(64 - row_bits))
+        tail = (token << np.uint64(BUCKET_BITS)) >> np.uint64(BUCKET_BITS + row_bits)
+        key = (place << rest) | tail | (row.astype(np.uint64) << np.uint64(64 - row_bits))
         order = np.argsort(key)
-        row, token = row[order], word_hash[code[order]]
+        row, token = row[order], token[order]
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
         row, self.token = row[new], token[new]
@@ -75,9 +63,46 @@ class Lines:
         self.of_token = np.repeat(np.arange(len(full)), self.size)
 
 
+def _tokens(block: pa.RecordBatch, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each line, number and text of each line, line of each token, tokens). Lists of numbers are the tokens of one line.
+
+    A line is known by its number, then by its text's hash, which tells rows of one id apart.
+    """
+    ids, texts, own = block.columns
+    doc, own = ids.to_numpy(zero_copy_only=False).astype(np.int64), own.to_numpy(zero_copy_only=False)
+    if pa.types.is_list(texts.type):
+        if wanted is not None:
+            at = np.flatnonzero(wanted(doc, own))
+            doc, own, texts = doc[at], own[at], texts.take(pa.array(at))
+        size = texts.value_lengths().to_numpy(zero_copy_only=False)
+        return doc, own, np.repeat(np.arange(len(doc)), size), texts.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    data, bounds = text_bytes(texts)
+    breaks = np.flatnonzero(data == 0x0A)
+    before = np.searchsorted(breaks, bounds)  # line breaks before each text
+    per_text = np.diff(before) + 1
+    first = before[:-1] + np.arange(len(texts))
+    begin = np.empty(len(breaks) + len(texts), dtype=np.int64)
+    inner = np.ones(len(begin), dtype=bool)
+    inner[first] = False
+    begin[first], begin[inner] = bounds[:-1], breaks + 1
+    text_of = np.repeat(np.arange(len(texts)), per_text)
+    doc, line = doc[text_of], (ranges(per_text) << 20) | own[text_of]
+    if wanted is not None:
+        at = np.flatnonzero(wanted(doc, line))
+        end = np.append(begin[1:], len(data))[at]  # with its line break, or the end of its text
+        size, doc, line = end - begin[at], doc[at], line[at]
+        data = data[np.repeat(begin[at], size) + ranges(size)]
+        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        begin = bounds[:-1]
+    start, token = word_hashes(data, bounds)
+    upto = np.append(np.searchsorted(start, begin), len(start))
+    return doc, line, np.repeat(np.arange(len(doc)), np.diff(upto)), token
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents that have an id, with 20 bits of their text's hash."""
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit(HASH20)).alias("own"))
+    """The documents that have an id, with 20 bits of their text's hash, or as ``own`` says."""
+    own = F.col("own") if "own" in docs.columns else F.xxhash64("text").bitwiseAND(F.lit(HASH20)).alias("own")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", own)
 
 
 def _lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +146,9 @@ def rarities(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for part in _lean(batches):
-            _, code, distinct = words(part.column(0), lower=True)
-            bucket = (hashes(distinct) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            np.add.at(total, bucket, np.bincount(code, minlength=len(distinct)))
+            held = part.column(0)
+            token = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if pa.types.is_list(held.type) else word_hashes(*text_bytes(held))[1]
+            total += np.bincount((token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=RARITY_BUCKETS)
         yield batch_of(schema, *zip(*[given(i, total[i * width:(i + 1) * width]) for i in range(RARITY_PARTS)]))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +208,17 @@ def _postings(rarity, parts: int, num: int, den: int, listed=None):
             whole = _summed(lines, mixed(lines.token))
             # of equal sets in this block only the first line is posted; the others are settled here, but not the
             # first line itself where its row is repeated
-            order = np.lexsort((lines.line, lines.doc, lines.size, whole))
+            order = np.lexsort((lines.line, lines.doc))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            order = np.lexsort((rank, lines.size, whole))
             again = np.zeros(len(order), dtype=bool)
             again[1:] = (whole[order][1:] == whole[order][:-1]) & (lines.size[order][1:] == lines.size[order][:-1])
             head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
             copy = order[again & ((lines.doc[order] != lines.doc[head]) | (lines.line[order] != lines.line[head]))]
             first = np.ones(len(order), dtype=bool)
             first[order[again]] = False
-            prefix = lines.size - -(-num * lines.size // den) + 1
+            prefix = _prefix_length(lines.size, num, den)
             place = np.arange(len(lines.token)) - lines.start[lines.of_token]
             used = (place < prefix[lines.of_token]) & first[lines.of_token]
             if listed is not None:
@@ -213,7 +241,7 @@ def _postings(rarity, parts: int, num: int, den: int, listed=None):
                 kept_at.append(at[hot][rep])
             key, line, at = np.concatenate(keys), np.concatenate(kept_line), np.concatenate(kept_at)
             part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((lines.line[line], lines.doc[line], part))
+            order = np.argsort(part << 32 | rank[line])
             key, line, at, part = key[order], line[order], at[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             copies = _packed([np.full(len(copy), 0), lines.doc[copy], lines.line[copy], np.zeros(len(copy)), np.zeros(len(copy)),
@@ -255,7 +283,8 @@ def candidates_of(key, doc, line, size, at, low, high, whole, most: int, num: in
     near. With ``only(doc, line)`` the other lines look for none.
     """
     size = size.astype(np.int64)
-    order = np.lexsort((line, doc, size, key))
+    by = (size, key) if key.itemsize > 4 else (key.astype(np.int64) << 31 | size,)
+    order = np.lexsort((line, doc, *by))
     key, doc, line, size, at, low, high, whole = (c[order] for c in (key, doc, line, size, at.astype(np.int64), low, high, whole))
     n = len(key)
     head = np.ones(n, dtype=bool)
@@ -407,6 +436,70 @@ def _prefixes(rarity, num: int, den: int):
     return run
 
 
+def _prefix_length(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """So many tokens of a set that every similar set holds one of them."""
+    return size - -(-num * size // den) + 1
+
+
+def _few(opened: DataFrame, common: np.ndarray, num: int, den: int):
+    """The open lines (doc, line, tokens) with their rarest tokens, or None if they are many or their tokens are common.
+
+    What is compared at most is known from the counts of the tokens: an eighth of all tokens.
+    """
+    lines, numbers = opened.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
+    if lines + numbers > OPEN_TOKENS:
+        return None
+    got = opened.toArrow()
+    lists = got["tokens"].combine_chunks()
+    token = lists.flatten().to_numpy().view(np.uint64)
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(size)), size)
+    often = common[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    order = np.lexsort((often, of))
+    rare = order[ranges(size) < _prefix_length(size, num, den)[of]]
+    if int(often[rare].sum()) > int(common.sum()) // 8:
+        return None
+    rare = rare[np.argsort(token[rare])]
+    start = np.cumsum(size) - size
+    return dict(doc=got["doc"].to_numpy(), line=got["line"].to_numpy(), size=size, token=token, start=start, rare=token[rare], rare_of=of[rare])
+
+
+def _compared(few, num: int, den: int):
+    """(doc, line) of the few open lines that an earlier line of these documents matches; a line may come from several tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = few.value
+        doc, line, size, rare, rare_of = (of[k] for k in ("doc", "line", "size", "rare", "rare_of"))
+        sets = [np.sort(of["token"][a:a + n]) for a, n in zip(of["start"], size)]
+        listed = np.zeros(RARITY_BUCKETS, dtype=bool)
+        bucket = lambda t: (t >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        listed[bucket(rare)] = True
+        alone = np.ones(len(doc), dtype=bool)
+        for block in _lean(batches):
+            there = Lines(block, None, listed=lambda t: listed[bucket(t)])
+            at = np.flatnonzero(listed[bucket(there.token)])
+            low = np.searchsorted(rare, there.token[at], side="left")
+            count = np.searchsorted(rare, there.token[at], side="right") - low
+            piece, found = np.cumsum(count) // PAIRS_AT_ONCE, []
+            for now in np.split(np.arange(len(at)), np.flatnonzero(np.diff(piece)) + 1):
+                x = np.repeat(there.of_token[at[now]], count[now])
+                y = rare_of[np.repeat(low[now], count[now]) + ranges(count[now])]
+                before = (there.doc[x] < doc[y]) | (there.doc[x] == doc[y]) & (there.line[x] < line[y])
+                a, b = there.size[x], size[y]
+                good = alone[y] & before & (np.minimum(a, b) * (num + den) >= num * (a + b))
+                for pair in np.unique(x[good] * len(doc) + y[good]).tolist():
+                    i, j = divmod(pair, len(doc))
+                    if alone[j]:
+                        mine = there.token[there.start[i]:there.start[i] + there.size[i]]
+                        shared = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                        if shared * (num + den) >= num * (len(mine) + len(sets[j])):
+                            alone[j] = False
+                            found.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[found], pa.int64()), pa.array(line[found], pa.int64())], names=["doc", "line"])
+
+    return run
+
+
 def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc, line) of every line whose token set has at least this Jaccard similarity to that of an earlier line.
 
@@ -416,8 +509,9 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
     Tokens are ordered by the corpus count of their hash bucket, rarest first, so the prefixes of lines meet on rare
     tokens. Later lines meet earlier ones in the lists of their prefix tokens, in waves: the first wave gives each the two
     nearest of the first candidates of a list, whose sets are fetched and compared exactly. Lines for which none holds and that have not
-    seen the whole of a list go into the next wave, which makes only their lists and gives 64 times as many; the waves
-    end when no such line is left. So nothing is lost, and a group of copies or near copies never makes all its pairs.
+    seen the whole of a list stay open. While these are few, they are sent to the tasks and compared with every earlier line that
+    holds one of their rarest tokens; if they are many, the next wave makes only their lists and gives 64 times as many.
+    So nothing is lost, and a group of copies or near copies never makes all its pairs.
     """
     num, den = similarity
     spark = docs.sparkSession
@@ -453,8 +547,13 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
         open_lines = materialize(open_lines)
         if not open_lines.take(1):
             return settled.distinct()
+        opened = sets.join(open_lines, ["doc", "line"], "left_semi")
+        few = _few(opened, common, num, den)
+        if few is not None:
+            found = plain.mapInArrow(_compared(spark.sparkContext.broadcast(few), num, den), "doc long, line long")
+            return settled.unionByName(found).distinct()
         marks = _marked(open_lines)
-        listed = _marked(sets.join(open_lines, ["doc", "line"], "left_semi").mapInArrow(_prefixes(rarity, num, den), "doc long, line long"))
+        listed = _marked(opened.mapInArrow(_prefixes(rarity, num, den), "doc long, line long"))
         most *= MORE_CANDIDATES
 
 

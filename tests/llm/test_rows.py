@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spectrafold.llm import lines, packing, queries, quality, rules, secrets, sentencepieces, shards, simhash, topk, wordpieces
+from spectrafold.llm import blocks, lines, packing, queries, quality, rules, secrets, sentencepieces, shards, simhash, topk, wordpieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, gone int, ids int, part int"
 
@@ -149,6 +149,41 @@ def test_candidates_of_near_copies_grow_with_the_group(words):
     assert made[800] <= 800 * 2 * (words // 5 + 1)
 
 
+@pytest.mark.parametrize("open_tokens", [0, 1_000_000])
+def test_few_open_lines_need_no_lists_of_their_own(spark, monkeypatch, open_tokens):
+    """Lines that the first candidates leave open are found all the same, by further waves or, if few, by one comparison."""
+    waves, postings = [], lines._postings
+    monkeypatch.setattr(lines, "_postings", lambda *a: waves.append(1) or postings(*a))
+    monkeypatch.setattr(lines, "FIRST_CANDIDATES", 1)
+    monkeypatch.setattr(lines, "OPEN_TOKENS", open_tokens, raising=False)
+    rng = random.Random(8)
+    rows = [(1000 + d, " ".join(f"t{rng.randrange(4000)}" for _ in range(12))) for d in range(500)]
+    for g in range(12):
+        base = [f"g{g}x{i}" for i in range(20)]
+        for d in range(12):
+            own = list(base)
+            for i in rng.sample(range(20), rng.randrange(5)):
+                own[i] = f"t{rng.randrange(4000)}"
+            rows.append((20 * d + g, " ".join(own)))
+    want = {(d, n) for (d, _), gone in brute.dedup_lines(rows).items() for n in gone}
+    got = lines.matched_lines(awkward(spark, rows)).collect()
+    assert {(r["doc"], r["line"] >> 20) for r in got} == want and len(got) == len(want) > 50
+    assert len(waves) == 1 if open_tokens else len(waves) > 1
+
+
+def test_word_hashes_tell_words_apart():
+    texts = pa.array(["", "a B\x0bc", "", "x", "Y z ", "\n", "", " q" * 3, "é È\x1f\x85", "w" * 600_000 + " k", "abcdefgh", "abcdefghI", " ABCDEFGHI",
+                      "k" * 254, "k" * 255, "K" * 256 + "x", "a\0 a\0\0 a", *[f"word{i} of many" for i in range(90_000)]])
+    for some in (texts, texts.slice(2, 9), texts.slice(0, 1), texts.slice(0, 0)):
+        row, code, distinct = blocks.words(some, lower=True)
+        data, bounds = blocks.text_bytes(some)
+        start, value = blocks.word_hashes(data, bounds)
+        assert len(start) == len(row) and (start >= bounds[row]).all() and (start < bounds[row + 1]).all()
+        first = np.zeros(len(distinct), dtype=np.uint64)
+        first[code] = value
+        assert (first[code] == value).all() and len(np.unique(first)) == len(distinct)
+
+
 @pytest.mark.parametrize("slices", [1, 3])
 def test_repeated_rows_keep_their_first_lines(spark, slices):
     row = (7, "first line of a clean text\nsecond line of the same one\nfirst line of a clean text")
