@@ -33,21 +33,20 @@ def give_back() -> None:
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``, one row at least.
 
-    Null texts come out as empty ones; a list of numbers has eight bytes for each.
+    Null texts come out as empty ones, bytes as they are.
     """
     for batch in batches:
         at = batch.schema.get_field_index(column)
         whole = batch.column(at)
-        numbers = pa.types.is_list(whole.type)
-        size = pc.multiply(pc.list_value_length(whole), 8) if numbers else pc.binary_length(whole)
-        size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = pa.types.is_binary(whole.type)
+        size = pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.cumsum(size)
         start = 0
         while start < batch.num_rows:
             base = upto[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(upto, base + limit, side="right")))
             part = batch.slice(start, end - start)
-            yield part if numbers else part.set_column(at, column, pc.fill_null(pc.cast(part.column(at), pa.string()), ""))
+            yield part if raw else part.set_column(at, column, pc.fill_null(pc.cast(part.column(at), pa.string()), ""))
             start = end
         give_back()
 

@@ -63,19 +63,25 @@ class Lines:
         self.of_token = np.repeat(np.arange(len(full)), self.size)
 
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit numbers that a column of bytes holds, and where those of each row begin and end."""
+    data, bounds = text_bytes(column)
+    return data.view("<u8"), bounds // 8
+
+
 def _tokens(block: pa.RecordBatch, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document of each line, number and text of each line, line of each token, tokens). Lists of numbers are the tokens of one line.
+    """(document of each line, number and text of each line, line of each token, tokens). Bytes hold the tokens of one line.
 
     A line is known by its number, then by its text's hash, which tells rows of one id apart.
     """
     ids, texts, own = block.columns
     doc, own = ids.to_numpy(zero_copy_only=False).astype(np.int64), own.to_numpy(zero_copy_only=False)
-    if pa.types.is_list(texts.type):
+    if pa.types.is_binary(texts.type):
         if wanted is not None:
             at = np.flatnonzero(wanted(doc, own))
             doc, own, texts = doc[at], own[at], texts.take(pa.array(at))
-        size = texts.value_lengths().to_numpy(zero_copy_only=False)
-        return doc, own, np.repeat(np.arange(len(doc)), size), texts.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        token, bounds = _numbers(texts)
+        return doc, own, np.repeat(np.arange(len(doc)), np.diff(bounds)), token
     data, bounds = text_bytes(texts)
     breaks = np.flatnonzero(data == 0x0A)
     before = np.searchsorted(breaks, bounds)  # line breaks before each text
@@ -147,7 +153,7 @@ def rarities(docs: DataFrame) -> np.ndarray:
         total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for part in _lean(batches):
             held = part.column(0)
-            token = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if pa.types.is_list(held.type) else word_hashes(*text_bytes(held))[1]
+            token = _numbers(held)[0] if pa.types.is_binary(held.type) else word_hashes(*text_bytes(held))[1]
             total += np.bincount((token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=RARITY_BUCKETS)
         yield batch_of(schema, *zip(*[given(i, total[i * width:(i + 1) * width]) for i in range(RARITY_PARTS)]))
 
@@ -436,6 +442,18 @@ def _prefixes(rarity, num: int, den: int):
     return run
 
 
+def compared_pairs(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """For pairs (doc, line, to_doc, to_line, more): (doc, line, matched, more) of each line, and the token sets of the lines."""
+    num, den = similarity
+    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
+    sets = materialize(_wanted_lines(docs, wanted).dropDuplicates(["doc", "line"]))
+    target = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
+    both = pairs.join(sets, ["doc", "line"]).join(target, ["to_doc", "to_line"])
+    shared = F.size(F.array_intersect("tokens", "to_tokens"))
+    holds = shared * (num + den) >= num * (F.size("tokens") + F.size("to_tokens"))
+    return materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more"))), sets
+
+
 def _prefix_length(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """So many tokens of a set that every similar set holds one of them."""
     return size - -(-num * size // den) + 1
@@ -500,11 +518,12 @@ def _compared(few, num: int, den: int):
     return run
 
 
-def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), known: DataFrame | None = None) -> DataFrame:
     """(doc, line) of every line whose token set has at least this Jaccard similarity to that of an earlier line.
 
     Lines are ordered by doc_id and number; tokens are words, lower-cased in A-Z. ``line`` holds the number times
-    2 ** 20 plus a hash of the whole text.
+    2 ** 20 plus a hash of the whole text. Documents may also come as (doc_id, own, text) with ``text`` the bytes of 64-bit
+    numbers, the tokens of one line that is then called ``own``. Lines in ``known`` are given as matched without being compared again.
 
     Tokens are ordered by the corpus count of their hash bucket, rarest first, so the prefixes of lines meet on rare
     tokens. Later lines meet earlier ones in the lists of their prefix tokens, in waves: the first wave gives each the two
@@ -529,19 +548,16 @@ def matched_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> Data
         dealt = posted.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
         raw = materialize(dealt.mapInArrow(_candidates(most, num, den, settled is None, marks), CANDIDATES_DDL))
         found = raw.where("NOT sure")
+        if known is not None:
+            found = found.join(known, ["doc", "line"], "left_anti")
         if open_lines is not None:
             found = found.join(open_lines, ["doc", "line"], "left_semi")
         pairs = materialize(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("more").alias("more")))
-        wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
-        sets = materialize(_wanted_lines(docs, wanted).dropDuplicates(["doc", "line"]))
-        target = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
-        both = pairs.join(sets, ["doc", "line"]).join(target, ["to_doc", "to_line"])
-        shared = F.size(F.array_intersect("tokens", "to_tokens"))
-        holds = shared * (num + den) >= num * (F.size("tokens") + F.size("to_tokens"))
-        checked = materialize(both.groupBy("doc", "line").agg(F.max(holds).alias("matched"), F.max("more").alias("more")))
+        checked, sets = compared_pairs(docs, pairs, similarity)
         now = checked.where("matched").select("doc", "line")
         if settled is None:
             now = now.unionByName(raw.where("sure").select("doc", "line"))
+            now = now if known is None else now.unionByName(known)
         settled = now if settled is None else settled.unionByName(now)
         open_lines = checked.where("more AND NOT matched").select("doc", "line").join(settled, ["doc", "line"], "left_anti")
         open_lines = materialize(open_lines)

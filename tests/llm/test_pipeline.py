@@ -3,12 +3,13 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from test_rows import awkward, check_pieces, key
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from spectrafold.llm import queries
+from spectrafold.llm import queries, similar
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +83,40 @@ def test_near_duplicates_of_five_words(spark, sf):
     assert pairs(C.simhash_near_dedup(spark, awkward(spark, rows), sf)) == want
 
 
+def test_fingerprints_come_before_the_exact_join(spark, sf, monkeypatch):
+    """Near copies within two bits are settled by SimHash; the exact join gets them as known and finds the others."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows = [(d, " ".join(words(60))) for d in range(40)]
+    long = words(3000)
+    for d in range(40, 46):
+        rows.append((d, " ".join([*long[:-1], f"x{d}"])))  # one shingle of 2996 differs
+    base = words(60)
+    far = [*base[:-4], *words(4)]  # 52 of 60 shingles
+    rows += [(50, " ".join(base)), (51, " ".join(far)), (52, "Copy of A short text here"), (53, "copy of  a short text here")]
+    docs = awkward(spark, rows)
+    sets = similar.shingled(docs)
+    by_bits = {r["doc"] for r in similar.linked_by_fingerprint(sets, (4, 5)).collect()}
+    assert by_bits >= {41, 42, 43, 44, 45, 53} and by_bits <= {41, 42, 43, 44, 45, 51, 53}
+    given, join = [], similar.matched_lines
+    monkeypatch.setattr(similar, "matched_lines", lambda d, s, known: given.extend(r["doc"] for r in known.collect()) or join(d, s, known))
+    left = {d for d, _ in pairs(C.simhash_near_dedup(spark, docs, sf))}
+    assert set(given) == by_bits
+    assert left == {d for d, _ in rows} - {41, 42, 43, 44, 45, 51, 53}
+
+
+def test_fingerprints_are_majorities_of_shingle_bits():
+    texts = pa.array(["a b c d e f a b c d e f g h", "", "one two", " "])
+    value, first, words = similar._shingles(texts, 5)
+    ends = [*first[1:].tolist(), len(value)]
+    assert [e - f for f, e in zip(first.tolist(), ends)] == [10, 1, 1, 1] and words.tolist() == [14, 0, 2, 0]
+    want = []
+    for f, e, n in zip(first.tolist(), ends, words.tolist()):
+        own = [int(v) for v in value[f:e]]
+        want.append(sum((2 * sum(v >> b & 1 for v in own) > len(own)) << b for b in range(64)) if n else 0)
+    assert similar._fingerprints(value, first, words).view("uint64").tolist() == want
+
+
 def test_rows_of_one_id_are_kept_by_their_texts(spark, sf):
     one, other = "alpha beta gamma delta epsilon zeta", "an unrelated text that carries the same id by mistake"
     rows = [(4, one), (4, other), (4, one), (4, one.replace(" ", "  ")), (9, other.upper()), (3, "a third text of six words")]
@@ -90,6 +125,15 @@ def test_rows_of_one_id_are_kept_by_their_texts(spark, sf):
         assert pairs(C.simhash_near_dedup(spark, awkward(spark, rows, slices), sf)) == want
 
 
+def test_stages_take_texts_in_small_batches(spark, sf):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for given, want in (("10000", 1000), ("0", 1000), ("50", 50)):
+        spark.conf.set(rows, given)
+        C.secret_scans(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert int(spark.conf.get(rows)) == want
+    spark.conf.unset(rows)
+
+
 def test_secrets_are_gone_and_documents_stay(steps):
     before, after = dict(pairs(steps[3])), dict(pairs(steps[4]))
     assert before.keys() == after.keys()
