@@ -272,26 +272,31 @@ def _w_seed_small(pixels, spectra, k, mode, normalize, use_subtracted, factor, w
 def fixed_w_mean(maps: DataFrame, order: str = "map_id", eps: float = A.EPS) -> DataFrame:
     """Running mean of several fixed maps of a component, scaled to unity after every map.
 
-    The loop is over the number of maps of one component, not over pixels.
+    The maps are written once and laid side by side, one row per pixel, in one shuffle; of a pixel that a map has twice the
+    larger value counts. The loop is over the number of maps of one component and only adds up maxima.
     """
-    from .condition import unity_scale
-
-    key = ["image_id", "component"]
-    unit = unity_scale(maps, "w", [*key, order], eps)
-    ids = maps.select(*key, order).distinct()
     from pyspark.sql import Window
 
-    numbered = ids.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
-    unit = materialize(join_dim(unit, numbered, [*key, order]).select(*key, "y", "x", "_n", "w"))
-    current = unit.filter("_n = 1").drop("_n")
-    for n in range(2, (numbered.agg(F.max("_n")).first()[0] or 1) + 1):
-        nxt = unit.filter(F.col("_n") == n).select(*key, "y", "x", F.col("w").alias("_new"))
-        joined = current.join(nxt, [*key, "y", "x"], "full")  # a pixel that only one side has keeps its value
-        mixed = joined.withColumn("w", F.coalesce((F.col("w") * (n - 1) + F.col("_new")) / n, "w", "_new")).drop("_new")
-        touched = nxt.select(*key).distinct()
-        scaled = unity_scale(mixed.join(touched, key, "left_semi"), "w", key, eps)
-        current = materialize(scaled.unionByName(mixed.join(touched, key, "left_anti").select(scaled.columns)))
-    return current
+    key = ["image_id", "component"]
+    lift = lambda w: F.greatest(w, F.lit(eps))
+    to_unity = lambda w, peak: F.when(peak <= eps, F.lit(eps)).otherwise(lift(w) / peak)
+    narrow = materialize(maps.select(*key, order, "y", "x", lift(A.finite_or_zero(F.col("w"))).alias("w")))
+    of_key = Window.partitionBy(*key)
+    numbered = narrow.groupBy(*key, order).agg(F.max("w").alias("_peak")).select(
+        "*", F.row_number().over(of_key.orderBy(order)).alias("_n"), F.count(F.lit(1)).over(of_key).alias("_maps"))
+    numbered = materialize(numbered)
+    most = numbered.agg(F.max("_n")).first()[0] or 1
+    unit = join_dim(narrow, numbered, [*key, order]).withColumn("w", to_unity(F.col("w"), F.col("_peak")))
+    beside = [F.max(F.when(F.col("_n") == n, F.col("w"))).alias(f"_w{n}") for n in range(1, most + 1)]
+    current = materialize(unit.groupBy(*key, "y", "x").agg(F.max("_maps").alias("_maps"), *beside).withColumnRenamed("_w1", "w"))
+    for n in range(2, most + 1):
+        # a pixel that only one side has keeps its value
+        new = F.col(f"_w{n}")
+        mixed = current.withColumn("w", F.coalesce((F.col("w") * (n - 1) + new) / n, "w", new)).drop(f"_w{n}")
+        peaks = mixed.filter(F.col("_maps") >= n).groupBy(*key).agg(F.max(lift(F.col("w"))).alias("_peak"))
+        scaled = F.when(F.col("_peak").isNull() | F.col("w").isNull(), F.col("w")).otherwise(to_unity(F.col("w"), F.col("_peak")))
+        current = materialize(join_dim(mixed, peaks, key, "left").withColumn("w", scaled).drop("_peak"))
+    return current.select(*key, "y", "x", "w")
 
 
 # --- missing spectra and maps --------------------------------------------------------------------

@@ -88,6 +88,25 @@ def test_fixed_maps_keep_pixels_of_later_maps(spark):
     assert got == {0: 1.0, 1: 0.75, 2: 0.5}
 
 
+def test_fixed_maps_are_made_once(spark):
+    """However many maps there are, they are computed once, and components with fewer maps are not scaled again."""
+    from spectrafold.operators.seeds import fixed_w_mean
+
+    rows = [("a", 0, 5, 0, 0, 4.0), ("a", 0, 5, 0, 1, 2.0), ("a", 0, 7, 0, 1, 1.0), ("a", 0, 7, 0, 2, 0.5), ("a", 0, 9, 0, 0, 8.0), ("a", 1, 1, 0, 0, 3.0),
+            ("a", 1, 1, 0, 1, None), ("b", 0, 2, 0, 3, 0.0), ("b", 0, 3, 0, 4, 2.0)]
+    maps = spark.createDataFrame(rows, "image_id STRING, component INT, map_id INT, y INT, x INT, w DOUBLE")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = {(r["image_id"], r["component"], r["x"]): round(r["w"], 9) for r in fixed_w_mean(maps.mapInArrow(count, maps.schema)).collect()}
+    assert got == {("a", 0, 0): 1.0, ("a", 0, 1): 0.75, ("a", 0, 2): 0.5, ("a", 1, 0): 1.0, ("a", 1, 1): 3e-9, ("b", 0, 3): 1e-8, ("b", 0, 4): 1.0}
+    assert seen.value == len(rows)
+
+
 def test_one_model_row_without_image_key(spark):
     from spectrafold.operators import illumination as L
 
