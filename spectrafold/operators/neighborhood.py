@@ -23,6 +23,20 @@ def field_shape(field: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return field.groupBy(*keys).agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
 
 
+def place_tiles(field: DataFrame, shape: DataFrame, halo: int, tile: int, keys: list[str], value: str = "value") -> DataFrame:
+    """Every pixel once for each tile whose halo reaches it: (keys, y, x, value, ny, nx, _ty, _tx)."""
+    reach = lambda p, n: F.sequence(
+        F.greatest(F.floor((F.col(p) - halo) / tile), F.lit(0)).cast("int"),
+        F.least(F.floor((F.col(p) + halo) / tile), F.floor((F.col(n) - 1) / tile)).cast("int"),
+    )
+    on = [k for k in keys if k in shape.columns]
+    sized = join_dim(field.select(*keys, "y", "x", F.col(value).alias("value")), shape.select(*on, "ny", "nx"), on)
+    return (
+        sized.select("*", F.explode(reach("y", "ny")).alias("_ty"))
+        .select("*", F.explode(reach("x", "nx")).alias("_tx"))
+    )
+
+
 def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, value: str = "value", tile: int = 128,
               keys: list[str] | None = None, fill: float = 0.0, pad: str = "symmetric", there: bool = False) -> DataFrame:
     """Apply ``kernel(padded) -> core`` to every tile of a long field (keys, y, x, value).
@@ -34,16 +48,7 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
     """
     keys = keys or FIELD
     tile = max(int(tile), 2 * int(halo), 16)
-    reach = lambda p, n: F.sequence(
-        F.greatest(F.floor((F.col(p) - halo) / tile), F.lit(0)).cast("int"),
-        F.least(F.floor((F.col(p) + halo) / tile), F.floor((F.col(n) - 1) / tile)).cast("int"),
-    )
-    on = [k for k in keys if k in shape.columns]
-    sized = join_dim(field.select(*keys, "y", "x", F.col(value).alias("value")), shape.select(*on, "ny", "nx"), on)
-    placed = (
-        sized.select("*", F.explode(reach("y", "ny")).alias("_ty"))
-        .select("*", F.explode(reach("x", "nx")).alias("_tx"))
-    )
+    placed = place_tiles(field, shape, halo, tile, keys, value)
     spans = "ny", "nx"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

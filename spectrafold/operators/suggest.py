@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
-from ..scale import exact_percentile, join_dim, join_stats, join_wide, materialize, theta_join, top_n
+from ..scale import dealt, exact_percentile, join_dim, join_stats, join_wide, materialize, theta_join, top_n
 from ..tables import FIELD, PIXEL
 from . import stats as S
 from .condition import sub_band
-from .neighborhood import field_shape, gaussian_blur_2d, local_maxima
+from .neighborhood import field_shape, gaussian_blur_2d, place_tiles
 from .rois import bbox_iou, pixels_in_roi
 
 
@@ -180,16 +180,28 @@ def connected_regions(mask: DataFrame, keys: list[str] | None = None, tile: int
         return pdf.assign(_r=first[number])[[*keys, "y", "x", "_r"]]
 
     tiles = mask.select(*keys, "y", "x").withColumn("_ty", F.expr(f"y div {tile}")).withColumn("_tx", F.expr(f"x div {tile}"))
-    labelled = materialize(tiles.groupBy(*keys, "_ty", "_tx").applyInPandas(local, f"{cols}, y INT, x INT, _r BIGINT"))
+    labelled = materialize(dealt(tiles, [*keys, "_ty", "_tx"]).groupBy(*keys, "_ty", "_tx").applyInPandas(local, f"{cols}, y INT, x INT, _r BIGINT"))
+    names = _names(_touching(labelled, keys, tile), keys)
+    if names is None:  # no region crosses a tile
+        return labelled.select(*keys, "y", "x", F.col("_r").alias("region"))
+    return join_wide(labelled, names, [*keys, "_r"], "left").select(*keys, "y", "x", F.coalesce("name", "_r").alias("region"))
+
+
+def _touching(labelled: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Pairs (keys, a, b) of labels ``_r`` that meet across a border of tiles."""
     here = labelled.select(*keys, "y", "x", F.col("_r").alias("a"))
     there = lambda dy, dx: labelled.select(*keys, (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("_r").alias("b"))
     border = lambda df, p: df.filter(F.col(p) % tile == tile - 1)
     down = join_wide(border(here, "y"), border(there(1, 0), "y"), [*keys, "y", "x"])
     right = join_wide(border(here, "x"), border(there(0, 1), "x"), [*keys, "y", "x"])
-    edges = down.unionByName(right).select(*keys, "a", "b").filter("a <> b").distinct()
+    return down.unionByName(right).select(*keys, "a", "b").filter("a <> b").distinct()
+
+
+def _names(edges: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, _r, name): for each label of a pair the smallest label that pairs lead to; None without pairs."""
     both = materialize(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    if not both.take(1):  # no region crosses a tile
-        return labelled.select(*keys, "y", "x", F.col("_r").alias("region"))
+    if not both.take(1):
+        return None
     names = materialize(both.select(*keys, F.col("a").alias("node")).distinct().withColumn("name", F.col("node")))
     while True:
         near = both.join(names.select(*keys, F.col("node").alias("b"), "name"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("name").alias("_n"))
@@ -200,9 +212,7 @@ def connected_regions(mask: DataFrame, keys: list[str] | None = None, tile: int
         changed = new.filter("new <> name").take(1)
         names = new.select(*keys, "node", F.col("new").alias("name"))
         if not changed:
-            break
-    final = names.select(*keys, F.col("node").alias("_r"), "name")
-    return join_wide(labelled, final, [*keys, "_r"], "left").select(*keys, "y", "x", F.coalesce("name", "_r").alias("region"))
+            return names.select(*keys, F.col("node").alias("_r"), "name")
 
 
 # --- candidates ----------------------------------------------------------------------------------
@@ -255,20 +265,173 @@ def _thresholds(coarse: DataFrame, settings: Settings, keys: list[str]) -> DataF
     return floors.join(top, keys).select(*keys, F.posexplode(each).alias("level", "threshold"))
 
 
-def _ranked_peaks(cells: DataFrame, settings: Settings, keys: list[str]) -> DataFrame:
+def component_tree(grid: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """How the cells of a grid join as a threshold falls: the parent of every cell, and what its subtree holds.
+
+    Cells are taken by falling value, then in raster order, and each becomes the parent of the parts it touches. So the
+    4-connected cells at or above a threshold around a cell are the subtree of its last ancestor that reaches the threshold.
+    Cells that are not finite are roots of their own. A subtree has a size, its first cell in raster order, its best
+    cell (largest value, first of equals) and its extent.
+    """
+    ny, nx = grid.shape
+    wide = nx + 1  # one empty column and one empty row keep neighbours from wrapping around
+    flat = np.full((ny + 1, wide), -np.inf)
+    flat[:ny, :nx] = np.where(np.isfinite(grid), grid, -np.inf)
+    flat = flat.ravel()
+    cells = np.arange(len(flat))
+    order = np.argsort(-flat, kind="stable")
+    parent, part = cells.tolist(), [-1] * len(flat)
+    size, first, best = [1] * len(flat), cells.tolist(), [0] * len(flat)
+    top, left = (cells // wide).tolist(), (cells % wide).tolist()
+    low, right = top.copy(), left.copy()
+    for i, p in enumerate(order[:int(np.isfinite(flat).sum())].tolist()):
+        part[p], best[p] = p, i
+        for q in (p - wide, p - 1, p + 1, p + wide):
+            r = part[q] if q >= 0 else -1
+            if r < 0:
+                continue
+            while part[r] != r:
+                part[r] = part[part[r]]
+                r = part[r]
+            part[q] = r
+            if r == p:
+                continue
+            parent[r] = part[r] = p
+            size[p] += size[r]
+            first[p], best[p] = min(first[p], first[r]), min(best[p], best[r])
+            top[p], low[p] = min(top[p], top[r]), max(low[p], low[r])
+            left[p], right[p] = min(left[p], left[r]), max(right[p], right[r])
+    crop = lambda v: np.asarray(v).reshape(ny + 1, wide)[:ny, :nx].ravel()
+    at = lambda v: crop(v) // wide * nx + crop(v) % wide
+    sides = {"y0": top, "y1": low, "x0": left, "x1": right, "size": size}
+    return at(parent), {"first": at(first), "best": at(order[best]), **{k: crop(v) for k, v in sides.items()}}
+
+
+def _climb(above: list[np.ndarray], value: np.ndarray, cells: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The last ancestor of each cell with a value at its cut or above; ``above[i]`` are the ancestors 2^i steps up."""
+    for step in reversed(above):
+        up = step[cells]
+        cells = np.where(value[up] >= cut, up, cells)
+    return cells
+
+
+def _tile_peaks(settings: Settings, keys: list[str], types: dict[str, str], tile: int, reach: int):
+    """The cells of a tile that are tried at each level, with the boxes around them, and what the tile cannot settle.
+
+    A row is a cell with its region, the region's size and number of peaks, its cut and its box. A region that
+    reaches into the next tile is not ``whole``: it has a row for its best cell, too (``kind`` 1), and rows of the cells at
+    the border (``kind`` 2). A box that reaches the border is ``loose``. Of equal boxes the first is enough: a later one is
+    turned down with it, or because of it.
+    """
+    fields = {**types, "kind": "INT", "level": "INT", "region": "BIGINT", "whole": "BOOLEAN", "n": "BIGINT", "peaks": "BIGINT", "y": "INT", "x": "INT",
+              "value": "DOUBLE", "cut": "DOUBLE", "box_y": "INT", "box_x": "INT", "box_h": "INT", "box_w": "INT", "loose": "BOOLEAN"}
+    names = list(fields)
+
+    def run(pdf: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({n: [] for n in names})
+        if pdf.empty or cuts.empty:
+            return empty
+        ty, tx, ny, nx = (int(pdf[c].iloc[0]) for c in ("_ty", "_tx", "ny", "nx"))
+        ya, xa = ty * tile, tx * tile
+        h, w = min(tile, ny - ya), min(tile, nx - xa)
+        padded = np.full((h + 2 * reach, w + 2 * reach), -np.inf)
+        padded[pdf["y"].to_numpy() - ya + reach, pdf["x"].to_numpy() - xa + reach] = pdf["value"].to_numpy(dtype=float)
+        rows = np.max([padded[:, i: i + w] for i in range(2 * reach + 1)], axis=0)
+        top = np.max([rows[i: i + h] for i in range(2 * reach + 1)], axis=0)
+        core = padded[reach: reach + h, reach: reach + w]
+        value = core.ravel()
+        peak = ((core == top) & (core > 0)).ravel()
+        parent, tree = component_tree(core)
+        above = [parent]
+        for _ in range(max(1, h * w).bit_length()):
+            above.append(above[-1][above[-1]])
+        border = np.zeros((h, w), dtype=bool)  # cells beside another tile
+        border[0, :] |= ya > 0
+        border[-1, :] |= ya + h < ny
+        border[:, 0] |= xa > 0
+        border[:, -1] |= xa + w < nx
+        border = np.flatnonzero(border.ravel())
+        code = lambda c: (c // w + ya).astype(np.int64) * _ROW + c % w + xa
+
+        def crosses(node):
+            return ((tree["y0"][node] == 0) & (ya > 0)) | ((tree["y1"][node] == h - 1) & (ya + h < ny)) | (
+                (tree["x0"][node] == 0) & (xa > 0)) | ((tree["x1"][node] == w - 1) & (xa + w < nx))
+
+        def table(kind, level, cut, cells, node, count):
+            cut = np.maximum(cut, value[cells] * settings.peak_region_ratio)
+            box = _climb(above, value, cells, cut)
+            return pd.DataFrame({
+                "kind": kind, "level": level, "region": code(tree["first"][node]), "whole": ~crosses(node), "n": tree["size"][node], "peaks": count[node],
+                "y": cells // w + ya, "x": cells % w + xa, "value": value[cells], "cut": cut, "box_y": tree["y0"][box] + ya, "box_x": tree["x0"][box] + xa,
+                "box_h": tree["y1"][box] - tree["y0"][box] + 1, "box_w": tree["x1"][box] - tree["x0"][box] + 1, "loose": crosses(box)})
+
+        out = []
+        for level, cut in zip(cuts["level"].tolist(), cuts["threshold"].tolist()):
+            inside = value >= cut
+            nodes = np.flatnonzero(inside & ((parent == np.arange(len(value))) | (value[parent] < cut)))
+            tops = np.flatnonzero(inside & peak)
+            home = _climb(above, value, tops, np.full(len(tops), cut))
+            count = np.bincount(home, minlength=len(value))
+            peaks = table(0, level, cut, tops, home, count)
+            best = table(1, level, cut, tree["best"][nodes], nodes, count)
+            best = best[~best["whole"] | (best["peaks"] == 0)]
+            edge = border[inside[border]]
+            seam = table(2, level, cut, edge, _climb(above, value, edge, np.full(len(edge), cut)), count)
+            out += [t for t in (peaks, best, seam) if len(t)]
+        if not out:
+            return empty
+        found = pd.concat(out, ignore_index=True)
+        found = found[~found["whole"] | (found["n"] >= max(1, settings.min_area))].assign(_low=-found["value"])
+        found = found.sort_values(["level", "region", "_low", "y", "x"], kind="stable")
+        again = found[found["whole"] & ~found["loose"]].duplicated(["box_y", "box_x", "box_h", "box_w"])
+        found = found.drop(index=again.index[again])
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[names] if len(found) else empty
+
+    return run, ", ".join(f"`{n}` {t}" for n, t in fields.items())
+
+
+def _ranked_peaks(coarse: DataFrame, thresholds: DataFrame, settings: Settings, keys: list[str], tile: int) -> DataFrame:
     """The peaks of every region that is large enough, or its largest cell if none is a peak, with their place in
-    the order of trial: by level, region, falling value and position."""
+    the order of trial: by level, region, falling value and position. ``box`` is unknown (null) where it leaves the tile.
+
+    A tile is settled by its component tree; only regions over tile borders are put together from their parts.
+    """
+    reach = max(3, int(settings.peak_window) | 1) // 2
+    tile = max(tile, 2 * reach)
+    shape, spot = materialize(field_shape(coarse, keys)), [*keys, "_ty", "_tx"]
+    placed = place_tiles(coarse, shape, reach, tile, keys)
+    upto = lambda n: F.sequence(F.lit(0), F.expr(f"CAST(({n} - 1) div {tile} AS INT)"))
+    tiles = shape.select(*keys, "nx", F.explode(upto("ny")).alias("_ty")).select(*spot[:-1], F.explode(upto("nx")).alias("_tx"))
+    levels = join_wide(tiles, thresholds, keys)
+    types = {k: coarse.schema[k].dataType.simpleString() for k in keys}
+    run, fields = _tile_peaks(settings, keys, types, tile, reach)
+    found = materialize(dealt(placed, spot).groupBy(*spot).cogroup(dealt(levels, spot).groupBy(*spot)).applyInPandas(run, fields))
     region = [*keys, "level", "region"]
-    sizes = cells.groupBy(*region).agg(
-        F.count(F.lit(1)).alias("_n"), F.count("peak").alias("_peaks"),
-        F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("_best"))
-    sizes = materialize(sizes.filter(F.col("_n") >= max(1, settings.min_area)))
-    best = (F.col("value") == F.col("_best.value")) & (F.col("y") == -F.col("_best.y")) & (F.col("x") == -F.col("_best.x"))
-    tried = join_wide(cells, sizes, region).filter((F.col("value") > 0) & F.when(F.col("_peaks") > 0, F.col("peak").isNotNull()).otherwise(best))
-    return materialize(tried.select(*region, "y", "x", "value", F.greatest("threshold", F.col("value") * settings.peak_region_ratio).alias("cut"),
+    tried = found.filter("whole AND kind < 2")
+    split = found.filter("NOT whole")
+    if split.take(1):
+        on = [*keys, "level"]
+        names = _names(_touching(split.filter("kind = 2").select(*on, "y", "x", F.col("region").alias("_r")), on, tile), on)
+        if names is not None:
+            split = join_wide(split.withColumnRenamed("region", "_r"), names, [*on, "_r"], "left").withColumn("region", F.coalesce("name", "_r")).drop("_r", "name")
+        best = F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+        sizes = split.filter("kind = 1").groupBy(*region).agg(F.sum("n").alias("_n"), F.sum("peaks").alias("_peaks"), F.max(best).alias("_best"))
+        parts = join_wide(split.filter("kind < 2"), sizes.filter(F.col("_n") >= max(1, settings.min_area)), region)
+        lone = (F.col("kind") == 1) & (F.col("_peaks") == 0) & (best == F.col("_best"))
+        tried = tried.unionByName(parts.filter((F.col("kind") == 0) | lone).select(*found.columns))
+    box = F.struct(*[F.col(f"box_{c}").alias(c) for c in "yxhw"])
+    return materialize(tried.select(*region, "y", "x", "value", "cut", F.when(~F.col("loose"), box).alias("box"),
                                     F.struct("level", "region", (-F.col("value")).alias("low"), "y", "x").alias("place")))
 
 
+def _level_cells(coarse: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells at or above the threshold of each level, with their region: (keys, level, region, y, x, value)."""
+    above = theta_join(coarse, thresholds, keys, F.col("value") >= F.col("threshold"))
+    above = materialize(above.select(*keys, "level", "y", "x", "value"))
+    on = [*keys, "level"]
+    return materialize(join_wide(connected_regions(above.select(*on, "y", "x"), on), above, [*on, "y", "x"]))
+
+
 def _boxes_around(cells: DataFrame, peaks: DataFrame, keys: list[str]) -> DataFrame:
     """For each peak the box (y, x, h, w) of the cells connected to it in its region at its cut or above."""
     region = [*keys, "level", "region"]
@@ -305,37 +468,40 @@ def _accept(settings: Settings, keys: list[str], batch: int):
     return run
 
 
-def extract_candidates(response: DataFrame, shape: DataFrame, settings: Settings, keys: list[str] | None = None) -> DataFrame:
+def extract_candidates(response: DataFrame, shape: DataFrame, settings: Settings, keys: list[str] | None = None, tile: int = 128) -> DataFrame:
     """Candidate boxes of every response map: (keys, candidate, y, x, h, w, score).
 
-    Regions of all levels are labelled at once, with the level as one more key. A box depends on those accepted
-    before it, so peaks are tried in rounds: each round takes the next few peaks of every image that still
-    wants boxes, labels their surroundings together, and accepts boxes in their order. What one task holds are
-    the boxes of a round and those already accepted, numbers that the settings fix.
+    The peaks of all levels and the boxes around them come from the component trees of tiles. A box depends on those
+    accepted before it, so peaks are tried in rounds: each round takes the next few peaks of every image that still
+    wants boxes, labels the surroundings of those whose box leaves its tile together, and accepts boxes in their
+    order. What one task holds are the boxes of a round and those already accepted, numbers that the settings fix.
     """
     keys = keys or FIELD
     on = [k for k in keys if k in shape.columns]
     f, batch = max(1, settings.bin_factor), 4 * settings.wanted
     coarse = _binned(response, shape, settings, keys)
-    above = theta_join(coarse, _thresholds(coarse, settings, keys), keys, F.col("value") >= F.col("threshold"))
-    above = materialize(above.select(*keys, "level", "y", "x", "value", "threshold"))
-    tops = local_maxima(coarse, field_shape(coarse, keys), settings.peak_window, keys=keys).select(*keys, "y", "x", F.lit(True).alias("peak"))
-    named = connected_regions(above.select(*keys, "level", "y", "x"), [*keys, "level"])
-    cells = materialize(join_wide(join_wide(named, above, [*keys, "level", "y", "x"]), tops, [*keys, "y", "x"], "left"))
-    peaks = _ranked_peaks(cells, settings, keys)
+    thresholds = materialize(_thresholds(coarse, settings, keys))
+    peaks = _ranked_peaks(coarse, thresholds, settings, keys, tile)
+    cells = None
     rest, turn, state = peaks, 0, None
     while True:
         now = materialize(top_n(rest, keys, [F.col("place")], batch, batch))
         if not now.take(1):
             break
-        boxes = _boxes_around(cells, now, keys).join(shape.select(*on, "ny", "nx"), on)
+        boxes = now.filter("box IS NOT NULL").select(*keys, "rank", "box.*")
+        loose = now.filter("box IS NULL")
+        if loose.take(1):
+            if cells is None:
+                cells = _level_cells(coarse, thresholds, keys)
+            boxes = boxes.unionByName(_boxes_around(cells, loose, keys))
+        boxes = boxes.join(shape.select(*on, "ny", "nx"), on)
         full = scale_boxes(boxes, f, settings.padding).select(*keys, "rank", *[F.col(c).alias(f"full_{c}") for c in "yxhw"])
         new = boxes.select(*keys, "rank", "y", "x", "h", "w").join(full, [*keys, "rank"]).join(
             now.select(*keys, "rank", F.col("value").alias("score"), "place"), [*keys, "rank"])
         new = new.select(*keys, F.lit(turn).alias("turn"), "rank", "y", "x", "h", "w", *[f"full_{c}" for c in "yxhw"], "score",
                          F.lit(False).alias("taken"), F.lit(True).alias("open"))
         both = new if state is None else state.unionByName(new)
-        state = materialize(both.groupBy(*keys).applyInPandas(_accept(settings, keys, batch), new.schema))
+        state = materialize(dealt(both, keys).groupBy(*keys).applyInPandas(_accept(settings, keys, batch), new.schema))
         wanting = state.filter("open").select(*keys).distinct()
         if not wanting.take(1):
             break
@@ -521,7 +687,7 @@ def group_candidates(boxes: DataFrame, spectra: DataFrame, settings: Settings, s
             rows.append((r["image_id"], r["slice_id"], free[g[0]], g[1], int(r["y"]), int(r["x"]), int(r["h"]), int(r["w"]), float(r["score"])))
         return pd.DataFrame(rows, columns=["image_id", "slice_id", "component", "member", "y", "x", "h", "w", "score"])
 
-    return rows.groupBy(*FIELD).applyInPandas(
+    return dealt(rows, FIELD).groupBy(*FIELD).applyInPandas(
         run, "image_id STRING, slice_id INT, component INT, member INT, y INT, x INT, h INT, w INT, score DOUBLE")
 
 
@@ -538,6 +704,7 @@ def suggest_rois(pixels: DataFrame, settings: Settings | None = None, rois: Data
     Pixels of existing regions are left out; regions suggested earlier should be removed from ``rois``.
     """
     st = settings or Settings()
+    pixels = materialize(pixels.select(*PIXEL, "spectrum"))
     shape = materialize(field_shape(pixels))
     occupied = pixels_in_roi(pixels.select(*PIXEL), rois) if rois is not None else None
     if st.projection_mode == "multiband":

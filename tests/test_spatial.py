@@ -105,6 +105,42 @@ def test_candidates_by_the_rules_in_several_rounds(spark):
     assert sorted((r["y"], r["x"], r["h"], r["w"], r["score"]) for r in found) == sorted(boxes_by_hand(a, st))
 
 
+def test_candidates_over_tiles_by_the_rules(spark):
+    a = np.round(np.random.default_rng(8).random((24, 30)), 2)
+    a[:, 5:7] += 1  # one region lies over all tiles from top to bottom
+    f = field(spark, a)
+    st = S.Settings(max_groups=1, max_rois_per_group=2, pool_factor=8, padding=0, smoothing_sigma=0.0, min_area=4)
+    found = S.extract_candidates(f, N.field_shape(f), st, tile=8).orderBy("candidate").collect()
+    assert sorted((r["y"], r["x"], r["h"], r["w"], r["score"]) for r in found) == sorted(boxes_by_hand(a, st))
+
+
+def test_peaks_inside_a_tile_label_no_surroundings(spark, monkeypatch):
+    labelled = []
+    monkeypatch.setattr(S, "connected_regions", lambda mask, *a, **k: labelled.append(mask.count()))
+    a = np.round(np.random.default_rng(5).random((24, 30)), 3)
+    f = field(spark, a)
+    st = S.Settings(max_groups=1, max_rois_per_group=2, pool_factor=5, padding=0, smoothing_sigma=0.0, min_area=2)
+    found = S.extract_candidates(f, N.field_shape(f), st).collect()
+    assert labelled == [] and sorted((r["y"], r["x"], r["h"], r["w"], r["score"]) for r in found) == sorted(boxes_by_hand(a, st))
+
+
+def test_component_tree_by_labels():
+    a = np.round(np.random.default_rng(9).random((9, 13)), 1)
+    a[4, 3:6] = -np.inf
+    parent, tree = S.component_tree(a)
+    above = [parent]
+    for _ in range(7):
+        above.append(above[-1][above[-1]])
+    for p in np.flatnonzero(np.isfinite(a.ravel())):
+        for cut in (a.ravel()[p], a.ravel()[p] * 0.5):
+            node = S._climb(above, a.ravel(), np.array([p]), np.array([cut]))[0]
+            part = S._label(a >= cut)
+            cells = np.flatnonzero(part == part[p // 13, p % 13])
+            ys, xs = cells // 13, cells % 13
+            want = [ys.min(), ys.max(), xs.min(), xs.max(), len(cells), cells[0], min(cells, key=lambda c: (-a.ravel()[c], c))]
+            assert [tree[k][node] for k in ("y0", "y1", "x0", "x1", "size", "first", "best")] == want
+
+
 def test_nms_keeps_the_first_of_overlapping_boxes(spark):
     rng = np.random.default_rng(6)
     rows = [("a", i % 2, i, int(y), int(x), int(h), int(w), float(s)) for i, (y, x, h, w, s) in enumerate(
