@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
-from ..scale import dealt, exact_percentile, join_dim, join_stats, join_wide, materialize, theta_join, top_n
+from ..scale import clustered, dealt, exact_percentile, join_dim, join_stats, join_wide, materialize, theta_join, top_n
 from ..tables import FIELD, PIXEL
 from . import stats as S
 from .condition import sub_band
@@ -336,8 +336,8 @@ def _tile_peaks(settings: Settings, keys: list[str], types: dict[str, str], tile
         h, w = min(tile, ny - ya), min(tile, nx - xa)
         padded = np.full((h + 2 * reach, w + 2 * reach), -np.inf)
         padded[pdf["y"].to_numpy() - ya + reach, pdf["x"].to_numpy() - xa + reach] = pdf["value"].to_numpy(dtype=float)
-        rows = np.max([padded[:, i: i + w] for i in range(2 * reach + 1)], axis=0)
-        top = np.max([rows[i: i + h] for i in range(2 * reach + 1)], axis=0)
+        along = np.max([padded[:, i: i + w] for i in range(2 * reach + 1)], axis=0)
+        top = np.max([along[i: i + h] for i in range(2 * reach + 1)], axis=0)
         core = padded[reach: reach + h, reach: reach + w]
         value = core.ravel()
         peak = ((core == top) & (core > 0)).ravel()
@@ -357,32 +357,29 @@ def _tile_peaks(settings: Settings, keys: list[str], types: dict[str, str], tile
             return ((tree["y0"][node] == 0) & (ya > 0)) | ((tree["y1"][node] == h - 1) & (ya + h < ny)) | (
                 (tree["x0"][node] == 0) & (xa > 0)) | ((tree["x1"][node] == w - 1) & (xa + w < nx))
 
-        def table(kind, level, cut, cells, node, count):
-            cut = np.maximum(cut, value[cells] * settings.peak_region_ratio)
-            box = _climb(above, value, cells, cut)
-            return pd.DataFrame({
-                "kind": kind, "level": level, "region": code(tree["first"][node]), "whole": ~crosses(node), "n": tree["size"][node], "peaks": count[node],
-                "y": cells // w + ya, "x": cells % w + xa, "value": value[cells], "cut": cut, "box_y": tree["y0"][box] + ya, "box_x": tree["x0"][box] + xa,
-                "box_h": tree["y1"][box] - tree["y0"][box] + 1, "box_w": tree["x1"][box] - tree["x0"][box] + 1, "loose": crosses(box)})
-
-        out = []
+        rows = []
         for level, cut in zip(cuts["level"].tolist(), cuts["threshold"].tolist()):
             inside = value >= cut
+            home = lambda cells: _climb(above, value, cells, np.full(len(cells), cut))
             nodes = np.flatnonzero(inside & ((parent == np.arange(len(value))) | (value[parent] < cut)))
-            tops = np.flatnonzero(inside & peak)
-            home = _climb(above, value, tops, np.full(len(tops), cut))
-            count = np.bincount(home, minlength=len(value))
-            peaks = table(0, level, cut, tops, home, count)
-            best = table(1, level, cut, tree["best"][nodes], nodes, count)
-            best = best[~best["whole"] | (best["peaks"] == 0)]
-            edge = border[inside[border]]
-            seam = table(2, level, cut, edge, _climb(above, value, edge, np.full(len(edge), cut)), count)
-            out += [t for t in (peaks, best, seam) if len(t)]
-        if not out:
-            return empty
-        found = pd.concat(out, ignore_index=True)
-        found = found[~found["whole"] | (found["n"] >= max(1, settings.min_area))].assign(_low=-found["value"])
-        found = found.sort_values(["level", "region", "_low", "y", "x"], kind="stable")
+            tops, edge = np.flatnonzero(inside & peak), border[inside[border]]
+            of = home(tops)
+            count = np.bincount(of, minlength=len(value))
+            nodes = nodes[crosses(nodes) | (count[nodes] == 0)]
+            for kind, cells, node in ((0, tops, of), (1, tree["best"][nodes], nodes), (2, edge, home(edge))):
+                rows.append((cells, node, count[node], *(np.full(len(cells), v) for v in (kind, level, cut))))
+        cells, node, peaks, kind, level, cut = (np.concatenate(c) for c in zip(*rows))
+        whole = ~crosses(node)
+        use = np.flatnonzero(~whole | (tree["size"][node] >= max(1, settings.min_area)))
+        region = code(tree["first"][node])
+        use = use[np.lexsort((cells[use], -value[cells[use]], region[use], level[use]))]
+        cells, node, peaks, kind, level, cut, whole, region = (c[use] for c in (cells, node, peaks, kind, level, cut, whole, region))
+        cut = np.maximum(cut, value[cells] * settings.peak_region_ratio)
+        box = _climb(above, value, cells, cut)
+        found = pd.DataFrame({
+            "kind": kind, "level": level, "region": region, "whole": whole, "n": tree["size"][node], "peaks": peaks,
+            "y": cells // w + ya, "x": cells % w + xa, "value": value[cells], "cut": cut, "box_y": tree["y0"][box] + ya, "box_x": tree["x0"][box] + xa,
+            "box_h": tree["y1"][box] - tree["y0"][box] + 1, "box_w": tree["x1"][box] - tree["x0"][box] + 1, "loose": crosses(box)})
         again = found[found["whole"] & ~found["loose"]].duplicated(["box_y", "box_x", "box_h", "box_w"])
         found = found.drop(index=again.index[again])
         return found.assign(**{k: pdf[k].iloc[0] for k in keys})[names] if len(found) else empty
@@ -704,7 +701,7 @@ def suggest_rois(pixels: DataFrame, settings: Settings | None = None, rois: Data
     Pixels of existing regions are left out; regions suggested earlier should be removed from ``rois``.
     """
     st = settings or Settings()
-    pixels = materialize(pixels.select(*PIXEL, "spectrum"))
+    pixels = materialize(clustered(pixels.select(*PIXEL, "spectrum"), FIELD, ["y", "x"]))
     shape = materialize(field_shape(pixels))
     occupied = pixels_in_roi(pixels.select(*PIXEL), rois) if rois is not None else None
     if st.projection_mode == "multiband":
