@@ -23,14 +23,14 @@ def field_shape(field: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return field.groupBy(*keys).agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
 
 
-def place_tiles(field: DataFrame, shape: DataFrame, halo: int, tile: int, keys: list[str], value: str = "value") -> DataFrame:
-    """Every pixel once for each tile whose halo reaches it: (keys, y, x, value, ny, nx, _ty, _tx)."""
+def place_tiles(field: DataFrame, shape: DataFrame, halo: int, tile: int, keys: list[str], *columns: Column | str) -> DataFrame:
+    """Every pixel once for each tile whose halo reaches it: (keys, y, x, the columns, ny, nx, _ty, _tx)."""
     reach = lambda p, n: F.sequence(
         F.greatest(F.floor((F.col(p) - halo) / tile), F.lit(0)).cast("int"),
         F.least(F.floor((F.col(p) + halo) / tile), F.floor((F.col(n) - 1) / tile)).cast("int"),
     )
     on = [k for k in keys if k in shape.columns]
-    sized = join_dim(field.select(*keys, "y", "x", F.col(value).alias("value")), shape.select(*on, "ny", "nx"), on)
+    sized = join_dim(field.select(*keys, "y", "x", *columns), shape.select(*on, "ny", "nx"), on)
     return (
         sized.select("*", F.explode(reach("y", "ny")).alias("_ty"))
         .select("*", F.explode(reach("x", "nx")).alias("_tx"))
@@ -48,7 +48,7 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
     """
     keys = keys or FIELD
     tile = max(int(tile), 2 * int(halo), 16)
-    placed = place_tiles(field, shape, halo, tile, keys, value)
+    placed = place_tiles(field, shape, halo, tile, keys, F.col(value).alias("value"))
     spans = "ny", "nx"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,13 +79,8 @@ def map_tiles(field: DataFrame, shape: DataFrame, halo: int, kernel: Callable, v
     return placed.groupBy(*keys, "_ty", "_tx").applyInPandas(run, f"{fields}, y INT, x INT, value DOUBLE")
 
 
-def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x: float | None = None, edge: str = "reflect",
-                     value: str = "value", tile: int = 128, keys: list[str] | None = None, fill: float = 0.0,
-                     subtract: bool = False, there: bool = False) -> DataFrame:
-    """Separable Gaussian blur; ``edge`` is ``reflect`` (half-sample symmetric) or ``nearest``.
-
-    ``subtract`` gives the field minus its blur, which saves joining the two; ``there`` gives no rows to missing pixels.
-    """
+def blur_kernel(sigma_y: float, sigma_x: float | None = None, subtract: bool = False) -> tuple[int, Callable]:
+    """Halo and tile kernel of a separable Gaussian blur."""
     sigma_x = sigma_y if sigma_x is None else sigma_x
     ky = np.asarray(gaussian_kernel(sigma_y)) if sigma_y > 0 else np.ones(1)
     kx = np.asarray(gaussian_kernel(sigma_x)) if sigma_x > 0 else np.ones(1)
@@ -98,6 +93,17 @@ def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x
         blurred = sum(w * rows[:, halo - rx + i: halo - rx + i + nx] for i, w in enumerate(kx))
         return p[halo: halo + ny, halo: halo + nx] - blurred if subtract else blurred
 
+    return halo, kernel
+
+
+def gaussian_blur_2d(field: DataFrame, shape: DataFrame, sigma_y: float, sigma_x: float | None = None, edge: str = "reflect",
+                     value: str = "value", tile: int = 128, keys: list[str] | None = None, fill: float = 0.0,
+                     subtract: bool = False, there: bool = False) -> DataFrame:
+    """Separable Gaussian blur; ``edge`` is ``reflect`` (half-sample symmetric) or ``nearest``.
+
+    ``subtract`` gives the field minus its blur, which saves joining the two; ``there`` gives no rows to missing pixels.
+    """
+    halo, kernel = blur_kernel(sigma_y, sigma_x, subtract)
     mode = {"reflect": "symmetric", "nearest": "edge"}[edge]
     return map_tiles(field, shape, halo, kernel, value, tile, keys, fill, mode, there)
 

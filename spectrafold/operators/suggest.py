@@ -10,14 +10,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays as A
 from ..scale import clustered, dealt, exact_percentile, join_dim, join_stats, join_wide, materialize, theta_join, top_n
 from ..tables import FIELD, PIXEL
 from . import stats as S
+from ._dense import matrix
 from .condition import sub_band
-from .neighborhood import field_shape, gaussian_blur_2d, place_tiles
+from .neighborhood import blur_kernel, field_shape, gaussian_blur_2d, place_tiles
 from .rois import bbox_iou, pixels_in_roi
 
 
@@ -86,32 +89,116 @@ def response_map(field: DataFrame, shape: DataFrame, background_sigma: float = 8
     if background_sigma > 0:
         clean = gaussian_blur_2d(clean, shape, background_sigma, keys=keys, subtract=True)
     up = materialize(clean.withColumn("value", F.greatest("value", F.lit(0.0))))
+    return join_stats(up, _scales(up, keys), keys, "left").withColumn("value", _share("value", "_s")).drop("_s")
+
+
+def _scales(up: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _s): the 99.5th percentile of the positive values, or the largest one where that is not positive."""
     positive = up.filter("value > 0")
     top = positive.groupBy(*keys).agg(F.max("value").alias("_max"))
     scale = exact_percentile(positive, keys, "value", [0.995], ["_p"]).join(top, keys)
-    joined = join_stats(up, scale, keys, "left")
-    s = F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.col("_max"))
-    return joined.withColumn("value", F.coalesce(F.least(F.col("value") / s, F.lit(1.0)), F.lit(0.0))).drop("_p", "_max")
+    return scale.select(*keys, F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.col("_max")).alias("_s"))
+
+
+def _share(value: Column | str, scale: str) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.least(value / F.col(scale), F.lit(1.0)), F.lit(0.0))
+
+
+# Fixed sizes of what a task holds: channels of a tile that are blurred together, and pixels of a strip.
+FRAMES, STRIP = 16, 2048
 
 
-def balanced_projection(voxels: DataFrame, shape: DataFrame, background_sigma: float = 8.0, keys: list[str] | None = None) -> DataFrame:
+def _strips(rows: DataFrame, shape: DataFrame, sigma: float, keys: list[str], tile: int = 128) -> DataFrame:
+    """Every frame minus its broad blur, negatives to 0, in strips of tiles: (keys, channel, y0, x0, w, values).
+
+    ``rows`` are (keys, y, x, _part, start, values): a pixel's values from channel ``start`` on, ``_part`` a group of channels.
+    A strip holds whole rows of w pixels. A blur fills missing pixels, without one they are null.
+    """
+    halo, kernel = blur_kernel(sigma, subtract=True) if sigma > 0 else (0, None)
+    tile = max(tile, 2 * halo)
+    fill = 0.0 if kernel else np.nan
+    spot = [*keys, "_part", "_ty", "_tx"]
+    placed = place_tiles(rows, shape, halo, tile, keys, "_part", "start", "values")
+
+    def run(table: pa.Table) -> pa.Table:
+        ny, nx, ty, tx = (table[c][0].as_py() for c in ("ny", "nx", "_ty", "_tx"))
+        y0, x0 = ty * tile, tx * tile
+        y1, x1 = min(y0 + tile, ny), min(x0 + tile, nx)
+        ya, yb, xa, xb = max(y0 - halo, 0), min(y1 + halo, ny), max(x0 - halo, 0), min(x1 + halo, nx)
+        lists = pa.concat_arrays(table["values"].chunks)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        channel = table["start"].to_numpy()[row] + np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row]
+        channels, frame = np.unique(channel, return_inverse=True)
+        patches = np.full((len(channels), yb - ya, xb - xa), fill)
+        patches[frame, table["y"].to_numpy()[row] - ya, table["x"].to_numpy()[row] - xa] = np.where(np.isfinite(flat), flat, 0.0)
+        widths = ((halo - (y0 - ya), halo - (yb - y1)), (halo - (x0 - xa), halo - (xb - x1)))
+        cores = [np.maximum(kernel(np.pad(p, widths, mode="symmetric")) if kernel else p, 0.0) for p in patches]
+        h, w = y1 - y0, x1 - x0
+        step = max(1, STRIP // w)
+        parts = [(c, y0 + i, core[i: i + step].ravel()) for c, core in zip(channels.tolist(), cores) for i in range(0, h, step)]
+        offsets = np.cumsum([0] + [len(p[2]) for p in parts])
+        values = pa.array(np.concatenate([p[2] for p in parts]) if parts else np.zeros(0), from_pandas=True)
+        n = len(parts)
+        return pa.table({
+            **{k: pa.repeat(table[k][0], n) for k in keys}, "channel": pa.array([p[0] for p in parts], pa.int32()),
+            "y0": pa.array([p[1] for p in parts], pa.int32()), "x0": pa.array([x0] * n, pa.int32()), "w": pa.array([w] * n, pa.int32()),
+            "values": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
+
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt(placed, spot).groupBy(*spot).applyInArrow(run, f"{types}, channel INT, y0 INT, x0 INT, w INT, values ARRAY<DOUBLE>")
+
+
+def balanced_projection(frames: DataFrame, shape: DataFrame, background_sigma: float = 8.0, keys: list[str] | None = None) -> DataFrame:
     """Response map of every frame, averaged with the spatial variance of each frame as weight; the
-    mean of the three largest responses where no frame varies."""
+    mean of the three largest responses where no frame varies.
+
+    ``frames`` are voxels, or pixels with a ``spectrum``. They travel as strips of tiles, so no pixel is shuffled once its
+    tile is blurred but as part of a strip.
+    """
     keys = keys or FIELD
-    frames = materialize(response_map(voxels, shape, background_sigma, [*keys, "channel"]))
-    var = frames.groupBy(*keys, "channel").agg(F.var_pop("value").alias("_v"))
-    both = join_stats(frames, var, [*keys, "channel"])
-    sums = both.groupBy(*keys, "y", "x").agg(
-        F.sum(F.col("value") * F.col("_v")).alias("_a"), F.sum("_v").alias("_t"),
-        A.mean(F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, 3)).alias("_top"))
-    return sums.select(*keys, "y", "x", F.when(F.col("_t") > 0, F.col("_a") / F.col("_t")).otherwise(F.col("_top")).alias("value"))
+    if "spectrum" in frames.columns:
+        cuts = F.expr(f"sequence(0, CAST((size(spectrum) - 1) div {FRAMES} AS INT))")
+        parts = frames.filter(F.size("spectrum") > 0).select(*keys, "y", "x", "spectrum", F.explode(cuts).alias("_part"))
+        rows = parts.select(*keys, "y", "x", "_part", (F.col("_part") * FRAMES).alias("start"),
+                            F.expr(f"CAST(slice(spectrum, _part * {FRAMES} + 1, {FRAMES}) AS ARRAY<DOUBLE>)").alias("values"))
+    else:
+        rows = frames.select(*keys, "y", "x", F.expr(f"CAST(channel div {FRAMES} AS INT)").alias("_part"), F.col("channel").cast("int").alias("start"),
+                             F.array(F.col("value").cast("double")).alias("values"))
+    strips = materialize(_strips(rows, shape, background_sigma, keys))
+    frame = [*keys, "channel"]
+    scaled = join_stats(strips, _scales(strips.select(*frame, F.explode("values").alias("value")), frame), frame, "left")
+    each = scaled.select(*frame, "_s", F.explode("values").alias("value")).filter("value IS NOT NULL")
+    var = each.groupBy(*frame).agg(F.var_pop(_share("value", "_s")).alias("_v"))
+    shares = F.transform("values", lambda v: F.when(v.isNotNull(), _share(v, "_s")))
+    both = join_stats(scaled.select(*frame, "y0", "x0", "w", shares.alias("values")), var, frame)
+    spot = [*keys, "y0", "x0"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("channel")
+        y0, x0, w = (table[c][0].as_py() for c in ("y0", "x0", "w"))
+        values = matrix(table["values"])
+        weight = table["_v"].to_numpy()[:, None]
+        known = ~np.isnan(values)
+        total = (known * weight).sum(axis=0)
+        high = -np.sort(-np.where(known, values, -np.inf), axis=0)[:3]
+        count = np.maximum(np.isfinite(high).sum(axis=0), 1)
+        top = np.where(np.isfinite(high), high, 0.0).sum(axis=0) / count
+        value = np.divide((np.where(known, values, 0.0) * weight).sum(axis=0), total, out=top, where=total > 0)
+        at = np.flatnonzero(known.any(axis=0))
+        return pa.table({**{k: pa.repeat(table[k][0], len(at)) for k in keys}, "y": pa.array(y0 + at // w, pa.int32()),
+                         "x": pa.array(x0 + at % w, pa.int32()), "value": pa.array(value[at])})
+
+    types = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt(both, spot).groupBy(*spot).applyInArrow(run, f"{types}, y INT, x INT, value DOUBLE")
 
 
 def spatial_response(pixels: DataFrame, shape: DataFrame, settings: Settings, frame: int = 0) -> DataFrame:
     mode = settings.projection_mode
     if mode == "balanced":
-        long = pixels.select(*PIXEL, F.posexplode("spectrum").alias("channel", "value"))
-        return balanced_projection(long, shape, settings.background_sigma)
+        return balanced_projection(pixels, shape, settings.background_sigma)
     if mode == "frame":
         field = pixels.select(*PIXEL, F.element_at("spectrum", frame + 1).alias("value"))
     else:
@@ -396,7 +483,7 @@ def _ranked_peaks(coarse: DataFrame, thresholds: DataFrame, settings: Settings,
     reach = max(3, int(settings.peak_window) | 1) // 2
     tile = max(tile, 2 * reach)
     shape, spot = materialize(field_shape(coarse, keys)), [*keys, "_ty", "_tx"]
-    placed = place_tiles(coarse, shape, reach, tile, keys)
+    placed = place_tiles(coarse, shape, reach, tile, keys, "value")
     upto = lambda n: F.sequence(F.lit(0), F.expr(f"CAST(({n} - 1) div {tile} AS INT)"))
     tiles = shape.select(*keys, "nx", F.explode(upto("ny")).alias("_ty")).select(*spot[:-1], F.explode(upto("nx")).alias("_tx"))
     levels = join_wide(tiles, thresholds, keys)

@@ -8,7 +8,7 @@ from ..functions import arrays as A
 from ..operators import neighborhood as N
 from ..operators import stats as S
 from ..operators import suggest as G
-from ..scale import top_n
+from ..scale import materialize, top_n
 from ..tables import FIELD, PIXEL
 from . import fixtures as fx
 from .registry import query
@@ -36,9 +36,8 @@ def _(spark, sf):
 
 @query("balanced_projection")
 def _(spark, sf):
-    p = fx.pixels_ord(spark, sf)
-    v = p.select(*PIXEL, F.posexplode("spectrum").alias("channel", "value"))
-    r = G.balanced_projection(v, N.field_shape(p), 2.0)
+    p = materialize(fx.pixels_ord(spark, sf))
+    r = G.balanced_projection(p, N.field_shape(p), 2.0)
     return r.groupBy(*FIELD).agg(rnd(F.min("value"), "low"), rnd(F.max("value"), "high"), rnd(F.avg("value"), "mean"))
 
 

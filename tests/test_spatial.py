@@ -141,6 +141,43 @@ def test_component_tree_by_labels():
             assert [tree[k][node] for k in ("y0", "y1", "x0", "x1", "size", "first", "best")] == want
 
 
+def balanced_by_hand(v, sigma):
+    """Balanced projection of frames (c, y, x); missing voxels are NaN."""
+    maps = []
+    for frame in v:
+        up = np.maximum(np.nan_to_num(frame) - numpy_blur(np.nan_to_num(frame), sigma), 0) if sigma else np.maximum(frame, 0)
+        maps.append(np.minimum(up / np.percentile(up[up > 0], 99.5), 1))
+    weight = np.array([np.nanvar(m) for m in maps])[:, None, None]
+    return np.nansum(maps * weight, axis=0) / (~np.isnan(maps) * weight).sum(axis=0)
+
+
+@pytest.mark.parametrize("sigma", [2.0, 0.0])
+def test_balanced_projection_of_voxels_and_pixels(spark, monkeypatch, sigma):
+    monkeypatch.setattr(S, "FRAMES", 3)
+    monkeypatch.setattr(S, "STRIP", 40)
+    v = np.random.default_rng(10).random((7, 21, 30))
+    v[2, 4:9, 3:20] = np.nan
+    rows = [("a", 0, y, x, c, float(v[c, y, x])) for c in range(7) for y in range(21) for x in range(30) if not np.isnan(v[c, y, x])]
+    voxels = spark.createDataFrame(rows, "image_id STRING, slice_id INT, y INT, x INT, channel INT, value DOUBLE")
+    shape = N.field_shape(voxels)
+    assert np.allclose(grid(S.balanced_projection(voxels, shape, sigma), v.shape[1:]), balanced_by_hand(v, sigma))
+    full = np.nan_to_num(v)
+    wide = [("a", 0, y, x, full[:, y, x].tolist()) for y in range(21) for x in range(30)]
+    pixels = spark.createDataFrame(wide, "image_id STRING, slice_id INT, y INT, x INT, spectrum ARRAY<DOUBLE>")
+    assert np.allclose(grid(S.balanced_projection(pixels, shape, sigma), v.shape[1:]), balanced_by_hand(full, sigma))
+
+
+def test_balanced_projection_keeps_voxels_in_strips(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(S, "materialize", lambda df, real=S.materialize: written.append((out := real(df)).count()) or out)
+    a = np.random.default_rng(11).random((7, 40, 40))
+    wide = [("a", 0, y, x, a[:, y, x].tolist()) for y in range(40) for x in range(40)]
+    pixels = spark.createDataFrame(wide, "image_id STRING, slice_id INT, y INT, x INT, spectrum ARRAY<DOUBLE>")
+    long = pixels.select("image_id", "slice_id", "y", "x", F.posexplode("spectrum").alias("channel", "value"))
+    assert np.allclose(grid(S.balanced_projection(long, N.field_shape(pixels), 2.0), (40, 40)), balanced_by_hand(a, 2.0))
+    assert max(written) <= 7  # before: a row for each of the 11200 voxels
+
+
 def test_nms_keeps_the_first_of_overlapping_boxes(spark):
     rng = np.random.default_rng(6)
     rows = [("a", i % 2, i, int(y), int(x), int(h), int(w), float(s)) for i, (y, x, h, w, s) in enumerate(
