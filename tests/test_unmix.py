@@ -129,6 +129,42 @@ def test_cd_decreases_and_stops(spark):
     assert all(b <= a * (1 + 1e-9) + 1e-9 for a, b in zip(rep["history"], rep["history"][1:]))
 
 
+def test_a_fit_in_a_task_is_the_fit_by_passes(spark):
+    """Images of a task and larger ones take the same steps to the same end, alone and side by side."""
+    rng = np.random.default_rng(12)
+    p = table(spark, rng.random((60, 2)) @ rng.random((2, 5)), "a").unionByName(table(spark, rng.random((35, 5)), "b", 1))
+    for solver in ("cd", "mu"):
+        for options in ({}, {"normalize_w_columns": True, "patience": 2})[: 1 + (solver == "mu")]:
+            fits = [M.nmf(p, 2, solver=solver, max_iter=40, track_error_every=2, task_limit=n, **options) for n in (10**6, 0, 300)]
+            want = fits[0].report.orderBy("image_id").collect()
+            assert [r["n_pixels"] for r in want] == [60, 35] and all(1 < r["n_iter"] <= 40 for r in want)
+            for fit in fits:
+                assert fit.abundance.columns == fits[0].abundance.columns and fit.report.schema == fits[0].report.schema
+                assert np.allclose(collect_w(fit.abundance), collect_w(fits[0].abundance), rtol=1e-6, atol=1e-9)
+                for a, b in zip(fit.report.orderBy("image_id").collect(), want):
+                    assert a["n_iter"] == b["n_iter"] and np.allclose(a["history"], b["history"], rtol=1e-6, atol=1e-6)
+                got, spectra = ([r["spectrum"] for r in f.spectra.orderBy("image_id", "component").collect()] for f in (fit, fits[0]))
+                assert np.allclose(got, spectra, rtol=1e-6, atol=1e-9)
+
+
+def test_cd_query_runs_to_its_end(spark, sf):
+    """The registered query goes on until the violation is 1e-4 of the first one, or the reference's 500 iterations are over."""
+    from spectrafold.plans import QUERIES, fixtures
+
+    rows = fixtures.pixels_ord(spark, sf).select("image_id", "spectrum", M.random_w(3, 0).alias("w")).collect()
+    for r in QUERIES["nmf_cd"](spark, sf).collect():
+        x, w = (np.array([p[n] for p in rows if p["image_id"] == r["image_id"]]) for n in ("spectrum", "w"))
+        h = np.sqrt(x.mean() / 3) * np.abs(np.random.default_rng(0).standard_normal((3, x.shape[1])))
+        first, n = None, 0
+        while n < 500 and (first is None or violation > 1e-4 * first):
+            w, a = M.cd_w(x, w, h)
+            h, b = M.cd_h(h, w.T @ w, w.T @ x)
+            n, violation = n + 1, a + b
+            first = first or violation
+        assert n > 50 and abs(r["n_iter"] - n) <= 1 and r["n_checks"] == r["n_iter"] and r["monotone"]
+        assert r["final_error"] == pytest.approx(np.linalg.norm(x - w @ h), rel=1e-6)
+
+
 def test_smallest_case(spark):
     x = np.array([[2.0, 0.1, 1.0], [0.2, 1.9, 1.0], [1.8, 0.2, 0.9], [0.1, 2.1, 1.1]])
     h = np.array([[2, 0.1, 1.0], [0.1, 2, 1.0]])
