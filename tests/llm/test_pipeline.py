@@ -125,6 +125,35 @@ def test_rows_of_one_id_are_kept_by_their_texts(spark, sf):
         assert pairs(C.simhash_near_dedup(spark, awkward(spark, rows, slices), sf)) == want
 
 
+def test_documents_without_an_id_are_compared_as_well(spark, sf):
+    """They come after those with an id and, of two of them, in the order of a hash of their shingles."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    one, two, three = words(60), words(60), words(60)
+    text = lambda w, last="": " ".join([*w[:-1], last or w[-1]])
+    rows = [(7, text(one)), (None, text(one)), (None, text(one, "other")), (2**62, text(one, "last")),  # alike, the first has an id
+            (None, text(two)), (None, text(two)), (None, text(two).upper()), (None, text(two, "other")),  # alike, none has one
+            (None, text(three)), (None, None), (None, ""), (8, text(words(60)))]
+    got = {slices: pairs(C.simhash_near_dedup(spark, awkward(spark, rows, slices), sf)) for slices in (1, 3, 6)}
+    assert got[1] == got[3] == got[6]
+    named, other = ([p for p in got[1] if (p[0] is None) == without] for without in (False, True))
+    assert named == [rows[0], rows[11]]
+    alike = [t for _, t in other if t and t.lower().startswith(text(two[:50]))]
+    assert len(alike) == 1 and len(other) == 3
+    assert (None, text(three)) in other and any(not t for _, t in other)
+
+
+def test_rows_of_one_id_are_told_apart_by_whole_hashes(spark, sf):
+    """Two texts under one id whose hashes agree in 20 bits: the copy of an earlier document goes, the other stays."""
+    texts = [f"text number {i} of some that share a few bits" for i in range(6000)]
+    mark = (similar._marks(*similar._shingles(pa.array(texts), 50)[:2]) & ((1 << 20) - 1)).tolist()
+    seen = {}
+    a, b = next((seen[m], i) for i, m in enumerate(mark) if seen.setdefault(m, i) != i)
+    rows = [(1, texts[a]), (5, texts[a]), (5, texts[b])]
+    left = similar.without_near_duplicates(awkward(spark, rows), 50)
+    assert pairs(left) == [(1, texts[a]), (5, texts[b])]
+
+
 def test_stages_take_texts_in_small_batches(spark, sf):
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     for given, want in (("10000", 1000), ("0", 1000), ("50", 50)):
